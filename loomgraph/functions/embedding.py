@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomgraph.config import EmbeddingConfig
 from loomgraph.functions.text import cut
+from loomgraph.functions.vectors import list_array
 
 MAX_TEXT_CHARS = 4000
 RETRY_TEXT_CHARS = 2000
@@ -133,7 +134,7 @@ def request_vectors(
     """One provider call. `post(url, headers, body)` returns the decoded reply."""
     kind = config.type
     if kind == "offline":
-        return [char_bins(t, dimension(config)).tolist() for t in texts]
+        return [char_bins(t, dimension(config)) for t in texts]
     if kind not in DEFAULT_ROOTS:
         raise ValueError(f"unknown embedding provider: {kind}")
     fixed_root = kind in ("google", "mistral")
@@ -189,12 +190,13 @@ def embed(
 ) -> Column:
     """`array<float>` embedding of a text column, computed on the executors batch by batch."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(embed_texts(batch.tolist(), config, call))
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        found = embed_texts(texts.to_pylist(), config, call)
+        return list_array(np.asarray(found, dtype="float32").reshape(len(found), -1))
 
-    return vectors(model_input(text, F.lit(config.model), F.lit(mode)))
+    # Marked so that no plan calls the provider twice for a text.
+    return vectors.asNondeterministic()(model_input(text, F.lit(config.model), F.lit(mode)))
 
 
 def embed_query(text: str, config: EmbeddingConfig, call: Callable | None = None) -> list[float]:
@@ -208,4 +210,5 @@ def embed_query(text: str, config: EmbeddingConfig, call: Callable | None = None
     elif "Qwen3-Embedding" in model:
         prefix = QWEN_QUERY_PREFIX
     units = (prefix + text).encode("utf-16-le")[: 2 * MAX_TEXT_CHARS]
-    return embed_texts([units.decode("utf-16-le", "ignore")], config, call)[0]
+    vector = embed_texts([units.decode("utf-16-le", "ignore")], config, call)[0]
+    return [float(x) for x in vector]

@@ -10,6 +10,25 @@ from __future__ import annotations
 import posixpath
 import re
 
+import pyarrow as pa
+
+_NAMES = pa.list_(pa.string())
+_OUTLINE_FIELDS = {
+    "imports": {"pos": pa.int32(), "specifier": pa.string(), "base": pa.string(), "names": _NAMES},
+    "nodes": {
+        "name": pa.string(), "kind": pa.string(), "exported": pa.bool_(),
+        "is_default": pa.bool_(), "first": pa.int32(), "last": pa.int32(),
+    },
+    "symbols": {
+        "name": pa.string(), "kind": pa.string(), "line": pa.int32(), "is_default": pa.bool_(),
+    },
+    "refs": {
+        "owner": pa.string(), "base": pa.string(), "name": pa.string(), "role": pa.string(),
+    },
+}
+OUTLINE_ARROW = pa.struct(
+    [(k, pa.list_(pa.struct(list(v.items())))) for k, v in _OUTLINE_FIELDS.items()]
+)
 OUTLINE_TYPE = (
     "struct<"
     "imports: array<struct<pos int, specifier string, base string, names array<string>>>,"
@@ -18,6 +37,10 @@ OUTLINE_TYPE = (
     "symbols: array<struct<name string, kind string, line int, is_default boolean>>,"
     "refs: array<struct<owner string, base string, name string, role string>>>"
 )
+PACKED_ARROW = pa.list_(
+    pa.struct([("chunk_text", pa.string()), ("exports", _NAMES), ("imports", _NAMES)])
+)
+PACKED_TYPE = "array<struct<chunk_text string, exports array<string>, imports array<string>>>"
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
@@ -67,53 +90,68 @@ _KEYWORD_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "void", "delete
 def _tokens(text: str) -> list[tuple[str, str, int]]:
     """(kind, text, line) of every token; comments and blanks are left out."""
     found: list[tuple[str, str, int]] = []
-    pos = line = 0
-    while pos < len(text):
-        if text[pos] == "/" and found:
-            kind, word, _ = found[-1]
-            ends_value = (kind in _VALUE_END and word not in _KEYWORD_BEFORE_REGEX) or word in ")]}"
-            match = None if ends_value else _REGEX.match(text, pos)
-            if match:
+    line = 0
+    matches = _TOKEN.finditer(text)
+    match = next(matches, None)
+    while match is not None:
+        kind, word = match.lastgroup, match.group()
+        if word == "/" and found:
+            last_kind, last, _ = found[-1]
+            ends_value = (
+                last_kind in _VALUE_END and last not in _KEYWORD_BEFORE_REGEX
+            ) or last in ")]}"
+            pattern = None if ends_value else _REGEX.match(text, match.start())
+            if pattern:
                 found.append(("template", "/re/", line))
-                pos = match.end()
+                matches = _TOKEN.finditer(text, pattern.end())
+                match = next(matches, None)
                 continue
-        match = _TOKEN.match(text, pos)
-        if match.lastgroup != "skip":
-            found.append((match.lastgroup, match.group(), line))
-        line += text.count("\n", pos, match.end())
-        pos = match.end()
+        if kind != "skip":
+            found.append((kind, word, line))
+        if kind in ("skip", "template"):
+            line += word.count("\n")
+        match = next(matches, None)
     return found
 
 
 def _statements(tokens: list[tuple[str, str, int]]) -> list[list[tuple[str, str, int]]]:
     """Tokens grouped by top-level statement."""
-    groups: list[list[tuple[str, str, int]]] = []
+    groups: list[list[tuple[str, str, int]]] = [[]]
     depth = 0
     for token in tokens:
         kind, word, line = token
-        is_code = kind in ("word", "punct")
-        if depth == 0 and groups and groups[-1]:
-            last_kind, last, last_line = groups[-1][-1]
-            words = [w for _, w, _ in groups[-1][:6]]
-            pending = words[0] == "@" and "class" not in (w for _, w, _ in groups[-1])
-            ends_block = last == "}" and not _BLOCK_HEADS.isdisjoint(words)
-            continues = is_code and word in _OPEN_BEFORE and not (ends_block and word in "([")
-            waits = last_kind in ("word", "punct") and last in _OPEN_AFTER
+        current = groups[-1]
+        if depth == 0 and current:
+            last_kind, last, last_line = current[-1]
             if last == ";" or (
-                not pending and not continues and not waits and (line > last_line or ends_block)
+                (line > last_line or last == "}") and _starts_statement(current, token)
             ):
-                groups.append([])
-        elif not groups:
-            groups.append([])
-        groups[-1].append(token)
+                current = []
+                groups.append(current)
+        current.append(token)
         if kind == "punct":
             if word in "([{":
                 depth += 1
-            elif word in ")]}":
-                depth = max(0, depth - 1)
+            elif word in ")]}" and depth:
+                depth -= 1
     return [g for g in groups if any(w != ";" for _, w, _ in g)]
 
 
+def _starts_statement(current: list[tuple[str, str, int]], token: tuple[str, str, int]) -> bool:
+    """Whether `token` opens a new statement after the tokens of `current`."""
+    kind, word, line = token
+    last_kind, last, last_line = current[-1]
+    words = [w for _, w, _ in current[:6]]
+    ends_block = last == "}" and not _BLOCK_HEADS.isdisjoint(words)
+    if line == last_line and not ends_block:
+        return False
+    if last_kind in ("word", "punct") and last in _OPEN_AFTER:
+        return False
+    if kind in ("word", "punct") and word in _OPEN_BEFORE and not (ends_block and word in "(["):
+        return False
+    return words[0] != "@" or any(w == "class" for _, w, _ in current)
+
+
 def _head(statement: list[tuple[str, str, int]]) -> tuple[str | None, str | None, set[str], int]:
     """(kind, name, modifiers, index of the declaring keyword) of a statement."""
     at = 0
@@ -206,7 +244,7 @@ def outline(path: str, text: str) -> dict:
     folder = posixpath.dirname(path)
     imports, nodes, symbols = [], [], []
     bindings: dict[str, tuple[str, str]] = {}
-    bodies: list[tuple[str, str, list[tuple[str, str, int]], int]] = []
+    bodies: list[tuple[str, str, list[tuple[str, str, int]], int, dict[int, str | None]]] = []
     for statement in _statements(_tokens(text)):
         words = [w for _, w, _ in statement]
         if words[0] == "import" and words[1:2] not in (["("], ["."]) and "=" not in words:
@@ -245,9 +283,10 @@ def outline(path: str, text: str) -> dict:
         symbols.append(
             {"name": name, "kind": kind, "line": statement[at][2] + 1, "is_default": is_default}
         )
-        bodies.append((name, kind, statement, at))
-        if kind == "class":
-            for start, method in _members(statement, at):
+        members = dict(_members(statement, at)) if kind == "class" else {}
+        bodies.append((name, kind, statement, at, members))
+        if members:
+            for start, method in members.items():
                 if method:
                     symbols.append(
                         {
@@ -259,8 +298,8 @@ def outline(path: str, text: str) -> dict:
                     )
     local_names = {s["name"] for s in symbols}
     refs: set[tuple[str, str | None, str, str]] = set()
-    for name, kind, statement, at in bodies:
-        _collect_refs(name, kind, statement, at, local_names, bindings, refs)
+    for body in bodies:
+        _collect_refs(*body, local_names, bindings, refs)
     return {
         "imports": imports,
         "nodes": nodes,
@@ -272,9 +311,8 @@ def outline(path: str, text: str) -> dict:
     }
 
 
-def _collect_refs(name, kind, statement, at, local_names, bindings, refs) -> None:
+def _collect_refs(name, kind, statement, at, starts, local_names, bindings, refs) -> None:
     """Add (owner, base or None for this file, target name, role) of each known name used."""
-    starts = dict(_members(statement, at)) if kind == "class" else {}
     owner = name
     in_head = kind in ("class", "interface")
     heritage = None
@@ -297,15 +335,12 @@ def _collect_refs(name, kind, statement, at, local_names, bindings, refs) -> Non
             if f"{name}.{word}" in local_names:
                 refs.add((owner, None, f"{name}.{word}", "call"))
             continue
+        if word not in bindings and word not in local_names:
+            continue
         is_key = after in (":", "?") and before in ("{", ",", "(")
         if before in (".", "?.") or is_key:
             continue
-        if word in bindings:
-            base, target = bindings[word]
-        elif word in local_names:
-            base, target = None, word
-        else:
-            continue
+        base, target = bindings.get(word, (None, word))
         called = before == "new" or after == "("
         if after == "." and i + 2 <= last and statement[i + 2][0] == "word":
             member = statement[i + 2][1]

@@ -1,4 +1,8 @@
-"""Vector expressions, run as Arrow batches in numpy."""
+"""Vector expressions, run as Arrow batches in numpy.
+
+They are marked non-deterministic only to keep the optimizer from evaluating them twice, once
+in a pushed filter and once for the result.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +24,13 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def list_array(matrix: np.ndarray) -> pa.Array:
+    """A list column with one row per row of `matrix`."""
+    rows, width = matrix.shape
+    offsets = pa.array(np.arange(rows + 1, dtype="int32") * width)
+    return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; a zero row becomes NaN."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -41,7 +52,7 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
             return pa.array([], type=pa.float64())
         return _nullable(np.round(unit_rows(matrix) @ target, SCORE_DIGITS))
 
-    return score(vector)
+    return score.asNondeterministic()(vector)
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -52,7 +63,7 @@ def cosine(left: Column, right: Column) -> Column:
         dots = (unit_rows(as_matrix(a)) * unit_rows(as_matrix(b))).sum(axis=1)
         return _nullable(np.round(dots, SCORE_DIGITS))
 
-    return score(left, right)
+    return score.asNondeterministic()(left, right)
 
 
 def vector_key(vector: Column) -> Column:
@@ -66,4 +77,4 @@ def vector_key(vector: Column) -> Column:
             type=pa.string(),
         )
 
-    return digest(vector)
+    return digest.asNondeterministic()(vector)

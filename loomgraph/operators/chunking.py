@@ -6,10 +6,11 @@ Every chunker takes a frame with a text column, keeps all its other columns and
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.outline import pack_nodes
+from loomgraph.functions.outline import PACKED_ARROW, PACKED_TYPE, pack_nodes
 from loomgraph.functions.text import (
     LINE_BREAKS,
     MAX_CHUNK_CHARS,
@@ -19,14 +20,13 @@ from loomgraph.functions.text import (
     lines,
     trim,
 )
+from loomgraph.session import spread
 
 WINDOW_LINES = 200
 OVERLAP_LINES = 50
 SCRIPT_PATH = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)\z"
 HEADING = rf"##[{WS_NO_NEWLINE}]+[^{LINE_BREAKS}]"
 
-_PACKED_TYPE = "array<struct<chunk_text string, exports array<string>, imports array<string>>>"
-
 
 def _no_names() -> Column:
     return F.array().cast("array<string>")
@@ -128,12 +128,20 @@ def chunk_declarations(
     line windows. Needs a `file_path` column.
     """
     kept = [c for c in files.columns if c != text]
-    pack = F.udf(lambda p, body: pack_nodes(p, body, max_chars), _PACKED_TYPE, useArrow=True)
+
+    @F.arrow_udf(PACKED_TYPE)
+    def pack(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = zip(paths.to_pylist(), texts.to_pylist())
+        return pa.array([pack_nodes(p, t, max_chars) for p, t in rows], type=PACKED_ARROW)
+
+    # Only scripts are sent to Python with their text. Marked so that no plan packs twice.
+    pack_once = pack.asNondeterministic()
     is_script = F.col("file_path").rlike(SCRIPT_PATH)
-    packed = files.select(
-        *kept, text, F.when(is_script, pack("file_path", text)).alias("_packed")
+    packed = spread(files).select(
+        *kept, text,
+        pack_once("file_path", F.when(is_script, F.col(text)).otherwise("")).alias("_packed"),
     )
-    falls_back = F.coalesce(F.size("_packed"), F.lit(0)) <= 0
+    falls_back = F.size("_packed") == 0
     split = packed.select(
         *kept, "_packed", F.when(falls_back, lines(F.col(text))).alias("_lines")
     )

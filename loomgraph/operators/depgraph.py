@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.outline import OUTLINE_TYPE, outline
-from loomgraph.session import ensure_checkpoint_dir
+from loomgraph.functions.outline import OUTLINE_ARROW, OUTLINE_TYPE, outline
+from loomgraph.session import ensure_checkpoint_dir, spread
 
 # What is tried, in order, to find the file an import means.
 TRIED_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
@@ -17,9 +18,16 @@ MAX_DEPTH = 5
 
 def with_outline(files: DataFrame, text: str = "content") -> DataFrame:
     """Replace the text column by the parsed `outline` of each file."""
-    parse = F.udf(outline, OUTLINE_TYPE, useArrow=True)
+
+    @F.arrow_udf(OUTLINE_TYPE)
+    def parse(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        found = [outline(p, t) for p, t in zip(paths.to_pylist(), texts.to_pylist())]
+        return pa.array(found, type=OUTLINE_ARROW)
+
+    # Marked so that the optimizer neither repeats the parse nor moves it into a pushed filter.
+    parse_once = parse.asNondeterministic()
     kept = [c for c in files.columns if c != text]
-    return files.select(*kept, parse("file_path", text).alias("outline"))
+    return spread(files).select(*kept, parse_once("file_path", text).alias("outline"))
 
 
 def import_statements(outlined: DataFrame) -> DataFrame:

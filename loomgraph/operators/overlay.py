@@ -74,6 +74,8 @@ def overlay(
     probe_size = probes.groupBy("_scope", "_cell").agg(_slices(tile_rows).alias("_p_slices"))
     tile = ["_scope", "_cell", "_p", "_c"]
     sizes = home_size.join(probe_size, ["_scope", "_cell"])
+    if scope is None:
+        sizes = F.broadcast(sizes)  # at most MAX_PIVOTS rows
     left = (
         probes.join(sizes, ["_scope", "_cell"])
         .withColumn("_p", F.pmod(F.xxhash64("_entry"), F.col("_p_slices")))
@@ -124,7 +126,7 @@ def _home_cell(pivots: np.ndarray):
             return pa.array([], type=pa.int32())
         return pa.array(_squared_distances(rows, pivots).argmin(axis=1), type=pa.int32())
 
-    return cell
+    return cell.asNondeterministic()
 
 
 def _reachable_cells(pivots: np.ndarray, radius: float):
@@ -145,7 +147,7 @@ def _reachable_cells(pivots: np.ndarray, radius: float):
         near = margin <= 2.0 * between * radius + 1e-9
         return pa.array([np.flatnonzero(r).tolist() for r in near], type=pa.list_(pa.int32()))
 
-    return cells
+    return cells.asNondeterministic()
 
 
 def _tile_matches(min_score: float, top_k: int):

@@ -6,6 +6,7 @@ within their batch by `issue`, numerically when it is a number and as text other
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from loomgraph.functions.text import trim
 from loomgraph.session import ensure_checkpoint_dir
 
 WARNING_MIN_COUNT = 3
+WHOLE_BATCH_ROWS = 100_000
 
 
 def touch_rows(sets: DataFrame, batch: list[str] = ()) -> DataFrame:
@@ -60,12 +62,70 @@ def conflicts(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
     )
 
 
-def waves(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
+def waves(
+    touches: DataFrame, batch: list[str] = (), whole_batch_rows: int = WHOLE_BATCH_ROWS
+) -> DataFrame:
     """(issue, wave): each issue gets the lowest wave free of the earlier issues it conflicts with.
 
-    Equal to colouring the issues one by one in order, but all batches advance together: in a
-    round, every issue that is the earliest open one in all its files is placed. Rounds are as
-    many as the longest chain of conflicts. No pair of issues is ever listed: an issue reads
+    Batches of at most `whole_batch_rows` touch rows are each planned in one step, side by side.
+    Larger ones go through `waves_in_rounds`, which never holds a batch in one place.
+    """
+    ensure_checkpoint_dir(touches.sparkSession)
+    keys = list(batch)
+    rows = touches.select(*keys, "issue", "file").distinct().checkpoint()
+    large = (
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > whole_batch_rows).drop("_n")
+    )
+    if not keys:
+        return waves_in_rounds(rows) if large.count() else _waves_of_whole_batches(rows, keys)
+    large = large.checkpoint()
+    if large.isEmpty():
+        return _waves_of_whole_batches(rows, keys)
+    small = _waves_of_whole_batches(rows.join(large, keys, "left_anti"), keys)
+    return small.unionByName(waves_in_rounds(rows.join(large, keys, "left_semi"), keys))
+
+
+def _waves_of_whole_batches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    issue_type = rows.schema["issue"].dataType
+
+    @F.arrow_udf(f"array<struct<issue: {issue_type.simpleString()}, wave: int>>")
+    def plan(batches: pa.Array) -> pa.Array:
+        touch = batches.type.value_type
+        planned = pa.list_(pa.struct([("issue", touch.field("issue").type), ("wave", pa.int32())]))
+        return pa.array([_first_free_waves(b) for b in batches.to_pylist()], type=planned)
+
+    gathered = rows.groupBy(*keys).agg(
+        F.collect_list(F.struct("issue", "file")).alias("_touches")
+    )
+    planned = gathered.select(*keys, plan("_touches").alias("_planned"))
+    return planned.select(*keys, F.explode("_planned").alias("_p")).select(
+        *keys, "_p.issue", "_p.wave"
+    )
+
+
+def _first_free_waves(touches: list[dict]) -> list[dict]:
+    files_of: dict = {}
+    for touch in touches:
+        files_of.setdefault(touch["issue"], set()).add(touch["file"])
+    used: dict[str, set[int]] = {}
+    planned = []
+    for issue in sorted(files_of):
+        seen = [used.setdefault(f, set()) for f in files_of[issue] if f is not None]
+        wave = 0
+        while any(wave in waves_of_file for waves_of_file in seen):
+            wave += 1
+        for waves_of_file in seen:
+            waves_of_file.add(wave)
+        planned.append({"issue": issue, "wave": wave})
+    return planned
+
+
+def waves_in_rounds(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
+    """The same waves, found in rounds over the whole frame.
+
+    In a round, every issue that is the earliest open one in all its files is placed. Rounds are
+    as many as the longest chain of conflicts. No pair of issues is ever listed: an issue reads
     the waves in use on its files, and takes the first gap in them.
     """
     ensure_checkpoint_dir(touches.sparkSession)
@@ -73,38 +133,36 @@ def waves(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
     on_file = [*batch, "file"]
     rows = touches.select(*key, "file").distinct()
     no_files = rows.groupBy(*key).agg(F.count("file").alias("_n")).where("_n = 0")
+    result = no_files.select(*key, F.lit(0).alias("wave"))
     open_rows = rows.where(F.col("file").isNotNull()).checkpoint()
-    placed = no_files.select(*key, F.lit(0).alias("wave"))
     used = None
-    done = [placed]
     while not open_rows.isEmpty():
         first = open_rows.groupBy(*on_file).agg(F.min("issue").alias("_first"))
-        marked = open_rows.join(first, on_file).select(
-            *key, "file", (F.col("issue") == F.col("_first")).alias("_is_first")
-        )
         ready = (
-            marked.groupBy(*key).agg(F.min("_is_first").alias("_ready")).where("_ready").select(*key)
+            open_rows.join(first, on_file)
+            .groupBy(*key)
+            .agg(F.min(F.col("issue") == F.col("_first")).alias("_ready"))
+            .where("_ready")
+            .select(*key)
         )
-        ready_rows = open_rows.join(ready, key, "left_semi")
-        if used is None:
-            now = ready.withColumn("wave", F.lit(0))
-        else:
-            taken = ready_rows.join(used, on_file).select(*key, "wave").distinct()
-            # The gap: the lowest wave w with all of 0..w-1 taken and w not taken.
-            next_free = taken.select(*key, (F.col("wave") + 1).alias("wave")).unionByName(
-                ready.withColumn("wave", F.lit(0))
+        placed = ready.withColumn("wave", F.lit(0))
+        if used is not None:
+            taken = (
+                open_rows.join(ready, key, "left_semi").join(used, on_file)
+                .select(*key, "wave").distinct()
             )
-            now = next_free.join(taken, [*key, "wave"], "left_anti").groupBy(*key).agg(
-                F.min("wave").alias("wave")
+            # The gap: the lowest of 0 and all taken waves + 1 that is not itself taken.
+            offered = taken.select(*key, (F.col("wave") + 1).alias("wave")).unionByName(placed)
+            placed = (
+                offered.join(taken, [*key, "wave"], "left_anti")
+                .groupBy(*key).agg(F.min("wave").alias("wave"))
             )
-        now = now.checkpoint()
-        done.append(now)
-        newly = open_rows.join(now, key).select(*on_file, "wave").distinct().checkpoint()
+        step = open_rows.join(placed, key, "left").checkpoint()
+        done = step.where(F.col("wave").isNotNull())
+        result = result.unionByName(done.select(*key, "wave").distinct())
+        newly = done.select(*on_file, "wave")
         used = newly if used is None else used.unionByName(newly)
-        open_rows = open_rows.join(now, key, "left_anti").checkpoint()
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
+        open_rows = step.where(F.col("wave").isNull()).drop("wave")
     return result
 
 

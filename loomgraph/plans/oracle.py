@@ -496,7 +496,7 @@ UNION ALL SELECT 'semantic', count(*) FROM overlay""",
  CASE kind WHEN 'implements' THEN 'implemented by' ELSE 'used as type by' END AS label, src AS id
  FROM symbol_edges WHERE dst = 'src/nation/n3.ts::Nation3'""",
     "query_symbol_neighbors": _with(_OVERLAY)
-    + """ SELECT dst AS id, 'v' || dst AS name, label AS file, score
+    + """ SELECT dst::VARCHAR AS id, 'v' || dst AS name, label AS file, score
  FROM overlay JOIN embeddings ON dst = vec_id WHERE src = 3""",
     "build_report": _with(
         _CODE_FILES, _STATEMENTS, _SYMBOLS, _PART_PAIRS, _DOC_FILES, _NOTES, _WIKI

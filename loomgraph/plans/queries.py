@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import EmbeddingConfig
 from loomgraph.functions import embedding as emb
 from loomgraph.functions.text import content_hash
-from loomgraph.functions.vectors import cosine
+from loomgraph.functions.vectors import cosine, list_array
 from loomgraph.operators import (
     chunking, cochange, depgraph, incremental, overlay, pages, search, symbols, waves,
 )
 from loomgraph.plans import corpus
 from loomgraph.plans.corpus import table
-from loomgraph.session import ensure_checkpoint_dir
+from loomgraph.session import ensure_checkpoint_dir, spread
 from loomgraph.sources.files import filter_files, select_paths
 from loomgraph.sources.gitlog import COMMIT_MARK, parse_log_text
 from loomgraph.streaming.debounce import change_bursts
@@ -195,10 +197,13 @@ def embedding_dim_lookup(spark, sf):
 def fake_embedding(spark, sf):
     """Non-zero components of the offline embedding of every whole document."""
 
-    vectors = F.pandas_udf(
-        lambda s: s.map(lambda t: emb.char_bins(t).tolist()), "array<double>"
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return list_array(np.asarray([emb.char_bins(t) for t in texts.to_pylist()]))
+
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", vectors.asNondeterministic()("text").alias("_v")
     )
-    rows = table(spark, sf, "documents").select("doc_id", vectors("text").alias("_v"))
     return rows.select("doc_id", F.posexplode("_v").alias("bin", "_w")).where("_w > 0").select(
         "doc_id", "bin", F.round("_w", 6).alias("weight")
     )
@@ -232,8 +237,9 @@ def search_code_file_filter(spark, sf):
 
 
 def _search_text(chunks: DataFrame, k: int, keys: list[str], where=None) -> DataFrame:
-    rows = chunks.withColumn("embedding", emb.embed(F.col("chunk_text"), OFFLINE))
-    hits = search.nearest(rows, emb.embed_query(QUERY_TEXT, OFFLINE), k, keys, where=where)
+    scope = chunks if where is None else chunks.where(where)
+    rows = scope.select(*keys, emb.embed(F.col("chunk_text"), OFFLINE).alias("embedding"))
+    hits = search.nearest(rows, emb.embed_query(QUERY_TEXT, OFFLINE), k, keys)
     return hits.select(*keys, F.round("score", 4).alias("score"))
 
 
@@ -489,10 +495,14 @@ def symbol_edges_grouped(spark, sf):
 def query_symbol_neighbors(spark, sf):
     vectors = table(spark, sf, "embeddings")
     nodes = vectors.select(
-        F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id")).alias("name"),
+        F.col("vec_id").cast("string").alias("id"),
+        F.concat(F.lit("v"), F.col("vec_id")).alias("name"),
         F.lit("function").alias("kind"), F.col("label").alias("file"), F.lit(1).alias("line"),
     )
-    return symbols.neighbors(_overlay(spark, sf), nodes, "v3").select("id", "name", "file", "score")
+    near = _overlay(spark, sf).select(
+        F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "score"
+    )
+    return symbols.neighbors(near, nodes, "v3").select("id", "name", "file", "score")
 
 
 @query

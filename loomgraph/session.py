@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -33,3 +33,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores before costly Python work, when the input has too few partitions.
+
+    Small inputs arrive as a few files, hence a few tasks. Large ones have more splits than
+    cores already and are returned as they are, so no shuffle of whole texts is added.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
