@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import zlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions.text import contains_any, glob_regex, matches_any_glob
 
+MAX_SUBTREES = 256
+SLICES = 4
+
 
 def select_paths(
     paths: DataFrame, globs: list[str], skip_parts: list[str] = (), column: str = "file_path"
@@ -17,6 +27,87 @@ def select_paths(
     return paths.where(wanted).dropDuplicates([column])
 
 
+def filter_files(rows: DataFrame, glob: str | None, column: str = "file_path") -> DataFrame:
+    return rows if glob is None else rows.where(F.col(column).rlike(glob_regex(glob)))
+
+
+class Subtree(InputPartition):
+    """One folder (with or without what lies below it), and the share of its files to read."""
+
+    def __init__(self, folder: str, deep: bool, part: int, parts: int):
+        self.folder, self.deep, self.part, self.parts = folder, deep, part, parts
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root = os.path.abspath(options["root"])
+        self.globs = json.loads(options.get("globs", "[]"))
+        self.skip = json.loads(options.get("skip", "[]"))
+        self.contents = options.get("contents", "true") == "true"
+
+    def partitions(self) -> list[Subtree]:
+        # Folders are opened level by level until there are enough of them to share out.
+        shallow, deep = [], [self.root]
+        while deep and len(shallow) + len(deep) < MAX_SUBTREES:
+            below = [e.path for f in deep for e in self._folders(f)]
+            shallow, deep = shallow + deep, below
+        return [
+            Subtree(folder, is_deep, part, SLICES)
+            for folders, is_deep in ((shallow, False), (deep, True))
+            for folder in folders
+            for part in range(SLICES)
+        ]
+
+    @staticmethod
+    def _folders(folder: str) -> list[os.DirEntry]:
+        try:
+            return [e for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+        except OSError:
+            return []
+
+    def read(self, tree: Subtree) -> Iterator[tuple[str, str | None, int]]:
+        pattern = "|".join(glob_regex(g) for g in self.globs).replace(r"\z", r"\Z")
+        wanted = re.compile(pattern)
+        for folder, below, names in os.walk(tree.folder):
+            if not tree.deep:
+                below.clear()
+            for name in names:
+                path = os.path.join(folder, name)
+                shown = os.path.relpath(path, self.root).replace(os.sep, "/")
+                if zlib.crc32(shown.encode("utf-8", "surrogateescape")) % tree.parts != tree.part:
+                    continue
+                if pattern and not wanted.match(shown) or any(s in shown for s in self.skip):
+                    continue
+                try:
+                    changed = os.stat(path).st_mtime_ns // 1_000_000
+                    text = None
+                    if self.contents:
+                        with open(path, "rb") as handle:
+                            text = handle.read().decode("utf-8", "replace")
+                except OSError:
+                    continue
+                yield shown, text, changed
+
+
+class SourceTree(DataSource):
+    """(file_path, content, mtime) of the files of a folder every executor can see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sourcetree"
+
+    def schema(self) -> str:
+        return "file_path string, content string, mtime long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options)
+
+
+def _tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("sourcetree").options(root=root, **options).load()
+
+
 def scan_tree(
     spark: SparkSession,
     root: str,
@@ -29,43 +120,48 @@ def scan_tree(
 
     Files that vanish or cannot be read are skipped. Paths are relative to `root`.
     """
-    folder = root.rstrip("/")
-    read = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .format("binaryFile")
+    files = _tree(
+        spark, root, globs=json.dumps(list(globs)), skip=json.dumps(list(skip_parts))
     )
-    suffix = _common_suffix(globs)
-    if suffix:
-        read = read.option("pathGlobFilter", suffix)
-    relative = F.substring_index(F.col("path"), F.lit(folder + "/").cast("string"), -1)
-    files = read.load(folder).select(
-        F.lit(repo_id).alias("repo_id"),
-        F.lit(source).alias("source"),
-        relative.alias("file_path"),
-        F.col("content"),
-        F.unix_millis("modificationTime").alias("mtime"),
+    return files.select(
+        F.lit(repo_id).alias("repo_id"), F.lit(source).alias("source"), "file_path", "content",
+        "mtime",
     )
-    return select_paths(files, globs, skip_parts).withColumn(
-        "content", F.try_validate_utf8(F.col("content").cast("string"))
-    ).where(F.col("content").isNotNull())
 
 
 def list_paths(spark: SparkSession, root: str) -> DataFrame:
-    """Every file path under `root`, whatever its kind; file contents are not read."""
-    folder = root.rstrip("/")
-    return (
-        spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder)
-        .select(F.substring_index(F.col("path"), folder + "/", -1).alias("file_path"))
-    )
-
+    """Every file path under `root`, whatever its kind, without reading the files."""
+    return _tree(spark, root, contents="false").select("file_path")
 
-def _common_suffix(globs: list[str]) -> str | None:
-    """A file-name glob that every one of `globs` implies, for listing-time pruning."""
-    names = {g.rsplit("/", 1)[-1] for g in globs}
-    return names.pop() if len(names) == 1 and "**" not in next(iter(names)) else None
 
+def scan_store(
+    spark: SparkSession,
+    root: str,
+    globs: list[str],
+    skip_parts: list[str] = (),
+    repo_id: str = "default",
+    source: str = "code",
+) -> DataFrame:
+    """As `scan_tree`, for any storage Spark reads, such as object stores.
 
-def filter_files(rows: DataFrame, glob: str | None, column: str = "file_path") -> DataFrame:
-    return rows if glob is None else rows.where(F.col(column).rlike(glob_regex(glob)))
+    Spark does not list names that start with a dot or an underscore.
+    """
+    folder = root.rstrip("/")
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", "true")
+        .load(folder)
+    )
+    below = F.regexp_replace(
+        "path", "^(?:[a-z0-9]+:)?/*" + re.escape(re.sub("^[a-z0-9]+:", "", folder).lstrip("/")) + "/", ""
+    )
+    wanted = files.withColumn("file_path", below)
+    return select_paths(wanted, globs, skip_parts).select(
+        F.lit(repo_id).alias("repo_id"),
+        F.lit(source).alias("source"),
+        "file_path",
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.unix_millis("modificationTime").alias("mtime"),
+    )
