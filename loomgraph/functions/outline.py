@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 
+from loomgraph.functions.text import BLANKS
+
 _NAMES = pa.list_(pa.string())
 _OUTLINE_FIELDS = {
     "imports": {"pos": pa.int32(), "specifier": pa.string(), "base": pa.string(), "names": _NAMES},
@@ -42,16 +45,20 @@ PACKED_ARROW = pa.list_(
 )
 PACKED_TYPE = "array<struct<chunk_text string, exports array<string>, imports array<string>>>"
 
+_PATTERN = r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+# A slash starts a regular expression only after these; elsewhere it divides.
 _TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))
-      |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-      |(?P<template>`(?:[^`\\]|\\.)*`)
-      |(?P<word>[^\W\d][\w$]*|\$[\w$]*)
-      |(?P<number>\d[\w.]*)
-      |(?P<punct>=>|\.\.\.|\?\.|.)""",
+    rf"""(?<![\w$.])(?:return|typeof|case|void|delete)\s*{_PATTERN}
+      |[^\W\d][\w$]*|\$[\w$]*
+      |\s+
+      |"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'
+      |//[^\n]*|/\*.*?(?:\*/|\Z)
+      |`(?:[^`\\]|\\.)*`
+      |[=(,:;!&|?{{}}\[+~^*%-]\s*{_PATTERN}
+      |\d[\w.]*
+      |=>|\.\.\.|\?\.|.""",
     re.VERBOSE | re.DOTALL,
 )
-_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
 # Parts of the language's grammar.
 _DECLARATIONS = {
@@ -83,34 +90,50 @@ _OPEN_BEFORE = set(".,?:=+-*/%&|<>)]}{;([") | {
     "instanceof", "satisfies",
 }
 _TYPE_BEFORE = {":", "|", "&", "<", "as", "keyof", "is", "satisfies"}
-_VALUE_END = {"word", "number", "string", "template"}
-_KEYWORD_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "void", "delete"}
+
+
+_LONG_PUNCT = {"=>", "...", "?."}
+_KIND_BY_START = {
+    **dict.fromkeys(" \t\n\r\x0b\x0c\xa0", "blank"),
+    **dict.fromkeys("(){}[]<>.,;:=+-*%&|^!~?@#\\", "punct"),
+    **dict.fromkeys("0123456789", "number"),
+    **dict.fromkeys("'\"", "string"),
+    "`": "template",
+    "/": "slash",
+}
 
 
 def _tokens(text: str) -> list[tuple[str, str, int]]:
     """(kind, text, line) of every token; comments and blanks are left out."""
     found: list[tuple[str, str, int]] = []
+    add = found.append
     line = 0
-    matches = _TOKEN.finditer(text)
-    match = next(matches, None)
-    while match is not None:
-        kind, word = match.lastgroup, match.group()
-        if word == "/" and found:
-            last_kind, last, _ = found[-1]
-            ends_value = (
-                last_kind in _VALUE_END and last not in _KEYWORD_BEFORE_REGEX
-            ) or last in ")]}"
-            pattern = None if ends_value else _REGEX.match(text, match.start())
-            if pattern:
-                found.append(("template", "/re/", line))
-                matches = _TOKEN.finditer(text, pattern.end())
-                match = next(matches, None)
-                continue
-        if kind != "skip":
-            found.append((kind, word, line))
-        if kind in ("skip", "template"):
+    for word in _TOKEN.findall(text):
+        kind = _KIND_BY_START.get(word[0], "word")
+        if kind == "blank":
+            if "\n" in word:
+                line += word.count("\n")
+        elif kind == "word" and (len(word) < 7 or "/" not in word):
+            add((kind, word, line))
+        elif kind == "punct" and (len(word) == 1 or word in _LONG_PUNCT):
+            add((kind, word, line))
+        elif kind in ("word", "punct"):
+            # A keyword or operator together with the regular expression after it.
+            at = word.index("/") if kind == "word" else 1
+            add((kind, word[:at].rstrip(), line))
             line += word.count("\n")
-        match = next(matches, None)
+            add(("template", "/re/", line))
+        elif kind == "slash":
+            if len(word) == 1:
+                add(("punct", word, line))
+            else:
+                line += word.count("\n")
+        elif len(word) == 1 and kind != "number":
+            add(("punct", word, line))
+        else:
+            add((kind, word, line))
+            if kind == "template":
+                line += word.count("\n")
     return found
 
 
@@ -239,8 +262,11 @@ def _members(statement: list[tuple[str, str, int]], start: int) -> list[tuple[in
     return found
 
 
-def outline(path: str, text: str) -> dict:
-    """The outline of one file. `base` is an import's target path before extension search."""
+def outline(path: str, text: str, with_symbols: bool = True) -> dict:
+    """The outline of one file. `base` is an import's target path before extension search.
+
+    Symbols and references are left empty unless asked for.
+    """
     folder = posixpath.dirname(path)
     imports, nodes, symbols = [], [], []
     bindings: dict[str, tuple[str, str]] = {}
@@ -278,7 +304,7 @@ def outline(path: str, text: str) -> dict:
                 + (statement[-1][1].count("\n") if statement[-1][0] == "template" else 0),
             }
         )
-        if name is None:
+        if name is None or not with_symbols:
             continue
         symbols.append(
             {"name": name, "kind": kind, "line": statement[at][2] + 1, "is_default": is_default}
@@ -363,7 +389,7 @@ def pack_nodes(path: str, text: str, max_chars: int) -> list[dict]:
 
     Lengths count UTF-16 units. A line shared by two nodes is taken once.
     """
-    found = outline(path, text)
+    found = outline(path, text, with_symbols=False)
     specifiers = [i["specifier"] for i in found["imports"]]
     source = text.split("\n")
     chunks: list[dict] = []
@@ -373,7 +399,7 @@ def pack_nodes(path: str, text: str, max_chars: int) -> list[dict]:
 
     def flush() -> None:
         nonlocal held, size, exports
-        body = "\n".join(held).strip(JS_BLANKS)
+        body = "\n".join(held).strip(BLANKS)
         if body:
             units = body.encode("utf-16-le")[: 2 * max_chars]
             chunks.append(
@@ -401,8 +427,14 @@ def pack_nodes(path: str, text: str, max_chars: int) -> list[dict]:
     return chunks
 
 
-# The characters ECMAScript treats as white space.
-JS_BLANKS = "".join(
-    map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
-              0x202F, 0x205F, 0x3000, 0xFEFF])
-)
+def in_batches(make: Callable, rows: Iterable[tuple], kind: pa.DataType, size: int = 512) -> pa.Array:
+    """Arrow array of `make(*row)`, built in short stretches so that few objects stay alive."""
+    done = [pa.array([], type=kind)]
+    held = []
+    for row in rows:
+        held.append(make(*row))
+        if len(held) == size:
+            done.append(pa.array(held, type=kind))
+            held = []
+    done.append(pa.array(held, type=kind))
+    return pa.concat_arrays(done)

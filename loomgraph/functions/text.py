@@ -14,12 +14,17 @@ WS_NO_NEWLINE = (
 WS = r"\n" + WS_NO_NEWLINE
 LINE_BREAKS = r"\n\r\x{2028}\x{2029}"
 
+BLANKS = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000, 0xFEFF])
+)
+
 MAX_CHUNK_CHARS = 6000
 
 
 def trim(col: Column) -> Column:
     """Strip every kind of white space from both ends; SQL `trim` strips blanks only."""
-    return F.regexp_replace(col, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def is_blank(col: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.outline import PACKED_ARROW, PACKED_TYPE, pack_nodes
+from loomgraph.functions.outline import PACKED_ARROW, PACKED_TYPE, in_batches, pack_nodes
 from loomgraph.functions.text import (
     LINE_BREAKS,
     MAX_CHUNK_CHARS,
@@ -49,7 +49,7 @@ def chunk_windows(
 ) -> DataFrame:
     """Overlapping line windows; blank ones are dropped and not numbered."""
     kept = [c for c in files.columns if c != text]
-    split = files.select(*kept, lines(F.col(text)).alias("_lines"))
+    split = spread(files).select(*kept, lines(F.col(text)).alias("_lines"))
     pieces = _window_pieces(F.col("_lines"), window, overlap, max_chars)
     return split.select(
         *kept, F.posexplode(pieces).alias("chunk_index", "chunk_text")
@@ -76,7 +76,8 @@ def chunk_sections(
         lambda s: s["body"] != "",
     )
     return (
-        files.select(*kept, F.posexplode(sections).alias("chunk_index", "_s"))
+        spread(files)
+        .select(*kept, F.posexplode(sections).alias("chunk_index", "_s"))
         .select(*kept, "chunk_index", F.col("_s.piece").alias("piece"), "_s.body")
         .select(
             *kept,
@@ -132,7 +133,7 @@ def chunk_declarations(
     @F.arrow_udf(PACKED_TYPE)
     def pack(paths: pa.Array, texts: pa.Array) -> pa.Array:
         rows = zip(paths.to_pylist(), texts.to_pylist())
-        return pa.array([pack_nodes(p, t, max_chars) for p, t in rows], type=PACKED_ARROW)
+        return in_batches(lambda p, t: pack_nodes(p, t, max_chars), rows, PACKED_ARROW)
 
     # Only scripts are sent to Python with their text. Marked so that no plan packs twice.
     pack_once = pack.asNondeterministic()

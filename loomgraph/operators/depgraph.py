@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.outline import OUTLINE_ARROW, OUTLINE_TYPE, outline
+from loomgraph.functions.outline import OUTLINE_ARROW, OUTLINE_TYPE, in_batches, outline
 from loomgraph.session import ensure_checkpoint_dir, spread
 
 # What is tried, in order, to find the file an import means.
@@ -16,13 +16,18 @@ REPLACEMENTS = [".ts", ".tsx"]
 MAX_DEPTH = 5
 
 
-def with_outline(files: DataFrame, text: str = "content") -> DataFrame:
-    """Replace the text column by the parsed `outline` of each file."""
+def with_outline(
+    files: DataFrame, text: str = "content", with_symbols: bool = True
+) -> DataFrame:
+    """Replace the text column by the parsed `outline` of each file.
+
+    Without symbols only imports and top-level declarations are read, which costs less.
+    """
 
     @F.arrow_udf(OUTLINE_TYPE)
     def parse(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        found = [outline(p, t) for p, t in zip(paths.to_pylist(), texts.to_pylist())]
-        return pa.array(found, type=OUTLINE_ARROW)
+        rows = zip(paths.to_pylist(), texts.to_pylist())
+        return in_batches(lambda p, t: outline(p, t, with_symbols), rows, OUTLINE_ARROW)
 
     # Marked so that the optimizer neither repeats the parse nor moves it into a pushed filter.
     parse_once = parse.asNondeterministic()

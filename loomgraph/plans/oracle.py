@@ -259,7 +259,7 @@ def _counts(chunks: str, source: str) -> str:
 per_file AS (SELECT file_path, count(*) AS n FROM {chunks} GROUP BY 1)
 SELECT '{source}' AS source,
        regexp_extract(file_path, '^((?:[^/]+/)*?[^/]+)/[^/]*[0-9]', 1) AS folder,
-       count(*) AS n_files, sum(n) AS n_chunks
+       count(*) AS n_files, sum(n)::BIGINT AS n_chunks
 FROM per_file GROUP BY 1, 2
 """
 
@@ -332,7 +332,7 @@ chunks AS (
     "index_memory_counts": _with(_NOTES, _counts("note_chunks", "memory")),
     "index_wiki_counts": _with(_WIKI, _counts("wiki_chunks", "wiki")),
     "chunk_counts": _with(_DOC_FILES, _NOTES, _WIKI, _CODE_CHUNK_CHARS)
-    + """ SELECT 'sample' AS repo_id, source, count(*) AS n_chunks, sum(n) AS n_chars FROM (
+    + """ SELECT 'sample' AS repo_id, source, count(*) AS n_chunks, sum(n)::BIGINT AS n_chars FROM (
   SELECT 'docs' AS source, length(chunk_text) AS n FROM doc_chunks UNION ALL
   SELECT 'memory', length(chunk_text) FROM note_chunks UNION ALL
   SELECT 'wiki', length(chunk_text) FROM wiki_chunks UNION ALL

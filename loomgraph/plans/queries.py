@@ -170,7 +170,8 @@ def embed_prefix_truncate(spark, sf):
         *[F.struct(F.lit(m).alias("model"), F.lit(mode).alias("mode"))
           for m in models for mode in ("query", "document")]
     )
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.explode(cases).alias("_c"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", "text", F.explode(cases).alias("_c"))
     sent = emb.model_input(F.col("text"), F.col("_c.model"), F.col("_c.mode"))
     return rows.select("doc_id", "_c.model", "_c.mode", sent.alias("_sent")).select(
         "doc_id", "model", "mode", F.length("_sent").alias("n_chars"),
@@ -318,20 +319,22 @@ def distinct_files(spark, sf):
 # --- file graph ---------------------------------------------------------------------------
 
 
-def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _tree(spark, sf, with_symbols: bool = False) -> tuple[DataFrame, DataFrame]:
     files = corpus.code_files(spark, sf)
-    return depgraph.with_outline(files), files.select("file_path")
+    outlined = depgraph.with_outline(files, with_symbols=with_symbols)
+    return outlined, files.select("file_path")
 
 
-def _parsed_once(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The tree with its outlines written out, for queries that read them more than once."""
-    outlined, paths = _tree(spark, sf)
-    ensure_checkpoint_dir(spark)
-    return outlined.checkpoint(), paths
+def _written(frame: DataFrame) -> DataFrame:
+    """The frame written out once, for queries that read it more than once."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()
 
 
 def _edges(spark, sf) -> DataFrame:
-    return depgraph.import_edges(*_parsed_once(spark, sf))
+    outlined, paths = _tree(spark, sf)
+    imports = outlined.select("file_path", F.struct("outline.imports").alias("outline"))
+    return depgraph.import_edges(_written(imports), paths)
 
 
 @query
@@ -388,15 +391,17 @@ def symbol_consumers(spark, sf):
 
 @query
 def query_type_consumers(spark, sf):
-    outlined, paths = _parsed_once(spark, sf)
-    edges = depgraph.import_edges(outlined, paths)
+    outlined, paths = _tree(spark, sf)
+    outlined = _written(outlined)
+    edges = _written(depgraph.import_edges(outlined, paths))
     return depgraph.consumers_of(edges, depgraph.exports(outlined), "Nation3")
 
 
 @query
 def query_type_consumers_q(spark, sf):
-    outlined, paths = _parsed_once(spark, sf)
-    edges = depgraph.import_edges(outlined, paths)
+    outlined, paths = _tree(spark, sf)
+    outlined = _written(outlined)
+    edges = _written(depgraph.import_edges(outlined, paths))
     return depgraph.consumers_of(edges, depgraph.exports(outlined), HUB_SYMBOL)
 
 
@@ -406,12 +411,12 @@ def transitive_deps(spark, sf):
     walk = depgraph.imported_by(_edges(spark, sf)).select(
         F.col("target").alias("from_node"), F.col("source").alias("to_node")
     )
-    return depgraph.reachable(walk, "src/region/r0.ts", 5)
+    return depgraph.reachable(_written(walk), "src/region/r0.ts", 5)
 
 
 @query
 def query_dependencies(spark, sf):
-    return depgraph.dependencies(_edges(spark, sf), HUB_FILE, "both", 2).select(
+    return depgraph.dependencies(_written(_edges(spark, sf)), HUB_FILE, "both", 2).select(
         "direction", "file", "level", F.array_join("names", ",").alias("names")
     )
 
@@ -420,14 +425,17 @@ def query_dependencies(spark, sf):
 
 
 def _symbol_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
-    outlined, paths = _parsed_once(spark, sf)
-    nodes = symbols.symbol_nodes(outlined)
+    outlined, paths = _tree(spark, sf, with_symbols=True)
+    parts = F.struct("outline.symbols", "outline.refs").alias("outline")
+    outlined = _written(outlined.select("file_path", parts))
+    nodes = _written(symbols.symbol_nodes(outlined))
     return nodes, symbols.symbol_edges(outlined, nodes, paths)
 
 
 @query
 def symbol_nodes(spark, sf):
-    return _symbol_graph(spark, sf)[0].select("id", "name", "kind", "file", "line", "lang")
+    outlined, _ = _tree(spark, sf, with_symbols=True)
+    return symbols.symbol_nodes(outlined).select("id", "name", "kind", "file", "line", "lang")
 
 
 @query
@@ -507,8 +515,9 @@ def query_symbol_neighbors(spark, sf):
 
 @query
 def build_report(spark, sf):
-    outlined, paths = _parsed_once(spark, sf)
-    nodes = symbols.symbol_nodes(outlined)
+    outlined, paths = _tree(spark, sf, with_symbols=True)
+    outlined = _written(outlined)
+    nodes = _written(symbols.symbol_nodes(outlined))
     chunks = [(f"{s} chunks", _chunks(spark, sf, s)) for s in ("code", "docs", "memory", "wiki")]
     return _count_rows([
         *chunks, ("import edges", depgraph.import_edges(outlined, paths)),

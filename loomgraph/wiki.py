@@ -6,7 +6,7 @@ import re
 from datetime import UTC, datetime
 from pathlib import Path
 
-from loomgraph.functions.outline import JS_BLANKS
+from loomgraph.functions.text import BLANKS
 
 INDEX_TEXT = (
     "# Wiki Index\n\nDecisions, pitfalls and other knowledge that the code itself does not show."
@@ -17,7 +17,7 @@ LOG_TEXT = "# Wiki Log\n\nEvery wiki operation, oldest first.\n\n---\n"
 
 def page_name(name: str) -> str:
     """File name of a page; the same rule as `functions.text.page_file_name`."""
-    dashed = re.sub(f"[{re.escape(JS_BLANKS)}]+", "-", name.lower())
+    dashed = re.sub(f"[{re.escape(BLANKS)}]+", "-", name.lower())
     return re.sub("[^a-z0-9-]", "", dashed) + ".md"
 
 
