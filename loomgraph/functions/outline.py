@@ -26,7 +26,7 @@ _OUTLINE_FIELDS = {
         "name": pa.string(), "kind": pa.string(), "line": pa.int32(), "is_default": pa.bool_(),
     },
     "refs": {
-        "owner": pa.string(), "base": pa.string(), "name": pa.string(), "role": pa.string(),
+        "owner": pa.string(), "base": pa.string(), "name": pa.string(), "kind": pa.string(),
     },
 }
 OUTLINE_ARROW = pa.struct(
@@ -38,7 +38,7 @@ OUTLINE_TYPE = (
     "nodes: array<struct<name string, kind string, exported boolean, is_default boolean,"
     " first int, last int>>,"
     "symbols: array<struct<name string, kind string, line int, is_default boolean>>,"
-    "refs: array<struct<owner string, base string, name string, role string>>>"
+    "refs: array<struct<owner string, base string, name string, kind string>>>"
 )
 PACKED_ARROW = pa.list_(
     pa.struct([("chunk_text", pa.string()), ("exports", _NAMES), ("imports", _NAMES)])
@@ -265,9 +265,12 @@ def _members(statement: list[tuple[str, str, int]], start: int) -> list[tuple[in
 def outline(path: str, text: str, with_symbols: bool = True) -> dict:
     """The outline of one file. `base` is an import's target path before extension search.
 
-    Symbols and references are left empty unless asked for.
+    Symbols and references are left empty unless asked for. Symbols are unique by name. A
+    reference without a base is to a symbol of this file, and its kind is final; otherwise the
+    kind still depends on what the target turns out to be.
     """
     folder = posixpath.dirname(path)
+    own_bases = {path, posixpath.splitext(path)[0]}
     imports, nodes, symbols = [], [], []
     bindings: dict[str, tuple[str, str]] = {}
     bodies: list[tuple[str, str, list[tuple[str, str, int]], int, dict[int, str | None]]] = []
@@ -289,7 +292,8 @@ def outline(path: str, text: str, with_symbols: bool = True) -> dict:
                 {"pos": len(imports), "specifier": specifier, "base": base, "names": names}
             )
             if base is not None:
-                bindings.update({local: (base, imported) for local, imported in pairs})
+                target = None if base in own_bases else base
+                bindings.update({local: (target, imported) for local, imported in pairs})
             continue
         kind, name, modifiers, at = _head(statement)
         is_default = "default" in modifiers
@@ -322,22 +326,39 @@ def outline(path: str, text: str, with_symbols: bool = True) -> dict:
                             "is_default": False,
                         }
                     )
-    local_names = {s["name"] for s in symbols}
+    by_name = {s["name"]: s for s in reversed(symbols)}
+    symbols = [s for s in symbols if by_name[s["name"]] is s]
     refs: set[tuple[str, str | None, str, str]] = set()
     for body in bodies:
-        _collect_refs(*body, local_names, bindings, refs)
+        _collect_refs(*body, by_name, bindings, refs)
+    default = next((s["name"] for s in symbols if s["is_default"]), "default")
+    edges = set()
+    for owner, base, name, role in refs:
+        if base is None:
+            name = default if name == "default" else name
+            role = name in by_name and edge_kind(role, by_name[name]["kind"])
+        if role and (owner != name or base is not None):
+            edges.add((owner, base or "", name, role))
     return {
         "imports": imports,
         "nodes": nodes,
         "symbols": symbols,
         "refs": [
-            {"owner": o, "base": b, "name": n, "role": r}
-            for o, b, n, r in sorted(refs, key=lambda r: (r[0], r[1] or "", r[2], r[3]))
+            {"owner": o, "base": b or None, "name": n, "kind": k} for o, b, n, k in sorted(edges)
         ],
     }
 
 
-def _collect_refs(name, kind, statement, at, starts, local_names, bindings, refs) -> None:
+def edge_kind(role: str, target_kind: str) -> str | None:
+    """Kind of the edge that a use of a symbol makes, None when it makes none."""
+    if role in ("extends", "implements"):
+        return role
+    if role == "type" or target_kind in ("interface", "type"):
+        return "uses-type"
+    return "calls" if role == "call" else None
+
+
+def _collect_refs(name, kind, statement, at, starts, by_name, bindings, refs) -> None:
     """Add (owner, base or None for this file, target name, role) of each known name used."""
     owner = name
     in_head = kind in ("class", "interface")
@@ -358,10 +379,10 @@ def _collect_refs(name, kind, statement, at, starts, local_names, bindings, refs
         if token_kind != "word":
             continue
         if before == "." and statement[i - 2][1] == "this" and after == "(":
-            if f"{name}.{word}" in local_names:
+            if f"{name}.{word}" in by_name:
                 refs.add((owner, None, f"{name}.{word}", "call"))
             continue
-        if word not in bindings and word not in local_names:
+        if word not in bindings and word not in by_name:
             continue
         is_key = after in (":", "?") and before in ("{", ",", "(")
         if before in (".", "?.") or is_key:

@@ -74,7 +74,7 @@ def test_symbols_and_references_of_two_files():
         ("helper", "function"), ("Animal", "class"), ("Animal.speak", "method"),
         ("Named", "interface"), ("Dog", "class"), ("Dog.bark", "method"), ("run", "function"),
     ]
-    refs = {(r["owner"], r["base"], r["name"], r["role"]) for r in consumer["refs"]}
+    refs = {(r["owner"], r["base"], r["name"], r["kind"]) for r in consumer["refs"]}
     assert ("Dog", "base", "Animal", "extends") in refs
     assert ("Dog", "base", "Named", "implements") in refs
     assert ("Dog.bark", "base", "helper", "call") in refs
@@ -95,13 +95,27 @@ export class Foo<T> extends D<T> {
 const after = 1
 """)
     assert [s["name"] for s in found["symbols"]] == ["Foo", "Foo.gen", "Foo.other", "after"]
-    refs = {(r["owner"], r["base"], r["name"], r["role"]) for r in found["refs"]}
-    assert ("Foo.gen", None, "Foo.other", "call") in refs
+    refs = {(r["owner"], r["base"], r["name"], r["kind"]) for r in found["refs"]}
+    assert ("Foo.gen", None, "Foo.other", "calls") in refs
     assert ("Foo", "ns", "foo", "call") in refs
     assert ("Foo", "d", "default", "extends") in refs
     assert ("Foo", "d", "default.make", "call") in refs
 
 
+def test_overloads_defaults_and_self_imports():
+    found = outline("a/me.ts", """import me, { other as o } from './me'
+export function f(a: string): void;
+export function f(a: any) { me(); o() }
+export default function main() { f(1) }
+export interface other {}
+""")
+    assert [(s["name"], s["line"]) for s in found["symbols"]] == [("f", 2), ("main", 4), ("other", 5)]
+    assert [(r["owner"], r["base"], r["name"], r["kind"]) for r in found["refs"]] == [
+        ("f", None, "main", "calls"), ("f", None, "other", "uses-type"),
+        ("main", None, "f", "calls"),
+    ]
+
+
 def test_statement_ends():
     nodes = outline("a.ts", """function g(): { a: number } {
   return 1
