@@ -31,11 +31,13 @@ def overlay(
     top_k: int = DEFAULT_TOP_K,
     scope: str | None = None,
     tile_rows: int = TILE_ROWS,
+    unique_ids: bool = True,
 ) -> DataFrame:
-    """(src, dst, score) for the `top_k` best other-file matches of every row of `rows`.
+    """(src, dst, score) for the `top_k` best other-file matches of every id of `rows`.
 
     `rows` has `id`, `file` and `embedding`, and a `scope` column when several repositories
-    share the frame: matches never cross scopes. Equal scores are ordered by `dst`.
+    share the frame: matches never cross scopes. Equal scores are ordered by `dst`. With
+    `unique_ids` off an id may have several vectors; its best score with another id counts.
     """
     base = rows.select(
         (F.lit("") if scope is None else F.col(scope)).alias("_scope"),
@@ -44,6 +46,8 @@ def overlay(
         "embedding",
         vector_key(F.col("embedding")).alias("_key"),
     ).where(F.col("_key").isNotNull())
+    if not unique_ids:
+        base = base.dropDuplicates(["_scope", "_key", "file", "id"])
     id_type = rows.schema["id"].dataType.simpleString()
 
     # Of each vector's copies only these can rank: `top_k` per file, in `top_k` + 1 files.
@@ -65,10 +69,13 @@ def overlay(
 
     pivots = _pivots(entries, tile_rows)
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * (min_score - 10.0**-SCORE_DIGITS))) + 1e-6
-    homes = candidates.withColumn("_cell", _home_cell(pivots)("embedding"))
+    home, reachable = F.lit(0), F.array(F.lit(0))
+    if len(pivots) > 1:
+        home = _home_cell(pivots)("embedding")
+        reachable = _reachable_cells(pivots, radius)("embedding")
+    homes = candidates.withColumn("_cell", home)
     probes = entries.select(
-        "_scope", "_entry", "file", "embedding",
-        F.explode(_reachable_cells(pivots, radius)("embedding")).alias("_cell"),
+        "_scope", "_entry", "file", "embedding", F.explode(reachable).alias("_cell")
     )
     home_size = homes.groupBy("_scope", "_cell").agg(_slices(tile_rows).alias("_c_slices"))
     probe_size = probes.groupBy("_scope", "_cell").agg(_slices(tile_rows).alias("_p_slices"))
@@ -91,16 +98,24 @@ def overlay(
     matched = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
         _tile_matches(min_score, top_k), _EDGE_TYPE.replace("long", id_type)
     )
-    ranked = Window.partitionBy("_entry").orderBy(F.desc("score"), "dst")
-    best = (
-        matched.withColumn("_n", F.row_number().over(ranked))
-        .where(F.col("_n") <= top_k)
-        .join(entries.select("_entry", "_scope", "_key", "file"), "_entry")
+    if not unique_ids:
+        matched = matched.groupBy("_entry", "dst").agg(F.max("score").alias("score"))
+    best = _best(matched, ["_entry"], top_k).join(
+        entries.select("_entry", "_scope", "_key", "file"), "_entry"
     )
-    return base.join(best, ["_scope", "_key", "file"]).select(
-        *([] if scope is None else [F.col("_scope").alias(scope)]),
-        F.col("id").alias("src"), "dst", "score",
+    edges = base.join(best, ["_scope", "_key", "file"]).select(
+        "_scope", F.col("id").alias("src"), "dst", "score"
     )
+    if not unique_ids:
+        edges = edges.groupBy("_scope", "src", "dst").agg(F.max("score").alias("score"))
+        edges = _best(edges, ["_scope", "src"], top_k)
+    shown = [] if scope is None else [F.col("_scope").alias(scope)]
+    return edges.select(*shown, "src", "dst", "score")
+
+
+def _best(edges: DataFrame, key: list[str], top_k: int) -> DataFrame:
+    ranked = Window.partitionBy(*key).orderBy(F.desc("score"), "dst")
+    return edges.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= top_k).drop("_n")
 
 
 def _slices(tile_rows: int):
@@ -109,10 +124,11 @@ def _slices(tile_rows: int):
 
 def _pivots(entries: DataFrame, tile_rows: int) -> np.ndarray:
     """At most MAX_PIVOTS vectors picked by hash order; more rows, more pivots."""
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(entries.count() / tile_rows)))
+    wanted = min(MAX_PIVOTS, math.ceil(entries.count() / tile_rows))
+    if wanted <= 1:
+        return np.zeros((0, 0))
     picked = entries.orderBy(F.xxhash64("_entry"), "_entry").limit(wanted).select("embedding")
-    found = [r[0] for r in picked.collect()]
-    return unit_rows(np.asarray(found, dtype="float64")) if found else np.zeros((0, 0))
+    return unit_rows(np.asarray([r[0] for r in picked.collect()], dtype="float64"))
 
 
 def _squared_distances(rows: pa.Array, pivots: np.ndarray) -> np.ndarray:
@@ -168,8 +184,12 @@ def _tile_matches(min_score: float, top_k: int):
         codes = np.unique(files, return_inverse=True)[1]
         same = codes[: len(left)][:, None] == codes[len(left) :][None, :]
         scores[same | ~(scores >= min_score)] = -np.inf
+        # One column per id, in id order: the best of its vectors.
         order = np.argsort(np.asarray(ids), kind="stable")
-        scores = scores[:, order]
+        ordered = np.asarray(ids)[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        scores = np.maximum.reduceat(scores[:, order], starts, axis=1)
+        order = order[starts]
         best = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
         top = np.take_along_axis(scores, best, axis=1)
         row, col = np.nonzero(np.isfinite(top))

@@ -63,6 +63,30 @@ def test_overlay_stays_within_scopes(spark):
     }
 
 
+def test_overlay_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors, _ = clustered(rng, 90, 12)
+    ids = rng.integers(0, 30, 90)
+    files = ids % 7
+    rows = [(int(i), int(f), [float(x) for x in v]) for i, f, v in zip(ids, files, vectors)]
+    got = overlay(
+        spark.createDataFrame(rows + rows[:9], ROWS), 0.3, 3, tile_rows=11, unique_ids=False
+    ).collect()
+    single = np.asarray(vectors, dtype="float32").astype("float64")
+    with np.errstate(invalid="ignore"):
+        unit = single / np.linalg.norm(single, axis=1, keepdims=True)
+    best = {}
+    for a, b in np.argwhere(np.round(unit @ unit.T, 6) >= 0.3):
+        if files[a] != files[b]:
+            pair = (int(ids[a]), int(ids[b]))
+            best[pair] = max(best.get(pair, -1), round(float(unit[a] @ unit[b]), 6))
+    want = set()
+    for src in set(ids.tolist()):
+        ranked = sorted((-s, b) for (a, b), s in best.items() if a == src)
+        want |= {(src, b, -s) for s, b in ranked[:3]}
+    assert {(r["src"], r["dst"], round(r["score"], 6)) for r in got} == want
+
+
 def test_overlay_of_nothing(spark):
     assert overlay(frame(spark, [], [])).count() == 0
 
