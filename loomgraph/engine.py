@@ -17,7 +17,7 @@ from loomgraph.functions.text import content_hash
 from loomgraph.operators import chunking, cochange, depgraph, pages, symbols, waves
 from loomgraph.operators.incremental import PATH_KEY, changed_files, vanished_files
 from loomgraph.operators.search import check_k, nearest
-from loomgraph.session import ensure_checkpoint_dir
+from loomgraph.session import ensure_checkpoint_dir, ship_package
 from loomgraph.sources.files import filter_files, list_paths, scan_tree
 from loomgraph.sources.gitlog import commit_files, head_sha
 from loomgraph.store import TABLES, NotBuilt, Store
@@ -42,6 +42,7 @@ class Workspace:
         self.spark, self.repo, self.embedding, self.provider = spark, repo, embedding, provider
         self.store = Store(spark, store_root or f"{repo.state_dir}/index")
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         if repo.wiki_auto_init:
             wiki.init_wiki(repo.wiki_dir)
 
