@@ -149,13 +149,17 @@ def _shared(spark, ranks_path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+) -> DataFrame:
     """(id, ids binary, n_tokens): every whole text as little-endian unsigned 32-bit ids.
 
     A null text is empty and has no token. Repeated rows and null ids are rows like others;
-    other columns are left out. No shuffle; a task holds one batch of texts.
+    other columns are left out, the text unless `keep_text`. No shuffle; a task holds one batch
+    of texts.
     """
     lines = _shared(docs.sparkSession, ranks_path)
+    width = 2 if keep_text else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(lines.value, pattern)
@@ -164,11 +168,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 n = [len(x) // 4 for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], [id_col, "ids", "n_tokens"]
+                    [*part.columns[:width], pa.array(ids, pa.binary()), pa.array(n, pa.int64())],
+                    [*part.schema.names[:width], "ids", "n_tokens"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    rows = docs.select(id_col, text_col)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:width])
+    return rows.mapInArrow(run, f"{kept}, ids binary, n_tokens long")
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

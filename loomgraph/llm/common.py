@@ -54,7 +54,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest node it knows, then every node hands its smaller neighbours to it. Both keep what
     is connected, and end with a star around the smallest node of each component.
     """
-    spark = edges.sparkSession
     now = settled(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -63,9 +62,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _to_smallest(both).where(F.col("b") > F.col("a")).select("b", "least")
-        large = large.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        handed = _to_smallest(large)
+        large = _to_smallest(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        handed = _to_smallest(large.distinct())
         small = (
             handed.where(F.col("b") != F.col("least"))
             .select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -78,10 +76,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 now.select("b", "b").distinct()
             )
         seen = state
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds on {spark.sparkContext.appName}")
+    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
 def _to_smallest(edges: DataFrame) -> DataFrame:
     """The edges (a, b) with `least`, the smallest of a and its neighbours."""
-    counts = edges.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.first("a")).alias("least"))
-    return join_counted(edges, settled(counts), ["a"], "n")
+    least = edges.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    return edges.join(least, "a")

@@ -172,7 +172,9 @@ def benchmark_hits(benchmark: DataFrame, coverage: float = COVERAGE, slice_chars
         yield _hits(_Items(own["item_id"].to_pylist(), words), benchmark.schema["item_id"].dataType, coverage)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slice_chars: int = SLICE_CHARS
+) -> DataFrame:
     """(doc_id, item_id, item_tokens, matched_tokens, tiles, coverage) of contained items.
 
     Words are runs of letters, digits and underscores in lower case. An item is contained where
@@ -182,7 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     empty table on either side gives no rows. Documents are not shuffled.
     """
     out = None
-    for hits in benchmark_hits(benchmark, coverage):
+    for hits in benchmark_hits(benchmark, coverage, slice_chars):
         rows = docs.select("doc_id", F.inline(hits(F.col("text"))))
         out = rows if out is None else out.union(rows)
     return out

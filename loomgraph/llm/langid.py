@@ -42,17 +42,18 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _add(counts: np.ndarray, codes: np.ndarray, rows: np.ndarray, starts: int) -> None:
-    """Count the n-grams that begin at the first `starts` places; `codes` has two more."""
+    """Count the n-grams that begin at the first `starts` places of a row; `codes` has two more."""
     base = rows * BUCKETS
     one = codes[:starts]
-    some = one != 0
+    counted = rows >= 0
+    some = (one != 0) & counted
     h = one * _FACTORS[0]
     flat = counts.reshape(-1)
     for n in range(3):
         if n:
             more = codes[n : n + starts]
             h = h + more * _FACTORS[n] + np.uint32(n)
-            some = some | (more != 0)
+            some = some | (more != 0) & counted
         mixed = h ^ (h >> np.uint32(15))
         bucket = (mixed * _FACTORS[1]) >> _SHIFT
         flat += np.bincount((base + bucket)[some], minlength=flat.size).astype(np.float32)
@@ -68,10 +69,12 @@ def features(texts: list[str]) -> np.ndarray:
             size += len(texts[end])
             end += 1
         codes = [_codes(t) for t in texts[at:end]]
-        lengths = [len(c) + 2 for c in codes]
+        lengths = np.array([len(c) + 3 for c in codes])
         gap = np.zeros(2, np.uint32)
-        flat = np.concatenate([x for c in codes for x in (c, gap)])
+        flat = np.concatenate([x for c in codes for x in (gap[:1], c, gap)])
         rows = np.repeat(np.arange(end - at, dtype=np.int64), lengths)
+        # No n-gram begins behind a text's last letter, so none has letters of two texts.
+        rows[np.cumsum(lengths) - 1] = rows[np.cumsum(lengths) - 2] = -1
         padded = np.concatenate((flat, gap))
         for begin in range(0, len(flat), 2 * CHUNK):
             n = min(2 * CHUNK, len(flat) - begin)

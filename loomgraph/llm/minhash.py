@@ -106,52 +106,39 @@ def _alike(a: str, b: str, share: Column) -> Column:
 
 
 def _centre_pairs(members: DataFrame, centres: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of a centre and another member of its bucket that may be linked.
-
-    A bucket's centres are few and its members many, so members of large buckets are spread.
-    """
+    """Pairs (a, b) of a centre and another member of its bucket that may be linked, with labels."""
     cols = ["name", "n_shingles", "bins", "label"]
-    left = centres.select("key", *(F.col(c).alias(f"c_{c}") for c in cols))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    packed = settled(
-        left.groupBy("key").agg(F.collect_list(F.struct(*left.columns[1:])).alias("centres")).join(sizes, "key")
-    )
-    met = join_counted(members, packed, ["key"], "n").select(
-        *cols, F.explode("centres").alias("c")
-    ).select(*cols, "c.*")
+    packed = centres.groupBy("key").agg(F.collect_list(F.struct(*(F.col(c).alias(f"c_{c}") for c in cols))).alias("centres"))
+    met = members.join(packed, "key").select(*cols, F.explode("centres").alias("c")).select(*cols, "c.*")
+    ahead = F.col("name") < F.col("c_name")
+
+    def ordered(left: str, right: str, name: str) -> Column:
+        return F.when(ahead, F.col(left)).otherwise(F.col(right)).alias(name)
+
     pairs = met.where(F.col("label") != F.col("c_label")).select(
-        F.least("name", "c_name").alias("a"),
-        F.greatest("name", "c_name").alias("b"),
+        ordered("name", "c_name", "a"),
+        ordered("c_name", "name", "b"),
+        ordered("label", "c_label", "label_a"),
+        ordered("c_label", "label", "label_b"),
         F.col("n_shingles").alias("n_a"),
         F.col("c_n_shingles").alias("n_b"),
         "bins",
         "c_bins",
     )
     alike = pairs.where(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
-    likely = alike.where(_alike("n_a", "n_b", equal_bins("bins", "c_bins"))).select("a", "b").distinct()
+    likely = alike.where(_alike("n_a", "n_b", equal_bins("bins", "c_bins")))
+    likely = likely.select("a", "b", "label_a", "label_b").distinct()
     return likely if tested is None else likely.join(tested, ["a", "b"], "left_anti")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets meet the threshold."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    left = settled(counts.join(sets.withColumnRenamed("name", "a"), "a"))
+    left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("own"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("other"))
-    both = join_counted(pairs, left, ["a"], "n").join(right, "b")
-    common = F.size(F.array_intersect("shingles", "other"))
-    union = F.size("shingles") + F.size("other") - common
-    return both.where(100 * common >= THRESHOLD * union).select("a", "b")
-
-
-def _labelled(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Members with the component of their set under the links so far."""
-    if edges is None:
-        return members.withColumn("label", F.col("name"))
-    groups = components(edges)
-    labels = F.coalesce("component", "name")
-    return members.join(groups, members["name"] == groups["node"], "left").select(
-        *members.columns, labels.alias("label")
-    )
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("own", "other"))
+    union = F.size("own") + F.size("other") - common
+    return both.where(100 * common >= THRESHOLD * union).select("label_a", "label_b")
 
 
 def _open_centres(members: DataFrame, spent: DataFrame | None, most: int) -> DataFrame:
@@ -167,30 +154,35 @@ def _open_centres(members: DataFrame, spent: DataFrame | None, most: int) -> Dat
     return outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "main", "parts")
 
 
-def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """The links (a, b) between distinct sets that their components need.
+def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(name, label) of the distinct sets in buckets: equal labels for those that links connect.
 
     Each bucket compares all its members with a few centres, never with each other. Members that
     a link has joined need no further test; what lies outside a bucket's largest component
     becomes a centre in its turn, in rounds of growing size, until nothing outside is left that
     has not been one. So every two sets of a bucket are linked, connected or compared, while a
-    bucket of near copies costs a few comparisons each.
+    bucket of near copies costs a few comparisons each. Links join labels, so each round's
+    components are those of a graph that has shrunk by the links before.
     """
-    edges = tested = spent = None
-    labelled, most = _labelled(members, None), 1
+    tested = spent = None
+    labelled, most = members.withColumn("label", F.col("name")), 1
     while True:
         centres = settled(_open_centres(labelled, spent, most))
         if centres.isEmpty():
-            return edges
+            return labelled.select("name", "label").distinct()
         pairs = settled(_centre_pairs(labelled, centres, tested))
-        links = settled(_linked(pairs, sets))
+        links = settled(_linked(pairs, sets).distinct())
+        pairs, used = pairs.select("a", "b"), centres.select("key", "name")
         tested = pairs if tested is None else tested.union(pairs)
-        used = centres.select("key", "name")
         spent = used if spent is None else spent.union(used)
         most = min(most * CENTRES, MOST_CENTRES)
         if not links.isEmpty():
-            edges = links if edges is None else settled(edges.union(links))
-            labelled = settled(_labelled(members, edges))
+            joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+            labelled = settled(
+                labelled.join(joined, labelled["label"] == joined["node"], "left").select(
+                    *members.columns, F.coalesce("component", "label").alias("label")
+                )
+            )
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -231,15 +223,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
         wanted, same(keyed["doc_id"], wanted["__id"]) & (keyed["tkey"] == wanted["__tkey"])
     ).select("name", shingles_of("text").alias("shingles"))
     sets = settled(texts.dropDuplicates(["name"]))
-    edges = link_sets(members.select("key", "name", "n_shingles", "bins"), sets)
-    known = classes.select("name", "n", "least")
-    if edges is not None:
-        groups = components(edges)
-        ids = known.join(groups, known["name"] == groups["node"], "left").select(
-            known["name"], "n", "least", F.coalesce("component", "name").alias("group")
-        )
-        grouped = ids.groupBy("group").agg(F.min("least").alias("component_id"))
-        known = ids.join(grouped, "group").select("name", "n", F.col("component_id").alias("least"))
+    labels = link_sets(members.select("key", "name", "n_shingles", "bins"), sets)
+    ids = classes.select("name", "n", "least").join(labels, "name", "left").withColumn(
+        "label", F.coalesce("label", "name")
+    )
+    grouped = ids.groupBy("label").agg(F.min("least").alias("component_id"))
+    known = ids.join(grouped, "label").select("name", "n", F.col("component_id").alias("least"))
     named = rows.select("doc_id", "tkey", "n_shingles", "name")
     joined = join_counted(named.where(F.col("name").isNotNull()), settled(known), ["name"], "n")
     alone = named.where(F.col("name").isNull()).withColumn("least", F.col("doc_id"))

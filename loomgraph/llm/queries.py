@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, decontam, langid, linededup, minhash, shards, substrings
+from loomgraph.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, phrases, shards, substrings
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -54,6 +54,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", "text")
@@ -140,15 +144,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM judged GROUP BY conv_id
 """
 
+def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontam": op2_decontam,
     "op3_minhash": op3_minhash,
     "op4_shards": op4_shards,
     "op5_langid": op5_langid,
+    "op6_html": op6_html,
     "op7_line_dedup": op7_line_dedup,
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
+    "op10_phrases": op10_phrases,
 }
 
 ORACLE: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op9_chat": OP9_SQL}

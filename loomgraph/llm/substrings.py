@@ -34,6 +34,8 @@ SEGMENT = 1 << 22
 #: Buckets of documents that a broadcast filter tells apart: a bound on its rows.
 FILTER_BUCKETS = 1 << 20
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 #: A place, and how far before it its first and last start lie, in one number.
 DISTANCE_BITS = 8
 
@@ -129,21 +131,20 @@ def _ranges(texts: DataFrame, width: int) -> DataFrame:
                 data = (text or "").encode()
                 hashes = Hashes(data)
                 g, at, low, high = (own.values.field(k).to_numpy() for k in range(4))
-                for begin in range(0, WIDTH, width):
-                    end = begin + width - 1
-                    look = (low <= end) & (high >= begin) & (at >= begin) & (at - end + LENGTH <= len(data))
-                    place = at[look]
-                    if not len(place):
-                        continue
-                    first, last = place - end, place - begin
-                    inside = (first >= 0) & (last + LENGTH <= len(data))
-                    union = hashes.of(np.maximum(first, 0), np.minimum(last + LENGTH, len(data)))
-                    own_only = hashes.of(np.zeros(len(place), int), np.full(len(place), len(data)))
-                    union = np.where(inside, union, own_only + place.astype(np.uint64) * np.uint64(2 * WIDTH + 1) + np.uint64(begin))
-                    core = hashes.of(last, first + LENGTH)
-                    values = (np.full(len(place), i), place, g[look], np.full(len(place), begin), _signed(union), _signed(core))
-                    for column, x in zip(columns, values, strict=True):
-                        column.append(x)
+                grid = np.arange(0, WIDTH, width)
+                far = at[:, None] - grid - (width - 1)
+                look = (low[:, None] <= grid + width - 1) & (high[:, None] >= grid)
+                which, cell = np.nonzero(look & (far + width - 1 >= 0) & (far + LENGTH <= len(data)))
+                place, begin, first = at[which], grid[cell], far[which, cell]
+                last = first + width - 1
+                inside = (first >= 0) & (last + LENGTH <= len(data))
+                union = hashes.of(np.maximum(first, 0), np.minimum(last + LENGTH, len(data)))
+                alone = hashes.of(np.zeros(1, int), np.full(1, len(data))) + (place * WIDTH + begin).astype(np.uint64)
+                union = np.where(inside, union, alone * _ODD)
+                core = hashes.of(last, first + LENGTH)
+                values = (np.full(len(place), i), place, g[which], begin, _signed(union), _signed(core))
+                for column, x in zip(columns, values, strict=True):
+                    column.append(x)
             row, *rest = (pa.array(_flat(c).astype(np.int64)) for c in columns)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(row), part.column(1).take(row), *rest],
