@@ -23,6 +23,8 @@ THRESHOLD = 85
 #: Equal bins below which a pair is not looked at in full: over six standard deviations below
 #: what a pair at the threshold has. Sets of under LEAST_ESTIMATED shingles always are.
 LEAST_EQUAL, LEAST_ESTIMATED = 84, 256
+#: Members of a bucket from which on shingles that only one of them has are counted.
+CROWD = 16
 #: Each round takes CENTRES times the centres of the round before, and so many at most per bucket.
 CENTRES, MOST_CENTRES = 8, 512
 
@@ -100,35 +102,95 @@ def equal_bins(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(axis=1, dtype=np.int32))
 
 
-def _alike(a: str, b: str, share: Column) -> Column:
-    small, large = F.least(a, b), F.greatest(a, b)
-    return (100 * small >= THRESHOLD * large) & ((small < LEAST_ESTIMATED) | (share >= LEAST_EQUAL))
+def _may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
+    """Whether two sets can be linked, by their sizes and what each shares with anyone at most."""
+    most = F.least(core_a, core_b, n_a, n_b)
+    return (100 + THRESHOLD) * most >= THRESHOLD * (n_a + n_b)
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """(key, sizes): the set sizes in each bucket, with their numbers."""
+    per_size = members.groupBy("key", "n_shingles").agg(F.count("*").alias("n"))
+    return per_size.groupBy("key").agg(F.collect_list(F.struct("n_shingles", "n")).alias("sizes"))
+
+
+def _partner_sizes() -> Column:
+    """Of the sizes of a member's bucket, those that a partner of it can have."""
+    n, core = F.col("n_shingles"), F.col("core")
+    return F.filter(
+        "sizes",
+        lambda s: _may_link(n, core, s["n_shingles"], s["n_shingles"]) & ((s["n_shingles"] != n) | (s["n"] > 1)),
+    )
+
+
+def _with_core(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, name, n_shingles, core, degree) of the buckets, without those that can have no link.
+
+    core is the size less the shingles that no other set in a crowded bucket has: no set of such
+    a bucket shares more with it. degree is the sum of the sizes of a set's buckets, which is
+    largest for a text that others have been made from.
+    """
+    per_set = placed.groupBy("name").agg(F.sum("n").alias("degree"), F.max("n").alias("widest"))
+    per_set = settled(per_set)
+    crowd = per_set.where(F.col("widest") >= CROWD).select("name")
+    private = (
+        sets.join(crowd, "name", "left_semi")
+        .select("name", F.explode("shingles").alias("s"))
+        .groupBy("s")
+        .agg(F.count("*").alias("n"), F.min("name").alias("name"))
+        .where(F.col("n") == 1)
+        .groupBy("name")
+        .agg(F.count("*").alias("private"))
+    )
+    own = F.when(F.col("n") >= CROWD, F.coalesce("private", F.lit(0))).otherwise(0)
+    members = (
+        placed.join(per_set.select("name", "degree"), "name")
+        .join(private, "name", "left")
+        .select("key", "name", "n_shingles", (F.col("n_shingles") - own).alias("core"), "degree")
+    )
+    members = settled(members)
+    viable = members.join(_sizes(members), "key").where(F.size(_partner_sizes()) > 0)
+    return settled(viable.select(members.columns))
 
 
 def _centre_pairs(members: DataFrame, centres: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of a centre and another member of its bucket that may be linked, with labels."""
-    cols = ["name", "n_shingles", "bins", "label"]
-    packed = centres.groupBy("key").agg(F.collect_list(F.struct(*(F.col(c).alias(f"c_{c}") for c in cols))).alias("centres"))
-    met = members.join(packed, "key").select(*cols, F.explode("centres").alias("c")).select(*cols, "c.*")
+    """Pairs (a, b) of a centre and another member of its bucket that may be linked, with labels.
+
+    A centre meets the members of the sizes that a partner of it can have, and no others.
+    """
+    cols = ["name", "n_shingles", "core", "label"]
+    sized = centres.join(_sizes(members), "key").withColumn("size", F.explode(_partner_sizes()["n_shingles"]))
+    packed = sized.groupBy("key", "size").agg(
+        F.collect_list(F.struct(*(F.col(c).alias(f"c_{c}") for c in cols))).alias("centres")
+    )
+    on = (members["key"] == packed["key"]) & (members["n_shingles"] == packed["size"])
+    fits = F.filter(
+        "centres",
+        lambda c: (c["c_label"] != F.col("label"))
+        & _may_link(F.col("n_shingles"), F.col("core"), c["c_n_shingles"], c["c_core"]),
+    )
+    met = members.join(packed, on).select(*cols, F.explode(fits).alias("c")).select("name", "label", "c.*")
     ahead = F.col("name") < F.col("c_name")
 
     def ordered(left: str, right: str, name: str) -> Column:
         return F.when(ahead, F.col(left)).otherwise(F.col(right)).alias(name)
 
-    pairs = met.where(F.col("label") != F.col("c_label")).select(
+    pairs = met.select(
         ordered("name", "c_name", "a"),
         ordered("c_name", "name", "b"),
         ordered("label", "c_label", "label_a"),
         ordered("c_label", "label", "label_b"),
-        F.col("n_shingles").alias("n_a"),
-        F.col("c_n_shingles").alias("n_b"),
-        "bins",
-        "c_bins",
-    )
-    alike = pairs.where(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
-    likely = alike.where(_alike("n_a", "n_b", equal_bins("bins", "c_bins")))
-    likely = likely.select("a", "b", "label_a", "label_b").distinct()
-    return likely if tested is None else likely.join(tested, ["a", "b"], "left_anti")
+    ).distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _likely(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """The pairs whose signatures do not rule out a link."""
+    left = bins.select(F.col("name").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bins").alias("bins_a"))
+    right = bins.select(F.col("name").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bins").alias("bins_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    small = F.least("n_a", "n_b") < LEAST_ESTIMATED
+    return both.where(small | (equal_bins("bins_a", "bins_b") >= LEAST_EQUAL)).select(*pairs.columns)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,11 +212,11 @@ def _open_centres(members: DataFrame, spent: DataFrame | None, most: int) -> Dat
     outside = members.join(mains.where(F.col("parts") > 1), "key").where(F.col("label") != F.col("main"))
     if spent is not None:
         outside = outside.join(spent, ["key", "name"], "left_anti")
-    order = Window.partitionBy("key").orderBy("name")
+    order = Window.partitionBy("key").orderBy(F.desc("degree"), "name")
     return outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "main", "parts")
 
 
-def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+def link_sets(members: DataFrame, bins: DataFrame, sets: DataFrame) -> DataFrame:
     """(name, label) of the distinct sets in buckets: equal labels for those that links connect.
 
     Each bucket compares all its members with a few centres, never with each other. Members that
@@ -171,7 +233,7 @@ def link_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
         if centres.isEmpty():
             return labelled.select("name", "label").distinct()
         pairs = settled(_centre_pairs(labelled, centres, tested))
-        links = settled(_linked(pairs, sets).distinct())
+        links = settled(_linked(_likely(pairs, bins), sets).distinct())
         pairs, used = pairs.select("a", "b"), centres.select("key", "name")
         tested = pairs if tested is None else tested.union(pairs)
         spent = used if spent is None else spent.union(used)
@@ -214,16 +276,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
     banded = classes.select("name", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = settled(banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    placed = join_counted(banded, buckets, ["key"], "n").select("key", "name")
-    shared = classes.select("name", "n_shingles", "bins", "sample")
-    members = settled(placed.join(shared, "name"))
-    wanted = members.select("name", "sample.*").distinct().select("name", F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
+    placed = join_counted(banded, buckets, ["key"], "n").select("key", "name", "n")
+    shared = classes.select("name", "n_shingles", "sample")
+    placed = settled(placed.join(shared, "name"))
+    wanted = placed.select("name", "sample.*").distinct().select("name", F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), "text")
     texts = keyed.join(
         wanted, same(keyed["doc_id"], wanted["__id"]) & (keyed["tkey"] == wanted["__tkey"])
     ).select("name", shingles_of("text").alias("shingles"))
     sets = settled(texts.dropDuplicates(["name"]))
-    labels = link_sets(members.select("key", "name", "n_shingles", "bins"), sets)
+    members = _with_core(placed.drop("sample"), sets)
+    labels = link_sets(members, classes.select("name", "n_shingles", "bins"), sets)
     ids = classes.select("name", "n", "least").join(labels, "name", "left").withColumn(
         "label", F.coalesce("label", "name")
     )
