@@ -10,8 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from loomgraph.llm.common import components, join_counted, same, settled, text_key
 from loomgraph.llm.shingles import WordHashes, ascii_words, shingle_set
@@ -20,9 +20,11 @@ from loomgraph.llm.shingles import WordHashes, ascii_words, shingle_set
 BINS, BANDS = 128, 32
 #: Shares of the union that make a link, in hundredths.
 THRESHOLD = 85
-#: Equal bins below which a pair is not looked at in full: over six standard deviations below
-#: what a pair at the threshold has. Sets of under LEAST_ESTIMATED shingles always are.
-LEAST_EQUAL, LEAST_ESTIMATED = 84, 256
+#: Cells into which a set's shingles are counted, by hash: two sets share no more than their
+#: cells have in common. FULL stands for as many or more.
+CELLS, FULL = 256, 255
+#: Members of a bucket that one task compares with its centres.
+SLICE_MEMBERS = 4096
 #: Members of a bucket from which on shingles that only one of them has are counted.
 CROWD = 16
 #: Each round takes CENTRES times the centres of the round before, and so many at most per bucket.
@@ -52,34 +54,44 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
 
-SKETCH = "doc_id {}, tkey long, n_shingles long, name binary, bands array<long>, bins binary"
+def cell_counts(shingles: np.ndarray) -> bytes:
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles two sets share at most, from rows of cell counts."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(axis=1), 1 << 40, least.sum(axis=1, dtype=np.int64))
+
+
+SKETCH = "doc_id {}, tkey long, n_shingles long, name binary, bands array<long>, cells binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: size and name (128-bit hash) of its shingle set, bucket keys, low bytes of bins."""
+    """Per row: size and name (128-bit hash) of its shingle set, bucket keys, cell counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, names, bands, bins = [], [], [], []
+                n, names, bands, cells = [], [], [], []
                 for text in part.column(2).to_pylist():
                     own = shingle_set(hashes.of(ascii_words(text or "")))
                     n.append(len(own))
                     if not len(own):
-                        names.append(None), bands.append(None), bins.append(None)
+                        names.append(None), bands.append(None), cells.append(None)
                         continue
-                    signed = signature(own)
                     names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(signed))
-                    bins.append(signed.astype(np.uint8).tobytes())
+                    bands.append(band_keys(signature(own)))
+                    cells.append(cell_counts(own))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
-                        pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.binary()),
+                        pa.array(bands, pa.list_(pa.int64())), pa.array(cells, pa.binary()),
                     ],
-                    ["doc_id", "tkey", "n_shingles", "name", "bands", "bins"],
+                    ["doc_id", "tkey", "n_shingles", "name", "bands", "cells"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -94,12 +106,13 @@ def shingles_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingle_set(hashes.of(ascii_words(t or ""))).view(np.int64) for t in batch])
 
 
-@pandas_udf(IntegerType())
-def equal_bins(left: pd.Series, right: pd.Series) -> pd.Series:
-    if not len(left):
-        return pd.Series([], dtype="int32")
-    a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (left, right))
-    return pd.Series((a == b).sum(axis=1, dtype=np.int32))
+def _rows_of(cells: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+@arrow_udf(LongType())
+def shared_at_most(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array(most_common(_rows_of(left), _rows_of(right)))
 
 
 def _may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
@@ -153,44 +166,81 @@ def _with_core(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return settled(viable.select(members.columns))
 
 
-def _centre_pairs(members: DataFrame, centres: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of a centre and another member of its bucket that may be linked, with labels.
-
-    A centre meets the members of the sizes that a partner of it can have, and no others.
-    """
-    cols = ["name", "n_shingles", "core", "label"]
-    sized = centres.join(_sizes(members), "key").withColumn("size", F.explode(_partner_sizes()["n_shingles"]))
-    packed = sized.groupBy("key", "size").agg(
-        F.collect_list(F.struct(*(F.col(c).alias(f"c_{c}") for c in cols))).alias("centres")
-    )
-    on = (members["key"] == packed["key"]) & (members["n_shingles"] == packed["size"])
-    fits = F.filter(
-        "centres",
-        lambda c: (c["c_label"] != F.col("label"))
-        & _may_link(F.col("n_shingles"), F.col("core"), c["c_n_shingles"], c["c_core"]),
-    )
-    met = members.join(packed, on).select(*cols, F.explode(fits).alias("c")).select("name", "label", "c.*")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b), a before b, of pairs (name, label, c_name, c_label)."""
     ahead = F.col("name") < F.col("c_name")
 
-    def ordered(left: str, right: str, name: str) -> Column:
+    def either(left: str, right: str, name: str) -> Column:
         return F.when(ahead, F.col(left)).otherwise(F.col(right)).alias(name)
 
-    pairs = met.select(
-        ordered("name", "c_name", "a"),
-        ordered("c_name", "name", "b"),
-        ordered("label", "c_label", "label_a"),
-        ordered("c_label", "label", "label_b"),
-    ).distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    return pairs.select(
+        either("name", "c_name", "a"), either("c_name", "name", "b"),
+        either("label", "c_label", "label_a"), either("c_label", "label", "label_b"),
+    ).distinct()
 
 
-def _likely(pairs: DataFrame, bins: DataFrame) -> DataFrame:
-    """The pairs whose signatures do not rule out a link."""
-    left = bins.select(F.col("name").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bins").alias("bins_a"))
-    right = bins.select(F.col("name").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bins").alias("bins_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    small = F.least("n_a", "n_b") < LEAST_ESTIMATED
-    return both.where(small | (equal_bins("bins_a", "bins_b") >= LEAST_EQUAL)).select(*pairs.columns)
+def _star_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs of each bucket's first centre and its other members that may be linked."""
+    cols = ["name", "n_shingles", "core", "label"]
+    stars = centres.select("key", *(F.col(c).alias(f"c_{c}") for c in cols))
+    met = members.join(stars, "key").where(
+        (F.col("label") != F.col("c_label"))
+        & _may_link(F.col("n_shingles"), F.col("core"), F.col("c_n_shingles"), F.col("c_core"))
+    )
+    left = cells.select(F.col("name").alias("a"), F.col("n_shingles").alias("n_a"), F.col("cells").alias("cells_a"))
+    right = cells.select(F.col("name").alias("b"), F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
+    pairs = _ordered(met)
+    both = pairs.join(left, "a").join(right, "b").withColumn("most", shared_at_most("cells_a", "cells_b"))
+    return both.where((100 + THRESHOLD) * F.col("most") >= THRESHOLD * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
+
+
+def _crowd_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> DataFrame:
+    """The same for many centres in a bucket.
+
+    A centre meets the members of the sizes that a partner of it can have, in slices of about
+    SLICE_MEMBERS, and only pairs that their cell counts allow leave a task.
+    """
+    sized = centres.join(_sizes(members), "key").select(
+        *centres.columns, F.explode(_partner_sizes()).alias("s")
+    ).select(*centres.columns, F.col("s.n_shingles").alias("size"), "s.n")
+    sized = sized.withColumn("slices", F.ceil(F.col("n") / SLICE_MEMBERS)).join(cells.select("name", "cells"), "name")
+    right = sized.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    met = sized.select("key", F.col("size").alias("n_shingles"), "slices").distinct()
+    left = (
+        members.join(met, ["key", "n_shingles"])
+        .withColumn("slice", F.pmod(F.xxhash64("name"), F.col("slices")))
+        .join(cells.select("name", "cells"), "name")
+        .withColumn("size", F.col("n_shingles"))
+    )
+    tile = ["key", "size", "slice"]
+    # Aliases, as both sides come from the same rows.
+    cols = [F.col(c).alias(c) for c in (*tile, "name", "label", "n_shingles", "cells")]
+    pairs = (
+        left.select(cols).groupBy(*tile).cogroup(right.select(cols).groupBy(*tile))
+        .applyInArrow(_tile_pairs, "name binary, label binary, c_name binary, c_label binary")
+    )
+    return _ordered(pairs)
+
+
+def _tile_pairs(members: pa.Table, centres: pa.Table) -> pa.Table:
+    if not members.num_rows or not centres.num_rows:
+        members, centres = members.slice(0, 0), centres.slice(0, 0)
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cells, n = _rows_of(members["cells"]), members["n_shingles"].to_numpy()
+    labels = np.array(members["label"].to_pylist(), object)
+    other_labels = centres["label"].to_pylist()
+    for k, (own, size) in enumerate(zip(_rows_of(centres["cells"]), centres["n_shingles"].to_pylist(), strict=True)):
+        may = (100 + THRESHOLD) * most_common(cells, own[None, :]) >= THRESHOLD * (n + size)
+        at = np.flatnonzero(may & (labels != other_labels[k]))
+        rows.append(at)
+        columns.append(np.full(len(at), k))
+    at, of = pa.array(np.concatenate(rows)), pa.array(np.concatenate(columns))
+    return pa.table(
+        {
+            "name": members["name"].take(at), "label": members["label"].take(at),
+            "c_name": centres["name"].take(of), "c_label": centres["label"].take(of),
+        }
+    )
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,7 +266,7 @@ def _open_centres(members: DataFrame, spent: DataFrame | None, most: int) -> Dat
     return outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "main", "parts")
 
 
-def link_sets(members: DataFrame, bins: DataFrame, sets: DataFrame) -> DataFrame:
+def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
     """(name, label) of the distinct sets in buckets: equal labels for those that links connect.
 
     Each bucket compares all its members with a few centres, never with each other. Members that
@@ -232,8 +282,9 @@ def link_sets(members: DataFrame, bins: DataFrame, sets: DataFrame) -> DataFrame
         centres = settled(_open_centres(labelled, spent, most))
         if centres.isEmpty():
             return labelled.select("name", "label").distinct()
-        pairs = settled(_centre_pairs(labelled, centres, tested))
-        links = settled(_linked(_likely(pairs, bins), sets).distinct())
+        pairs = (_star_pairs if tested is None else _crowd_pairs)(labelled, centres, cells)
+        pairs = settled(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        links = settled(_linked(pairs, sets).distinct())
         pairs, used = pairs.select("a", "b"), centres.select("key", "name")
         tested = pairs if tested is None else tested.union(pairs)
         spent = used if spent is None else spent.union(used)
@@ -271,7 +322,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             F.min(F.struct("doc_id", "tkey")).alias("sample"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
-            F.first("bins").alias("bins"),
+            F.first("cells").alias("cells"),
         )
     )
     banded = classes.select("name", F.explode(F.array_distinct("bands")).alias("key"))
@@ -286,7 +337,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ).select("name", shingles_of("text").alias("shingles"))
     sets = settled(texts.dropDuplicates(["name"]))
     members = _with_core(placed.drop("sample"), sets)
-    labels = link_sets(members, classes.select("name", "n_shingles", "bins"), sets)
+    labels = link_sets(members, classes.select("name", "n_shingles", "cells"), sets)
     ids = classes.select("name", "n", "least").join(labels, "name", "left").withColumn(
         "label", F.coalesce("label", "name")
     )
