@@ -27,8 +27,8 @@ CELLS, FULL = 256, 255
 SLICE_MEMBERS = 4096
 #: Members of a bucket from which on shingles that only one of them has are counted.
 CROWD = 16
-#: Each round takes CENTRES times the centres of the round before, and so many at most per bucket.
-CENTRES, MOST_CENTRES = 8, 512
+#: Centres of a bucket in each round after the first, which has one.
+CENTRES = 512
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _SALTS = np.random.default_rng(3).integers(1, 1 << 62, (BANDS, BINS // BANDS), dtype=np.uint64) | np.uint64(1)
@@ -271,8 +271,8 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFram
 
     Each bucket compares all its members with a few centres, never with each other. Members that
     a link has joined need no further test; what lies outside a bucket's largest component
-    becomes a centre in its turn, in rounds of growing size, until nothing outside is left that
-    has not been one. So every two sets of a bucket are linked, connected or compared, while a
+    becomes a centre in its turn, CENTRES per round, until nothing outside is left that has not
+    been one. So every two sets of a bucket are linked, connected or compared, while a
     bucket of near copies costs a few comparisons each. Links join labels, so each round's
     components are those of a graph that has shrunk by the links before.
     """
@@ -288,7 +288,7 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFram
         pairs, used = pairs.select("a", "b"), centres.select("key", "name")
         tested = pairs if tested is None else tested.union(pairs)
         spent = used if spent is None else spent.union(used)
-        most = min(most * CENTRES, MOST_CENTRES)
+        most = CENTRES
         if not links.isEmpty():
             joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
             labelled = settled(
