@@ -197,26 +197,17 @@ def _star_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> Dat
 def _crowd_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> DataFrame:
     """The same for many centres in a bucket.
 
-    A centre meets the members of the sizes that a partner of it can have, in slices of about
-    SLICE_MEMBERS, and only pairs that their cell counts allow leave a task.
+    Its members come in slices of about SLICE_MEMBERS, each with all the centres, and only pairs
+    that sizes and cell counts allow leave a task.
     """
-    sized = centres.join(_sizes(members), "key").select(
-        *centres.columns, F.explode(_partner_sizes()).alias("s")
-    ).select(*centres.columns, F.col("s.n_shingles").alias("size"), "s.n")
-    sized = sized.withColumn("slices", F.ceil(F.col("n") / SLICE_MEMBERS)).join(cells.select("name", "cells"), "name")
-    right = sized.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    met = sized.select("key", F.col("size").alias("n_shingles"), "slices").distinct()
-    left = (
-        members.join(met, ["key", "n_shingles"])
-        .withColumn("slice", F.pmod(F.xxhash64("name"), F.col("slices")))
-        .join(cells.select("name", "cells"), "name")
-        .withColumn("size", F.col("n_shingles"))
-    )
-    tile = ["key", "size", "slice"]
+    slices = F.ceil(F.col("bucket") / SLICE_MEMBERS)
+    left = members.where("open").withColumn("slice", F.pmod(F.xxhash64("name"), slices))
+    right = centres.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
     # Aliases, as both sides come from the same rows.
-    cols = [F.col(c).alias(c) for c in (*tile, "name", "label", "n_shingles", "cells")]
+    cols = [F.col(c).alias(c) for c in ("key", "slice", "name", "label", "n_shingles", "cells")]
+    left, right = (x.join(cells.select("name", "cells"), "name").select(cols) for x in (left, right))
     pairs = (
-        left.select(cols).groupBy(*tile).cogroup(right.select(cols).groupBy(*tile))
+        left.groupBy("key", "slice").cogroup(right.groupBy("key", "slice"))
         .applyInArrow(_tile_pairs, "name binary, label binary, c_name binary, c_label binary")
     )
     return _ordered(pairs)
@@ -253,17 +244,28 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= THRESHOLD * union).select("label_a", "label_b")
 
 
-def _open_centres(members: DataFrame, spent: DataFrame | None, most: int) -> DataFrame:
-    """Up to `most` members of each bucket from outside its largest component, none twice."""
-    parts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mains = parts.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")
+def _with_centres(members: DataFrame, most: int, first: bool) -> DataFrame:
+    """Members with `centre`, `open` (their bucket has a centre), `bucket` (its size) and `spent`.
+
+    Centres are up to `most` members of a bucket from outside its largest component that have not
+    been one; `first` takes any. Those of the largest degree come first. All windows run on one
+    shuffle by bucket, of slim rows.
+    """
+    by_key = Window.partitionBy("key")
+    sized = (
+        members.repartition("key")
+        .withColumn("__n", F.count("*").over(Window.partitionBy("key", "label")))
+        .withColumn("__main", F.max(F.struct("__n", "label")).over(by_key))
+        .withColumn("bucket", F.count("*").over(by_key))
     )
-    outside = members.join(mains.where(F.col("parts") > 1), "key").where(F.col("label") != F.col("main"))
-    if spent is not None:
-        outside = outside.join(spent, ["key", "name"], "left_anti")
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "name")
-    return outside.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "main", "parts")
+    outside = F.lit(True) if first else F.col("label") != F.col("__main.label")
+    waiting = outside & ~F.col("spent") & (F.col("bucket") > 1)
+    order = by_key.orderBy(F.desc("__waiting"), F.desc("degree"), "name")
+    ranked = sized.withColumn("__waiting", waiting).withColumn("__nth", F.row_number().over(order))
+    chosen = ranked.withColumn("centre", F.col("__waiting") & (F.col("__nth") <= most))
+    return chosen.withColumns(
+        {"open": F.max("centre").over(by_key), "spent": F.col("spent") | F.col("centre")}
+    ).drop("__n", "__main", "__waiting", "__nth")
 
 
 def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,25 +278,24 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFram
     bucket of near copies costs a few comparisons each. Links join labels, so each round's
     components are those of a graph that has shrunk by the links before.
     """
-    tested = spent = None
-    labelled, most = members.withColumn("label", F.col("name")), 1
+    tested = None
+    labelled = members.withColumn("label", F.col("name")).withColumn("spent", F.lit(False))
     while True:
-        centres = settled(_open_centres(labelled, spent, most))
+        first = tested is None
+        state = settled(_with_centres(labelled, 1 if first else CENTRES, first))
+        centres = state.where("centre")
         if centres.isEmpty():
-            return labelled.select("name", "label").distinct()
-        pairs = (_star_pairs if tested is None else _crowd_pairs)(labelled, centres, cells)
-        pairs = settled(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            return state.select("name", "label").distinct()
+        pairs = (_star_pairs if first else _crowd_pairs)(state, centres, cells)
+        pairs = settled(pairs if first else pairs.join(tested, ["a", "b"], "left_anti"))
         links = settled(_linked(pairs, sets).distinct())
-        pairs, used = pairs.select("a", "b"), centres.select("key", "name")
-        tested = pairs if tested is None else tested.union(pairs)
-        spent = used if spent is None else spent.union(used)
-        most = CENTRES
+        pairs = pairs.select("a", "b")
+        tested = pairs if first else tested.union(pairs)
+        labelled = state.select(*members.columns, "label", "spent")
         if not links.isEmpty():
             joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-            labelled = settled(
-                labelled.join(joined, labelled["label"] == joined["node"], "left").select(
-                    *members.columns, F.coalesce("component", "label").alias("label")
-                )
+            labelled = labelled.join(joined, labelled["label"] == joined["node"], "left").select(
+                *members.columns, F.coalesce("component", "label").alias("label"), "spent"
             )
 
 
