@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import small_batches
+
 #: Bytes up to which a piece is merged directly, and characters up to which a text is split
 #: into pieces at once: the leaves of the two trees.
 LEAF_BYTES = 32
@@ -145,6 +147,7 @@ def _codec(rank_lines: bytes, pattern: str) -> Codec:
 
 def _shared(spark, ranks_path: str):
     """The rank file, read on the driver and sent once to each executor: a vocabulary is a few MB."""
+    small_batches(spark)
     with open(ranks_path, "rb") as file:
         return spark.sparkContext.broadcast(file.read())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.session import ensure_checkpoint_dir
@@ -14,6 +14,12 @@ LEAST_HEAVY = 1_000
 SALTS = 32
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python task gets at a time, by rows and by bytes: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, with their lineage cut."""
     ensure_checkpoint_dir(rows.sparkSession)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomgraph.llm.common import small_batches
 from loomgraph.llm.shingles import WordHashes, windows
 
 #: Words of the shortest tile, and the share of an item that tiles must cover.
@@ -162,6 +163,7 @@ def benchmark_hits(benchmark: DataFrame, coverage: float = COVERAGE, slice_chars
     items whose tiles cover at least `coverage` of their words. A slice has about `slice_chars`
     characters, which bounds what is broadcast; documents are read once per slice.
     """
+    small_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = int(chars // slice_chars) + 1

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomgraph.llm.common import small_batches
 from loomgraph.llm.layouts import MARK, draw_pages
 from loomgraph.llm.lstm import BiLstm, padded, train
 
@@ -245,6 +246,7 @@ def extract_pages(pages: DataFrame, model: BiLstm | None = None) -> DataFrame:
     labelled in view of the whole page. Repeated rows give equal rows; extra columns are left
     out. No shuffle; a task holds a few hundred pages at a time.
     """
+    small_batches(pages.sparkSession)
     model = model or learn_labeller()
     kinds = [pages.schema[c].dataType for c in ("page_id", "url")]
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
+from loomgraph.llm.common import small_batches
+
 UNKNOWN = "und"
 #: Labelled rows per language that a model is fitted on, at most.
 SAMPLE = 400
@@ -235,6 +237,7 @@ def identify(docs: DataFrame, held_out: int = 1, sample: int = SAMPLE) -> DataFr
     an empty table, or one without labels, predicts `und` throughout. No shuffle but the counts
     of languages.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("held_out", "lang_pred", "score", "ambiguous")
     fold = remainder(F.col("doc_id"))
     model = learn(docs.where(fold != held_out), sample)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from loomgraph.llm.common import components, join_counted, same, settled, text_key
+from loomgraph.llm.common import components, join_counted, same, settled, small_batches, text_key
 from loomgraph.llm.shingles import WordHashes, ascii_words, shingle_set
 
 #: Bins of the one permutation, as bands of rows: of a pair at 0.85, one in 10 ** 10 shares no band.
@@ -313,6 +313,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows is joined back over several tasks. Whole texts are shuffled once, for the sets that
     share a bucket.
     """
+    small_batches(docs.sparkSession)
     rows = settled(sketches(docs))
     classes = settled(
         rows.where(F.col("name").isNotNull())

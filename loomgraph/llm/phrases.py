@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import same, text_key
+from loomgraph.llm.common import same, small_batches, text_key
 
 #: Levels of the parse whose phrases are kept, and least hashes kept of each, 16 bits wide.
 #: A phrase of the levels has about 12, 40 and 130 bytes.
@@ -184,6 +184,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     sorted in one task, so texts are shuffled once. Each range also gets, as its last row with
     `extra` set, the first document of the range that follows; the driver sees one id per range.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"), F.col("doc_id").cast("double").alias("__id"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // BUCKET_BYTES) + 1

@@ -22,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StructType
 
 from loomgraph.llm.bytehash import Hashes, least_in_windows
-from loomgraph.llm.common import join_counted, same, settled, text_key
+from loomgraph.llm.common import join_counted, same, settled, small_batches, text_key
 
 LENGTH = 400
 WIDTH, GRAM = 256, 16
@@ -182,6 +182,7 @@ def _likely(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, first, last): ranges of starts of LENGTH bytes that occur elsewhere, too."""
+    small_batches(docs.sparkSession)
     counts = settled(_ranks(docs).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     near = settled(join_counted(_places(docs), counts, ["g"], "n").drop("n"))
     # Second rank: the first with everything that the starts of a place cover.
