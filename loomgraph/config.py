@@ -27,7 +27,7 @@ class EmbeddingConfig:
 @dataclass(frozen=True)
 class GraphConfig:
     co_change_min_count: int = 3
-    co_change_max_commits: int = 500
+    co_change_max_commits: int | None = None
     symbols_enabled: bool = True
     semantic_min_score: float = 0.78
     semantic_top_k: int = 5

@@ -18,7 +18,7 @@ from loomgraph.operators import chunking, cochange, depgraph, pages, symbols, wa
 from loomgraph.operators.incremental import PATH_KEY, changed_files, vanished_files
 from loomgraph.operators.search import check_k, nearest
 from loomgraph.session import ensure_checkpoint_dir, ship_package
-from loomgraph.sources.files import filter_files, list_paths, scan_tree
+from loomgraph.sources.files import filter_files, list_paths, scan
 from loomgraph.sources.gitlog import commit_files, head_sha
 from loomgraph.store import TABLES, NotBuilt, Store
 
@@ -56,7 +56,7 @@ class Workspace:
             "memory": (repo.memory_dir, ["*.md"], NOTE_SKIP),
             "wiki": (repo.wiki_dir, ["*.md"], []),
         }[source]
-        return scan_tree(self.spark, root, globs, skip, repo.repo_id, source)
+        return scan(self.spark, root, globs, skip, repo.repo_id, source)
 
     def index(self, source: str) -> int:
         """Bring one source up to date; returns the number of chunks written.
@@ -112,43 +112,48 @@ class Workspace:
         )
 
     def build_graph(self) -> None:
-        """Rebuild import, export, co-change and symbol tables, and the overlay."""
+        """Rebuild import, export, co-change and symbol tables, and the overlay.
+
+        Readers see the tables of the last build until all are written.
+        """
         repo, store = self.repo, self.store
         settings, repo_id = repo.graph, repo.repo_id
-        files = self.scan("code").select("file_path", "content")
-        outlined = depgraph.with_outline(files).checkpoint()
+        version = store.next_version()
+
+        def write(name: str, rows: DataFrame) -> DataFrame:
+            return store.write_table(name, repo_id, rows, version)
+
+        files = self.scan("code").select("file_path", "content").checkpoint()
         paths = list_paths(self.spark, repo.project_root)
-        store.write_table("import_edges", repo_id, depgraph.import_edges(outlined, paths))
-        store.write_table("exports", repo_id, depgraph.exports(outlined))
+        heads = depgraph.with_heads(files).checkpoint()
+        write("import_edges", depgraph.import_edges(heads, paths))
+        write("exports", depgraph.exports(heads))
         history = commit_files(
             self.spark, {repo_id: repo.project_root}, settings.co_change_max_commits
         )
-        store.write_table(
-            "co_changes", repo_id,
-            cochange.co_change_pairs(history, settings.co_change_min_count),
-        )
-        nodes = symbols.symbol_nodes(outlined)
-        if not settings.symbols_enabled:
-            nodes = nodes.limit(0)
-        store.write_table("symbol_nodes", repo_id, nodes)
-        nodes = store.table("symbol_nodes", repo_id)
-        store.write_table("symbol_edges", repo_id, symbols.symbol_edges(outlined, nodes, paths))
-        self.build_overlay(settings.semantic_min_score, settings.semantic_top_k)
-        meta = self.spark.range(1).select(
+        write("co_changes", cochange.co_change_pairs(history, settings.co_change_min_count))
+        outlined = depgraph.with_outline(files if settings.symbols_enabled else files.limit(0))
+        outlined = outlined.checkpoint()
+        nodes = write("symbol_nodes", symbols.symbol_nodes(outlined))
+        write("symbol_edges", symbols.symbol_edges(outlined, nodes, paths))
+        write("semantic_edges", self._overlay(nodes, settings.semantic_min_score, settings.semantic_top_k))
+        write("build_meta", self.spark.range(1).select(
             F.current_timestamp().alias("built_at"),
             F.lit(head_sha(repo.project_root)).alias("head_sha"),
             F.lit(dimension(self.embedding)).alias("dim"),
-        )
-        store.write_table("build_meta", repo_id, meta)
+        ))
+        store.publish(repo_id, list(TABLES), version)
+
+    def _overlay(self, nodes: DataFrame, min_score: float, top_k: int) -> DataFrame:
+        chunks = self.store.live_chunks(self.repo.repo_id, "code")
+        return symbols.symbol_overlay(chunks, nodes, min_score, top_k)
 
     def build_overlay(self, min_score: float, top_k: int) -> None:
-        """Rebuild the similarity edges from the code chunks in the index."""
-        repo_id = self.repo.repo_id
-        chunks = self.store.live_chunks(repo_id, "code")
-        near = symbols.symbol_overlay(
-            chunks, self.store.table("symbol_nodes", repo_id), min_score, top_k
-        )
-        self.store.write_table("semantic_edges", repo_id, near)
+        """Rebuild the similarity edges alone from the code chunks in the index."""
+        repo_id, version = self.repo.repo_id, self.store.next_version()
+        near = self._overlay(self.store.table("symbol_nodes", repo_id), min_score, top_k)
+        self.store.write_table("semantic_edges", repo_id, near, version)
+        self.store.publish(repo_id, ["semantic_edges"], version)
 
     def build(self) -> dict[str, int]:
         """Index all sources, rebuild the graph and report what there is."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable
 
@@ -16,7 +17,8 @@ from loomgraph.functions.text import cut
 from loomgraph.functions.vectors import list_array
 
 MAX_TEXT_CHARS = 4000
-RETRY_TEXT_CHARS = 2000
+#: Calls made for a text before its task fails; Spark then tries the task again.
+ATTEMPTS = 3
 FALLBACK_DIMENSION = 768
 
 # Vector size by model, then by provider.
@@ -141,8 +143,9 @@ def request_vectors(
     root = DEFAULT_ROOTS[kind] if fixed_root else (config.base_url or DEFAULT_ROOTS[kind])
     key = config.api_key or ""
     if kind == "google":
-        url = f"{root}/v1beta/models/{config.model}:embedContent?key={key}"
-        replies = [post(url, {}, {"content": {"parts": [{"text": t}]}}) for t in texts]
+        url = f"{root}/v1beta/models/{config.model}:embedContent"
+        headers = {"x-goog-api-key": key}
+        replies = [post(url, headers, {"content": {"parts": [{"text": t}]}}) for t in texts]
         return [r["embedding"]["values"] for r in replies]
     body = {"model": config.model, "input": texts}
     if kind == "ollama":
@@ -158,7 +161,11 @@ def request_vectors(
 def embed_texts(
     texts: list[str], config: EmbeddingConfig, call: Callable | None = None
 ) -> list[list[float]]:
-    """Vectors of prepared texts. A failed batch is retried text by text, then given up as zeros."""
+    """Vectors of prepared texts; every text is sent whole.
+
+    A call that fails is made again. What fails still ends the task, so that no text gets a
+    vector that is not its own and the index run can be repeated.
+    """
     call = call or request_vectors
     size = dimension(config)
     step = BATCH_SIZES.get(config.type, OTHER_BATCH_SIZE)
@@ -174,21 +181,34 @@ def embed_texts(
     found: list[list[float]] = []
     for start in range(0, len(texts), step):
         batch = texts[start : start + step]
-        try:
-            found.extend(checked(batch))
-        except Exception:  # noqa: BLE001 - any provider failure degrades the same way
-            for text in batch:
-                try:
-                    found.extend(checked([text[:RETRY_TEXT_CHARS]]))
-                except Exception:  # noqa: BLE001
-                    found.append([0.0] * size)
+        found.extend(_again(checked, batch))
     return found
 
 
+def _again(checked: Callable, batch: list[str]) -> list[list[float]]:
+    """The vectors of a batch, asked for up to ATTEMPTS times with growing pauses."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            return checked(batch)
+        except Exception:  # noqa: BLE001 - the last failure is raised
+            if attempt == ATTEMPTS:
+                raise
+            time.sleep(0.1 * 4**attempt)
+    raise AssertionError
+
+
 def embed(
     text: Column, config: EmbeddingConfig, mode: str = "document", call: Callable | None = None
 ) -> Column:
-    """`array<float>` embedding of a text column, computed on the executors batch by batch."""
+    """`array<float>` embedding of a text column, computed on the executors batch by batch.
+
+    Texts that the model would cut are an error; chunkers make none.
+    """
+    sent = with_prefix(text, F.lit(config.model), F.lit(mode))
+    too_long = F.length(F.encode(sent, "UTF-16BE")) > 2 * MAX_TEXT_CHARS
+    whole = F.when(F.length(sent) <= MAX_TEXT_CHARS // 2, sent).when(
+        too_long, F.raise_error(F.lit(f"a text is longer than {MAX_TEXT_CHARS}: chunk it first"))
+    ).otherwise(sent)
 
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:
@@ -196,7 +216,7 @@ def embed(
         return list_array(np.asarray(found, dtype="float32").reshape(len(found), -1))
 
     # Marked so that no plan calls the provider twice for a text.
-    return vectors.asNondeterministic()(model_input(text, F.lit(config.model), F.lit(mode)))
+    return vectors.asNondeterministic()(whole)
 
 
 def embed_query(text: str, config: EmbeddingConfig, call: Callable | None = None) -> list[float]:
@@ -209,6 +229,7 @@ def embed_query(text: str, config: EmbeddingConfig, call: Callable | None = None
         prefix = TEXT_QUERY_PREFIX
     elif "Qwen3-Embedding" in model:
         prefix = QWEN_QUERY_PREFIX
-    units = (prefix + text).encode("utf-16-le")[: 2 * MAX_TEXT_CHARS]
-    vector = embed_texts([units.decode("utf-16-le", "ignore")], config, call)[0]
+    if len((prefix + text).encode("utf-16-le")) > 2 * MAX_TEXT_CHARS:
+        raise ValueError(f"a query has at most {MAX_TEXT_CHARS} characters")
+    vector = embed_texts([prefix + text], config, call)[0]
     return [float(x) for x in vector]

@@ -421,14 +421,11 @@ def pack_nodes(path: str, text: str, max_chars: int) -> list[dict]:
     def flush() -> None:
         nonlocal held, size, exports
         body = "\n".join(held).strip(BLANKS)
-        if body:
-            units = body.encode("utf-16-le")[: 2 * max_chars]
+        step = max_chars // 2 if any(ord(c) > 0xFFFF for c in body) else max_chars
+        for at in range(0, len(body), max(step, 1)):
+            part = body[at : at + max(step, 1)]
             chunks.append(
-                {
-                    "chunk_text": units.decode("utf-16-le", "ignore"),
-                    "exports": exports,
-                    "imports": [] if chunks else specifiers,
-                }
+                {"chunk_text": part, "exports": exports, "imports": [] if chunks else specifiers}
             )
         held, size, exports = [], 0, []
 

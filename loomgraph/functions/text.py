@@ -19,7 +19,9 @@ BLANKS = "".join(
               0x202F, 0x205F, 0x3000, 0xFEFF])
 )
 
-MAX_CHUNK_CHARS = 6000
+#: UTF-16 units of a chunk. With any instruction text before it, it fits the models' input.
+MAX_CHUNK_CHARS = 3900
+_PAIRS = r"[\x{10000}-\x{10FFFF}]"
 
 
 def trim(col: Column) -> Column:
@@ -37,7 +39,7 @@ def cut(col: Column, limit: int) -> Column:
     head = F.substring(units, 1, 2 * limit)
     splits_pair = F.hex(F.substring(units, 2 * limit - 1, 1)).rlike("^D[89AB]")
     whole = F.when(splits_pair, F.substring(units, 1, 2 * limit - 2)).otherwise(head)
-    has_pairs = col.rlike(r"[\x{10000}-\x{10FFFF}]")
+    has_pairs = col.rlike(_PAIRS)
     return (
         F.when(F.length(col) * 2 <= limit, col)
         .when(has_pairs, F.decode(whole, "UTF-16BE"))
@@ -45,6 +47,15 @@ def cut(col: Column, limit: int) -> Column:
     )
 
 
+def pieces(col: Column, limit: int) -> Column:
+    """The text in consecutive parts of at most `limit` UTF-16 units, none of an empty text.
+
+    A text with characters outside the basic plane is cut into parts of half as many characters.
+    """
+    part = F.when(col.rlike(_PAIRS), rf"(?s).{{1,{max(limit // 2, 1)}}}").otherwise(rf"(?s).{{1,{limit}}}")
+    return F.regexp_extract_all(col, part, F.lit(0))
+
+
 def lines(col: Column) -> Column:
     return F.split(col, "\n", -1)
 

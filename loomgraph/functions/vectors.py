@@ -6,22 +6,32 @@ in a pushed filter and once for the result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCORE_DIGITS = 6
+#: Digits by which scores are ranked; the rest is rounding noise.
+EXACT_DIGITS = 12
+
 
+def as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of a list column as a float64 matrix of `width` columns, by default as its first row.
 
-def as_matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column without nulls as a float64 matrix."""
+    A row that is null or has another length is NaN throughout, and so is all computed from it.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    known = lengths[lengths >= 0]
+    width = width if width is not None else int(known[0]) if len(known) else 0
+    fits = lengths == width
+    out = np.full((len(column), width), np.nan)
+    flat = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
+    out[fits] = flat.astype("float64").reshape(int(fits.sum()), width)
+    return out
 
 
 def list_array(matrix: np.ndarray) -> pa.Array:
@@ -42,39 +52,37 @@ def _nullable(values: np.ndarray) -> pa.Array:
 
 
 def cosine_to(vector: Column, query: list[float]) -> Column:
-    """Cosine similarity to one fixed vector; NULL for zero vectors."""
+    """Cosine similarity to one fixed vector; NULL for zero, null and other-sized vectors.
+
+    Scores are exact to about the last digits, so that equal vectors score alike.
+    """
     target = unit_rows(np.asarray([query], dtype="float64"))[0]
 
     @F.arrow_udf("double")
     def score(rows: pa.Array) -> pa.Array:
-        matrix = as_matrix(rows)
-        if not len(matrix):
-            return pa.array([], type=pa.float64())
-        return _nullable(np.round(unit_rows(matrix) @ target, SCORE_DIGITS))
+        return _nullable(np.round(unit_rows(as_matrix(rows, len(target))) @ target, EXACT_DIGITS))
 
     return score.asNondeterministic()(vector)
 
 
 def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity of two vector columns; NULL when either is zero."""
+    """Cosine similarity of two vector columns; NULL when either is zero or null, or sizes differ."""
 
     @F.arrow_udf("double")
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        dots = (unit_rows(as_matrix(a)) * unit_rows(as_matrix(b))).sum(axis=1)
-        return _nullable(np.round(dots, SCORE_DIGITS))
+        out = np.full(len(a), np.nan)
+        sizes = pc.list_value_length(a)
+        for size in filter(None, pc.unique(sizes).to_pylist()):
+            dots = (unit_rows(as_matrix(a, size)) * unit_rows(as_matrix(b, size))).sum(axis=1)
+            at = pc.fill_null(pc.equal(sizes, size), False).to_numpy(zero_copy_only=False)
+            out[at] = dots[at]
+        return _nullable(np.round(out, SCORE_DIGITS))
 
     return score.asNondeterministic()(left, right)
 
 
 def vector_key(vector: Column) -> Column:
-    """Digest that is equal for equal vectors; NULL for zero vectors."""
-
-    @F.arrow_udf("string")
-    def digest(rows: pa.Array) -> pa.Array:
-        matrix = as_matrix(rows)
-        return pa.array(
-            [hashlib.sha256(r.tobytes()).hexdigest() if r.any() else None for r in matrix],
-            type=pa.string(),
-        )
-
-    return digest.asNondeterministic()(vector)
+    """128-bit digest that is equal for equal vectors; NULL for zero and null vectors."""
+    backwards = F.xxhash64(F.reverse(vector), F.size(vector))
+    key = F.concat_ws("-", F.hex(F.xxhash64(vector)), F.hex(backwards))
+    return F.when(F.exists(vector, lambda x: x != 0), key)

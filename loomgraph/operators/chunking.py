@@ -1,7 +1,8 @@
 """Chunkers: one file row in, many chunk rows out, with no shuffle.
 
 Every chunker takes a frame with a text column, keeps all its other columns and adds
-`chunk_index`, `chunk_text`, `section`, `exports` and `imports`.
+`chunk_index`, `chunk_text`, `section`, `exports` and `imports`. What is longer than `max_chars`
+becomes several chunks in a row, so no text is lost.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from loomgraph.functions.text import (
     LINE_BREAKS,
     MAX_CHUNK_CHARS,
     WS_NO_NEWLINE,
-    cut,
     last_line_value,
     lines,
+    pieces,
     trim,
 )
-from loomgraph.session import spread
 
 WINDOW_LINES = 200
 OVERLAP_LINES = 50
@@ -34,10 +34,8 @@ def _no_names() -> Column:
 
 def _window_pieces(split: Column, window: int, overlap: int, max_chars: int) -> Column:
     starts = F.sequence(F.lit(0), F.size(split) - 1, F.lit(window - overlap))
-    pieces = F.transform(
-        starts, lambda s: cut(trim(F.array_join(F.slice(split, s + 1, window), "\n")), max_chars)
-    )
-    return F.filter(pieces, lambda p: p != "")
+    windows = F.transform(starts, lambda s: trim(F.array_join(F.slice(split, s + 1, window), "\n")))
+    return F.flatten(F.transform(windows, lambda w: pieces(w, max_chars)))
 
 
 def chunk_windows(
@@ -49,10 +47,10 @@ def chunk_windows(
 ) -> DataFrame:
     """Overlapping line windows; blank ones are dropped and not numbered."""
     kept = [c for c in files.columns if c != text]
-    split = spread(files).select(*kept, lines(F.col(text)).alias("_lines"))
-    pieces = _window_pieces(F.col("_lines"), window, overlap, max_chars)
+    split = files.select(*kept, lines(F.col(text)).alias("_lines"))
+    chunks = _window_pieces(F.col("_lines"), window, overlap, max_chars)
     return split.select(
-        *kept, F.posexplode(pieces).alias("chunk_index", "chunk_text")
+        *kept, F.posexplode(chunks).alias("chunk_index", "chunk_text")
     ).select(
         *kept,
         "chunk_index",
@@ -69,33 +67,35 @@ def chunk_sections(
     """Split at level-2 headings; what precedes the first one is `(intro)`."""
     kept = [c for c in files.columns if c != text]
     parts = F.split(F.col(text), rf"\n(?={HEADING})", -1)
-    name = F.regexp_extract("piece", rf"\A##[{WS_NO_NEWLINE}]+([^{LINE_BREAKS}]+)", 1)
-    section = F.when(F.col("piece").rlike(rf"\A{HEADING}"), trim(name)).otherwise("(intro)")
-    sections = F.filter(
-        F.transform(parts, lambda p: F.struct(p.alias("piece"), trim(p).alias("body"))),
-        lambda s: s["body"] != "",
-    )
-    return (
-        spread(files)
-        .select(*kept, F.posexplode(sections).alias("chunk_index", "_s"))
-        .select(*kept, "chunk_index", F.col("_s.piece").alias("piece"), "_s.body")
-        .select(
-            *kept,
-            "chunk_index",
-            cut(F.col("body"), max_chars).alias("chunk_text"),
-            section.alias("section"),
-            _no_names().alias("exports"),
-            _no_names().alias("imports"),
+
+    def section(part: Column) -> Column:
+        name = F.regexp_extract(part, rf"\A##[{WS_NO_NEWLINE}]+([^{LINE_BREAKS}]+)", 1)
+        return F.when(part.rlike(rf"\A{HEADING}"), trim(name)).otherwise("(intro)")
+
+    def chunks_of(part: Column) -> Column:
+        return F.transform(
+            pieces(trim(part), max_chars),
+            lambda p: F.struct(p.alias("chunk_text"), section(part).alias("section")),
         )
+
+    chunks = F.flatten(F.transform(parts, chunks_of))
+    return files.select(*kept, F.posexplode(chunks).alias("chunk_index", "_c")).select(
+        *kept,
+        "chunk_index",
+        "_c.chunk_text",
+        "_c.section",
+        _no_names().alias("exports"),
+        _no_names().alias("imports"),
     )
 
 
 def chunk_notes(
     files: DataFrame, text: str = "content", max_chars: int = MAX_CHUNK_CHARS
 ) -> DataFrame:
-    """One chunk per note, with `name`, `description` and `type` from its front matter.
+    """The chunks of a note, with `name`, `description` and `type` from its front matter.
 
-    The front matter ends at the next `---`, wherever that stands.
+    The front matter ends at the next `---`, wherever that stands. A note without a body is one
+    empty chunk.
     """
     kept = [c for c in files.columns if c != text]
     source = F.col(text)
@@ -104,11 +104,16 @@ def chunk_notes(
     matter = F.when(has_matter, F.substring(source, F.lit(4), end - 4)).otherwise("")
     body = F.when(has_matter, trim(F.substring(source, end + 3, F.length(source)))).otherwise(source)
     return (
-        files.select(*kept, matter.alias("_matter"), body.alias("_body"))
+        files.select(
+            *kept, matter.alias("_matter"),
+            F.posexplode(F.when(body == "", F.array(F.lit(""))).otherwise(pieces(body, max_chars))).alias(
+                "chunk_index", "chunk_text"
+            ),
+        )
         .select(
             *kept,
-            F.lit(0).alias("chunk_index"),
-            cut(F.col("_body"), max_chars).alias("chunk_text"),
+            "chunk_index",
+            "chunk_text",
             F.lit("").alias("section"),
             _no_names().alias("exports"),
             _no_names().alias("imports"),
@@ -138,7 +143,7 @@ def chunk_declarations(
     # Only scripts are sent to Python with their text. Marked so that no plan packs twice.
     pack_once = pack.asNondeterministic()
     is_script = F.col("file_path").rlike(SCRIPT_PATH)
-    packed = spread(files).select(
+    packed = files.select(
         *kept, text,
         pack_once("file_path", F.when(is_script, F.col(text)).otherwise("")).alias("_packed"),
     )

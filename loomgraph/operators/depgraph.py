@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import heads
 from loomgraph.functions.outline import OUTLINE_ARROW, OUTLINE_TYPE, in_batches, outline
-from loomgraph.session import ensure_checkpoint_dir, spread
+from loomgraph.session import ensure_checkpoint_dir
 
 # What is tried, in order, to find the file an import means.
 TRIED_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
@@ -32,7 +35,25 @@ def with_outline(
     # Marked so that the optimizer neither repeats the parse nor moves it into a pushed filter.
     parse_once = parse.asNondeterministic()
     kept = [c for c in files.columns if c != text]
-    return spread(files).select(*kept, parse_once("file_path", text).alias("outline"))
+    return files.select(*kept, parse_once("file_path", text).alias("outline"))
+
+
+def with_heads(files: DataFrame, text: str = "content") -> DataFrame:
+    """Replace the text column by `outline` with the imports and exports of each file.
+
+    Built-in expressions only; the struct has the parts of `with_outline` that imports, exports
+    and all that follows from them read.
+    """
+    kept = [c for c in files.columns if c != text]
+    found = files.select(*kept, heads.statements(F.col(text)).alias("_found"))
+    exported = F.transform(
+        heads.exports(F.col("_found")),
+        lambda e: F.struct(e["name"].alias("name"), e["kind"].alias("kind"), F.lit(True).alias("exported")),
+    )
+    parts = F.struct(
+        heads.imports(F.col("_found"), F.col("file_path")).alias("imports"), exported.alias("nodes")
+    )
+    return found.select(*kept, parts.alias("outline"))
 
 
 def import_statements(outlined: DataFrame) -> DataFrame:
@@ -152,19 +173,21 @@ def consumers_of(edges: DataFrame, exported: DataFrame, type_name: str) -> DataF
     )
 
 
-def reachable(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
+def reachable(edges: DataFrame, start: str, depth: int | None = 1) -> DataFrame:
     """(node, level) at shortest distance 1 to `depth` from `start`, which is left out.
 
+    Without a depth the walk goes on until a level finds nothing new.
+
     `edges` has `from_node` and `to_node`. One join per level, each against nodes not yet seen,
     so dense graphs do not multiply walks. A level that finds nothing ends the loop.
     """
-    if not 1 <= depth <= MAX_DEPTH:
+    if depth is not None and not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
     ensure_checkpoint_dir(edges.sparkSession)
     steps = edges.select("from_node", "to_node").where(F.col("to_node") != start)
     first = steps.where(F.col("from_node") == start).select(F.col("to_node").alias("node"))
     seen = first.distinct().withColumn("level", F.lit(1))
-    for level in range(2, depth + 1):
+    for level in count(2) if depth is None else range(2, depth + 1):
         seen = seen.checkpoint()
         frontier = seen.where(F.col("level") == level - 1)
         if frontier.isEmpty():

@@ -24,12 +24,42 @@ def vanished_files(now: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.join(now.select(*PATH_KEY), PATH_KEY, "left_anti")
 
 
-def upsert_chunks(stored: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """Chunks after replacing every file of `fresh` whole and dropping the files of `gone`."""
-    replaced = fresh.select(*PATH_KEY).distinct()
-    if gone is not None:
-        replaced = replaced.unionByName(gone.select(*PATH_KEY)).distinct()
-    kept = stored.join(replaced, PATH_KEY, "left_anti")
+def compared(now: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per path of either listing with its `status`: same, changed, new or gone.
+
+    Other columns of the listings come as structs `now` and `stored`, so that one join tells all
+    that an index run has to know.
+    """
+    left = now.select(*PATH_KEY, F.struct(*now.columns).alias("now"))
+    right = stored.select(*PATH_KEY, F.struct(*stored.columns).alias("stored"))
+    status = (
+        F.when(F.col("now").isNull(), "gone")
+        .when(F.col("stored").isNull(), "new")
+        .when(F.col("now.content_hash") == F.col("stored.content_hash"), "same")
+        .otherwise("changed")
+    )
+    return left.join(right, PATH_KEY, "full_outer").withColumn("status", status)
+
+
+def merged_files(now: DataFrame, stored: DataFrame) -> DataFrame:
+    """The files an index holds after a run, from two trees of equal columns, with their status."""
+    rows = compared(now, stored).where(F.col("status") != "gone")
+    same = F.col("status") == "same"
+    others = [c for c in now.columns if c not in PATH_KEY]
+    return rows.select(
+        *PATH_KEY,
+        *(F.when(same, F.col(f"stored.{c}")).otherwise(F.col(f"now.{c}")).alias(c) for c in others),
+        "status",
+    )
+
+
+def upsert_chunks(stored: DataFrame, fresh: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Chunks after a run: those of the `replaced` paths go, `fresh` ones come.
+
+    `replaced` lists every changed and every vanished path; a changed file that has no chunk any
+    more is only found there.
+    """
+    kept = stored.join(replaced.select(*PATH_KEY).distinct(), PATH_KEY, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import ensure_checkpoint_dir
-from loomgraph.functions.vectors import SCORE_DIGITS, as_matrix, unit_rows, vector_key
+from loomgraph.functions.vectors import EXACT_DIGITS, SCORE_DIGITS, as_matrix, unit_rows, vector_key
 
 DEFAULT_MIN_SCORE = 0.78
 DEFAULT_TOP_K = 5
@@ -68,7 +68,7 @@ def overlay(
     )
 
     pivots = _pivots(entries, tile_rows)
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * (min_score - 10.0**-SCORE_DIGITS))) + 1e-6
+    radius = math.sqrt(max(0.0, 2.0 - 2.0 * min_score)) + 1e-6
     home, reachable = F.lit(0), F.array(F.lit(0))
     if len(pivots) > 1:
         home = _home_cell(pivots)("embedding")
@@ -110,7 +110,7 @@ def overlay(
         edges = edges.groupBy("_scope", "src", "dst").agg(F.max("score").alias("score"))
         edges = _best(edges, ["_scope", "src"], top_k)
     shown = [] if scope is None else [F.col("_scope").alias(scope)]
-    return edges.select(*shown, "src", "dst", "score")
+    return edges.select(*shown, "src", "dst", F.round("score", SCORE_DIGITS).alias("score"))
 
 
 def _best(edges: DataFrame, key: list[str], top_k: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _tile_matches(min_score: float, top_k: int):
             return names.empty_table()
         scores = np.round(
             unit_rows(as_matrix(left["embedding"])) @ unit_rows(as_matrix(right["embedding"])).T,
-            SCORE_DIGITS,
+            EXACT_DIGITS,
         )
         files = np.concatenate([np.asarray(left["file"]), np.asarray(right["file"])])
         codes = np.unique(files, return_inverse=True)[1]

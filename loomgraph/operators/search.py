@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.vectors import cosine_to
+from loomgraph.functions.vectors import SCORE_DIGITS, cosine_to
 
 
 def nearest(
@@ -23,11 +23,8 @@ def nearest(
     """
     scope = rows if where is None else rows.where(where)
     scored = scope.withColumn("score", cosine_to(F.col(vector), query)).drop(vector)
-    return (
-        scored.where(F.col("score").isNotNull())
-        .orderBy(F.desc("score"), *tie_break)
-        .limit(k)
-    )
+    best = scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), *tie_break).limit(k)
+    return best.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def check_k(k: int, most: int) -> int:

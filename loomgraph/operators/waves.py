@@ -6,16 +6,19 @@ within their batch by `issue`, numerically when it is a number and as text other
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import trim
-from loomgraph.session import ensure_checkpoint_dir
 
 WARNING_MIN_COUNT = 3
-WHOLE_BATCH_ROWS = 100_000
+SLICE_ISSUES = 1000
 
 
 def touch_rows(sets: DataFrame, batch: list[str] = ()) -> DataFrame:
@@ -62,108 +65,89 @@ def conflicts(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
     )
 
 
-def waves(
-    touches: DataFrame, batch: list[str] = (), whole_batch_rows: int = WHOLE_BATCH_ROWS
+def file_issues(
+    touches: DataFrame, batch: list[str] = (), slice_issues: int = SLICE_ISSUES
 ) -> DataFrame:
-    """(issue, wave): each issue gets the lowest wave free of the earlier issues it conflicts with.
+    """(file, slice, issues) of each file that several issues touch: conflicts without pairs.
 
-    Batches of at most `whole_batch_rows` touch rows are each planned in one step, side by side.
-    Larger ones go through `waves_in_rounds`, which never holds a batch in one place.
+    All issues of a file conflict with each other. They come in order, in slices of at most
+    `slice_issues`, so a file that very many issues touch is many bounded rows.
     """
-    ensure_checkpoint_dir(touches.sparkSession)
-    keys = list(batch)
-    rows = touches.select(*keys, "issue", "file").distinct().checkpoint()
-    large = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > whole_batch_rows).drop("_n")
-    )
-    if not keys:
-        return waves_in_rounds(rows) if large.count() else _waves_of_whole_batches(rows, keys)
-    if large.isEmpty():
-        return _waves_of_whole_batches(rows, keys)
-    large = large.checkpoint()
-    small = _waves_of_whole_batches(rows.join(large, keys, "left_anti"), keys)
-    return small.unionByName(waves_in_rounds(rows.join(large, keys, "left_semi"), keys))
-
-
-def _waves_of_whole_batches(rows: DataFrame, keys: list[str]) -> DataFrame:
-    issue_type = rows.schema["issue"].dataType
-
-    @F.arrow_udf(f"array<struct<issue: {issue_type.simpleString()}, wave: int>>")
-    def plan(batches: pa.Array) -> pa.Array:
-        touch = batches.type.value_type
-        planned = pa.list_(pa.struct([("issue", touch.field("issue").type), ("wave", pa.int32())]))
-        return pa.array([_first_free_waves(b) for b in batches.to_pylist()], type=planned)
-
-    gathered = rows.groupBy(*keys).agg(
-        F.collect_list(F.struct("issue", "file")).alias("_touches")
+    rows = touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct()
+    on_file = [*batch, "file"]
+    several = rows.groupBy(*on_file).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    nth = F.row_number().over(Window.partitionBy(*on_file).orderBy("issue")) - 1
+    numbered = rows.join(several.drop("_n"), on_file, "left_semi").withColumn("_at", nth)
+    return numbered.groupBy(*on_file, F.floor(F.col("_at") / slice_issues).cast("int").alias("slice")).agg(
+        F.array_sort(F.collect_list("issue")).alias("issues")
     )
-    planned = gathered.select(*keys, plan("_touches").alias("_planned"))
-    return planned.select(*keys, F.explode("_planned").alias("_p")).select(
-        *keys, "_p.issue", "_p.wave"
+
+
+def conflicts_of(touches: DataFrame, issues: list, batch: list[str] = ()) -> DataFrame:
+    """(issue, other, reason) of the conflicts of a few asked issues."""
+    rows = touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct()
+    asked = rows.where(F.col("issue").isin(issues))
+    others = rows.withColumnRenamed("issue", "other")
+    shared = asked.join(others, [*batch, "file"]).where(F.col("issue") != F.col("other"))
+    return shared.groupBy(*batch, "issue", "other").agg(
+        F.concat(F.lit("both touch "), F.min("file")).alias("reason")
     )
 
 
-def _first_free_waves(touches: list[dict]) -> list[dict]:
-    files_of: dict = {}
-    for touch in touches:
-        files_of.setdefault(touch["issue"], set()).add(touch["file"])
-    used: dict[str, set[int]] = {}
-    planned = []
-    for issue in sorted(files_of):
-        seen = [used.setdefault(f, set()) for f in files_of[issue] if f is not None]
-        wave = 0
-        while any(wave in waves_of_file for waves_of_file in seen):
-            wave += 1
-        for waves_of_file in seen:
-            waves_of_file.add(wave)
-        planned.append({"issue": issue, "wave": wave})
-    return planned
-
-
-def waves_in_rounds(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
-    """The same waves, found in rounds over the whole frame.
-
-    In a round, every issue that is the earliest open one in all its files is placed. Rounds are
-    as many as the longest chain of conflicts. No pair of issues is ever listed: an issue reads
-    the waves in use on its files, and takes the first gap in them.
+def waves(touches: DataFrame, batch: list[str] = ()) -> DataFrame:
+    """(issue, wave): each issue gets the lowest wave free of the earlier issues it conflicts with.
+
+    A wave depends on those of all earlier issues, so a batch is one pass in order. Rows are
+    shuffled by batch and sorted there; the pass reads them as a stream and remembers, of each
+    file, which waves are in use, one bit each. No batch, file or pair of issues is gathered.
     """
-    ensure_checkpoint_dir(touches.sparkSession)
-    key = [*batch, "issue"]
-    on_file = [*batch, "file"]
-    rows = touches.select(*key, "file").distinct()
-    no_files = rows.groupBy(*key).agg(F.count("file").alias("_n")).where("_n = 0")
-    result = no_files.select(*key, F.lit(0).alias("wave"))
-    open_rows = rows.where(F.col("file").isNotNull()).checkpoint()
-    used = None
-    while not open_rows.isEmpty():
-        first = open_rows.groupBy(*on_file).agg(F.min("issue").alias("_first"))
-        ready = (
-            open_rows.join(first, on_file)
-            .groupBy(*key)
-            .agg(F.min(F.col("issue") == F.col("_first")).alias("_ready"))
-            .where("_ready")
-            .select(*key)
-        )
-        placed = ready.withColumn("wave", F.lit(0))
-        if used is not None:
-            taken = (
-                open_rows.join(ready, key, "left_semi").join(used, on_file)
-                .select(*key, "wave").distinct()
-            )
-            # The gap: the lowest of 0 and all taken waves + 1 that is not itself taken.
-            offered = taken.select(*key, (F.col("wave") + 1).alias("wave")).unionByName(placed)
-            placed = (
-                offered.join(taken, [*key, "wave"], "left_anti")
-                .groupBy(*key).agg(F.min("wave").alias("wave"))
-            )
-        step = open_rows.join(placed, key, "left").checkpoint()
-        done = step.where(F.col("wave").isNotNull())
-        result = result.unionByName(done.select(*key, "wave").distinct())
-        newly = done.select(*on_file, "wave")
-        used = newly if used is None else used.unionByName(newly)
-        open_rows = step.where(F.col("wave").isNull()).drop("wave")
-    return result
+    keys = list(batch)
+    rows = touches.select(*keys, "issue", "file").distinct()
+    placed = rows.repartition(*keys) if keys else rows.repartition(1)
+    ordered = placed.sortWithinPartitions(*keys, "issue").select(*keys, "issue", "file")
+    schema = T.StructType([f for f in ordered.schema if f.name != "file"]).add("wave", T.IntegerType())
+    arrow = to_arrow_schema(schema)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = []
+        for row in _first_free_waves(_rows(batches)):
+            done.append(row)
+            if len(done) == 10_000:
+                yield _record(done, arrow)
+                done = []
+        yield _record(done, arrow)
+
+    return ordered.mapInArrow(plan, schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
+    )
+
+
+def _first_free_waves(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(*batch, issue, wave) of (*batch, issue, file) rows sorted by batch and issue."""
+    used: dict[str, int] = {}
+    batch = None
+    for key, own in groupby(rows, lambda r: r[:-1]):
+        if key[:-1] != batch:
+            used, batch = {}, key[:-1]
+        files = [r[-1] for r in own if r[-1] is not None]
+        taken = 0
+        for file in files:
+            taken |= used.get(file, 0)
+        # The lowest bit that is not set.
+        free = ~taken & (taken + 1)
+        for file in files:
+            used[file] = used.get(file, 0) | free
+        yield (*key, free.bit_length() - 1)
 
 
 def independent_set(wave_rows: DataFrame) -> DataFrame:

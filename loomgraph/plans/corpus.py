@@ -100,6 +100,32 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def varied_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One script per document: its lines as comments, texts, templates and tags of statements."""
+    doc, text = F.col("doc_id").cast("string"), F.col("text")
+
+    def statement(line, i):
+        n = i.cast("string")
+        forms = [
+            F.concat(F.lit("import D"), n, F.lit(", {\n  a as b"), n, F.lit(", // "), line, F.lit("\n  type T"), n,
+                     F.lit(",\n} from '../m"), n, F.lit("';")),
+            F.concat(F.lit("/* "), line, F.lit("\nimport ghost from './none'\n*/ import './side"), n, F.lit("'")),
+            F.concat(F.lit("export const v"), n, F.lit(" = `"), line, F.lit(" \\` ${x ? `\nexport let ghost = 1\n` : ''}`;")),
+            F.concat(F.lit("export default async function f"), n, F.lit("() { return <p>"), line, F.lit(" http://x.y</p> }")),
+            F.concat(F.lit("const s"), n, F.lit(" = \"export class Ghost \" + /[`'{]/.test('"), F.replace(line, F.lit("'")),
+                     F.lit("'); export type Y"), n, F.lit(" = 'y'")),
+        ]
+        chosen = forms[-1]
+        for k, form in enumerate(forms[:-1]):
+            chosen = F.when(i % len(forms) == k, form).otherwise(chosen)
+        return chosen
+
+    body = F.array_join(F.transform(F.split(text, "\n", -1), statement), "\n")
+    return _file(
+        table(spark, sf_dir, "documents"), "code", F.concat(F.lit("gen/d"), doc, F.lit("/x.tsx")), body
+    )
+
+
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markdown: a later line that starts with A, E, I, O or U is a heading."""
     headed = F.regexp_replace("text", "\n(?=[AEIOU])", "\n## ")

@@ -20,23 +20,29 @@ doc_parts AS (
   SELECT doc_id, part, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS body,
          arg_min(line, i) AS head
   FROM headed GROUP BY doc_id, part),
+doc_pieces AS (
+  SELECT *, unnest(range(0, (length(body) + 3899) // 3900)) AS k FROM doc_parts WHERE body <> ''),
 doc_chunks AS (
   SELECT 'docs/d' || doc_id || '.md' AS file_path,
-         row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS chunk_index,
+         row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1 AS chunk_index,
          CASE WHEN part = 0 THEN '(intro)' ELSE trim(substr(head, 4)) END AS section,
-         substr(body, 1, 6000) AS chunk_text
-  FROM doc_parts WHERE body <> '')
+         substr(body, 3900 * k + 1, 3900) AS chunk_text
+  FROM doc_pieces)
 """
 
 _NOTES = """
+note_bodies AS (
+  SELECT *, CASE WHEN role = 'system' THEN text ELSE trim(text, ' ' || chr(10)) END AS body
+  FROM conversations),
+note_pieces AS (
+  SELECT *, unnest(range(0, greatest(1, (length(body) + 3899) // 3900))) AS k FROM note_bodies),
 note_chunks AS (
-  SELECT 'c' || conv_id || '-t' || turn || '.md' AS file_path, 0 AS chunk_index,
+  SELECT 'c' || conv_id || '-t' || turn || '.md' AS file_path, k AS chunk_index,
          CASE WHEN role = 'system' THEN '' ELSE 'turn ' || turn END AS name,
          CASE WHEN role = 'system' THEN '' ELSE 'talk ' || conv_id END AS description,
          CASE role WHEN 'system' THEN '' WHEN 'assistant' THEN 'feedback' ELSE 'user' END AS type,
-         substr(CASE WHEN role = 'system' THEN text ELSE trim(text, ' ' || chr(10)) END, 1, 6000)
-           AS chunk_text
-  FROM conversations)
+         substr(body, 3900 * k + 1, 3900) AS chunk_text
+  FROM note_pieces)
 """
 
 _WIKI = """
@@ -48,11 +54,14 @@ wiki_pages AS (
     || '- [[ page-' || (page_id + 2) || ' ]] and [[page-' || (page_id + 1) || ']]' AS related,
     url
   FROM pages),
+wiki_intros AS (
+  SELECT *, trim(intro, ' ' || chr(10)) AS body, (length(body) + 3899) // 3900 AS n FROM wiki_pages),
 wiki_chunks AS (
-  SELECT 'page-' || page_id || '.md' AS file_path, 0 AS chunk_index,
-         substr(trim(intro, ' ' || chr(10)), 1, 6000) AS chunk_text FROM wiki_pages
+  SELECT 'page-' || page_id || '.md' AS file_path, k AS chunk_index,
+         substr(body, 3900 * k + 1, 3900) AS chunk_text
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM wiki_intros)
   UNION ALL
-  SELECT 'page-' || page_id || '.md', 1, related FROM wiki_pages)
+  SELECT 'page-' || page_id || '.md', n, related FROM wiki_intros)
 """
 
 _CODE_FILES = """
@@ -142,10 +151,10 @@ symbol_edges AS (
 _OVERLAY = """
 vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 scored AS (
-  SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS score
+  SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS score
   FROM vec a JOIN vec b ON a.label <> b.label),
 overlay AS (
-  SELECT src, dst, score FROM (
+  SELECT src, dst, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n
     FROM scored WHERE score >= 0.3) WHERE n <= 5)
 """
@@ -210,7 +219,9 @@ docs AS (
   SELECT 'sample' AS repo_id, 'docs' AS source, 'docs/d' || d.doc_id || '.md' AS file_path,
          text, quality, toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-now AS (SELECT * FROM docs WHERE coalesce(toxic, 0) = 0),
+now AS (
+  SELECT * REPLACE (CASE WHEN quality = 1 AND len(text) % 5 = 0 THEN ' ' || chr(10) ELSE text END AS text)
+  FROM docs WHERE coalesce(toxic, 0) = 0),
 stored AS (
   SELECT repo_id, source, file_path,
          CASE WHEN quality = 0 THEN text || chr(10) || 'earlier' ELSE text END AS text
@@ -222,32 +233,37 @@ def _windows(source: str, key: str) -> str:
     return f"""
 split AS (SELECT {key}, string_split(text, chr(10)) AS l FROM {source}),
 starts AS (SELECT {key}, l, unnest(range(0, len(l), 15)) AS s FROM split),
-pieces AS (
-  SELECT {key}, s,
-         substr(trim(array_to_string(l[s + 1 : s + 20], chr(10)), ' ' || chr(10)), 1, 6000) AS t
+bodies AS (
+  SELECT {key}, s, trim(array_to_string(l[s + 1 : s + 20], chr(10)), ' ' || chr(10)) AS t
   FROM starts),
+pieces AS (
+  SELECT {key}, s, k, substr(t, 3900 * k + 1, 3900) AS t
+  FROM (SELECT *, unnest(range(0, (length(t) + 3899) // 3900)) AS k FROM bodies)),
 windows AS (
-  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY s) - 1 AS chunk_index,
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY s, k) - 1 AS chunk_index,
          length(t) AS n_chars, sha256(t) AS chunk_hash
-  FROM pieces WHERE t <> '')
+  FROM pieces)
 """
 
 
-def _text_search(chunks: str, where: str = "true") -> str:
+_WANTED = "SELECT 'where are the entries of the older index kept' AS w"
+
+
+def _text_search(chunks: str, where: str = "true", wanted: str = _WANTED) -> str:
     return f"""
-wanted AS (SELECT unnest(string_split('where are the entries of the older index kept', '')) AS c),
+wanted AS (SELECT unnest(string_split(w, '')) AS c FROM ({wanted})),
 q AS (SELECT b, sum(n) AS n FROM (
         SELECT ord(c) % 768 AS b, 1 AS n FROM wanted UNION ALL SELECT 0, 1) GROUP BY b),
 chars AS (
   SELECT file_path, chunk_index, ord(c) % 768 AS b FROM (
-    SELECT file_path, chunk_index, unnest(string_split(chunk_text_in, '')) AS c FROM (
-      SELECT *, substr(chunk_text, 1, 4000) AS chunk_text_in FROM {chunks} WHERE {where}))
+    SELECT file_path, chunk_index, unnest(string_split(chunk_text, '')) AS c
+    FROM {chunks} WHERE {where})
   UNION ALL SELECT file_path, chunk_index, 0 FROM {chunks} WHERE {where}),
 bins AS (SELECT file_path, chunk_index, b, count(*) AS n FROM chars GROUP BY ALL),
 hits AS (
   SELECT file_path, chunk_index,
          round(sum(bins.n * coalesce(q.n, 0)) / sqrt(sum(bins.n * bins.n))
-               / (SELECT sqrt(sum(n * n)) FROM q), 6) AS s
+               / (SELECT sqrt(sum(n * n)) FROM q), 10) AS s
   FROM bins LEFT JOIN q ON bins.b = q.b GROUP BY 1, 2)
 SELECT file_path, chunk_index, round(s, 4) AS score FROM hits
 ORDER BY s DESC, file_path, chunk_index LIMIT 10
@@ -315,14 +331,17 @@ packed(doc_id, i, chunk_index, size) AS (
   SELECT doc_id, i, 0, length(t) FROM nodes WHERE i = 0
   UNION ALL
   SELECT n.doc_id, n.i,
-         p.chunk_index + CASE WHEN p.size + length(n.t) > 6000 THEN 1 ELSE 0 END,
-         CASE WHEN p.size + length(n.t) > 6000 THEN length(n.t)
+         p.chunk_index + CASE WHEN p.size + length(n.t) > 3900 THEN 1 ELSE 0 END,
+         CASE WHEN p.size + length(n.t) > 3900 THEN length(n.t)
               ELSE p.size + 1 + length(n.t) END
   FROM packed p JOIN nodes n ON n.doc_id = p.doc_id AND n.i = p.i + 1),
+whole AS (
+  SELECT doc_id, chunk_index, string_agg(t, chr(10) ORDER BY i) AS t, count(*) AS n_exports
+  FROM packed JOIN nodes USING (doc_id, i) GROUP BY 1, 2),
 chunks AS (
-  SELECT doc_id, chunk_index, substr(string_agg(t, chr(10) ORDER BY i), 1, 6000) AS t,
-         count(*) AS n_exports
-  FROM packed JOIN nodes USING (doc_id, i) GROUP BY 1, 2)"""
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, k) - 1 AS chunk_index,
+         substr(t, 3900 * k + 1, 3900) AS t, n_exports
+  FROM (SELECT *, unnest(range(0, (length(t) + 3899) // 3900)) AS k FROM whole))"""
     )
     + """ SELECT 'gen/d' || doc_id || '.ts' AS file_path, chunk_index, length(t) AS n_chars,
  sha256(t) AS chunk_hash, n_exports, CASE WHEN chunk_index = 0 THEN './base' ELSE '' END AS imports
@@ -374,19 +393,60 @@ FROM bins""",
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT vec_id, label, 'label_' || label || '/v' || vec_id || '.ts' AS file_path,
        round(list_cosine_similarity(v, (SELECT v FROM v WHERE vec_id = 0)), 6) AS score
-FROM v ORDER BY score DESC, vec_id LIMIT 20""",
+FROM v ORDER BY round(list_cosine_similarity(v, (SELECT v FROM v WHERE vec_id = 0)), 12) DESC, vec_id LIMIT 20""",
     "search_code_file_filter": """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT vec_id, label, 'label_' || label || '/v' || vec_id || '.ts' AS file_path,
        round(list_cosine_similarity(v, (SELECT v FROM v WHERE vec_id = 0)), 6) AS score
-FROM v WHERE label IN (3, 4) ORDER BY score DESC, vec_id LIMIT 20""",
+FROM v WHERE label IN (3, 4)
+ORDER BY round(list_cosine_similarity(v, (SELECT v FROM v WHERE vec_id = 0)), 12) DESC, vec_id LIMIT 20""",
     "search_docs": _with(_DOC_FILES, _text_search("doc_chunks")),
+    "search_docs_tail": _with(
+        _DOC_FILES,
+        _text_search(
+            "doc_chunks",
+            wanted="SELECT right(text, 300) AS w FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1",
+        ),
+    ),
     "search_wiki": _with(_WIKI, _text_search("wiki_chunks")),
     "search_memory_type": _with(_NOTES, _text_search("note_chunks", "type = 'feedback'")),
     "cosine_pairs": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score
 FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""",
+    "symbol_overlay": """
+WITH vec AS (
+  SELECT 'f' || label AS file, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+         unnest(['s' || vec_id // 2, 's' || (vec_id + 100000)]) AS name FROM embeddings),
+named AS (SELECT file || '::' || name AS id, file, v FROM vec WHERE name NOT LIKE '%7'),
+scored AS (
+  SELECT a.id AS src, b.id AS dst, max(round(list_cosine_similarity(a.v, b.v), 12)) AS score
+  FROM named a JOIN named b ON a.file <> b.file GROUP BY 1, 2)
+SELECT src, dst, round(score, 6) AS score FROM scored WHERE score >= 0.3
+QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 3""",
+    "search_code_scope": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+scored AS (
+  SELECT vec_id, list_cosine_similarity(v, (SELECT v FROM v WHERE vec_id = 0)) AS s
+  FROM v WHERE vec_id % 3 <> 0 AND vec_id % 2 = 0),
+best AS (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, vec_id) AS rank FROM scored)
+SELECT vec_id, 'b' AS repo_id, 'code' AS source, round(s, 6) AS score, rank FROM best WHERE rank <= 15""",
+    "touch_rows_trimmed": """
+SELECT DISTINCT l_orderkey AS issue, 'p' || l_partkey % 50 AS file FROM lineitem WHERE l_linenumber < 4
+UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY 1 HAVING min(l_linenumber) >= 4""",
+    "reindex_unchanged": "SELECT 'docs' AS source, 'same' AS status, count(*) AS n_files FROM documents",
+    "chunk_fallback": """
+WITH bodies AS (
+  SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS file_path,
+         string_split('// ' || replace(text, chr(10), chr(10) || '// '), chr(10)) AS l FROM documents),
+windows AS (
+  SELECT file_path, s, trim(array_to_string(l[s + 1 : s + 200], chr(10)), ' ' || chr(10)) AS t
+  FROM (SELECT *, unnest(range(0, len(l), 150)) AS s FROM bodies)),
+pieces AS (
+  SELECT file_path, s, k, substr(t, 3900 * k + 1, 3900) AS t
+  FROM (SELECT *, unnest(range(0, (length(t) + 3899) // 3900)) AS k FROM windows))
+SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY s, k) - 1 AS chunk_index,
+       length(t) AS n_chars, sha256(t) AS chunk_hash FROM pieces""",
     "semantic_overlay": _with(_OVERLAY) + " SELECT src, dst, score FROM overlay",
     "parse_commit_log": """
 WITH files AS (
@@ -398,6 +458,10 @@ SELECT doc_id, commit_no,
        row_number() OVER (PARTITION BY doc_id, commit_no ORDER BY i) - 1 AS file_pos,
        sha256(file) AS file_hash
 FROM files WHERE trim(file) <> ''""",
+    "commit_limit": """
+SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_files, 0 AS last
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+GROUP BY doc_id HAVING n_files > 0""",
     "co_change_pairs": _with(_PART_PAIRS) + " SELECT file_a, file_b, count FROM pairs",
     "query_co_changes": _with(_MODULES)
     + """, moderate AS (
@@ -412,6 +476,17 @@ GROUP BY 1 HAVING count(*) >= 3""",
     "export_extract": _with(_SYMBOLS)
     + """ SELECT file AS file_path, name, kind FROM nodes
  WHERE kind <> 'method' AND name NOT LIKE 'price%'""",
+    "import_heads_varied": """
+WITH lines AS (
+  SELECT 'gen/d' || doc_id || '/x.tsx' AS file_path, unnest(range(0, len(string_split(text, chr(10))))) AS i
+  FROM documents)
+SELECT file_path, 'import' AS what, 'gen/m' || i AS name, 'D' || i || ',b' || i || ',T' || i AS detail
+FROM lines WHERE i % 5 = 0
+UNION ALL SELECT file_path, 'import',
+  'gen/' || split_part(file_path, '/', 2) || '/side' || i, '' FROM lines WHERE i % 5 = 1
+UNION ALL SELECT file_path, 'export', 'v' || i, 'variable' FROM lines WHERE i % 5 = 2
+UNION ALL SELECT file_path, 'export', 'f' || i, 'function' FROM lines WHERE i % 5 = 3
+UNION ALL SELECT file_path, 'export', 'Y' || i, 'type' FROM lines WHERE i % 5 = 4""",
     "import_resolve": _with(_CODE_FILES, _STATEMENTS)
     + """ SELECT DISTINCT base, target FROM statements
  WHERE target IN (SELECT file_path FROM code_paths)""",
@@ -444,7 +519,7 @@ UNION ALL SELECT 'qualified', def_file, NULL, consumer FROM consumers
   SELECT 'src/region/r0.ts', 0
   UNION ALL
   SELECT DISTINCT e.source, w.level + 1 FROM walk w JOIN edges e ON e.target = w.node
-  WHERE w.level < 5)""",
+  WHERE w.level < 40)""",
     )
     + " SELECT node, min(level) AS level FROM walk WHERE level > 0 GROUP BY 1",
     "query_dependencies": _with(
@@ -512,6 +587,17 @@ UNION ALL SELECT 'symbol edges', count(*) FROM symbol_edges""",
     "partition_conflicts": _with(_TOUCHES)
     + " SELECT batch, a, b, 'both touch ' || first_shared AS reason FROM shared",
     "touch_set_intersect": _with(_TOUCHES) + " SELECT * FROM shared",
+    "partition_file_issues": _with(_TOUCHES)
+    + """, numbered AS (
+  SELECT batch, file, issue, row_number() OVER (PARTITION BY batch, file ORDER BY issue) - 1 AS nth,
+         count(*) OVER (PARTITION BY batch, file) AS n FROM touches)
+SELECT batch, file, (nth // 3)::INTEGER AS slice, string_agg(issue, ',' ORDER BY issue) AS issues
+FROM numbered WHERE n > 1 GROUP BY ALL""",
+    "partition_conflicts_of": _with(_TOUCHES)
+    + """ SELECT batch, asked AS issue, CASE WHEN a = asked THEN b ELSE a END AS other,
+ 'both touch ' || first_shared AS reason
+FROM shared JOIN (SELECT unnest([min(o_orderkey), max(o_orderkey)]) AS asked FROM orders)
+  ON a = asked OR b = asked""",
     "partition_waves": _with(_WAVES) + " SELECT * FROM waves",
     "partition_independent_set": _with(_WAVES)
     + " SELECT batch, issue FROM waves WHERE wave = 0",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import EmbeddingConfig
@@ -18,9 +18,9 @@ from loomgraph.operators import (
 )
 from loomgraph.plans import corpus
 from loomgraph.plans.corpus import table
-from loomgraph.session import ensure_checkpoint_dir, spread
+from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources.files import filter_files, select_paths
-from loomgraph.sources.gitlog import COMMIT_MARK, parse_log_text
+from loomgraph.sources.gitlog import COMMIT_MARK, newest_commits, parse_log_text
 from loomgraph.streaming.debounce import change_bursts
 
 OFFLINE = EmbeddingConfig("offline", "char-bins")
@@ -170,7 +170,7 @@ def embed_prefix_truncate(spark, sf):
         *[F.struct(F.lit(m).alias("model"), F.lit(mode).alias("mode"))
           for m in models for mode in ("query", "document")]
     )
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", "text", F.explode(cases).alias("_c"))
     sent = emb.model_input(F.col("text"), F.col("_c.model"), F.col("_c.mode"))
     return rows.select("doc_id", "_c.model", "_c.mode", sent.alias("_sent")).select(
@@ -202,7 +202,7 @@ def fake_embedding(spark, sf):
     def vectors(texts: pa.Array) -> pa.Array:
         return list_array(np.asarray([emb.char_bins(t) for t in texts.to_pylist()]))
 
-    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+    rows = table(spark, sf, "documents").select(
         "doc_id", vectors.asNondeterministic()("text").alias("_v")
     )
     return rows.select("doc_id", F.posexplode("_v").alias("bin", "_w")).where("_w > 0").select(
@@ -237,10 +237,12 @@ def search_code_file_filter(spark, sf):
     return search.nearest(rows, _query_vector(spark, sf), 20, ["vec_id"])
 
 
-def _search_text(chunks: DataFrame, k: int, keys: list[str], where=None) -> DataFrame:
+def _search_text(
+    chunks: DataFrame, k: int, keys: list[str], where=None, wanted: str = QUERY_TEXT
+) -> DataFrame:
     scope = chunks if where is None else chunks.where(where)
     rows = scope.select(*keys, emb.embed(F.col("chunk_text"), OFFLINE).alias("embedding"))
-    hits = search.nearest(rows, emb.embed_query(QUERY_TEXT, OFFLINE), k, keys)
+    hits = search.nearest(rows, emb.embed_query(wanted, OFFLINE), k, keys)
     return hits.select(*keys, F.round("score", 4).alias("score"))
 
 
@@ -249,6 +251,16 @@ def search_docs(spark, sf):
     return _search_text(_chunks(spark, sf, "docs"), 10, ["file_path", "chunk_index"])
 
 
+@query
+def search_docs_tail(spark, sf):
+    """What is searched for is the end of the longest document."""
+    longest = table(spark, sf, "documents").orderBy(F.desc(F.length("text")), "doc_id")
+    wanted = longest.select(F.expr("right(text, 300)")).first()[0]
+    return _search_text(
+        _chunks(spark, sf, "docs"), 10, ["file_path", "chunk_index"], wanted=wanted
+    )
+
+
 @query
 def search_wiki(spark, sf):
     return _search_text(_chunks(spark, sf, "wiki"), 10, ["file_path", "chunk_index"])
@@ -278,6 +290,64 @@ def _overlay(spark, sf) -> DataFrame:
     return overlay.overlay(rows, OVERLAY_MIN_SCORE)
 
 
+@query
+def symbol_overlay(spark, sf):
+    """Each vector as a chunk that exports two symbols, one of them shared with the next chunk."""
+    vec = F.col("vec_id")
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    chunks = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("f"), F.col("label")).alias("file_path"), "embedding",
+        F.array(name(F.floor(vec / 2)), name(vec + 100_000)).alias("exports"),
+    )
+    nodes = chunks.select("file_path", F.explode("exports").alias("name")).where(
+        ~F.col("name").endswith("7")
+    ).select(symbols.symbol_id(F.col("file_path"), F.col("name")).alias("id")).distinct()
+    return symbols.symbol_overlay(chunks, nodes, OVERLAY_MIN_SCORE, 3)
+
+
+@query
+def search_code_scope(spark, sf):
+    """One repository and source of an index that several share."""
+    rows = _vectors(spark, sf).withColumn(
+        "repo_id", F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b")
+    ).withColumn("source", F.when(F.col("vec_id") % 2 == 0, "code").otherwise("docs"))
+    found = search.nearest(
+        rows, _query_vector(spark, sf), 15, ["vec_id"],
+        where=(F.col("repo_id") == "b") & (F.col("source") == "code"),
+    )
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))
+    return found.select("vec_id", "repo_id", "source", "score", rank.alias("rank"))
+
+
+@query
+def touch_rows_trimmed(spark, sf):
+    """Touch sets with blanks around paths, repeated paths and empty sets."""
+    line = F.col("l_linenumber")
+    padded = F.concat(F.when(line % 2 == 0, F.lit(" \t")).otherwise(""), F.lit("p"), F.col("l_partkey") % 50, F.lit("\n"))
+    sets = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("issue")).agg(
+        F.collect_list(F.when(line < 4, padded)).alias("files")
+    )
+    return waves.touch_rows(sets)
+
+
+@query
+def reindex_unchanged(spark, sf):
+    """A second run over the same tree: nothing to do, whatever the source."""
+    listing = corpus.listing(corpus.doc_files(spark, sf))
+    compared = incremental.compared(listing, listing)
+    return compared.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def chunk_fallback(spark, sf):
+    """Files of any kind through the chunker of code: what has no declaration goes by lines."""
+    docs = table(spark, sf, "documents")
+    path = F.concat(F.lit("d"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".ts"))
+    commented = F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")))
+    files = docs.select(path.alias("file_path"), commented.alias("content"))
+    return _digest(chunking.chunk_declarations(files), "file_path")
+
+
 @query
 def semantic_overlay(spark, sf):
     return _overlay(spark, sf)
@@ -299,6 +369,19 @@ def parse_commit_log(spark, sf):
     )
 
 
+@query
+def commit_limit(spark, sf):
+    """The newest commit of each log: the limit counts commits before files are listed."""
+    logs = table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(
+            F.lit(COMMIT_MARK + "\n"), F.col("text"), F.lit("\n" + COMMIT_MARK + "\n"), F.col("lang")
+        ).alias("log"),
+    )
+    rows = newest_commits(parse_log_text(logs), 1)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_files"), F.max("commit_no").alias("last"))
+
+
 @query
 def co_change_pairs(spark, sf):
     return cochange.co_change_pairs(corpus.part_history(spark, sf))
@@ -321,7 +404,7 @@ def distinct_files(spark, sf):
 
 def _tree(spark, sf, with_symbols: bool = False) -> tuple[DataFrame, DataFrame]:
     files = corpus.code_files(spark, sf)
-    outlined = depgraph.with_outline(files, with_symbols=with_symbols)
+    outlined = depgraph.with_outline(files) if with_symbols else depgraph.with_heads(files)
     return outlined, files.select("file_path")
 
 
@@ -334,7 +417,7 @@ def _written(frame: DataFrame) -> DataFrame:
 def _edges(spark, sf) -> DataFrame:
     outlined, paths = _tree(spark, sf)
     imports = outlined.select("file_path", F.struct("outline.imports").alias("outline"))
-    return depgraph.import_edges(_written(imports), paths)
+    return depgraph.import_edges(imports, paths)
 
 
 @query
@@ -349,6 +432,20 @@ def export_extract(spark, sf):
     return depgraph.exports(_tree(spark, sf)[0]).select("file_path", "name", "kind")
 
 
+@query
+def import_heads_varied(spark, sf):
+    """Statements of scripts made from the documents' own lines, in comments and texts too."""
+    outlined = depgraph.with_heads(corpus.varied_scripts(spark, sf))
+    imported = depgraph.import_statements(outlined).select(
+        "file_path", F.lit("import").alias("what"), F.col("base").alias("name"),
+        F.array_join("names", ",").alias("detail"),
+    )
+    exported = depgraph.exports(outlined).select(
+        "file_path", F.lit("export").alias("what"), "name", F.col("kind").alias("detail")
+    )
+    return imported.unionByName(exported)
+
+
 @query
 def import_resolve(spark, sf):
     outlined, paths = _tree(spark, sf)
@@ -411,7 +508,7 @@ def transitive_deps(spark, sf):
     walk = depgraph.imported_by(_edges(spark, sf)).select(
         F.col("target").alias("from_node"), F.col("source").alias("to_node")
     )
-    return depgraph.reachable(_written(walk), "src/region/r0.ts", 5)
+    return depgraph.reachable(_written(walk), "src/region/r0.ts", None)
 
 
 @query
@@ -540,6 +637,19 @@ def touch_set_intersect(spark, sf):
     return waves.shared_files(corpus.module_touches(spark, sf), ["batch"])
 
 
+@query
+def partition_file_issues(spark, sf):
+    """The same conflicts per file, in slices of three issues."""
+    slices = waves.file_issues(corpus.module_touches(spark, sf), ["batch"], 3)
+    return slices.withColumn("issues", F.array_join(F.transform("issues", lambda i: i.cast("string")), ","))
+
+
+@query
+def partition_conflicts_of(spark, sf):
+    asked = table(spark, sf, "orders").agg(F.max("o_orderkey"), F.min("o_orderkey")).first()
+    return waves.conflicts_of(corpus.module_touches(spark, sf), list(asked), ["batch"])
+
+
 @query
 def partition_waves(spark, sf):
     return waves.waves(corpus.module_touches(spark, sf), ["batch"])
@@ -573,9 +683,15 @@ def _labelled(spark, sf) -> DataFrame:
 
 
 def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(now, stored): toxic documents are gone now, low quality ones were worded otherwise."""
+    """(now, stored): toxic documents are gone now, low quality ones were worded otherwise.
+
+    Of those of high quality some have been emptied.
+    """
     rows = _labelled(spark, sf)
-    now = rows.where(F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    emptied = (F.col("quality") == 1) & (F.length("text") % 5 == 0)
+    now = rows.where(F.coalesce(F.col("toxic"), F.lit(0)) == 0).withColumn(
+        "text", F.when(emptied, F.lit(" \n")).otherwise(F.col("text"))
+    )
     before = F.when(F.col("quality") == 0, F.concat("text", F.lit("\nearlier"))).otherwise(
         F.col("text")
     )
@@ -599,14 +715,11 @@ def prune_deleted(spark, sf):
 @query
 def upsert_chunks(spark, sf):
     now, stored = _snapshots(spark, sf)
-    changed = incremental.changed_files(corpus.listing(now), corpus.listing(stored))
-    gone = incremental.vanished_files(corpus.listing(now), corpus.listing(stored))
-    fresh = now.join(changed.select("file_path"), "file_path", "left_semi")
-    merged = incremental.upsert_chunks(
-        chunking.chunk_windows(stored, window=20, overlap=5),
-        chunking.chunk_windows(fresh, window=20, overlap=5), gone,
-    )
-    return _digest(merged, "repo_id", "source", "file_path")
+    now, stored = (f.withColumn("content_hash", content_hash(F.col("content"))) for f in (now, stored))
+    kept = incremental.merged_files(now, stored).drop("content_hash", "status")
+    return _digest(
+        chunking.chunk_windows(kept, window=20, overlap=5), "repo_id", "source", "file_path"
+    )
 
 
 @query

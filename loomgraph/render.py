@@ -1,139 +1,101 @@
-"""Markdown text of small results, as shown to a person."""
+"""Plain-text tables of results, for a person to read.
+
+Every table shows at most `most` rows and says how many there are beyond, so that a result of any
+size costs the driver a bounded number of rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from loomgraph.operators.symbols import edge_groups
 
+MOST_ROWS = 50
+
 
-def code_hits(hits: DataFrame) -> str:
-    rows = hits.collect()
-    if not rows:
-        return "No matching code found."
-
-    def title(i: int, r) -> str:
-        names = ", ".join(r["exports"] or [])
-        return f"### {i}. {r['file']}" + (f" (exports: {names})" if names else "")
-
-    return "\n\n".join(
-        f"{title(i, r)}\n```\n{r['chunk_text']}\n```" for i, r in enumerate(rows, 1)
-    )
-
-
-def section_hits(hits: DataFrame, what: str) -> str:
-    """Hits in documents or the wiki; `what` names them when there are none."""
-    rows = hits.collect()
-    if not rows:
-        return f"No matching {what} found."
-    return "\n\n---\n\n".join(
-        f"### {i}. {r['file']} > {r['section']}\n{r['chunk_text']}" for i, r in enumerate(rows, 1)
-    )
-
-
-def note_hits(hits: DataFrame) -> str:
-    rows = hits.collect()
-    if not rows:
-        return "No matching memory found."
-    return "\n\n---\n\n".join(
-        f"### {i}. {r['name']} ({r['type']})\n{r['chunk_text']}" for i, r in enumerate(rows, 1)
-    )
-
-
-def dependencies(file: str, found: DataFrame) -> str:
-    rows = found.collect()
-    parts = [f"## Dependencies for `{file}`"]
-    for side, title in (("imports", "Imports"), ("importedBy", "Imported by")):
-        here = [r for r in rows if r["direction"] == side]
-        if here:
-            parts.append(f"\n### {title} ({len(here)})")
-        for r in here:
-            names = f" ({', '.join(r['names'])})" if r["names"] else ""
-            parts.append(f"- `{r['file']}`{names}")
-    if not rows:
-        parts.append("\nNo dependencies found for this file.")
-    return "\n".join(parts)
-
-
-def co_changes(file: str, found: DataFrame, min_count: int = 2) -> str:
-    rows = found.collect()
-    if not rows:
-        return f"No co-change pairs found for `{file}` (min count: {min_count})."
-    listed = [f"- `{r['other']}` ({r['count']} commits together)" for r in rows]
-    return "\n".join([f"## Co-change pairs for `{file}`\n", *listed])
-
-
-def type_consumers(type_name: str, found: DataFrame) -> str:
-    rows = found.collect()
-    defined = [r for r in rows if r["role"] == "defined"]
-    used = [r for r in rows if r["role"] == "consumed"]
-    lines = [f"## Type: `{type_name}`\n", "### Defined in"]
-    lines += [f"- `{r['def_file']}` ({r['kind'] or 'unknown'})" for r in defined]
-    if not defined:
-        lines.append("*Not found in indexed exports.*")
-    lines.append(f"\n### Consumed by ({len(used)} files)" if used else "\n### Consumed by")
-    lines += [f"- `{r['consumer']}`" for r in used] or ["*No consumers found.*"]
+def table(rows: DataFrame, columns: dict[str, Column | str], most: int = MOST_ROWS) -> str:
+    """Aligned columns of `rows` in their order; `columns` gives title and expression of each."""
+    shown = rows.select(*((F.expr(c) if isinstance(c, str) else c).cast("string").alias(t) for t, c in columns.items()))
+    found = shown.limit(most + 1).collect()
+    cells = [list(columns)] + [["-" if v is None else v for v in r] for r in found[:most]]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(columns))]
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in cells]
+    if not found:
+        lines.append("(no rows)")
+    if len(found) > most:
+        lines.append(f"({rows.count() - most} more rows)")
     return "\n".join(lines)
 
 
-def symbol(name: str, found: dict[str, DataFrame]) -> str:
-    matches = found["matches"].collect()
-    if not matches:
-        return f'Symbol "{name}" not found in the symbol graph.'
-    lines = [f"## Symbol: `{name}`\n", "### Defined"]
-    lines += [f"- `{m['id']}` ({m['kind']}) — {m['file']}:{m['line']}" for m in matches]
-    for side in ("outgoing", "incoming"):
-        lines.append(f"\n### Structural — {side}")
-        groups: dict[str, list[str]] = {}
-        ordered = edge_groups(found[side], side).orderBy("label_rank", "id")
-        for r in ordered.collect():
-            groups.setdefault(r["label"], []).append(f"`{r['id']}`")
-        lines += [f"- **{k}**: {', '.join(v)}" for k, v in groups.items()] or ["*none*"]
-    lines.append("\n### ~ Semantic neighbors (advisory)")
-    near = found["neighbors"].collect()
-    lines += [f"- `{n['id']}` ({n['score']:.2f})" for n in near] or ["*none above threshold*"]
-    return "\n".join(lines)
+def _passages(rows: DataFrame, title: Column, most: int) -> str:
+    """Texts of hits one below the other, each under a numbered title with its score."""
+    heading = F.concat(title, F.format_string(" [%.3f]", F.col("score")))
+    found = rows.select(heading.alias("title"), "chunk_text").limit(most).collect()
+    parts = [f"({i}) {r['title']}\n{r['chunk_text']}" for i, r in enumerate(found, 1)]
+    return "\n\n".join(parts) or "(no hits)"
 
 
-def wiki_pages(found: DataFrame) -> str:
-    rows = found.collect()
-    if not rows:
-        return "No wiki pages yet."
-    listed = [
-        f"- **{p['name']}**: {p['summary'] or '*No summary*'}"
-        f" (updated: {p['last_updated'] or 'unknown'})"
-        for p in rows
-    ]
-    return "\n".join(["## Wiki Pages\n", *listed])
+def code_hits(hits: DataFrame, most: int = MOST_ROWS) -> str:
+    names = F.when(F.size("exports") > 0, F.concat(F.lit(" defines "), F.array_join("exports", " ")))
+    return _passages(hits, F.concat(F.col("file"), F.coalesce(names, F.lit(""))), most)
 
 
-def partition(plan: dict) -> str:
-    lines = ["# Partition"]
-    if plan.get("head_sha"):
-        lines += ["", f"HEAD: `{plan['head_sha']}`"]
-    by_wave: dict[int, list[str]] = {}
-    for r in plan["waves"].collect():
-        by_wave.setdefault(r["wave"], []).append(_issue(r["issue"]))
-    lines += ["", "## Waves"]
-    for wave, ids in sorted(by_wave.items()):
-        label = " (independent set)" if wave == 0 else ""
-        lines.append(f"- Wave {wave + 1}{label}: {', '.join(ids)}")
-    if not by_wave:
-        lines.append("_(no issues)_")
-    edges = plan["conflicts"].collect()
-    lines += ["", "## Conflicts"]
-    lines += [f"- {_issue(e['a'])} ↔ {_issue(e['b'])}: {e['reason']}" for e in edges] or ["_(none)_"]
-    warnings = plan["warnings"].collect()
-    if warnings:
-        lines += ["", "## ⚠ Hidden coupling",
-                  "_Advisory only — these do not gate parallelization._"]
-    lines += [
-        f"- Issue {_issue(w['issue'])}: `{w['file']}` historically co-changes with"
-        f" `{w['coupled_to']}` ({w['count']}×)"
-        for w in warnings
-    ]
-    return "\n".join(lines)
+def section_hits(hits: DataFrame, most: int = MOST_ROWS) -> str:
+    return _passages(hits, F.concat_ws(" # ", "file", "section"), most)
+
+
+def note_hits(hits: DataFrame, most: int = MOST_ROWS) -> str:
+    return _passages(hits, F.concat_ws(" : ", "type", "name"), most)
 
 
-def _issue(value) -> str:
-    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+def dependencies(found: DataFrame, most: int = MOST_ROWS) -> str:
+    columns = {"direction": "direction", "distance": "level", "file": "file", "names": "array_join(names, ' ')"}
+    return table(found, columns, most)
+
+
+def co_changes(found: DataFrame, most: int = MOST_ROWS) -> str:
+    return table(found, {"commits": "count", "changed with": "other"}, most)
+
+
+def type_consumers(found: DataFrame, most: int = MOST_ROWS) -> str:
+    return table(found, {"role": "role", "defined in": "def_file", "kind": "kind", "used in": "consumer"}, most)
+
+
+def symbol(found: dict[str, DataFrame], most: int = MOST_ROWS) -> str:
+    """The tables of one symbol, each under its name."""
+    place = F.concat_ws(":", "file", "line")
+    parts = [("symbols", table(found["matches"], {"kind": "kind", "symbol": "id", "place": place}, most))]
+    for side in ("outgoing", "incoming"):
+        groups = edge_groups(found[side], side).orderBy("label_rank", "id")
+        parts.append((side, table(groups, {"relation": "label", "symbol": "id"}, most)))
+    near = {"score": "format_string('%.3f', score)", "symbol": "id"}
+    parts.append(("similar", table(found["neighbors"], near, most)))
+    return "\n\n".join(f"[{name}]\n{text}" for name, text in parts)
+
+
+def wiki_pages(found: DataFrame, most: int = MOST_ROWS) -> str:
+    return table(found, {"page": "name", "updated": "last_updated", "about": "summary"}, most)
+
+
+def partition(plan: dict, most: int = MOST_ROWS) -> str:
+    """Waves, conflicts and advisory couplings of a plan, and the commit it was made at."""
+    by_wave = plan["waves"].groupBy("wave").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("issue")).alias("issues")
+    ).orderBy("wave")
+    issues = F.array_join(F.transform("issues", lambda i: i.cast("string")), " ")
+    parts = [
+        ("waves", table(by_wave, {"wave": "wave", "size": "n", "issues": issues}, most)),
+        ("conflicts", table(plan["conflicts"], {"issue": "a", "with": "b", "because": "reason"}, most)),
+        (
+            "couplings, for information",
+            table(
+                plan["warnings"],
+                {"issue": "issue", "file": "file", "often changes with": "coupled_to", "commits": "count"},
+                most,
+            ),
+        ),
+    ]
+    if plan.get("head_sha"):
+        parts.append(("commit", plan["head_sha"]))
+    return "\n\n".join(f"[{name}]\n{text}" for name, text in parts)

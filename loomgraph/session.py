@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -20,6 +20,8 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.files.minPartitionNum", str(cpus))
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -40,16 +42,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores before costly Python work, when the input has too few partitions.
-
-    Small inputs arrive as a few files, hence a few tasks. Large ones have more splits than
-    cores already and are returned as they are, so no shuffle of whole texts is added.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 _shipped: set[str] = set()
 
 

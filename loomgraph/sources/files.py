@@ -84,7 +84,9 @@ class _TreeReader(DataSourceReader):
                     if self.contents:
                         with open(path, "rb") as handle:
                             text = handle.read().decode("utf-8", "replace")
-                except OSError:
+                except FileNotFoundError:
+                    # Gone since it was listed. Any other failure ends the scan: a file that
+                    # cannot be read must not look like one that was deleted.
                     continue
                 yield shown, text, changed
 
@@ -118,7 +120,8 @@ def scan_tree(
 ) -> DataFrame:
     """(repo_id, source, file_path, content, mtime) of every matching file under `root`.
 
-    Files that vanish or cannot be read are skipped. Paths are relative to `root`.
+    Files that vanish during the scan are skipped; one that cannot be read is an error. Paths
+    are relative to `root`.
     """
     files = _tree(
         spark, root, globs=json.dumps(list(globs)), skip=json.dumps(list(skip_parts))
@@ -129,6 +132,14 @@ def scan_tree(
     )
 
 
+def scan(spark: SparkSession, root: str, *rules) -> DataFrame:
+    """`scan_store` for a root with a scheme other than file, else `scan_tree`."""
+    scheme = re.match(r"([a-z][a-z0-9+.-]+):", root)
+    if scheme and scheme[1] != "file":
+        return scan_store(spark, root, *rules)
+    return scan_tree(spark, re.sub("^file:/*", "/", root), *rules)
+
+
 def list_paths(spark: SparkSession, root: str) -> DataFrame:
     """Every file path under `root`, whatever its kind, without reading the files."""
     return _tree(spark, root, contents="false").select("file_path")
@@ -151,7 +162,6 @@ def scan_store(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
         .load(folder)
     )
     below = F.regexp_replace(

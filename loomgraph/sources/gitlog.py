@@ -16,34 +16,46 @@ _HASH_MARK = "\x01"
 
 
 class CommitRange(InputPartition):
-    def __init__(self, repo_id: str, root: str, skip: int, count: int):
-        self.repo_id, self.root, self.skip, self.count = repo_id, root, skip, count
+    def __init__(self, repo_id: str, root: str, sha: str, skip: int, count: int):
+        self.repo_id, self.root, self.sha, self.skip, self.count = repo_id, root, sha, skip, count
+
+
+def _git(root: str, *arguments: str) -> str:
+    done = subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise OSError(f"git {arguments[0]} failed in {root}: {done.stderr.strip()}")
+    return done.stdout.strip()
 
 
 class _GitLogReader(DataSourceReader):
+    """Commits before a pinned one, so that commits made during a scan shift no range."""
+
     def __init__(self, options: dict[str, str]):
         # `roots` is "id=path" per line; every executor must see the same paths.
         pairs = [p.split("=", 1) for p in options["roots"].splitlines() if p]
         self.roots = [(name, root) for name, root in pairs]
-        self.limit = int(options.get("maxcommits", "500"))
+        self.limit = int(options.get("maxcommits", "0"))
         self.step = int(options.get("commitspertask", "5000"))
 
     def partitions(self) -> list[CommitRange]:
-        return [
-            CommitRange(name, root, skip, min(self.step, self.limit - skip))
-            for name, root in self.roots
-            for skip in range(0, self.limit, self.step)
-        ]
+        ranges = []
+        for name, root in self.roots:
+            if sha := head_sha(root):
+                total = int(_git(root, "rev-list", "--count", sha))
+                total = min(total, self.limit) if self.limit else total
+                for skip in range(0, total, self.step):
+                    ranges.append(CommitRange(name, root, sha, skip, min(self.step, total - skip)))
+        return ranges
 
     def read(self, part: CommitRange) -> Iterator[tuple[str, str, str]]:
         # Commits without files (such as merges) are counted by the limit but give no rows.
         command = [
             "git", "-C", part.root, "-c", "core.quotePath=false", "log",
             f"--pretty=format:{_HASH_MARK}%H", "--name-only",
-            "--skip", str(part.skip), "-n", str(part.count),
+            "--skip", str(part.skip), "-n", str(part.count), part.sha,
         ]
         with subprocess.Popen(
-            command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace"
+            command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace"
         ) as process:
             commit = ""
             for line in process.stdout:
@@ -52,6 +64,9 @@ class _GitLogReader(DataSourceReader):
                     commit = line[1:]
                 elif line.strip():
                     yield part.repo_id, commit, line
+            said = process.stderr.read()
+        if process.returncode:
+            raise OSError(f"git log failed in {part.root}: {said.strip()}")
 
 
 class GitLogSource(DataSource):
@@ -69,22 +84,32 @@ class GitLogSource(DataSource):
 
 
 def commit_files(
-    spark: SparkSession, roots: dict[str, str], max_commits: int = 500, per_task: int = 5000
+    spark: SparkSession, roots: dict[str, str], max_commits: int | None = None, per_task: int = 5000
 ) -> DataFrame:
+    """Files of the newest `max_commits` commits of each repository, by default of all.
+
+    A folder that is no repository, or one without a commit, has none; a `git` that fails later
+    fails its task.
+    """
     spark.dataSource.register(GitLogSource)
     return (
         spark.read.format("gitlog")
         .option("roots", "\n".join(f"{k}={v}" for k, v in roots.items()))
-        .option("maxCommits", str(max_commits))
+        .option("maxCommits", str(max_commits or 0))
         .option("commitsPerTask", str(per_task))
         .load()
     )
 
 
+def newest_commits(files: DataFrame, max_commits: int, commit: str = "commit_no") -> DataFrame:
+    """Rows of the first `max_commits` commits of a parsed log; the limit counts commits, not files."""
+    return files.where(F.col(commit) < max_commits)
+
+
 def head_sha(root: str) -> str:
     """Current commit of a checkout, '' when there is none."""
     done = subprocess.run(
-        ["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, check=False
+        ["git", "-C", root, "rev-parse", "--verify", "-q", "HEAD"], capture_output=True, text=True, check=False
     )
     return done.stdout.strip() if done.returncode == 0 else ""
 

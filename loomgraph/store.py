@@ -3,7 +3,8 @@
 Chunks and the file log are append-only: each index run writes its chunks under a new version
 and then, as the commit, one log row per changed or deleted file. A chunk is live when the log's
 last row of its file has the chunk's version. Nothing is rewritten, and a run that dies before
-its log rows leaves only chunks that no reader sees.
+its log rows leaves only chunks that no reader sees. Graph tables are written under a version, too,
+and become current together, by one write to their log.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ FILE_LOG = {
     "repo_id": "string",
     "source": "string",
 }
+GRAPH_LOG = {"name": "string", "repo_id": "string", "version": "bigint"}
 TABLES = {
     "import_edges": "source string, target string, stmt_pos int, names array<string>",
     "exports": "file_path string, pos int, name string, kind string",
@@ -118,17 +120,30 @@ class Store:
             raise ValueError(f"repository id not usable as a folder name: {repo_id!r}")
         return f"{self.root}/{name}/repo_id={repo_id}"
 
-    def write_table(self, name: str, repo_id: str, rows: DataFrame) -> None:
-        """Replace one repository's rows of a graph table."""
-        rows.write.mode("overwrite").parquet(self._table_path(name, repo_id))
+    def write_table(self, name: str, repo_id: str, rows: DataFrame, version: int) -> DataFrame:
+        """Write one repository's rows of a graph table under a version, and read them back.
+
+        Nobody else sees them before the version is published.
+        """
+        path = f"{self._table_path(name, repo_id)}/version={version}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(path)
+
+    def publish(self, repo_id: str, names: list[str], version: int) -> None:
+        """Make the version of these tables the current one, with one write for all of them."""
+        rows = [(name, repo_id, version) for name in names]
+        log = self.spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in GRAPH_LOG.items()))
+        log.coalesce(1).write.mode("append").parquet(f"{self.root}/graph_log")
 
     def table(self, name: str, repo_id: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(TABLES[name]).parquet(self._table_path(name, repo_id))
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            raise NotBuilt(f"{name} of {repo_id!r} is not built yet") from error
+        """The current version; earlier ones stay for those who still read them."""
+        log = self._read("graph_log", GRAPH_LOG)
+        mine = log.where((F.col("repo_id") == repo_id) & (F.col("name") == name))
+        version = mine.agg(F.max("version")).first()[0]
+        if version is None:
+            raise NotBuilt(f"{name} of {repo_id!r} is not built yet")
+        path = f"{self._table_path(name, repo_id)}/version={version}"
+        return self.spark.read.schema(TABLES[name]).parquet(path)
 
     def dimension(self, repo_id: str) -> int | None:
         try:

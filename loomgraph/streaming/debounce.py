@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUIET_SECONDS = 5
@@ -14,42 +14,46 @@ def change_bursts(
 ) -> DataFrame:
     """(stream, first_ts, last_ts, n_events) per burst; a longer pause than the gap ends it.
 
-    A stream may hold most of all events, so it is first cut by time `unit` (at least the gap
-    long) and bursts are built per unit. Only a unit's first and last burst can run on into the
-    next unit; those few are joined up in a second step.
+    Two events in a window as long as the gap are always in one burst, so events are first
+    counted per such window, with map-side aggregation; raw events are never sorted. Windows
+    are put together per time `unit` (at least the gap long). Only a unit's first and last burst
+    can run on into the next unit; those few are joined up in a second step.
     """
     gap = F.expr(f"INTERVAL {quiet_seconds} SECONDS")
     length = F.expr(f"INTERVAL 1 {unit.upper()}")
-    parts = (
+    counted = (
         events.select(F.col(stream).alias("_stream"), F.col(ts).alias("_ts"))
-        .withColumn("_unit", F.date_trunc(unit, "_ts").cast(events.schema[ts].dataType))
-        .groupBy("_stream", "_unit", F.session_window("_ts", f"{quiet_seconds} seconds"))
+        .groupBy("_stream", F.window("_ts", f"{quiet_seconds} seconds").alias("_w"))
         .agg(
             F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts"),
             F.count(F.lit(1)).alias("n_events"),
         )
-        .withColumn(
-            "_at_edge",
-            (F.col("first_ts") <= F.col("_unit") + gap)
-            | (F.col("last_ts") + gap >= F.col("_unit") + length),
-        )
-        .select("_stream", "first_ts", "last_ts", "n_events", "_at_edge")
+        .withColumn("_unit", F.date_trunc(unit, "_w.start").cast(events.schema[ts].dataType))
     )
+    parts = _joined_up(counted.drop("_w"), ["_stream", "_unit"], gap).withColumn(
+        "_at_edge",
+        (F.col("first_ts") <= F.col("_unit") + gap + gap)
+        | (F.col("last_ts") + gap >= F.col("_unit") + length),
+    ).drop("_unit")
     inner = parts.where(~F.col("_at_edge")).drop("_at_edge")
-    order = Window.partitionBy("_stream").orderBy("first_ts")
+    edge = _joined_up(parts.where("_at_edge").drop("_at_edge"), ["_stream"], gap)
+    return inner.unionByName(edge).withColumnRenamed("_stream", stream)
+
+
+def _joined_up(parts: DataFrame, keys: list[str], gap: Column) -> DataFrame:
+    """Parts (first_ts, last_ts, n_events) of the same keys, those within the gap as one."""
+    order = Window.partitionBy(*keys).orderBy("first_ts")
     opens = F.coalesce(F.col("first_ts") > F.lag("last_ts").over(order) + gap, F.lit(True))
-    edge = (
-        parts.where("_at_edge")
-        .withColumn("_opens", opens.cast("int"))
+    return (
+        parts.withColumn("_opens", opens.cast("int"))
         .withColumn("_burst", F.sum("_opens").over(order))
-        .groupBy("_stream", "_burst")
+        .groupBy(*keys, "_burst")
         .agg(
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
             F.sum("n_events").alias("n_events"),
         )
         .drop("_burst")
     )
-    return inner.unionByName(edge).withColumnRenamed("_stream", stream)
 
 
 def streaming_bursts(

@@ -27,7 +27,7 @@ def plain_windows(text, size, step):
     for start in range(0, len(parts), step):
         piece = js_trim("\n".join(parts[start : start + size]))
         if piece:
-            found.append(piece[:6000])
+            found += [piece[k : k + 3900] for k in range(0, len(piece), 3900)]
     return found
 
 

@@ -145,26 +145,49 @@ def test_requests_of_the_other_providers():
     assert emb.request_vectors(["a"], EmbeddingConfig("ollama", "m"), post) == [[3.0]]
     assert emb.request_vectors(["a", "b"], EmbeddingConfig("google", "m", "k"), post) == [[4.0]] * 2
     assert urls[0] == "http://localhost:11434/api/embed"
-    assert urls[1].endswith("/v1beta/models/m:embedContent?key=k") and len(urls) == 3
+    assert urls[1].endswith("/v1beta/models/m:embedContent") and len(urls) == 3
     with pytest.raises(ValueError):
         emb.embed_texts(["a"], EmbeddingConfig("nobody", "m"))
 
 
-def test_failed_batches_degrade():
+def test_a_failed_call_is_repeated_and_then_an_error(monkeypatch):
+    monkeypatch.setattr(emb.time, "sleep", lambda seconds: None)
     calls = []
 
     def call(texts, config):
-        calls.append([len(t) for t in texts])
-        if len(texts) > 1 or "bad" in texts[0]:
+        calls.append(list(texts))
+        if len(calls) % 2 or "bad" in texts:
             raise OSError("no")
-        return [[1.0] * 384]
+        return [[1.0] * 384 for _ in texts]
 
     config = EmbeddingConfig("lmstudio", "all-minilm")
-    got = emb.embed_texts(["x" * 3000, "bad", "y"] + ["z"] * 8, config, call)
-    assert [sum(v) for v in got] == [384.0, 0.0] + [384.0] * 9
-    assert calls[0] == [3000, 3] + [1] * 8 and calls[1] == [2000] and calls[-1] == [1]
-    wrong = emb.embed_texts(["a"], config, lambda t, c: [[1.0]])
-    assert wrong == [[0.0] * 384]
+    texts = ["x" * 3000, "y"] + ["z"] * 9
+    assert [sum(v) for v in emb.embed_texts(texts, config, call)] == [384.0] * 11
+    assert calls[0] == calls[1] == texts[:10] and calls[-1] == ["z"]
+    with pytest.raises(OSError):
+        emb.embed_texts(["bad"], config, call)
+    with pytest.raises(ValueError):
+        emb.embed_texts(["a"], config, lambda t, c: [[1.0]])
+
+
+def test_texts_that_a_model_would_cut_are_an_error(spark):
+    config = EmbeddingConfig("offline", "char-bins")
+    rows = spark.createDataFrame([("x" * 4001,)], "t string")
+    with pytest.raises(Exception, match="chunk it first"):
+        rows.select(emb.embed(F.col("t"), config)).collect()
+    with pytest.raises(ValueError):
+        emb.embed_query("x" * 4001, config)
+
+
+def test_null_and_other_sized_vectors(spark):
+    rows = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [3.0, 4.0]), (6, [])], "id long, embedding array<double>"
+    )
+    assert [(r.id, r.score) for r in nearest(rows, [1.0, 0.0], 9, ["id"]).collect()] == [(1, 1.0), (5, 0.6)]
+    turned = rows.select("id", cosine(F.col("embedding"), F.array(F.lit(0.0), F.lit(2.0))).alias("s"))
+    assert {r.id: r.s for r in turned.collect()} == {1: 0.0, 2: None, 3: None, 4: None, 5: 0.8, 6: None}
+    other = rows.select("id", cosine(F.col("embedding"), F.col("embedding")).alias("s"))
+    assert {r.id: r.s for r in other.collect()} == {1: 1.0, 2: None, 3: 1.0, 4: None, 5: 1.0, 6: None}
 
 
 @pytest.mark.parametrize("model, mode, prefix", [

@@ -1,69 +1,82 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import waves
 
 
-def plan(spark, sets, co_changes=(), min_count=3):
-    frame = waves.local_touch_sets(spark, [{"issue": i, "files": f} for i, f in sets])
-    touches = waves.touch_rows(frame)
-    pairs = spark.createDataFrame(list(co_changes), "file_a string, file_b string, count long")
-    by_wave = {}
-    for r in waves.waves(touches).orderBy("issue").collect():
-        by_wave.setdefault(r["wave"], []).append(r["issue"])
-    return {
-        "conflicts": sorted((r["a"], r["b"], r["reason"]) for r in waves.conflicts(touches).collect()),
-        "waves": [by_wave[w] for w in sorted(by_wave)],
-        "warnings": sorted(
-            (r["issue"], r["file"], r["coupled_to"], r["count"])
-            for r in waves.coupling_warnings(touches, pairs, (), min_count).collect()
-        ),
-    }
-
-
-@pytest.mark.parametrize(
-    "sets, conflicts, by_wave",
-    [
-        ([(1, ["a"]), (2, ["b"]), (3, ["c"])], [], [[1, 2, 3]]),
-        ([(1, ["s", "a"]), (2, ["s", "b"])], [(1, 2, "both touch s")], [[1], [2]]),
-        ([(1, ["z", "m", "a"]), (2, ["a", "m", "z"])], [(1, 2, "both touch a")], [[1], [2]]),
-        (
-            [(1, ["x"]), (2, ["x", "y"]), (3, ["y"])],
-            [(1, 2, "both touch x"), (2, 3, "both touch y")],
-            [[1, 3], [2]],
-        ),
-        ([(1, [" s"]), (2, ["s "])], [(1, 2, "both touch s")], [[1], [2]]),
-        (
-            [(1, ["c"]), (2, ["c"]), (3, ["c"])],
-            [(1, 2, "both touch c"), (1, 3, "both touch c"), (2, 3, "both touch c")],
-            [[1], [2], [3]],
-        ),
-        ([], [], []),
-        ([(3, ["c", "s"]), (1, ["a", "s"]), (2, ["b"])], [(1, 3, "both touch s")], [[1, 2], [3]]),
-        ([(10, ["a"]), (2, ["b"])], [], [[2, 10]]),
-        (
-            [("I-b", ["x", "s"]), ("I-a", ["y", "s"])],
-            [("I-a", "I-b", "both touch s")],
-            [["I-a"], ["I-b"]],
-        ),
-        ([(1, []), (2, ["a"])], [], [[1, 2]]),
-    ],
-)
-def test_conflicts_and_waves(spark, sets, conflicts, by_wave):
-    got = plan(spark, sets)
-    assert got["conflicts"] == conflicts
-    assert got["waves"] == by_wave
+def greedy(sets):
+    placed = {}
+    for issue in sorted(sets):
+        used = {w for other, w in placed.items() if sets[other] & sets[issue]}
+        placed[issue] = next(w for w in range(len(used) + 1) if w not in used)
+    return placed
+
+
+def paired(sets):
+    found = {}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] & sets[b]:
+                found[a, b] = f"both touch {min(sets[a] & sets[b])}"
+    return found
+
+
+def touches_of(spark, sets):
+    return waves.touch_rows(
+        waves.local_touch_sets(spark, [{"issue": i, "files": list(f)} for i, f in sets.items()])
+    )
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_random_plans_against_plain_code(spark, numbered):
+    rng = random.Random(7)
+    for size, files in ((0, 1), (1, 1), (9, 4), (30, 12), (25, 200)):
+        ids = rng.sample(range(1, 500), size)
+        sets = {
+            (i if numbered else f"job-{i}"): {f"dir/{rng.randrange(files)}.py" for _ in range(rng.randint(0, 3))}
+            for i in ids
+        }
+        touches = touches_of(spark, sets)
+        assert {r["issue"]: r["wave"] for r in waves.waves(touches).collect()} == greedy(sets)
+        pairs = paired(sets)
+        assert {(r["a"], r["b"]): r["reason"] for r in waves.conflicts(touches).collect()} == pairs
+        asked = list(sets)[:2]
+        got = {(r["issue"], r["other"]): r["reason"] for r in waves.conflicts_of(touches, asked).collect()} if asked else {}
+        assert got == {(x, y): pairs[min(x, y), max(x, y)] for x in asked for y in sets if (min(x, y), max(x, y)) in pairs}
+
+
+def test_paths_are_trimmed_and_first_wave(spark):
+    rows = waves.waves(touches_of(spark, {5: ["\tlib/core.py "], 3: ["lib/core.py\n"], 8: []}))
+    assert sorted(r["issue"] for r in waves.independent_set(rows).collect()) == [3, 8]
+
+
+def test_one_file_that_all_issues_touch(spark):
+    """Ten thousand issues, one job: a wave each, and conflicts in bounded slices."""
+    touches = spark.range(10_000).select(F.col("id").alias("issue"), F.lit("hot").alias("file"))
+    planned = waves.waves(touches)
+    assert planned.where("issue = wave").count() == 10_000
+    slices = waves.file_issues(touches, slice_issues=1500).collect()
+    assert sorted(len(r["issues"]) for r in slices) == [1000] + [1500] * 6
+    assert sorted(i for r in slices for i in r["issues"]) == list(range(10_000))
 
 
 def test_warnings(spark):
-    apart = [(1, ["a"]), (2, ["b"])]
-    assert plan(spark, apart, [("a", "b", 5)])["warnings"] == [(1, "a", "b", 5), (2, "b", "a", 5)]
-    assert plan(spark, apart, [("a", "b", 2)])["warnings"] == []
-    assert plan(spark, [(1, ["a", "b"]), (2, ["c"])], [("a", "b", 9)])["warnings"] == []
-    with_warning, without = plan(spark, apart, [("a", "b", 100)]), plan(spark, apart)
-    assert with_warning["waves"] == without["waves"]
-    assert with_warning["conflicts"] == without["conflicts"]
+    pairs = spark.createDataFrame([("m", "n", 4), ("m", "o", 1), ("p", "q", 7)], "file_a string, file_b string, count long")
+    sets = {1: ["m"], 2: ["n", "o"], 3: ["p", "q"], 4: ["n"]}
+    touches = touches_of(spark, sets)
+
+    def warned(least):
+        rows = waves.coupling_warnings(touches, pairs, (), least).collect()
+        return sorted((r["issue"], r["file"], r["coupled_to"], r["count"]) for r in rows)
+
+    strong = [(1, "m", "n", 4), (2, "n", "m", 4), (4, "n", "m", 4)]
+    assert warned(2) == strong
+    assert warned(1) == sorted([*strong, (1, "m", "o", 1), (2, "o", "m", 1)])
+    assert warned(8) == []
+    with pytest.raises(ValueError):
+        warned(0)
 
 
 def test_mixed_or_repeated_ids_are_rejected(spark):
@@ -72,15 +85,7 @@ def test_mixed_or_repeated_ids_are_rejected(spark):
             waves.local_touch_sets(spark, [{"issue": i, "files": []} for i in ids])
 
 
-def greedy(sets):
-    placed = {}
-    for issue in sorted(sets):
-        used = {w for other, w in placed.items() if sets[other] & sets[issue]}
-        placed[issue] = next(w for w in range(len(used) + 1) if w not in used)
-    return placed
-
-
-def test_rounds_and_whole_batches_equal_one_by_one_planning(spark):
+def test_batches_equal_one_by_one_planning(spark):
     rng = random.Random(5)
     rows, want = [], {}
     for batch in range(6):
@@ -93,6 +98,5 @@ def test_rounds_and_whole_batches_equal_one_by_one_planning(spark):
         want.update({(batch, i): w for i, w in greedy(sets).items()})
         rows += [(batch, i, f) for i, s in sets.items() for f in s]
     touches = spark.createDataFrame(rows, "batch int, issue int, file string")
-    for limit in (100_000, 20, 0):
-        got = waves.waves(touches, ["batch"], limit).collect()
-        assert {(r["batch"], r["issue"]): r["wave"] for r in got} == want
+    got = waves.waves(touches, ["batch"]).collect()
+    assert {(r["batch"], r["issue"]): r["wave"] for r in got} == want

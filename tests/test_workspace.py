@@ -54,7 +54,7 @@ def test_index_life_cycle(spark, tmp_path):
     assert count(space, path="_beta.ts") == 0 and count(space, path="alpha.ts") == 1
     hits = space.search_code("function", 20, "sub/**")
     assert [h["file"] for h in hits.collect()] == ["sub/gamma.ts"]
-    assert "(exports: gamma)" in render.code_hits(hits)
+    assert render.code_hits(hits).startswith("(1) sub/gamma.ts defines gamma [")
 
     space.delete_file("code", "sub/gamma.ts")
     assert count(space, path="sub/gamma.ts") == 0 and count(space, path="alpha.ts") == 1
@@ -109,32 +109,36 @@ def test_build_and_questions(spark, tmp_path):
     assert report["import_edges"] == 1 and report["co_changes"] == 1
     assert space.symbol_counts() == {"nodes": 7, "edges": 4, "semantic": report["semantic_edges"]}
 
-    shown = render.dependencies("base2.ts", space.query_dependencies("base2.ts"))
-    assert "### Imported by (1)\n- `user2.ts` (shared, Shape)" in shown
-    assert "`simB.ts` (3 commits together)" in render.co_changes(
-        "simA.ts", space.query_co_changes("simA.ts"))
-    shown = render.type_consumers("Shape", space.query_type_consumers("Shape"))
-    assert "- `base2.ts` (interface)" in shown and "### Consumed by (1 files)\n- `user2.ts`" in shown
+    shown = render.dependencies(space.query_dependencies("base2.ts")).splitlines()
+    assert [line.split() for line in shown[1:]] == [["importedBy", "1", "user2.ts", "shared", "Shape"]]
+    shown = render.co_changes(space.query_co_changes("simA.ts")).splitlines()
+    assert shown[1].split() == ["3", "simB.ts"]
+    shown = render.type_consumers(space.query_type_consumers("Shape")).splitlines()
+    assert ["defined", "base2.ts", "interface", "-"] in [line.split() for line in shown]
+    assert ["consumed", "-", "-", "user2.ts"] in [line.split() for line in shown]
     caller = space.query_symbol("user2.ts::useShared")
     assert [r["id"] for r in caller["matches"].collect()] == ["user2.ts::useShared"]
-    shown = render.symbol("user2.ts::useShared", caller)
-    assert "- **calls**: `base2.ts::shared`\n- **uses type**: `base2.ts::Shape`" in shown
+    shown = [line.split() for line in render.symbol(caller).splitlines()]
+    at = shown.index(["[outgoing]"])
+    assert shown[at + 2 : at + 4] == [["calls", "base2.ts::shared"], ["uses", "type", "base2.ts::Shape"]]
     callee = space.query_symbol("shared")
     assert ("calls", "user2.ts::useShared") in {
         (r["kind"], r["id"]) for r in callee["incoming"].collect()}
-    assert "not found" in render.symbol("nobody", space.query_symbol("nobody"))
+    assert render.symbol(space.query_symbol("nobody")).count("(no rows)") == 4
     near = space.query_symbol("simA.ts::widget")["neighbors"].collect()
     assert "simB.ts::widget" in [r["id"] for r in near]
     assert all(0 < r["score"] <= 1 for r in near)
 
-    assert "guide.md > Setup" in render.section_hits(space.search_docs("run", 10), "docs")
-    assert "n (feedback)" in render.note_hits(space.search_memory("small", 3, "feedback"))
+    assert "guide.md # Setup [" in render.section_hits(space.search_docs("run", 10))
+    assert "feedback : n [" in render.note_hits(space.search_memory("small", 3, "feedback"))
     assert space.search_memory("small", 3, "user").count() == 0
 
     plan = space.partition([{"issue": 2, "files": ["simB.ts"]}, {"issue": 1, "files": ["simA.ts"]}])
-    shown = render.partition(plan)
-    assert "- Wave 1 (independent set): 1, 2" in shown and "_(none)_" in shown
-    assert "- Issue 1: `simA.ts` historically co-changes with `simB.ts` (3×)" in shown
+    shown = [line.split() for line in render.partition(plan).splitlines()]
+    assert ["0", "2", "1", "2"] in shown and ["(no", "rows)"] in shown
+    assert ["1", "simA.ts", "simB.ts", "3"] in shown
+    many = render.table(spark.range(60).orderBy("id"), {"n": "id"}, 3)
+    assert many.splitlines() == ["n", "0", "1", "2", "(57 more rows)"]
     assert len(plan["head_sha"]) == 40
 
     page = "# T\n\n**Summary**: short\n\n**Last updated**: 2024-01-15\n\n[[ b ]] [[a]] [[b]]\n"
@@ -143,7 +147,7 @@ def test_build_and_questions(spark, tmp_path):
     read = space.read_wiki_page("MY PAGE").first()
     assert (read["summary"], read["related_pages"]) == ("short", ["b", "a"])
     assert space.read_wiki_page("none").count() == 0
-    assert "- **my-page**: short (updated: 2024-01-15)" in render.wiki_pages(space.list_wiki_pages())
+    assert render.wiki_pages(space.list_wiki_pages()).splitlines()[1].split() == ["my-page", "2024-01-15", "short"]
     log = (root / ".loomgraph/wiki/log.md").read_text()
     assert log.count("created `my-page.md`") == 1 and log.count("updated `my-page.md`") == 1
     assert "my-page.md" in {h["file"] for h in space.search_wiki("short", 10).collect()}
