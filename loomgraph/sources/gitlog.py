@@ -47,7 +47,9 @@ class _GitLogReader(DataSourceReader):
                     ranges.append(CommitRange(name, root, sha, skip, min(self.step, total - skip)))
         return ranges
 
-    def read(self, part: CommitRange) -> Iterator[tuple[str, str, str]]:
+    def read(self, part: CommitRange | None) -> Iterator[tuple[str, str, str]]:
+        if part is None:  # what Spark asks for when there is no range
+            return
         # Commits without files (such as merges) are counted by the limit but give no rows.
         command = [
             "git", "-C", part.root, "-c", "core.quotePath=false", "log",

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from loomgraph.operators import cochange, depgraph, symbols
-from loomgraph.sources.gitlog import commit_files, head_sha, parse_log_text
+from loomgraph.sources.gitlog import GitLogSource, commit_files, head_sha, parse_log_text
 
 
 def tree(spark, files):
@@ -100,28 +100,31 @@ def test_dependencies_name_direct_edges_only(spark):
 
 
 def test_symbol_edges(spark):
-    from tests.test_outline import BASE, CONSUMER
+    from tests.test_outline import SCENE, SHAPES
 
-    outlined, paths = tree(spark, {"base.ts": BASE, "consumer.ts": CONSUMER})
+    outlined, paths = tree(spark, {"lib/shapes.ts": SHAPES, "app/scene.ts": SCENE})
     nodes = symbols.symbol_nodes(outlined)
     ids = {r["id"] for r in nodes.collect()}
-    edges = {tuple(r) for r in symbols.symbol_edges(outlined, nodes, paths).collect()}
-    assert edges == {
-        ("consumer.ts::Dog", "base.ts::Animal", "extends"),
-        ("consumer.ts::Dog", "base.ts::Named", "implements"),
-        ("consumer.ts::Dog.bark", "base.ts::helper", "calls"),
-        ("consumer.ts::run", "base.ts::Named", "uses-type"),
-        ("consumer.ts::run", "consumer.ts::Dog", "calls"),
-    }
-    assert all(a != b and {a, b} <= ids for a, b, _ in edges)
     frame = symbols.symbol_edges(outlined, nodes, paths)
-    out = symbols.outgoing(frame, nodes, "run").select("kind", "id").collect()
-    assert sorted(tuple(r) for r in out) == [
-        ("calls", "consumer.ts::Dog"), ("uses-type", "base.ts::Named"),
-    ]
-    groups = symbols.edge_groups(symbols.incoming(frame, nodes, "base.ts::Named"), "incoming")
+    lib, app = "lib/shapes.ts::", "app/scene.ts::"
+    assert {tuple(r) for r in frame.collect()} == {
+        (lib + "Box.grow", lib + "Side", "uses-type"),
+        (lib + "Box.grow", lib + "Box.note", "calls"),
+        (lib + "Box.note", lib + "log", "calls"),
+        (app + "Room", lib + "Box", "extends"),
+        (app + "Room", lib + "Area", "implements"),
+        (app + "Room", lib + "log", "calls"),
+        (app + "Room.size", lib + "log", "calls"),
+        (app + "Room.size", app + "Room.width", "calls"),
+        (app + "measure", lib + "Area", "uses-type"),
+        (app + "measure", app + "Room", "calls"),
+    }
+    assert all(a != b and {a, b} <= ids for a, b, _ in frame.collect())
+    out = symbols.outgoing(frame, nodes, "measure").select("kind", "id").collect()
+    assert sorted(tuple(r) for r in out) == [("calls", app + "Room"), ("uses-type", lib + "Area")]
+    groups = symbols.edge_groups(symbols.incoming(frame, nodes, lib + "Area"), "incoming")
     assert sorted(tuple(r) for r in groups.collect()) == [
-        (2, "implemented by", "consumer.ts::Dog"), (3, "used as type by", "consumer.ts::run"),
+        (2, "implemented by", app + "Room"), (3, "used as type by", app + "measure"),
     ]
 
 
@@ -166,8 +169,21 @@ def test_git_history(spark, tmp_path):
     rows = commit_files(spark, {"r": str(tmp_path)}, max_commits=4, per_task=3).collect()
     assert len(rows) == 8 and len({r["commit_id"] for r in rows}) == 4
     assert {r["file"] for r in rows} == {"a.ts", *(f"ü {i}.ts" for i in range(1, 5))}
+    assert len(commit_files(spark, {"r": str(tmp_path)}, per_task=2).collect()) == 10
     assert commit_files(spark, {"r": str(tmp_path / "none")}).count() == 0
 
+    # A commit made after planning shifts nothing, and a failing git fails the read.
+    reader = GitLogSource({"roots": f"r={tmp_path}", "commitspertask": "2"}).reader(None)
+    ranges = reader.partitions()
+    (tmp_path / "late.ts").write_text("x")
+    git("add", "-A")
+    git("commit", "-q", "-m", "late")
+    found = [row for part in ranges for row in reader.read(part)]
+    assert len(found) == 10 and "late.ts" not in {file for _, _, file in found}
+    ranges[0].sha = "0" * 40
+    with pytest.raises(OSError):
+        list(reader.read(ranges[0]))
+
 
 def test_log_text(spark):
     log = "---COMMIT---\n\n---COMMIT---\na.ts\n  \n b.ts\n---COMMIT---\nc.ts"
