@@ -6,11 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from loomgraph.llm.common import components, join_counted, same, settled, small_batches, text_key
@@ -99,11 +98,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SKETCH.format(kind))
 
 
-@pandas_udf(ArrayType(LongType()))
-def shingles_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@arrow_udf(ArrayType(LongType()))
+def shingles_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     hashes = WordHashes()
     for batch in texts:
-        yield pd.Series([shingle_set(hashes.of(ascii_words(t or ""))).view(np.int64) for t in batch])
+        own = [shingle_set(hashes.of(ascii_words(t.as_py() or ""))).view(np.int64) for t in batch]
+        ends = np.cumsum([0, *(len(s) for s in own)], dtype=np.int32)
+        yield pa.ListArray.from_arrays(ends, np.concatenate([*own, np.zeros(0, np.int64)]))
 
 
 def _rows_of(cells: pa.Array) -> np.ndarray:

@@ -15,7 +15,7 @@ _SHIFT, _SHIFT2 = np.uint64(32), np.uint64(29)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
