@@ -148,6 +148,57 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT r.doc_id, b FROM reached r JOIN both_ways ON r.other = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+OP8_SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+starts AS (
+    SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k
+    FROM (SELECT *, unnest(range(0, n - 399)) AS s FROM bytes WHERE n >= 400)),
+repeated AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM starts) WHERE c > 1),
+edges AS (
+    SELECT doc_id, s, s - lag(s) OVER w AS before, lead(s) OVER w - s AS after
+    FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+spans AS (
+    SELECT doc_id, s AS first, lead(s) OVER (PARTITION BY doc_id ORDER BY s, kind) + 400 AS last, kind
+    FROM (SELECT doc_id, s, 0 AS kind FROM edges WHERE before IS NULL OR before > 400
+          UNION ALL SELECT doc_id, s, 1 FROM edges WHERE after IS NULL OR after > 400)
+    QUALIFY kind = 0),
+gaps AS (
+    SELECT doc_id, coalesce(lag(last) OVER w, 0) AS begin, first AS finish FROM spans
+    WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+    UNION ALL SELECT doc_id, max(last), NULL FROM spans GROUP BY 1),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (coalesce(finish, n) - begin)), '' ORDER BY begin) AS h
+    FROM gaps JOIN bytes USING (doc_id) GROUP BY 1),
+counts AS (SELECT doc_id, count(*) AS n_spans, sum(last - first)::BIGINT AS n_removed FROM spans GROUP BY 1)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
+FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontam": op2_decontam,
@@ -161,4 +212,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_phrases": op10_phrases,
 }
 
-ORACLE: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op9_chat": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op3_minhash": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op8_substrings": OP8_SQL,
+    "op9_chat": OP9_SQL,
+}
