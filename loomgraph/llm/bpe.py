@@ -18,7 +18,7 @@ from loomgraph.llm.common import small_batches
 LEAF_BYTES = 32
 LEAF_CHARS = 1 << 16
 #: Pieces of text, and bytes in each, that a task remembers.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+REMEMBERED, REMEMBERED_BYTES = 150_000, 64
 
 _SEAM, _SEAM_BEFORE = regex.compile(r"(?<=\S)(?=\s)"), regex.compile(r"(?r)(?<=\S)(?=\s)")
 
@@ -53,7 +53,7 @@ class Vocabulary:
         """Whether the two tokens side by side encode to themselves."""
         known = self._stable.get((left, right))
         if known is None:
-            if len(self._stable) >= REMEMBERED:
+            if len(self._stable) >= REMEMBERED // 4:
                 self._stable.clear()
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self._stable[left, right] = known
@@ -153,13 +153,15 @@ def _shared(spark, ranks_path: str):
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    keep_text: bool = False, decode: bool = False,
 ) -> DataFrame:
     """(id, ids binary, n_tokens): every whole text as little-endian unsigned 32-bit ids.
 
     A null text is empty and has no token. Repeated rows and null ids are rows like others;
-    other columns are left out, the text unless `keep_text`. No shuffle; a task holds one batch
-    of texts.
+    other columns are left out, the text unless `keep_text`. With `decode` the ids are decoded at
+    once, as by `decode_documents`, in the same Python process. No shuffle; a task holds one
+    batch of texts.
     """
     lines = _shared(docs.sparkSession, ranks_path)
     width = 2 if keep_text else 1
@@ -170,14 +172,16 @@ def encode_documents(
             for part in _sliced(batch):
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 n = [len(x) // 4 for x in ids]
+                back = [pa.array(list(map(codec.decode, ids)), pa.binary())] if decode else []
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:width], pa.array(ids, pa.binary()), pa.array(n, pa.int64())],
-                    [*part.schema.names[:width], "ids", "n_tokens"],
+                    [*part.columns[:width], pa.array(ids, pa.binary()), pa.array(n, pa.int64()), *back],
+                    [*part.schema.names[:width], "ids", "n_tokens", "decoded"][: width + 2 + decode],
                 )
 
     rows = docs.select(id_col, text_col)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:width])
-    return rows.mapInArrow(run, f"{kept}, ids binary, n_tokens long")
+    schema = f"{kept}, ids binary, n_tokens long" + ", decoded binary" * decode
+    return rows.mapInArrow(run, schema)
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    ids = bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode_documents(ids, path).select(
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decode=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

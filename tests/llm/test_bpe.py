@@ -68,4 +68,6 @@ def test_documents(spark, library):
     assert sorted((r.doc_id or 0, r.n_tokens, bytes(r.decoded)) for r in rows) == sorted(
         (k or 0, len(library.encode_ordinary(t or "")), (t or "").encode()) for k, t in texts
     )
+    both = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN, keep_text=True, decode=True).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in both) and len(both) == len(texts)
     assert bpe.encode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
