@@ -44,9 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, intact): ids as little-endian 32-bit integers, and whether they decode to the text."""
     path = public_tokenizers.path(RANKS)
-    decoded = bpe.decode_documents(
-        bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep_text=True), path
-    )
+    decoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep_text=True, decode=True)
     intact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return decoded.select("doc_id", "n_tokens", "ids", intact.alias("intact"))
 
