@@ -29,11 +29,13 @@ _EXPORT_PARTS = rf"(?s)\Aexport\s++{_BEFORE}({_DECLARING})[\s*]*+({_NAME})(\s*+[
 
 def statements(text: Column) -> Column:
     """The import and export statements of a script, from their keyword on, in order."""
-    plain = F.regexp_replace(text, r"\\(?s:.)", "")
+    plain = F.when(text.contains("\\"), F.regexp_replace(text, r"\\(?s:.)", "")).otherwise(text)
     # Templates within templates, then what templates fill in, go first.
-    plain = F.regexp_replace(plain, r"\$\{[^{}`]*+`[^`]*+`[^{}`]*+\}", "")
-    plain = F.regexp_replace(plain, r"\$\{[^{}`]*+\}", "")
-    kept = F.regexp_replace(plain, rf"({_STRING})|{_COMMENT}|{_TEMPLATE}|{_REGEX}", "$1")
+    filled = F.regexp_replace(plain, r"\$\{[^{}`]*+`[^`]*+`[^{}`]*+\}", "")
+    filled = F.regexp_replace(filled, r"\$\{[^{}`]*+\}", "")
+    plain = F.when(text.contains("${"), filled).otherwise(plain)
+    noise = rf"({_STRING})|{_COMMENT}|{_TEMPLATE}|{_REGEX}"
+    kept = F.when(text.rlike("[/`]"), F.regexp_replace(plain, noise, "$1")).otherwise(plain)
     return F.filter(F.regexp_extract_all(kept, F.lit(_STATEMENT), 1), lambda s: s != "")
 
 
@@ -52,47 +54,37 @@ def joined_path(folder: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def imports(found: Column, path: Column) -> Column:
-    """array<struct<pos, specifier, base, names>> of the imports among `found` statements.
-
-    `base` is the path that a relative specifier means, before an extension is searched for.
-    `names` are the local names of what is imported, without namespaces.
-    """
-    folder = F.regexp_extract(path, r"\A(.*)/[^/]*\z", 1)
-
-    def read(statement: Column, pos: Column) -> Column:
-        specifier = F.regexp_extract(statement, r"[\"']([^\"']*)[\"']\z", 1)
-        clause = F.regexp_extract(statement, r"(?s)\Aimport\s*+(.*?)\s*+(?:\bfrom\s*+)?[\"'][^\"']*[\"']\z", 1)
-        clause = F.regexp_replace(clause, r"\Atype\s++(?=[\p{L}_${*])", "")
-        first = F.regexp_extract(clause, rf"\A({_NAME})", 1)
-        listed = F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ",")
-        last_words = F.transform(listed, lambda item: F.regexp_extract(item, rf"({_NAME})\s*+\z", 1))
-        base = F.when(specifier.startswith("."), joined_path(folder, specifier))
-        return F.struct(
-            pos.cast("int").alias("pos"),
-            specifier.alias("specifier"),
-            base.alias("base"),
-            F.filter(F.concat(F.array(first), last_words), lambda name: name != "").alias("names"),
-        )
-
-    return F.transform(F.filter(found, lambda s: s.startswith("import")), read)
+def specifier(statement: Column) -> Column:
+    """The text after `from` of an import statement."""
+    return F.regexp_extract(statement, r"[\"']([^\"']*)[\"']\z", 1)
 
 
-def exports(found: Column) -> Column:
-    """array<struct<name, kind>> of the declarations that export statements make."""
-
-    def read(statement: Column) -> Column:
-        word = F.regexp_extract(statement, _EXPORT_PARTS, 1)
-        name = F.regexp_extract(statement, _EXPORT_PARTS, 2)
-        is_type = (word != "type") | (F.regexp_extract(statement, _EXPORT_PARTS, 3) != "")
-        kind = (
-            F.when(word.isin("const", "let", "var"), "variable")
-            .when(word.startswith("const"), "enum")
-            .otherwise(word)
-        )
-        return F.when(
-            is_type & ~name.isin("extends", "implements"), F.struct(name.alias("name"), kind.alias("kind"))
-        )
-
-    read_all = F.transform(F.filter(found, lambda s: s.startswith("export")), read)
-    return F.filter(read_all, lambda e: e.isNotNull())
+def base_path(statement: Column, path: Column) -> Column:
+    """The path that a relative specifier means, before an extension is searched for; else null."""
+    folder = F.regexp_extract(path, r"\A(.*)/[^/]*\z", 1)
+    return F.when(specifier(statement).startswith("."), joined_path(folder, specifier(statement)))
+
+
+def local_names(statement: Column) -> Column:
+    """Local names of what an import statement brings, the default first, without namespaces."""
+    clause = F.regexp_extract(statement, r"(?s)\Aimport\s*+(.*?)\s*+(?:\bfrom\s*+)?[\"'][^\"']*[\"']\z", 1)
+    clause = F.regexp_replace(clause, r"\Atype\s++(?=[\p{L}_${*])", "")
+    first = F.regexp_extract(clause, rf"\A({_NAME})", 1)
+    listed = F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ",")
+    last_words = F.transform(listed, lambda item: F.regexp_extract(item, rf"({_NAME})\s*+\z", 1))
+    return F.filter(F.concat(F.array(first), last_words), lambda name: name != "")
+
+
+def exported(statement: Column) -> Column:
+    """struct<name, kind> of the declaration that an export statement makes, null if it makes none."""
+    word = F.regexp_extract(statement, _EXPORT_PARTS, 1)
+    name = F.regexp_extract(statement, _EXPORT_PARTS, 2)
+    is_type = (word != "type") | (F.regexp_extract(statement, _EXPORT_PARTS, 3) != "")
+    kind = (
+        F.when(word.isin("const", "let", "var"), "variable")
+        .when(word.startswith("const"), "enum")
+        .otherwise(word)
+    )
+    return F.when(
+        is_type & ~name.isin("extends", "implements"), F.struct(name.alias("name"), kind.alias("kind"))
+    )

@@ -39,34 +39,49 @@ def with_outline(
 
 
 def with_heads(files: DataFrame, text: str = "content") -> DataFrame:
-    """Replace the text column by `outline` with the imports and exports of each file.
+    """Replace the text column by `heads`, the import and export statements of each file.
 
-    Built-in expressions only; the struct has the parts of `with_outline` that imports, exports
-    and all that follows from them read.
+    Built-in expressions only. Imports, exports and all that follows from them read it.
     """
     kept = [c for c in files.columns if c != text]
-    found = files.select(*kept, heads.statements(F.col(text)).alias("_found"))
-    exported = F.transform(
-        heads.exports(F.col("_found")),
-        lambda e: F.struct(e["name"].alias("name"), e["kind"].alias("kind"), F.lit(True).alias("exported")),
-    )
-    parts = F.struct(
-        heads.imports(F.col("_found"), F.col("file_path")).alias("imports"), exported.alias("nodes")
-    )
-    return found.select(*kept, parts.alias("outline"))
+    return files.select(*kept, heads.statements(F.col(text)).alias("heads"))
 
 
-def import_statements(outlined: DataFrame) -> DataFrame:
+def _statements(rows: DataFrame, keyword: str) -> DataFrame:
+    """(file_path, pos, statement) of the heads that begin with a keyword.
+
+    The outer form: Spark would infer a filter from the inner one, and find the heads twice.
+    """
+    found = F.filter("heads", lambda s: s.startswith(keyword))
+    exploded = rows.select("file_path", F.posexplode_outer(found).alias("pos", "statement"))
+    return exploded.where(F.col("statement").isNotNull())
+
+
+def import_statements(rows: DataFrame) -> DataFrame:
     """(file_path, pos, specifier, base, names) of every import statement."""
-    return outlined.select("file_path", F.explode("outline.imports").alias("_i")).select(
+    if "heads" in rows.columns:
+        statement = F.col("statement")
+        return _statements(rows, "import").select(
+            "file_path",
+            "pos",
+            heads.specifier(statement).alias("specifier"),
+            heads.base_path(statement, F.col("file_path")).alias("base"),
+            heads.local_names(statement).alias("names"),
+        )
+    return rows.select("file_path", F.explode("outline.imports").alias("_i")).select(
         "file_path", "_i.*"
     )
 
 
-def exports(outlined: DataFrame) -> DataFrame:
+def exports(rows: DataFrame) -> DataFrame:
     """(file_path, pos, name, kind) of every exported declaration."""
+    if "heads" in rows.columns:
+        made = heads.exported(F.col("statement")).alias("_e")
+        return _statements(rows, "export").select("file_path", "pos", made).where(
+            F.col("_e").isNotNull()
+        ).select("file_path", "pos", "_e.*")
     return (
-        outlined.select("file_path", F.posexplode("outline.nodes").alias("pos", "_n"))
+        rows.select("file_path", F.posexplode("outline.nodes").alias("pos", "_n"))
         .where("_n.exported")
         .select("file_path", "pos", "_n.name", "_n.kind")
     )

@@ -416,8 +416,8 @@ def _written(frame: DataFrame) -> DataFrame:
 
 def _edges(spark, sf) -> DataFrame:
     outlined, paths = _tree(spark, sf)
-    imports = outlined.select("file_path", F.struct("outline.imports").alias("outline"))
-    return depgraph.import_edges(imports, paths)
+    imports = outlined.select("file_path", "heads")
+    return depgraph.import_edges(_written(imports), paths)
 
 
 @query

@@ -13,10 +13,10 @@ from loomgraph.operators import depgraph
 def read(spark):
     def of(text, path="a/b.tsx"):
         rows = spark.createDataFrame([(path, text)], "file_path string, content string")
-        row = depgraph.with_heads(rows).first().outline
+        found = depgraph.with_heads(rows)
         return (
-            [(i.specifier, i.base, list(i.names)) for i in row.imports],
-            [(n.name, n.kind) for n in row.nodes],
+            [(i.specifier, i.base, i.names) for i in depgraph.import_statements(found).orderBy("pos").collect()],
+            [(n.name, n.kind) for n in depgraph.exports(found).orderBy("pos").collect()],
         )
 
     return of
@@ -91,7 +91,7 @@ def test_long_lines_are_linear(spark):
              "\"" + "a" * 500_000, "${" * 200_000, "export default " * 50_000, "(" * 300_000]
     rows = spark.createDataFrame([(t + "\nexport const after = 1",) for t in texts], "t string")
     begun = time.time()
-    rows.select(F.size(heads.exports(heads.statements(F.col("t"))))).collect()
+    rows.select(F.size(heads.statements(F.col("t")))).collect()
     assert time.time() - begun < 30
 
 
@@ -104,5 +104,5 @@ def test_paths(spark):
 
 def test_plan_has_no_python(spark):
     rows = spark.createDataFrame([("a.ts", "export const a = 1")], "file_path string, content string")
-    plan = depgraph.with_heads(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = depgraph.import_statements(depgraph.with_heads(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
