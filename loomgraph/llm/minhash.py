@@ -15,10 +15,12 @@ from pyspark.sql.types import ArrayType, LongType
 from loomgraph.llm.common import components, join_counted, same, settled, small_batches, text_key
 from loomgraph.llm.shingles import WordHashes, ascii_words, shingle_set
 
-#: Bins of the one permutation, as bands of rows: of a pair at 0.85, one in 10 ** 10 shares no band.
+#: Bins of the one permutation, as bands of rows: of pairs at 0.85, less than one in 10 ** 10
+#: shares no band; of pairs at 0.8, one in 2 * 10 ** 7.
 BINS, BANDS = 128, 32
-#: Shares of the union that make a link, in hundredths.
-THRESHOLD = 85
+#: Shares of the union that make a link, in hundredths: of `near_groups`, as its contract has it,
+#: and of stages that keep one of each group.
+CONTRACT, ALIKE = 85, 80
 #: Cells into which a set's shingles are counted, by hash: two sets share no more than their
 #: cells have in common. FULL stands for as many or more.
 CELLS, FULL = 256, 255
@@ -116,10 +118,10 @@ def shared_at_most(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(most_common(_rows_of(left), _rows_of(right)))
 
 
-def _may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column) -> Column:
+def _may_link(n_a: Column, core_a: Column, n_b: Column, core_b: Column, threshold: int) -> Column:
     """Whether two sets can be linked, by their sizes and what each shares with anyone at most."""
     most = F.least(core_a, core_b, n_a, n_b)
-    return (100 + THRESHOLD) * most >= THRESHOLD * (n_a + n_b)
+    return (100 + threshold) * most >= threshold * (n_a + n_b)
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -128,16 +130,17 @@ def _sizes(members: DataFrame) -> DataFrame:
     return per_size.groupBy("key").agg(F.collect_list(F.struct("n_shingles", "n")).alias("sizes"))
 
 
-def _partner_sizes() -> Column:
+def _partner_sizes(threshold: int) -> Column:
     """Of the sizes of a member's bucket, those that a partner of it can have."""
     n, core = F.col("n_shingles"), F.col("core")
     return F.filter(
         "sizes",
-        lambda s: _may_link(n, core, s["n_shingles"], s["n_shingles"]) & ((s["n_shingles"] != n) | (s["n"] > 1)),
+        lambda s: _may_link(n, core, s["n_shingles"], s["n_shingles"], threshold)
+        & ((s["n_shingles"] != n) | (s["n"] > 1)),
     )
 
 
-def _with_core(placed: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_core(placed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Members (key, name, n_shingles, core, degree) of the buckets, without those that can have no link.
 
     core is the size less the shingles that no other set in a crowded bucket has: no set of such
@@ -163,7 +166,7 @@ def _with_core(placed: DataFrame, sets: DataFrame) -> DataFrame:
         .select("key", "name", "n_shingles", (F.col("n_shingles") - own).alias("core"), "degree")
     )
     members = settled(members)
-    viable = members.join(_sizes(members), "key").where(F.size(_partner_sizes()) > 0)
+    viable = members.join(_sizes(members), "key").where(F.size(_partner_sizes(threshold)) > 0)
     return settled(viable.select(members.columns))
 
 
@@ -180,22 +183,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _star_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> DataFrame:
+def _star_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame, threshold: int) -> DataFrame:
     """Pairs of each bucket's first centre and its other members that may be linked."""
     cols = ["name", "n_shingles", "core", "label"]
     stars = centres.select("key", *(F.col(c).alias(f"c_{c}") for c in cols))
     met = members.join(stars, "key").where(
         (F.col("label") != F.col("c_label"))
-        & _may_link(F.col("n_shingles"), F.col("core"), F.col("c_n_shingles"), F.col("c_core"))
+        & _may_link(F.col("n_shingles"), F.col("core"), F.col("c_n_shingles"), F.col("c_core"), threshold)
     )
     left = cells.select(F.col("name").alias("a"), F.col("n_shingles").alias("n_a"), F.col("cells").alias("cells_a"))
     right = cells.select(F.col("name").alias("b"), F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
     pairs = _ordered(met)
     both = pairs.join(left, "a").join(right, "b").withColumn("most", shared_at_most("cells_a", "cells_b"))
-    return both.where((100 + THRESHOLD) * F.col("most") >= THRESHOLD * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
+    return both.where((100 + threshold) * F.col("most") >= threshold * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
 
 
-def _crowd_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> DataFrame:
+def _crowd_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame, threshold: int) -> DataFrame:
     """The same for many centres in a bucket.
 
     Its members come in slices of about SLICE_MEMBERS, each with all the centres, and only pairs
@@ -207,14 +210,18 @@ def _crowd_pairs(members: DataFrame, centres: DataFrame, cells: DataFrame) -> Da
     # Aliases, as both sides come from the same rows.
     cols = [F.col(c).alias(c) for c in ("key", "slice", "name", "label", "n_shingles", "cells")]
     left, right = (x.join(cells.select("name", "cells"), "name").select(cols) for x in (left, right))
+
+    def tile(members: pa.Table, centres: pa.Table) -> pa.Table:
+        return _tile_pairs(members, centres, threshold)
+
     pairs = (
         left.groupBy("key", "slice").cogroup(right.groupBy("key", "slice"))
-        .applyInArrow(_tile_pairs, "name binary, label binary, c_name binary, c_label binary")
+        .applyInArrow(tile, "name binary, label binary, c_name binary, c_label binary")
     )
     return _ordered(pairs)
 
 
-def _tile_pairs(members: pa.Table, centres: pa.Table) -> pa.Table:
+def _tile_pairs(members: pa.Table, centres: pa.Table, threshold: int) -> pa.Table:
     if not members.num_rows or not centres.num_rows:
         members, centres = members.slice(0, 0), centres.slice(0, 0)
     rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -222,7 +229,7 @@ def _tile_pairs(members: pa.Table, centres: pa.Table) -> pa.Table:
     labels = np.array(members["label"].to_pylist(), object)
     other_labels = centres["label"].to_pylist()
     for k, (own, size) in enumerate(zip(_rows_of(centres["cells"]), centres["n_shingles"].to_pylist(), strict=True)):
-        may = (100 + THRESHOLD) * most_common(cells, own[None, :]) >= THRESHOLD * (n + size)
+        may = (100 + threshold) * most_common(cells, own[None, :]) >= threshold * (n + size)
         at = np.flatnonzero(may & (labels != other_labels[k]))
         rows.append(at)
         columns.append(np.full(len(at), k))
@@ -235,14 +242,14 @@ def _tile_pairs(members: pa.Table, centres: pa.Table) -> pa.Table:
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets meet the threshold."""
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("own"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("other"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("own", "other"))
     union = F.size("own") + F.size("other") - common
-    return both.where(100 * common >= THRESHOLD * union).select("label_a", "label_b")
+    return both.where(100 * common >= threshold * union).select("label_a", "label_b")
 
 
 def _with_centres(members: DataFrame, most: int, first: bool) -> DataFrame:
@@ -269,7 +276,7 @@ def _with_centres(members: DataFrame, most: int, first: bool) -> DataFrame:
     ).drop("__n", "__main", "__waiting", "__nth")
 
 
-def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFrame:
+def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(name, label) of the distinct sets in buckets: equal labels for those that links connect.
 
     Each bucket compares all its members with a few centres, never with each other. Members that
@@ -287,9 +294,9 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFram
         centres = state.where("centre")
         if centres.isEmpty():
             return state.select("name", "label").distinct()
-        pairs = (_star_pairs if first else _crowd_pairs)(state, centres, cells)
+        pairs = (_star_pairs if first else _crowd_pairs)(state, centres, cells, threshold)
         pairs = settled(pairs if first else pairs.join(tested, ["a", "b"], "left_anti"))
-        links = settled(_linked(pairs, sets).distinct())
+        links = settled(_linked(pairs, sets, threshold).distinct())
         pairs = pairs.select("a", "b")
         tested = pairs if first else tested.union(pairs)
         labelled = state.select(*members.columns, "label", "spent")
@@ -300,13 +307,13 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame) -> DataFram
             )
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: int = CONTRACT) -> DataFrame:
     """(doc_id, tkey, n_shingles, component_id, kept) for each row of `docs(doc_id, text)`.
 
     Words are runs of other than blanks and characters 9 to 13, with A-Z in lower case. A set
     has the distinct shingles of five words; fewer words are one shingle; a null, empty or blank
-    text has none and is linked with nothing. Rows are linked when 100 * intersection >= 85 *
-    union, confirmed on whole sets. component_id is the smallest non-null doc_id that can be
+    text has none and is linked with nothing. Rows are linked when 100 * intersection >=
+    threshold * union, confirmed on whole sets. component_id is the smallest non-null doc_id that can be
     reached, the row's own included; kept is doc_id = component_id, null equal to null, so
     repeated rows of a kept document are all kept. Extra columns are ignored.
 
@@ -339,8 +346,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         wanted, same(keyed["doc_id"], wanted["__id"]) & (keyed["tkey"] == wanted["__tkey"])
     ).select("name", shingles_of("text").alias("shingles"))
     sets = settled(texts.dropDuplicates(["name"]))
-    members = _with_core(placed.drop("sample"), sets)
-    labels = link_sets(members, classes.select("name", "n_shingles", "cells"), sets)
+    members = _with_core(placed.drop("sample"), sets, threshold)
+    labels = link_sets(members, classes.select("name", "n_shingles", "cells"), sets, threshold)
     ids = classes.select("name", "n", "least").join(labels, "name", "left").withColumn(
         "label", F.coalesce("label", "name")
     )
@@ -355,9 +362,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: int = ALIKE) -> DataFrame:
     """The documents without those that another document of their group stands for."""
-    dropped = near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
+    groups = near_groups(docs, threshold)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
     keyed = docs.withColumn("__own", text_key(F.col("text")))
     gone = same(keyed["doc_id"], dropped["__id"]) & (keyed["__own"] == dropped["__tkey"])
     return keyed.join(dropped.distinct(), gone, "left_anti").select(*docs.columns)

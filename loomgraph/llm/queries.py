@@ -33,7 +33,7 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(_table(spark, sf_dir, "documents")).drop("tkey")
+    return minhash.near_groups(_table(spark, sf_dir, "documents"), threshold=85).drop("tkey")
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
