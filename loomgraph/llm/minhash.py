@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from loomgraph.llm.common import components, join_counted, same, settled, small_batches, text_key
+from loomgraph.llm.common import SALTS, components, join_counted, same, settled, small_batches, text_key
 from loomgraph.llm.shingles import WordHashes, ascii_words, shingle_set
 
 #: Bins of the one permutation, as bands of rows: of pairs at 0.85, less than one in 10 ** 10
@@ -307,19 +307,11 @@ def link_sets(members: DataFrame, cells: DataFrame, sets: DataFrame, threshold:
             )
 
 
-def near_groups(docs: DataFrame, threshold: int = CONTRACT) -> DataFrame:
-    """(doc_id, tkey, n_shingles, component_id, kept) for each row of `docs(doc_id, text)`.
-
-    Words are runs of other than blanks and characters 9 to 13, with A-Z in lower case. A set
-    has the distinct shingles of five words; fewer words are one shingle; a null, empty or blank
-    text has none and is linked with nothing. Rows are linked when 100 * intersection >=
-    threshold * union, confirmed on whole sets. component_id is the smallest non-null doc_id that can be
-    reached, the row's own included; kept is doc_id = component_id, null equal to null, so
-    repeated rows of a kept document are all kept. Extra columns are ignored.
+def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, chosen) of each row; see near_groups.
 
-    Equal sets are first folded into one, with map-side aggregation; a group of copies with many
-    rows is joined back over several tasks. Whole texts are shuffled once, for the sets that
-    share a bucket.
+    chosen are the rows of one (doc_id, tkey) of each group, the smallest with nulls last, and
+    all that have no shingle. Two groups can share a component_id, so it does not name a group.
     """
     small_batches(docs.sparkSession)
     rows = settled(sketches(docs))
@@ -329,7 +321,7 @@ def near_groups(docs: DataFrame, threshold: int = CONTRACT) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.min("doc_id").alias("least"),
-            F.min(F.struct("doc_id", "tkey")).alias("sample"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("sample"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
             F.first("cells").alias("cells"),
@@ -348,24 +340,67 @@ def near_groups(docs: DataFrame, threshold: int = CONTRACT) -> DataFrame:
     sets = settled(texts.dropDuplicates(["name"]))
     members = _with_core(placed.drop("sample"), sets, threshold)
     labels = link_sets(members, classes.select("name", "n_shingles", "cells"), sets, threshold)
-    ids = classes.select("name", "n", "least").join(labels, "name", "left").withColumn(
+    ids = classes.select("name", "n", "least", "sample").join(labels, "name", "left").withColumn(
         "label", F.coalesce("label", "name")
     )
-    grouped = ids.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = ids.join(grouped, "label").select("name", "n", F.col("component_id").alias("least"))
+    grouped = ids.groupBy("label").agg(F.min("least").alias("component_id"), F.min("sample").alias("first"))
+    known = ids.join(grouped, "label").select("name", "n", "component_id", "first")
     named = rows.select("doc_id", "tkey", "n_shingles", "name")
     joined = join_counted(named.where(F.col("name").isNotNull()), settled(known), ["name"], "n")
-    alone = named.where(F.col("name").isNull()).withColumn("least", F.col("doc_id"))
-    out = joined.select("doc_id", "tkey", "n_shingles", F.col("least").alias("component_id")).unionByName(
-        alone.select("doc_id", "tkey", "n_shingles", F.col("least").alias("component_id"))
+    alone = named.where(F.col("name").isNull())
+    chosen = same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
+    own = ["doc_id", "tkey", "n_shingles"]
+    return joined.select(*own, "component_id", chosen.alias("chosen")).unionByName(
+        alone.select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
     )
+
+
+def near_groups(docs: DataFrame, threshold: int = CONTRACT) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, kept) for each row of `docs(doc_id, text)`.
+
+    Words are runs of other than blanks and characters 9 to 13, with A-Z in lower case. A set
+    has the distinct shingles of five words; fewer words are one shingle; a null, empty or blank
+    text has none and is linked with nothing. Rows are linked when 100 * intersection >=
+    threshold * union, confirmed on whole sets. component_id is the smallest non-null doc_id that can be
+    reached, the row's own included; kept is doc_id = component_id, null equal to null, so
+    repeated rows of a kept document are all kept. Extra columns are ignored.
+
+    Equal sets are first folded into one, with map-side aggregation; a group of copies with many
+    rows is joined back over several tasks. Whole texts are shuffled once, for the sets that
+    share a bucket.
+    """
+    out = _grouped(docs, threshold).drop("chosen")
     return out.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, threshold: int = ALIKE) -> DataFrame:
-    """The documents without those that another document of their group stands for."""
-    groups = near_groups(docs, threshold)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
+def drop_near_copies(docs: DataFrame, threshold: int = ALIKE, repeats: bool = True) -> DataFrame:
+    """The documents without those that another document of their group stands for.
+
+    Of each group the smallest (doc_id, text key) stays, nulls last: one text, also where several
+    share an id or no row has one. Without `repeats`, rows of that id and text are reduced to one,
+    any of them if they differ in further columns. Rows without a shingle are in no group.
+    """
+    marks = (
+        _grouped(docs, threshold)
+        .groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"))
+        .agg(F.count("*").alias("__n"), F.first("chosen").alias("__chosen"), F.max("n_shingles").alias("__size"))
+        .where(~F.col("__chosen") | (F.col("__n") > 1) & (F.col("__size") > 0))
+    )
     keyed = docs.withColumn("__own", text_key(F.col("text")))
-    gone = same(keyed["doc_id"], dropped["__id"]) & (keyed["__own"] == dropped["__tkey"])
-    return keyed.join(dropped.distinct(), gone, "left_anti").select(*docs.columns)
+
+    def among(marked: DataFrame) -> Column:
+        return same(keyed["doc_id"], marked["__id"]) & (keyed["__own"] == marked["__tkey"])
+
+    if repeats:
+        dropped = marks.where(~F.col("__chosen"))
+        return keyed.join(dropped, among(dropped), "left_anti").select(*docs.columns)
+    marks = settled(marks)
+    rest = keyed.join(marks, among(marks), "left_anti").select(*docs.columns)
+    repeated = marks.where("__chosen").select("__id", "__tkey")
+    if repeated.isEmpty():
+        return rest
+    # A repeated row is one key: its rows are dealt by place, and each task hands on one of them.
+    keyed = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = repeated.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = keyed.join(copies, among(copies) & (keyed["__salt"] == copies["__part"]), "left_semi")
+    return rest.unionByName(found.dropDuplicates(["doc_id", "__own"]).select(*docs.columns))

@@ -43,3 +43,19 @@ def test_near_dedup_of_the_sample(spark):
                 x, y = sorted((top(a), top(b)))
                 least[y] = x
     assert near_kept(spark, docs) == [k for k in sorted(sets) if top(k) == k]
+
+
+def test_near_dedup_leaves_one_of_each_group(spark):
+    long = [f"w{k}" for k in range(60)]
+    rows = [
+        (1, "a b c d e f"), (1, "a b c d e f"), (9, "A b c d e f"),  # a repeated row and a copy
+        (2, " ".join(long)), (2, " ".join(long[:-1])),  # near copies under one id
+        (2, "of another kind than the others are"),  # the same id, but no copy
+        (None, "p q r s t u"), (None, "p q r s t u"), (None, "P q r s t u"),  # a group without ids
+        (None, "x y z"), (3, None), (4, ""),
+    ]
+    kept = corpus_pipeline.one_of_each(spark, documents(spark, rows), SF).collect()
+    texts = sorted((r.doc_id or 0, (r.text or "").lower()[:6]) for r in kept)
+    assert texts == [(0, "p q r "), (0, "x y z"), (1, "a b c "), (2, "of ano"), (2, "w0 w1 "), (3, ""), (4, "")]
+    hot = documents(spark, [(5, "the same row again and again")] * 3000 + [(6, "another text than the others")])
+    assert near_kept(spark, hot.repartition(4)) == [5, 6]
