@@ -20,8 +20,8 @@ from loomgraph.llm.lstm import BiLstm, padded, train
 
 #: Hashed features of tag paths and of words, then figures of the block.
 PATH_BITS, WORD_BITS, FIGURES = 192, 64, 8
-#: Ancestors that a path is read from, nearest first; all of a block's text counts.
-ANCESTORS = 24
+#: Depth at which the figure for it is full; the elements of a path count at any depth.
+DEEPEST = 24
 HIDDEN, EPOCHS, DRAWN_PAGES = 24, 8, 900
 
 # Elements by their role in HTML.
@@ -32,11 +32,19 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr input".split()
 )
+#: Controls whose end tag may be missing: what follows their own text is then part of the page.
+CONTROLS = UNSHOWN - {"head", "template", "svg"}
+#: Elements that end a drawing or formula when they begin in it.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 HEAD_ONLY = frozenset("meta link title base script style noscript template".split())
 #: An element that begins closes those of the set that are open, up to a container.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "p": {"p"},
+    "button": {"button"}, "select": {"select"},
 }
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer body form".split())
 
@@ -47,6 +55,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden|display\s*:\s*none)\b""", re.I)
 _WORD = re.compile(r"\w+")
+_CUT_TAG = re.compile(r"\s*<[a-zA-Z/!?]")
 
 
 def _slot(kind: str, value: str, size: int) -> int:
@@ -65,47 +74,70 @@ def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...], int, bool
 
 @dataclass
 class Block:
-    """Text between two block borders, with the elements around it."""
+    """Text between two block borders, with the innermost element around it.
+
+    An element is (tag, the element around it or None, depth, what _element tells of it).
+    """
 
     text: str
-    path: tuple
+    around: tuple | None
     linked: int
 
+    @property
+    def path(self) -> tuple:
+        """The elements around it, outermost first."""
+        out, element = [], self.around
+        while element is not None:
+            out.append(element[3])
+            element = element[1]
+        return tuple(reversed(out))
+
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, without scripts, styles, comments and controls.
 
     Inline elements do not end a block; `br` does. Elements left open are closed by what HTML
-    lets close them, and end tags of nothing open are ignored.
+    lets close them, and end tags of nothing open are ignored. A control that its own end tag
+    does not close hides only its text up to the next block border.
     """
     out: list[Block] = []
     stack: list[tuple] = []
     open_tags: dict[str, int] = {}
     pieces: list[str] = []
     linked = 0
-    path: tuple = ()
+    around: tuple | None = None
+    # Of each open element that is not shown: its place in the stack, the number of blocks before
+    # it, and whether its own text has ended.
+    hidden: list[list] = []
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
-        if text and not any(t in open_tags for t in UNSHOWN):
-            out.append(Block(text, path, linked))
+        # Blocks in a control are taken back by its end tag.
+        if text and (not hidden or hidden[-1][2]):
+            out.append(Block(text, around, linked))
+        if hidden:
+            hidden[-1][2] = True
         pieces.clear()
         linked = 0
 
-    def pop() -> None:
+    def pop(own: bool = False) -> None:
         tag = stack.pop()[0]
+        if hidden and hidden[-1][0] == len(stack):
+            _, before, _ = hidden.pop()
+            if own or tag not in CONTROLS:
+                del out[before:]
         open_tags[tag] -= 1
         if not open_tags[tag]:
             del open_tags[tag]
 
     def say(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, around
         if not raw:
             return
         text = entities.unescape(raw)
         if not pieces and not text.isspace():
-            path = tuple(stack[-ANCESTORS:])
+            around = stack[-1] if stack else None
         pieces.append(text)
         if "a" in open_tags:
             linked += len(text)
@@ -116,6 +148,10 @@ def blocks(page: str) -> list[Block]:
         if "head" in open_tags and tag not in HEAD_ONLY:
             while "head" in open_tags:
                 pop()
+        if tag in BREAKOUT and ("svg" in open_tags or "math" in open_tags) and not open_tags.keys() & {"foreignobject", "desc"}:
+            flush()
+            while "svg" in open_tags or "math" in open_tags:
+                pop()
         if tag not in INLINE and "p" in open_tags and tag != "br":
             while "p" in open_tags:
                 pop()
@@ -127,8 +163,11 @@ def blocks(page: str) -> list[Block]:
                 if k >= 0 and stack[k][0] == closed:
                     while len(stack) > k:
                         pop()
-        if tag not in VOID:
-            stack.append(_element(tag, attributes))
+        closed = attributes.rstrip().endswith("/")
+        if tag not in VOID and not (closed and tag in ("svg", "math")):
+            if tag in UNSHOWN:
+                hidden.append([len(stack), len(out), closed])
+            stack.append((tag, stack[-1] if stack else None, len(stack) + 1, _element(tag, attributes)))
             open_tags[tag] = open_tags.get(tag, 0) + 1
 
     def stop(tag: str) -> None:
@@ -137,7 +176,7 @@ def blocks(page: str) -> list[Block]:
         if tag in open_tags:
             while stack[-1][0] != tag:
                 pop()
-            pop()
+            pop(own=True)
 
     at, cut_off = 0, False
     # What follows the last ">" can be no markup, and is not searched for any.
@@ -159,9 +198,11 @@ def blocks(page: str) -> list[Block]:
             not re.search(rf"</{raw}\s*>\Z", found[0], re.I) if raw else found[0].startswith("<!--") and not found[0].endswith("-->")
         )
     tail = page[at:]
-    if not cut_off and not tail.lstrip().startswith("<"):
+    if not cut_off and not _CUT_TAG.match(tail):
         say(tail)
     flush()
+    while hidden:
+        pop()
     return out
 
 
@@ -179,19 +220,35 @@ _WORDS = _Words()
 def block_features(page: list[Block]) -> np.ndarray:
     """A row for each block: tag path, hashed words, and its figures."""
     x = np.zeros((len(page), PATH_BITS + WORD_BITS + FIGURES), np.float32)
+    # Of the elements around the block before and around this one, only those that differ are counted.
+    counts, last = np.zeros(PATH_BITS, np.float32), None
     for k, block in enumerate(page):
         row = x[k]
-        for depth, (_, names, _, _) in enumerate(reversed(block.path)):
-            row[list(names)] += 1.0 if depth < 3 else 0.5
-        if block.path:
-            row[block.path[-1][2]] += 1
+        new = block.around
+        while last is not new:
+            if last is None or new is not None and new[2] > last[2]:
+                counts[list(new[3][1])] += 0.5
+                new = new[1]
+            else:
+                counts[list(last[3][1])] -= 0.5
+                last = last[1]
+        row[:PATH_BITS] = counts
+        last = near = block.around
+        for _ in range(3):
+            if near is not None:
+                row[list(near[3][1])] += 0.5
+                near = near[1]
+        depth = 0
+        if last is not None:
+            row[last[3][2]] += 1
+            depth = min(last[2], DEEPEST)
         words = _WORD.findall(block.text.lower())
         if words:
             counted = np.bincount(list(map(_WORDS.__getitem__, words)), minlength=WORD_BITS)
             row[PATH_BITS : PATH_BITS + WORD_BITS] = counted / len(words)
         n = len(block.text)
         row[-FIGURES:] = (
-            np.log1p(n) / 5, block.linked / n, np.log1p(len(words)) / 4, block.text[-1] in ".!?:", len(block.path) / 10,
+            np.log1p(n) / 5, block.linked / n, np.log1p(len(words)) / 4, block.text[-1] in ".!?:", depth / 10,
             k / len(page), np.log1p(k) / 4, np.log1p(len(page) - k) / 4,
         )
     np.minimum(x[:, :PATH_BITS], 2, out=x[:, :PATH_BITS])
