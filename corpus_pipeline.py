@@ -12,6 +12,8 @@ from loomgraph.llm import bpe, decontam, langid, linededup, minhash
 from loomgraph.session import ensure_checkpoint_dir, ship_package
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Letters from which on an ambiguous language is no matter of a short text.
+JUDGED_LETTERS = 50
 
 
 def _same_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -22,9 +24,15 @@ def _same_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no language: a null text, or one without a letter."""
-    named = langid.identify(docs)
-    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Without documents of no language: a null text, one without a letter, or a long ambiguous one.
+
+    Where no row has a language to learn from, all that have a letter stay.
+    """
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    unclear = F.col("ambiguous") & (letters >= JUDGED_LETTERS)
+    unnamed = F.col("lang_pred") == langid.UNKNOWN
+    keeps = F.when(unnamed, F.col("text").rlike(r"\p{L}")).otherwise(~unclear)
+    return langid.identify(docs).where(keeps).select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomgraph.llm import langid
 from tests.llm.helpers import documents
 from tests.llm.test_minhash import plain_sets
 
@@ -59,3 +63,27 @@ def test_near_dedup_leaves_one_of_each_group(spark):
     assert texts == [(0, "p q r "), (0, "x y z"), (1, "a b c "), (2, "of ano"), (2, "w0 w1 "), (3, ""), (4, "")]
     hot = documents(spark, [(5, "the same row again and again")] * 3000 + [(6, "another text than the others")])
     assert near_kept(spark, hot.repartition(4)) == [5, 6]
+
+
+def test_language_decides(spark):
+    """A long text half in one language, half in another is dropped; a short one is not judged."""
+    first, second = "abcdefgh", "klmnopqr"
+    draw = random.Random(4)
+
+    def said(letters, words):
+        return " ".join("".join(draw.choice(letters) for _ in range(5)) for _ in range(words))
+
+    rows = [(k, said((first, second)[k % 2], 60)) for k in range(200)]
+    rows += [(k, f"{said(first, 150)} {said(second, 150)}") for k in range(200, 220)] + [(220, "abcdk lmnop"), (221, "12")]
+    lang = F.when(F.col("doc_id") < 200, F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    docs = documents(spark, rows).withColumn("lang", lang)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    named = {r.doc_id: r.ambiguous for r in langid.identify(docs).collect()}
+    assert any(named[k] for k in range(200, 220))
+    assert kept == {k for k in range(221) if k == 220 or not named[k]} >= {*range(200), 220}
+
+
+def test_language_without_labels(spark):
+    rows = [(1, "some words"), (2, "é"), (3, "12 !?"), (4, None), (5, "")]
+    docs = documents(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()) == [1, 2]
