@@ -18,7 +18,7 @@ def plain_sets(texts):
     return out
 
 
-def plainly(texts):
+def plainly(texts, threshold=85):
     sets = plain_sets(texts)
     parent = {k: k for k in sets}
 
@@ -31,7 +31,7 @@ def plainly(texts):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if common and 100 * common >= threshold * (len(sets[a]) + len(sets[b]) - common):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
     return {k: (len(sets[k]), top(k), top(k) == k) for k in keys}

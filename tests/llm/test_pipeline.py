@@ -16,7 +16,7 @@ def plain_result():
     texts = {k: t for k, t in texts.items() if t and any(c.isalpha() for c in t)}
     lined = lines_plainly(texts)
     texts = {k: t for k, (_, gone, t) in lined.items() if not gone or t.strip(" ")}
-    near = near_plainly(texts)
+    near = near_plainly(texts, 80)
     texts = {k: t for k, t in texts.items() if near[k][2]}
     items = [r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     return {k: t for k, t in texts.items() if not any(item in t for item in items)}
