@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, phrases, shards, substrings
+from loomgraph.llm import (
+    bpe, chat, decontam, fim, htmltext, langid, linededup, minhash, phrases, shards, substrings,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -199,6 +201,44 @@ SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
 FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
 """
 
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        fim.frames_sha256("output").alias("output_sha256"),
+        fim.restored_sha256("output", "form").alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents),
+numbers AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM drawn),
+cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers),
+made AS (
+    SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM made
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontam": op2_decontam,
@@ -210,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_phrases": op10_phrases,
+    "op13_fim": op13_fim,
 }
 
 ORACLE: dict[str, str] = {
@@ -217,4 +258,5 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op8_substrings": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op13_fim": OP13_SQL,
 }
