@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import (
-    bpe, chat, decontam, fim, htmltext, langid, linededup, minhash, phrases, shards, substrings,
+    bpe, chat, decontam, fim, htmltext, langid, linededup, minhash, phrases, quality, shards, substrings,
 )
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -202,6 +202,12 @@ FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
 """
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return rows.select("doc_id", *base, "kept", "rule")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
     return made.select(
@@ -250,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_phrases": op10_phrases,
+    "op12_quality": op12_quality,
     "op13_fim": op13_fim,
 }
 
