@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import (
     bpe, chat, decontam, fim, htmltext, langid, linededup, minhash, phrases, quality, shards, substrings,
+    whiten,
 )
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -202,6 +203,11 @@ FROM bytes b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -256,6 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_chat": op9_chat,
     "op10_phrases": op10_phrases,
+    "op11_whitening": op11_whitening,
     "op12_quality": op12_quality,
     "op13_fim": op13_fim,
 }

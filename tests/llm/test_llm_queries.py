@@ -38,7 +38,7 @@ def test_sql(spark, name):
 
 
 def test_each_operator_has_a_query():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert "pipeline" in spark_entry.queries()
 
 
