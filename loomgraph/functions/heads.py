@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 _NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _STRING = r"\"[^\"\n]*+\"|'[^'\n]*+'"
 _COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)[ \t]*+"
-# A blank between a word and a backtick is text between tags, unless the word asks for a value.
-_TEMPLATE = r"(?:(?<![\p{L}\p{N},.!?] )|(?<=\breturn )|(?<=\bcase )|(?<=\bdefault ))`[^`]*+`"
+# A blank between a word and a backtick is text between tags, unless the word asks for a value or is
+# a tag itself, which then stands where a value can.
+_ASKING = r"(?<=\breturn )|(?<=\bcase )|(?<=\bdefault )"
+_TAGGED = r"(?<=(?:[=(\[{:?&|+]|=>|\breturn|\bdefault)[ \t]{0,4}[\p{L}_$][\p{L}\p{N}_$.]{0,60} )"
+_TEMPLATE = rf"(?:(?<![\p{{L}}\p{{N}},.!?] )|{_ASKING}|{_TAGGED})`[^`]*+`"
 _REGEX = r"(?<![\p{L}\p{N}_$\])])/(?![*/])[^/\n\[]*+(?:\[[^\]\n]{0,200}+\][^/\n\[]*+){0,50}+/[a-z]*+"
 # Declaring keywords of the language, and those that may stand before them.
 _DECLARING = "const\\s++enum|function|class|interface|type|enum|const|let|var"
 _BEFORE = r"(?:default\s++)?+(?:(?:declare|abstract|async)\s++)*+"
 _IMPORT = rf"import(?=[\s\"'{{*])[^;'\"`()=]*?(?:{_STRING})"
 _EXPORT = rf"export\s++{_BEFORE}(?:{_DECLARING})(?![\p{{L}}\p{{N}}_$])[\s*]*+{_NAME}(?:\s*+[=<])?+"
-_STATEMENT = rf"(?m)(?:^|(?<=[;}}])[ \t]*+)({_IMPORT}|{_EXPORT})|{_STRING}"
+# The engine first looks at one character, so that most places of a text are left at once.
+_STATEMENT = rf"(?m)(?=[\"';}} \t\x{{FEFF}}ie])(?:(?:^|\A\x{{FEFF}}|(?<=[;}}])[ \t]*+)({_IMPORT}|{_EXPORT})|{_STRING})"
+_NOISE = rf"(?=[\"'/`])(?:({_STRING})|{_COMMENT}|{_TEMPLATE}|{_REGEX})"
+#: A specifier with its quotes, at the end of a statement.
+_QUOTED = r"(?:\"[^\"\n]*+\"|'[^'\n]*+')\z"
 _EXPORT_PARTS = rf"(?s)\Aexport\s++{_BEFORE}({_DECLARING})[\s*]*+({_NAME})(\s*+[=<])?+.*"
 
 
@@ -34,9 +41,11 @@ def statements(text: Column) -> Column:
     filled = F.regexp_replace(plain, r"\$\{[^{}`]*+`[^`]*+`[^{}`]*+\}", "")
     filled = F.regexp_replace(filled, r"\$\{[^{}`]*+\}", "")
     plain = F.when(text.contains("${"), filled).otherwise(plain)
-    noise = rf"({_STRING})|{_COMMENT}|{_TEMPLATE}|{_REGEX}"
-    kept = F.when(text.rlike("[/`]"), F.regexp_replace(plain, noise, "$1")).otherwise(plain)
-    return F.filter(F.regexp_extract_all(kept, F.lit(_STATEMENT), 1), lambda s: s != "")
+    kept = F.when(text.rlike("[/`]"), F.regexp_replace(plain, _NOISE, "$1")).otherwise(plain)
+    found = F.filter(F.regexp_extract_all(kept, F.lit(_STATEMENT), 1), lambda s: s != "")
+    return F.when(text.contains("import") | text.contains("export"), found).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def joined_path(folder: Column, relative: Column) -> Column:
@@ -56,7 +65,8 @@ def joined_path(folder: Column, relative: Column) -> Column:
 
 def specifier(statement: Column) -> Column:
     """The text after `from` of an import statement."""
-    return F.regexp_extract(statement, r"[\"']([^\"']*)[\"']\z", 1)
+    quoted = F.regexp_extract(statement, _QUOTED, 0)
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
 def base_path(statement: Column, path: Column) -> Column:
@@ -67,7 +77,7 @@ def base_path(statement: Column, path: Column) -> Column:
 
 def local_names(statement: Column) -> Column:
     """Local names of what an import statement brings, the default first, without namespaces."""
-    clause = F.regexp_extract(statement, r"(?s)\Aimport\s*+(.*?)\s*+(?:\bfrom\s*+)?[\"'][^\"']*[\"']\z", 1)
+    clause = F.regexp_extract(statement, rf"(?s)\Aimport\s*+(.*?)\s*+(?:\bfrom\s*+)?{_QUOTED}", 1)
     clause = F.regexp_replace(clause, r"\Atype\s++(?=[\p{L}_${*])", "")
     first = F.regexp_extract(clause, rf"\A({_NAME})", 1)
     listed = F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ",")

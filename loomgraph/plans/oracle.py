@@ -481,12 +481,15 @@ WITH lines AS (
   SELECT 'gen/d' || doc_id || '/x.tsx' AS file_path, unnest(range(0, len(string_split(text, chr(10))))) AS i
   FROM documents)
 SELECT file_path, 'import' AS what, 'gen/m' || i AS name, 'D' || i || ',b' || i || ',T' || i AS detail
-FROM lines WHERE i % 5 = 0
+FROM lines WHERE i % 7 = 0
 UNION ALL SELECT file_path, 'import',
-  'gen/' || split_part(file_path, '/', 2) || '/side' || i, '' FROM lines WHERE i % 5 = 1
-UNION ALL SELECT file_path, 'export', 'v' || i, 'variable' FROM lines WHERE i % 5 = 2
-UNION ALL SELECT file_path, 'export', 'f' || i, 'function' FROM lines WHERE i % 5 = 3
-UNION ALL SELECT file_path, 'export', 'Y' || i, 'type' FROM lines WHERE i % 5 = 4""",
+  'gen/' || split_part(file_path, '/', 2) || '/side' || i, '' FROM lines WHERE i % 7 = 1
+UNION ALL SELECT file_path, 'export', 'v' || i, 'variable' FROM lines WHERE i % 7 = 2
+UNION ALL SELECT file_path, 'export', 'f' || i, 'function' FROM lines WHERE i % 7 = 3
+UNION ALL SELECT file_path, 'export', 'Y' || i, 'type' FROM lines WHERE i % 7 = 4
+UNION ALL SELECT file_path, 'import',
+  'gen/' || split_part(file_path, '/', 2) || '/it''s' || i, 'Q' FROM lines WHERE i % 7 = 5
+UNION ALL SELECT file_path, 'export', 'w' || i, 'variable' FROM lines WHERE i % 7 = 6""",
     "import_resolve": _with(_CODE_FILES, _STATEMENTS)
     + """ SELECT DISTINCT base, target FROM statements
  WHERE target IN (SELECT file_path FROM code_paths)""",

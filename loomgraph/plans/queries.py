@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import EmbeddingConfig
 from loomgraph.functions import embedding as emb
-from loomgraph.functions.text import content_hash
+from loomgraph.functions.text import content_hash, cut
 from loomgraph.functions.vectors import cosine, list_array
 from loomgraph.operators import (
     chunking, cochange, depgraph, incremental, overlay, pages, search, symbols, waves,
@@ -170,7 +170,9 @@ def embed_prefix_truncate(spark, sf):
         *[F.struct(F.lit(m).alias("model"), F.lit(mode).alias("mode"))
           for m in models for mode in ("query", "document")]
     )
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    # What lies beyond the limit is cut off once, before a text becomes a row for each case.
+    head = cut(F.col("text"), emb.MAX_TEXT_CHARS).alias("text")
+    docs = corpus.dealt(spark, sf, "documents", "doc_id", "text").select("doc_id", head)
     rows = docs.select("doc_id", "text", F.explode(cases).alias("_c"))
     sent = emb.model_input(F.col("text"), F.col("_c.model"), F.col("_c.mode"))
     return rows.select("doc_id", "_c.model", "_c.mode", sent.alias("_sent")).select(

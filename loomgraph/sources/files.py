@@ -83,7 +83,7 @@ class _TreeReader(DataSourceReader):
                     text = None
                     if self.contents:
                         with open(path, "rb") as handle:
-                            text = handle.read().decode("utf-8", "replace")
+                            text = handle.read().decode("utf-8-sig", "replace")
                 except FileNotFoundError:
                     # Gone since it was listed. Any other failure ends the scan: a file that
                     # cannot be read must not look like one that was deleted.
@@ -121,7 +121,7 @@ def scan_tree(
     """(repo_id, source, file_path, content, mtime) of every matching file under `root`.
 
     Files that vanish during the scan are skipped; one that cannot be read is an error. Paths
-    are relative to `root`.
+    are relative to `root`. A byte-order mark at a file's start is no part of its text.
     """
     files = _tree(
         spark, root, globs=json.dumps(list(globs)), skip=json.dumps(list(skip_parts))
@@ -172,6 +172,6 @@ def scan_store(
         F.lit(repo_id).alias("repo_id"),
         F.lit(source).alias("source"),
         "file_path",
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "").alias("content"),
         F.unix_millis("modificationTime").alias("mtime"),
     )

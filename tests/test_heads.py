@@ -34,6 +34,9 @@ def test_imports(read):
         "import r from 'react'": ("react", None, ["r"]),
         "import {\n  a, // it's one (or two)\n  default as b,\n} from './q'\n": ("./q", "a/q", ["a", "b"]),
         "const x = 1; import y from '../../up'": ("../../up", "../up", ["y"]),
+        "import a from \"./it's\"": ("./it's", "a/it's", ["a"]),
+        "import a from './say \"so\"'": ('./say "so"', 'a/say "so"', ["a"]),
+        "\ufeffimport a from './a'": ("./a", "a/a", ["a"]),
     }
     for text, want in cases.items():
         assert read(text)[0] == [want], text
@@ -49,6 +52,12 @@ def test_what_is_no_import(read):
         "function f() {\n  import('./a') }\nimport.meta.url\n",
         "import x = require('./x')",
         'const t = "import q from \'./q\'"',
+        "const t = css `\nimport ghost from './ghost';\n`\n",
+        "const B = styled.div `\nimport ghost from './ghost';\n`\n",
+        "export default gql `\nimport ghost from './ghost';\n`\n",
+        "f(html `\nimport ghost from './ghost';\n`)\n",
+        "const f = () => css `\nimport ghost from './ghost';\n`\n",
+        "x \ufeffimport a from './a'",
     ):
         assert read(text)[0] == [], text
 
