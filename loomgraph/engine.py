@@ -48,15 +48,18 @@ class Workspace:
 
     # --- indexing --------------------------------------------------------------------------
 
-    def scan(self, source: str) -> DataFrame:
+    def tree(self, source: str) -> tuple[str, list[str], list[str]]:
+        """Root folder, globs and parts of paths to skip of a source."""
         repo = self.repo
-        root, globs, skip = {
+        return {
             "code": (repo.project_root, repo.code_globs, repo.skip_parts),
             "docs": (repo.project_root, repo.doc_globs, []),
             "memory": (repo.memory_dir, ["*.md"], NOTE_SKIP),
             "wiki": (repo.wiki_dir, ["*.md"], []),
         }[source]
-        return scan(self.spark, root, globs, skip, repo.repo_id, source)
+
+    def scan(self, source: str) -> DataFrame:
+        return scan(self.spark, *self.tree(source), self.repo.repo_id, source)
 
     def index(self, source: str) -> int:
         """Bring one source up to date; returns the number of chunks written.
