@@ -100,3 +100,47 @@ def test_batches_equal_one_by_one_planning(spark):
     touches = spark.createDataFrame(rows, "batch int, issue int, file string")
     got = waves.waves(touches, ["batch"]).collect()
     assert {(r["batch"], r["issue"]): r["wave"] for r in got} == want
+
+
+def batch_greedy(rows):
+    """{(batch, issue): wave} by a plain pass over all issues in order."""
+    files, out = {}, {}
+    for batch, issue, file in rows:
+        files.setdefault((batch, issue), set()).add(file)
+    used = {}
+    for (batch, issue), own in sorted(files.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+        own.discard(None)
+        taken = set().union(*(used.setdefault((batch, f), set()) for f in own))
+        wave = next(w for w in range(len(taken) + 1) if w not in taken)
+        for f in own:
+            used[batch, f].add(wave)
+        out[batch, issue] = wave
+    return out
+
+
+def test_large_batches_are_split(spark):
+    """One batch holds most rows: a hot file, chains, and parts that nothing connects; also without a batch."""
+    draw = random.Random(4)
+    rows = [("big", i, "hot") for i in range(0, 300, 2)]
+    rows += [("big", i, f"f{draw.randrange(200)}") for i in range(300) for _ in range(draw.randrange(3))]
+    rows += [("big", 1000 + i, f"g{i // 3}") for i in range(90)] + [("big", 2000 + i, f"c{i + k}") for i in range(60) for k in (0, 1)]
+    rows += [(b, i, f"f{draw.randrange(4)}") for b in ("x", "y", None) for i in range(12)] + [("x", 99, None), ("big", 5000, None)]
+    frame = spark.createDataFrame(rows, "batch string, issue long, file string")
+    for most, block in ((40, 100), (10_000, 10)):
+        got = waves.waves(frame, ["batch"], most, block).collect()
+        assert len(got) == len(batch_greedy(rows)) and {(r.batch, r.issue): r.wave for r in got} == batch_greedy(rows)
+    own = [(None, i, f) for b, i, f in rows if b == "big"]
+    got = waves.waves(frame.where("batch = 'big'").drop("batch"), (), 100, 150).collect()
+    assert {(None, r.issue): r.wave for r in got} == batch_greedy(own)
+
+
+def test_a_hot_file_is_many_bounded_tasks(spark):
+    """A third of all rows lie on one file: no pass holds more than a block, and its waves are one interval."""
+    rows = spark.range(900).selectExpr("id AS issue", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('f', id) END AS file")
+    got = {r.issue: r.wave for r in waves.waves(rows, (), 100, 100).collect()}
+    assert got == {i: i // 3 if i % 3 == 0 else 0 for i in range(900)}
+    taken = waves.Waves()
+    for wave in (0, 2, 1, 5, 4, 3):
+        assert taken.after(wave) == wave
+        taken.add(wave)
+    assert taken.intervals() == [[0, 5]] and waves.lowest_free([taken, waves.Waves([[6, 7], [9, 9]])]) == 8
