@@ -105,9 +105,10 @@ def repo_configs(raw: dict) -> dict[str, RepoConfig]:
     for entry in raw.get("repos") or [single]:
         repo_id, root = entry.get("repoId"), entry.get("projectRoot")
         if not repo_id or not root:
-            raise ValueError("every entry of repos needs repoId and projectRoot")
+            missing = "repoId" if not repo_id else "projectRoot"
+            raise ValueError(f"no {missing} in the settings of {repo_id or root or entry!r}")
         if repo_id in found:
-            raise ValueError(f"duplicate repoId {repo_id!r}")
+            raise ValueError(f"two repositories are called {repo_id!r}: {found[repo_id].project_root} and {root}")
 
         def pick(key: str, default):
             return next((s[key] for s in (entry, raw) if s.get(key) is not None), default)
@@ -129,5 +130,5 @@ def repo_configs(raw: dict) -> dict[str, RepoConfig]:
 def select_repo(repos: dict[str, RepoConfig]) -> RepoConfig:
     """REPO_ID picks one of several; otherwise the first."""
     if not repos:
-        raise ValueError("no repository configured")
+        raise ValueError("the settings name no tree to index")
     return repos.get(os.environ.get("REPO_ID", ""), next(iter(repos.values())))

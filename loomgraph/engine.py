@@ -14,12 +14,12 @@ from loomgraph import wiki
 from loomgraph.config import EmbeddingConfig, RepoConfig
 from loomgraph.functions.embedding import dimension, embed, embed_query
 from loomgraph.functions.text import content_hash
-from loomgraph.operators import chunking, cochange, depgraph, pages, symbols, waves
+from loomgraph.operators import chunking, cochange, depgraph, maintain, pages, symbols, waves
 from loomgraph.operators.incremental import PATH_KEY, changed_files, vanished_files
 from loomgraph.operators.search import check_k, nearest
 from loomgraph.session import ensure_checkpoint_dir, ship_package
 from loomgraph.sources.files import filter_files, list_paths, scan
-from loomgraph.sources.gitlog import commit_files, head_sha
+from loomgraph.sources.gitlog import commit_files, head_sha, leads_to
 from loomgraph.store import TABLES, NotBuilt, Store
 
 SOURCES = ("code", "docs", "memory", "wiki")
@@ -126,26 +126,96 @@ class Workspace:
         def write(name: str, rows: DataFrame) -> DataFrame:
             return store.write_table(name, repo_id, rows, version)
 
-        files = self.scan("code").select("file_path", "content").checkpoint()
+        files = self._graph_scan().checkpoint()
         paths = list_paths(self.spark, repo.project_root)
-        heads = depgraph.with_heads(files).checkpoint()
-        write("import_edges", depgraph.import_edges(heads, paths))
+        heads = depgraph.with_heads(files.select("file_path", "content")).checkpoint()
+        sha = head_sha(repo.project_root)
+        write("graph_files", files.select("file_path", "content_hash"))
+        statements = write("import_statements", depgraph.import_statements(heads))
+        targets = write("import_targets", depgraph.resolve_bases(statements, paths))
+        write("import_edges", depgraph.edges_of(statements, targets))
         write("exports", depgraph.exports(heads))
+        counts = write("co_change_counts", self._pair_counts())
+        write("co_changes", counts.where(F.col("count") >= settings.co_change_min_count))
+        self._write_symbols(files, paths, write)
+        write("build_meta", self._meta(sha))
+        store.publish(repo_id, list(TABLES), version)
+
+    def _graph_scan(self) -> DataFrame:
+        return self.scan("code").select("file_path", "content", content_hash(F.col("content")).alias("content_hash"))
+
+    def _pair_counts(self, since: str = "") -> DataFrame:
+        repo = self.repo
         history = commit_files(
-            self.spark, {repo_id: repo.project_root}, settings.co_change_max_commits
+            self.spark, {repo.repo_id: repo.project_root}, repo.graph.co_change_max_commits, since=since
         )
-        write("co_changes", cochange.co_change_pairs(history, settings.co_change_min_count))
-        outlined = depgraph.with_outline(files if settings.symbols_enabled else files.limit(0))
-        outlined = outlined.checkpoint()
+        return cochange.co_change_pairs(history, 1)
+
+    def _write_symbols(self, files: DataFrame, paths: DataFrame, write: Callable) -> None:
+        settings = self.repo.graph
+        outlined = depgraph.with_outline(files.select("file_path", "content") if settings.symbols_enabled
+                                         else files.select("file_path", "content").limit(0)).checkpoint()
         nodes = write("symbol_nodes", symbols.symbol_nodes(outlined))
         write("symbol_edges", symbols.symbol_edges(outlined, nodes, paths))
         write("semantic_edges", self._overlay(nodes, settings.semantic_min_score, settings.semantic_top_k))
-        write("build_meta", self.spark.range(1).select(
-            F.current_timestamp().alias("built_at"),
-            F.lit(head_sha(repo.project_root)).alias("head_sha"),
+
+    def _meta(self, sha: str) -> DataFrame:
+        return self.spark.range(1).select(
+            F.current_timestamp().alias("built_at"), F.lit(sha).alias("head_sha"),
             F.lit(dimension(self.embedding)).alias("dim"),
-        ))
-        store.publish(repo_id, list(TABLES), version)
+        )
+
+    def update_graph(self) -> bool:
+        """Bring the graph up to date from what changed since the last build; false if nothing did.
+
+        Only changed scripts are read for statements, only bases that the change can affect are
+        looked up, and only commits since the stored one are counted. Symbols and the overlay, where
+        enabled, are made anew if a script changed. Without an earlier build, after a rewritten
+        history, or with a limit on commits, which drops old ones, history is read as a whole.
+        """
+        repo, store, repo_id = self.repo, self.store, self.repo.repo_id
+        try:
+            old = {name: self._table(name) for name in TABLES}
+        except NotBuilt:
+            self.build_graph()
+            return True
+        version = store.next_version()
+        written: list[str] = []
+
+        def write(name: str, rows: DataFrame) -> DataFrame:
+            written.append(name)
+            return store.write_table(name, repo_id, rows, version)
+
+        scanned = self._graph_scan().checkpoint()
+        now, before = scanned.select("file_path", "content_hash"), old["graph_files"]
+        changed = scanned.join(before, ["file_path", "content_hash"], "left_anti").checkpoint()
+        gone = before.join(now, "file_path", "left_anti").select("file_path").checkpoint()
+        all_paths = list_paths(self.spark, repo.project_root).checkpoint()
+        sha, old_sha = head_sha(repo.project_root), old["build_meta"].first()["head_sha"]
+        is_changed = not (changed.isEmpty() and gone.isEmpty())
+        if not is_changed and sha == old_sha:
+            return False
+        if is_changed:
+            touched = changed.select("file_path").union(gone).checkpoint()
+            heads = depgraph.with_heads(changed.select("file_path", "content")).checkpoint()
+            fresh = depgraph.import_statements(heads).checkpoint()
+            come = now.join(before, "file_path", "left_anti")
+            statements = write("import_statements", maintain.updated_rows(old["import_statements"], fresh, touched))
+            affected = maintain.affected_bases(statements, old["import_targets"], come, gone, fresh).checkpoint()
+            targets = write("import_targets", maintain.updated_targets(old["import_targets"], affected, all_paths))
+            write("import_edges", maintain.updated_edges(old["import_edges"], statements, targets, affected, touched))
+            write("exports", maintain.updated_rows(old["exports"], depgraph.exports(heads), touched))
+            write("graph_files", now)
+            self._write_symbols(scanned, all_paths, write)
+        if sha != old_sha:
+            follows = not repo.graph.co_change_max_commits and leads_to(repo.project_root, old_sha, sha)
+            counts = self._pair_counts(since=old_sha if follows else "")
+            counts = maintain.updated_counts(old["co_change_counts"], counts) if follows else counts
+            counts = write("co_change_counts", counts)
+            write("co_changes", counts.where(F.col("count") >= repo.graph.co_change_min_count))
+        write("build_meta", self._meta(sha))
+        store.publish(repo_id, written, version)
+        return True
 
     def _overlay(self, nodes: DataFrame, min_score: float, top_k: int) -> DataFrame:
         chunks = self.store.live_chunks(self.repo.repo_id, "code")

@@ -17,6 +17,8 @@ TRIED_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/ind
 REPLACED_SUFFIX = ".js"
 REPLACEMENTS = [".ts", ".tsx"]
 MAX_DEPTH = 5
+#: Edges of one node that a walk's join reads in one task, about.
+NODE_SLICE = 50_000
 
 
 def with_outline(
@@ -118,8 +120,12 @@ def resolve_bases(bases: DataFrame, paths: DataFrame, column: str = "base") -> D
 def import_edges(outlined: DataFrame, paths: DataFrame) -> DataFrame:
     """(source, target, stmt_pos, names), one row per import that resolves; repeats kept."""
     statements = import_statements(outlined)
-    found = resolve_bases(statements, paths)
-    return statements.join(found, "base").select(
+    return edges_of(statements, resolve_bases(statements, paths))
+
+
+def edges_of(statements: DataFrame, targets: DataFrame) -> DataFrame:
+    """Import edges from statements and the file that each base means."""
+    return statements.join(targets, "base").select(
         F.col("file_path").alias("source"), "target", F.col("pos").alias("stmt_pos"), "names"
     )
 
@@ -217,6 +223,48 @@ def reachable(edges: DataFrame, start: str, depth: int | None = 1) -> DataFrame:
     return seen
 
 
+def reachable_from(
+    edges: DataFrame, starts: DataFrame, depth: int | None = None, slice_edges: int = NODE_SLICE
+) -> DataFrame:
+    """(start, node, level): what each of many starts reaches, at its shortest distance from 1 on.
+
+    As `reachable`, for all rows of `starts(start)` at once: a level is one join of all frontiers.
+    The edges of a node with very many are cut into slices, and its frontier rows go to each, so
+    no task joins all of them. Without a depth the walk goes on until a level finds nothing new.
+    Null starts and ends reach nothing; a start is not among what it reaches itself.
+    """
+    if depth is not None and depth < 1:
+        raise ValueError("depth must be at least 1")
+    ensure_checkpoint_dir(edges.sparkSession)
+    steps = edges.select("from_node", "to_node").dropna().distinct()
+    slices = steps.groupBy("from_node").agg(F.ceil(F.count(F.lit(1)) / slice_edges).cast("int").alias("_slices"))
+    steps = (
+        steps.join(slices, "from_node")
+        .withColumn("_slice", F.pmod(F.xxhash64("to_node"), F.col("_slices")).cast("int"))
+        .checkpoint()
+    )
+    slices = steps.select("from_node", "_slices").distinct().checkpoint()
+    # Level 0 is the start itself, which keeps walks from coming back to it.
+    seen = starts.select("start").dropna().distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("level"))
+    for level in count(1) if depth is None else range(1, depth + 1):
+        seen = seen.checkpoint()
+        frontier = seen.where(F.col("level") == level - 1).select("start", F.col("node").alias("from_node"))
+        dealt = frontier.join(slices, "from_node").select(
+            "start", "from_node", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice")
+        )
+        found = (
+            dealt.join(steps, ["from_node", "_slice"])
+            .select("start", F.col("to_node").alias("node"))
+            .distinct()
+            .join(seen, ["start", "node"], "left_anti")
+            .checkpoint()
+        )
+        if found.isEmpty():
+            break
+        seen = seen.unionByName(found.withColumn("level", F.lit(level)))
+    return seen.where(F.col("level") > 0)
+
+
 def dependencies(
     edges: DataFrame, file: str, direction: str = "both", depth: int = 1
 ) -> DataFrame:

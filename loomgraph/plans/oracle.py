@@ -494,6 +494,18 @@ UNION ALL SELECT file_path, 'export', 'w' || i, 'variable' FROM lines WHERE i %
     + """ SELECT DISTINCT base, target FROM statements
  WHERE target IN (SELECT file_path FROM code_paths)""",
     "import_edges": _with(_CODE_FILES, _STATEMENTS) + " SELECT * FROM edges",
+    "reachable_from_many": _with(
+        _CODE_FILES,
+        _STATEMENTS,
+        """walk(start, node, level) AS (
+  SELECT file_path, file_path, 0 FROM code_paths
+  WHERE file_path LIKE 'src/nation/%' OR file_path LIKE 'src/region/%'
+  UNION
+  SELECT w.start, e.source, w.level + 1 FROM walk w JOIN edges e ON e.target = w.node
+  WHERE w.level < 40)""",
+    )
+    + " SELECT start, node, min(level) AS level FROM walk WHERE level > 0 GROUP BY 1, 2",
+    "import_edges_updated": _with(_CODE_FILES, _STATEMENTS) + " SELECT * FROM edges",
     "import_edge_count": _with(_CODE_FILES, _STATEMENTS)
     + " SELECT count(*) AS n_edges FROM edges",
     "imported_by": _with(_CODE_FILES, _STATEMENTS) + " SELECT DISTINCT target, source FROM edges",

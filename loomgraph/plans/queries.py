@@ -14,7 +14,7 @@ from loomgraph.functions import embedding as emb
 from loomgraph.functions.text import content_hash, cut
 from loomgraph.functions.vectors import cosine, list_array
 from loomgraph.operators import (
-    chunking, cochange, depgraph, incremental, overlay, pages, search, symbols, waves,
+    chunking, cochange, depgraph, incremental, maintain, overlay, pages, search, symbols, waves,
 )
 from loomgraph.plans import corpus
 from loomgraph.plans.corpus import table
@@ -461,6 +461,47 @@ def import_edges(spark, sf):
     )
 
 
+@query
+def import_edges_updated(spark, sf):
+    """The edges of the whole tree, from those of an earlier state of it by delta joins.
+
+    In the earlier state nations were .js files next to the folder they are in now, orders of 1995
+    and later were not there, and customers in debt imported nothing.
+    """
+    files = corpus.code_files(spark, sf)
+    path, late = F.col("file_path"), table(spark, sf, "orders").where("o_orderdate >= '1995-01-01'")
+    late = late.select(F.concat(F.lit("src/orders/o"), "o_orderkey", F.lit(".tsx")).alias("file_path"))
+    in_debt = path.startswith("src/customer/") & F.col("content").contains("return -")
+    earlier = files.join(late, "file_path", "left_anti").select(
+        F.when(path.startswith("src/nation/"), F.regexp_replace(path, r"\.ts\z", "/index.ts")).otherwise(path).alias("file_path"),
+        F.when(in_debt, F.lit("export {}")).otherwise(F.col("content")).alias("content"),
+    )
+    before = _written(earlier.select("file_path", "content", content_hash(F.col("content")).alias("content_hash")))
+    now = _written(files.select("file_path", "content", content_hash(F.col("content")).alias("content_hash")))
+    statements = _written(depgraph.import_statements(depgraph.with_heads(before.select("file_path", "content"))))
+    targets = _written(depgraph.resolve_bases(statements, before))
+    edges = depgraph.edges_of(statements, targets)
+    # From here on, as an update of stored tables.
+    changed = _written(now.join(before.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_anti"))
+    gone = _written(before.select("file_path").join(now, "file_path", "left_anti"))
+    touched = changed.select("file_path").union(gone)
+    fresh = _written(depgraph.import_statements(depgraph.with_heads(changed.select("file_path", "content"))))
+    come = now.select("file_path").join(before, "file_path", "left_anti")
+    statements_now = _written(maintain.updated_rows(statements, fresh, touched))
+    affected = _written(maintain.affected_bases(statements_now, targets, come, gone, fresh))
+    targets_now = maintain.updated_targets(targets, affected, now)
+    rows = maintain.updated_edges(edges, statements_now, targets_now, affected, touched)
+    return rows.select("source", "target", "stmt_pos", F.array_join("names", ",").alias("names"))
+
+
+@query
+def reachable_from_many(spark, sf):
+    """What depends on each nation and region, over any number of imports, for all of them at once."""
+    edges = _edges(spark, sf).select(F.col("target").alias("from_node"), F.col("source").alias("to_node"))
+    places = corpus.code_files(spark, sf).where(F.col("file_path").rlike("^src/(nation|region)/"))
+    return depgraph.reachable_from(edges, places.select(F.col("file_path").alias("start")))
+
+
 @query
 def import_edge_count(spark, sf):
     return _edges(spark, sf).agg(F.count(F.lit(1)).alias("n_edges"))

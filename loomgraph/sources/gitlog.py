@@ -35,12 +35,15 @@ class _GitLogReader(DataSourceReader):
         pairs = [p.split("=", 1) for p in options["roots"].splitlines() if p]
         self.roots = [(name, root) for name, root in pairs]
         self.limit = int(options.get("maxcommits", "0"))
+        self.since = options.get("since", "")
         self.step = int(options.get("commitspertask", "5000"))
 
     def partitions(self) -> list[CommitRange]:
         ranges = []
         for name, root in self.roots:
             if sha := head_sha(root):
+                if self.since:
+                    sha = f"{self.since}..{sha}"
                 total = int(_git(root, "rev-list", "--count", sha))
                 total = min(total, self.limit) if self.limit else total
                 for skip in range(0, total, self.step):
@@ -86,10 +89,12 @@ class GitLogSource(DataSource):
 
 
 def commit_files(
-    spark: SparkSession, roots: dict[str, str], max_commits: int | None = None, per_task: int = 5000
+    spark: SparkSession, roots: dict[str, str], max_commits: int | None = None, per_task: int = 5000,
+    since: str = "",
 ) -> DataFrame:
     """Files of the newest `max_commits` commits of each repository, by default of all.
 
+    With `since`, a commit of the one repository given, those that it leads to are left out.
     A folder that is no repository, or one without a commit, has none; a `git` that fails later
     fails its task.
     """
@@ -99,6 +104,7 @@ def commit_files(
         .option("roots", "\n".join(f"{k}={v}" for k, v in roots.items()))
         .option("maxCommits", str(max_commits or 0))
         .option("commitsPerTask", str(per_task))
+        .option("since", since)
         .load()
     )
 
@@ -108,6 +114,12 @@ def newest_commits(files: DataFrame, max_commits: int, commit: str = "commit_no"
     return files.where(F.col(commit) < max_commits)
 
 
+def leads_to(root: str, old: str, new: str) -> bool:
+    """Whether the history of `new` still holds `old`, which a rewritten one does not."""
+    command = ["git", "-C", root, "merge-base", "--is-ancestor", old, new]
+    return bool(old and new) and subprocess.run(command, capture_output=True, check=False).returncode == 0
+
+
 def head_sha(root: str) -> str:
     """Current commit of a checkout, '' when there is none."""
     done = subprocess.run(

@@ -47,6 +47,10 @@ TABLES = {
     "import_edges": "source string, target string, stmt_pos int, names array<string>",
     "exports": "file_path string, pos int, name string, kind string",
     "co_changes": "file_a string, file_b string, count long",
+    "graph_files": "file_path string, content_hash string",
+    "import_statements": "file_path string, pos int, specifier string, base string, names array<string>",
+    "import_targets": "base string, target string",
+    "co_change_counts": "file_a string, file_b string, count long",
     "symbol_nodes": "id string, name string, kind string, file string, line int, lang string,"
     " is_default boolean",
     "symbol_edges": "src string, dst string, kind string",

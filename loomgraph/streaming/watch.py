@@ -32,7 +32,7 @@ def apply_changes(workspace: Workspace, batch: DataFrame) -> None:
     for source in touched:
         workspace.index(source)
     if "code" in touched:
-        workspace.build_graph()
+        workspace.update_graph()
 
 
 def watch(
@@ -70,7 +70,7 @@ def apply_bursts(workspace: Workspace, bursts: DataFrame) -> None:
         if source in touched:
             workspace.index(source)
     if "code" in touched:
-        workspace.build_graph()
+        workspace.update_graph()
 
 
 def watch_trees(

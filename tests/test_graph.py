@@ -218,3 +218,26 @@ def test_bursts(spark):
         got = change_bursts(frame, "stream", quiet_seconds=5, unit=unit)
         assert sorted(tuple(r[c] for c in ("stream", "first_ts", "last_ts", "n_events"))
                       for r in got.collect()) == sorted(want)
+
+
+def test_walks_from_many_starts(spark):
+    """Against a plain walk per start, with loops, a hub cut into slices, and rows of nulls."""
+    draw = random.Random(6)
+    pairs = {(draw.randrange(60), draw.randrange(60)) for _ in range(110)} | {(7, k) for k in range(60)}
+    starts = list(range(0, 60, 3))
+
+    def plainly(start, depth):
+        level, found, edge = 0, {start: 0}, {start}
+        while edge and (depth is None or level < depth):
+            level += 1
+            edge = {b for a, b in pairs if a in edge} - set(found)
+            found |= dict.fromkeys(edge, level)
+        return {(start, node, at) for node, at in found.items() if at}
+
+    edges = spark.createDataFrame([*pairs, (None, 1), (1, None)], "from_node long, to_node long")
+    given = spark.createDataFrame([(s,) for s in [*starts, 3, None, 999]], "start long")
+    for depth in (1, 2, None):
+        got = depgraph.reachable_from(edges, given, depth, slice_edges=8).collect()
+        assert len(got) == len(set(got))
+        assert {tuple(r) for r in got} == set().union(*(plainly(s, depth) for s in starts))
+    assert depgraph.reachable_from(edges, given.limit(0)).count() == 0
