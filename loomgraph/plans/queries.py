@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,8 @@ from loomgraph.functions import embedding as emb
 from loomgraph.functions.text import content_hash, cut
 from loomgraph.functions.vectors import cosine, list_array
 from loomgraph.operators import (
-    chunking, cochange, depgraph, incremental, maintain, overlay, pages, search, symbols, waves,
+    chunking, cochange, depgraph, incremental, maintain, overlay, pages, search, symbols,
+    vector_index, waves,
 )
 from loomgraph.plans import corpus
 from loomgraph.plans.corpus import table
@@ -233,6 +235,16 @@ def search_code(spark, sf):
     return search.nearest(rows, _query_vector(spark, sf), 20, ["vec_id"])
 
 
+@query
+def search_code_indexed(spark, sf):
+    """As search_code, through an index of cells built on the whole table."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(_vectors(spark, sf), path, cells=64)
+    index = vector_index.VectorIndex(spark, path)
+    return index.search(_query_vector(spark, sf), 20, ["vec_id"])
+
+
 @query
 def search_code_file_filter(spark, sf):
     rows = filter_files(_vectors(spark, sf), "label_{3,4}/**")
