@@ -15,7 +15,9 @@ from loomgraph.config import EmbeddingConfig, RepoConfig
 from loomgraph.functions.embedding import dimension, embed, embed_query
 from loomgraph.functions.text import content_hash
 from loomgraph.operators import chunking, cochange, depgraph, maintain, pages, symbols, waves
-from loomgraph.operators.incremental import PATH_KEY, changed_files, vanished_files
+from loomgraph.operators.incremental import (
+    PATH_KEY, changed_files, unseen_texts, vanished_files, with_vectors,
+)
 from loomgraph.operators.search import check_k, nearest
 from loomgraph.session import ensure_checkpoint_dir, ship_package
 from loomgraph.sources.files import filter_files, list_paths, scan
@@ -97,9 +99,15 @@ class Workspace:
         return chunker(files)
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
-        return chunks.withColumn(
-            "embedding", embed(F.col("chunk_text"), self.embedding, "document", self.provider)
-        )
+        """The chunks with vectors. Each distinct text is sent once per model, whatever file or run it is in."""
+        model = f"{self.embedding.type}:{self.embedding.model}"
+        hashed = chunks.withColumn("text_hash", F.sha2("chunk_text", 256)).checkpoint()
+        unseen = unseen_texts(hashed, self.store.vectors(model))
+        # Dealt anew: the few texts of a small run would otherwise be sent by one task.
+        dealt = unseen.repartition(self.spark.sparkContext.defaultParallelism, "text_hash")
+        vector = embed(F.col("chunk_text"), self.embedding, "document", self.provider)
+        self.store.append_vectors(dealt.select("text_hash", vector.alias("embedding")), model)
+        return with_vectors(hashed, self.store.vectors(model))
 
     def delete_files(self, files: DataFrame) -> None:
         """Take files out of the index at once; `files` has source and file_path."""

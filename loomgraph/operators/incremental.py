@@ -82,3 +82,22 @@ def latest_versions(log: DataFrame) -> DataFrame:
         .where(F.col("_last.content_hash").isNotNull())
         .select(*PATH_KEY, "_last.version", "_last.content_hash")
     )
+
+
+def unseen_texts(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(text_hash, chunk_text) of each distinct text without a stored vector, once.
+
+    Copies are folded in map tasks already, so a text that very many chunks share is no skew.
+    """
+    texts = chunks.groupBy("text_hash").agg(F.first("chunk_text").alias("chunk_text"))
+    return texts.join(vectors.select("text_hash"), "text_hash", "left_anti")
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The chunks with the `embedding` stored for their text, whichever of equal texts it was made for.
+
+    A hash that is stored twice, by runs side by side, counts once.
+    """
+    wanted = vectors.join(chunks.select("text_hash").distinct(), "text_hash", "left_semi")
+    once = wanted.groupBy("text_hash").agg(F.first("embedding").alias("embedding"))
+    return chunks.join(once, "text_hash").drop("text_hash")

@@ -42,6 +42,7 @@ FILE_LOG = {
     "repo_id": "string",
     "source": "string",
 }
+VECTORS = {"text_hash": "string", "embedding": "array<float>", "model": "string"}
 GRAPH_LOG = {"name": "string", "repo_id": "string", "version": "bigint"}
 TABLES = {
     "import_edges": "source string, target string, stmt_pos int, names array<string>",
@@ -106,6 +107,16 @@ class Store:
         rows.write.mode("append").partitionBy("repo_id", "source").parquet(f"{self.root}/chunks")
         return seen.get["n"]
 
+    def vectors(self, model: str) -> DataFrame:
+        """(text_hash, embedding) of all texts that a model has ever been asked for."""
+        return self._read("vectors", VECTORS).where(F.col("model") == model).drop("model")
+
+    def append_vectors(self, rows: DataFrame, model: str) -> None:
+        """Keep vectors for texts. They are true whatever becomes of the run that asked for them."""
+        rows.select("text_hash", "embedding", F.lit(model).alias("model")).write.mode("append").partitionBy(
+            "model"
+        ).parquet(f"{self.root}/vectors")
+
     def append_log(self, files: DataFrame, version: int) -> None:
         """Write log rows; a NULL content_hash marks a deleted file."""
         files.select("file_path", "content_hash", F.lit(version).alias("version"), "repo_id",
