@@ -2,8 +2,10 @@
 
 Chunks and the file log are append-only: each index run writes its chunks under a new version
 and then, as the commit, one log row per changed or deleted file. A chunk is live when the log's
-last row of its file has the chunk's version. Nothing is rewritten, and a run that dies before
-its log rows leaves only chunks that no reader sees. Graph tables are written under a version, too,
+last row of its file has the chunk's version. A run that dies before its log rows leaves only chunks
+that no reader sees. Compaction writes the live rows as a new generation of both tables, which one
+write to the list of generations makes the current one; earlier ones stay for those who still read
+them, until they are dropped. Graph tables are written under a version, too,
 and become current together, by one write to their log.
 """
 
@@ -42,6 +44,7 @@ FILE_LOG = {
     "repo_id": "string",
     "source": "string",
 }
+GENERATIONS = {"generation": "bigint"}
 VECTORS = {"text_hash": "string", "embedding": "array<float>", "model": "string"}
 GRAPH_LOG = {"name": "string", "repo_id": "string", "version": "bigint"}
 TABLES = {
@@ -80,20 +83,72 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def file_log(self, repo_id: str, source: str | None = None) -> DataFrame:
-        log = self._read("file_log", FILE_LOG).where(F.col("repo_id") == repo_id)
+    def generation(self) -> int:
+        """The current generation of chunks and file log; 0 before the first compaction."""
+        return self._read("generations", GENERATIONS).agg(F.max("generation")).first()[0] or 0
+
+    @staticmethod
+    def _named(name: str, generation: int) -> str:
+        return f"{name}-{generation}" if generation else name
+
+    def file_log(self, repo_id: str, source: str | None = None, generation: int | None = None) -> DataFrame:
+        generation = self.generation() if generation is None else generation
+        log = self._read(self._named("file_log", generation), FILE_LOG).where(F.col("repo_id") == repo_id)
         return log if source is None else log.where(F.col("source") == source)
 
-    def stored_files(self, repo_id: str, source: str | None = None) -> DataFrame:
-        return latest_versions(self.file_log(repo_id, source))
+    def stored_files(self, repo_id: str, source: str | None = None, generation: int | None = None) -> DataFrame:
+        return latest_versions(self.file_log(repo_id, source, generation))
 
     def live_chunks(self, repo_id: str, source: str | None = None) -> DataFrame:
-        chunks = self._read("chunks", CHUNKS).where(F.col("repo_id") == repo_id)
+        # Both tables are read in one generation, whatever is made the current one in between.
+        generation = self.generation()
+        chunks = self._read(self._named("chunks", generation), CHUNKS).where(F.col("repo_id") == repo_id)
         if source is not None:
             chunks = chunks.where(F.col("source") == source)
-        live = self.stored_files(repo_id, source).select(*PATH_KEY, "version")
+        live = self.stored_files(repo_id, source, generation).select(*PATH_KEY, "version")
         return chunks.join(live, [*PATH_KEY, "version"], "left_semi")
 
+    def compact(self) -> int:
+        """Rewrite chunks and log of all repositories without dead rows; returns the new generation.
+
+        Readers see equal rows before, during and after. A run that dies half-way leaves the
+        generation it began with, and can be repeated. Indexing has one writer at a time, and
+        compaction is one: if the log has grown meanwhile, nothing is published and it fails.
+        """
+        old, new = self.generation(), self.next_version()
+        log = self._read(self._named("file_log", old), FILE_LOG)
+        grown = log.agg(F.count(F.lit(1)), F.max("version"))
+        before = grown.first()
+        live = latest_versions(log)
+        chunks = self._read(self._named("chunks", old), CHUNKS)
+        kept = chunks.join(live.select(*PATH_KEY, "version"), [*PATH_KEY, "version"], "left_semi")
+        # Files of even size, however many rows a source has.
+        kept = kept.hint("rebalance", "repo_id", "source")
+        kept.write.partitionBy("repo_id", "source").parquet(f"{self.root}/{self._named('chunks', new)}")
+        rows = live.select("file_path", "content_hash", "version", "repo_id", "source")
+        rows.write.partitionBy("repo_id", "source").parquet(f"{self.root}/{self._named('file_log', new)}")
+        now = self._read(self._named("file_log", old), FILE_LOG).agg(F.count(F.lit(1)), F.max("version")).first()
+        if now != before or self.generation() != old:
+            raise RuntimeError("the index was written to while it was compacted: compact again")
+        listed = self.spark.createDataFrame([(new,)], "generation bigint")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.root}/generations")
+        return new
+
+    def drop_old_generations(self) -> list[str]:
+        """Delete the tables of generations other than the current one; for times without other readers."""
+        current = self.generation()
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        kept = {self._named(name, current) for name in ("chunks", "file_log")}
+        gone = []
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if re.fullmatch(r"(chunks|file_log)(-\d+)?", name) and name not in kept:
+                files.delete(status.getPath(), True)
+                gone.append(name)
+        return sorted(gone)
+
     def append_chunks(self, chunks: DataFrame, version: int) -> int:
         """Write chunks and return how many there were."""
         seen = Observation()
@@ -104,7 +159,9 @@ class Store:
                 for name, kind in CHUNKS.items()
             ]
         ).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("append").partitionBy("repo_id", "source").parquet(f"{self.root}/chunks")
+        rows.write.mode("append").partitionBy("repo_id", "source").parquet(
+            f"{self.root}/{self._named('chunks', self.generation())}"
+        )
         return seen.get["n"]
 
     def vectors(self, model: str) -> DataFrame:
@@ -121,7 +178,7 @@ class Store:
         """Write log rows; a NULL content_hash marks a deleted file."""
         files.select("file_path", "content_hash", F.lit(version).alias("version"), "repo_id",
                      "source").write.mode("append").partitionBy("repo_id", "source").parquet(
-            f"{self.root}/file_log"
+            f"{self.root}/{self._named('file_log', self.generation())}"
         )
 
     @staticmethod
