@@ -13,8 +13,9 @@ from loomgraph.llm.common import settled
 STEP = 6
 #: How far the bytes below a splitter may be from their share, as a part of one shard.
 TOLERANCE = 0.001
-#: Rows that one task numbers within a shard, about.
+#: Rows that are numbered together within a shard, and bytes of text that one task numbers, about.
 CELL_ROWS = 250_000
+TASK_BYTES = 64_000_000
 #: Cuts by the id within a cell, so that a large group of equal texts is many cells.
 ID_CUTS = 16
 
@@ -131,18 +132,23 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLERAN
     bounds = find_splitters(sizes, shards, tolerance)
     shard = sum((_at_least(b).cast("int") for b in bounds), F.lit(0))
     # Cells by the leading bits of both hashes: about CELL_ROWS rows, also in a hot group.
-    rows = sizes.count()
+    rows, size_of_all = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cuts = 1
-    while cuts * ID_CUTS * CELL_ROWS < rows:
+    while cuts * ID_CUTS * min(CELL_ROWS, TASK_BYTES * max(rows, 1) // max(size_of_all, 1)) < rows:
         cuts *= 2
     cell = F.pmod(F.shiftright("h1", 20), F.lit(cuts)) * ID_CUTS + F.pmod(F.shiftright("h2", 20), F.lit(ID_CUTS))
     per_cell = sizes.groupBy(shard.alias("shard"), cell.alias("cell")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select("shard", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "cell").orderBy("h1", "h2", "doc_id")
-    placed = keyed.withColumns({"shard": shard, "cell": cell}).withColumn("row", F.row_number().over(within))
-    # One row per cell: rows / CELL_ROWS * ID_CUTS and shards at most.
-    joined = placed.join(F.broadcast(offsets), ["shard", "cell"])
+    # The one exchange of whole rows: as many tasks as the texts need, and no fewer than is usual.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, -(-size_of_all // TASK_BYTES))
+    dealt = keyed.withColumns({"shard": shard, "cell": cell}).repartition(tasks, "shard", "cell")
+    placed = dealt.withColumn("row", F.row_number().over(within))
+    # Offsets grow with the rows, so whether they are small enough to be sent round is left to Spark;
+    # beyond that they are joined where the rows are, which are dealt by these keys already.
+    joined = placed.join(offsets, ["shard", "cell"])
     return joined.select(
         *docs.columns, "size", "shard", (F.col("offset") + F.col("row") - 1).cast("long").alias("slot")
     )

@@ -12,8 +12,10 @@ import pytest
 import tiktoken
 
 import __spark_entry__ as spark_entry
-from loomgraph.llm import substrings
+from loomgraph.llm import decontam, substrings
 from loomgraph.llm.queries import ORACLE, QUERIES
+from loomgraph.llm.shingles import WordHashes
+from tests.llm.test_decontam import greedy_plainly
 from tests.llm.test_htmltext import article
 from tests.llm.test_minhash import plainly as near_plainly
 from tests.llm.test_phrases import plainly as edits_plainly
@@ -56,7 +58,22 @@ def test_op1(spark, texts):
 def test_op2(spark, texts):
     items = {r["item_id"]: r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
     within = {(k, i) for k, text in texts.items() for i, item in items.items() if item in (text or "")}
-    assert within and within <= {(r.doc_id, r.item_id) for r in run(spark, "op2_decontam")}
+    found = {(r.doc_id, r.item_id) for r in run(spark, "op2_decontam")}
+    assert within and within <= found
+    # Both ways: tiles by plain code over every document and item with a window in common.
+    hashes = WordHashes()
+    docs = {k: decontam.tokens(t or "", hashes).tolist() for k, t in texts.items()}
+    windows = {k: {tuple(w[i : i + decontam.LEAST_TILE]) for i in range(len(w))} for k, w in docs.items()}
+    want = set()
+    for item_id, text in items.items():
+        item = decontam.tokens(text, hashes).tolist()
+        own = {tuple(item[i : i + decontam.LEAST_TILE]) for i in range(len(item) - decontam.LEAST_TILE + 1)}
+        for k in docs:
+            if own & windows[k]:
+                made = greedy_plainly(np.array(item, np.uint64), np.array(docs[k], np.uint64), decontam.LEAST_TILE)
+                if sum(n for _, _, n in made) >= decontam.COVERAGE * len(item):
+                    want.add((k, item_id))
+    assert found == want
 
 
 def test_op3(spark, texts):

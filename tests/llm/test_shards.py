@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from loomgraph.llm import shards
 from tests.llm.helpers import documents
 
@@ -45,3 +47,26 @@ def test_odd_rows(spark):
     assert sorted(r.size for r in rows) == [1, 1, 1, 3, 50_001]
     assert shards.shard_documents(docs.limit(0)).count() == 0
     assert shards.shard_documents(documents(spark, {1: "only"})).count() == 1
+
+
+def test_splitters_against_all_keys_sorted(spark):
+    """Boundaries lie where the sorted keys of all rows have their share of bytes, within the tolerance."""
+    draw = random.Random(2)
+    texts = {k: "same" * 9 if k % 3 == 0 else "w" * draw.randint(0, 300) + str(k) for k in range(3000)}
+    rows = shards.shard_documents(documents(spark, texts)).select(
+        "size", "shard", "slot", F.xxhash64("text", F.col("text").isNull()).alias("h1"),
+        F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("h2"),
+    ).collect()
+    ordered = sorted(rows, key=lambda r: (r.h1, r.h2))
+    assert [r.shard for r in ordered] == sorted(r.shard for r in rows)
+    total, below, largest = sum(r.size for r in rows), 0, max(r.size for r in rows)
+    for a, b in zip(ordered, ordered[1:]):
+        below += a.size
+        if a.shard != b.shard:
+            assert b.shard == a.shard + 1
+            assert abs(below - total * b.shard / 8) <= shards.TOLERANCE * total / 8 + largest
+
+
+def test_offsets_are_not_forced_on_every_task(spark):
+    docs = documents(spark, {k: str(k) for k in range(50)})
+    assert "broadcast" not in shards.shard_documents(docs)._jdf.queryExecution().analyzed().toString().lower()

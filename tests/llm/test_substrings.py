@@ -75,3 +75,22 @@ def test_hashes_and_windows():
     values = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64) << np.uint64(30)
     want = [max(range(i, i + 3), key=lambda j: (-int(values[j]), j)) for i in range(5)]
     assert least_in_windows(values, 3).tolist() == want
+
+
+def test_planted_passages_around_the_limit(spark):
+    """Passages in two documents each, of 399, 400 and 401 bytes, and one of over 50 short words: from 400 bytes on they go."""
+    draw = random.Random(17)
+
+    def noise(n):
+        return "".join(draw.choice("abcdefgh ") for _ in range(n))
+
+    planted = {size: noise(size) for size in (399, 400, 401)}
+    planted["words"] = " ".join(noise(3).replace(" ", "x") for _ in range(60))
+    texts = {}
+    for k, passage in enumerate(planted.values()):
+        for copy in (0, 1):
+            # The bytes on both sides differ, so that the repeat is exactly as long as planted.
+            texts[10 * k + copy] = noise(300) + "XY"[copy] + passage + "VW"[copy] + noise(300)
+    rows = {r.doc_id: r for r in substrings.cut_repeats(documents(spark, texts)).collect()}
+    gone = {size: {rows[10 * k + copy].n_removed for copy in (0, 1)} for k, size in enumerate(planted)}
+    assert gone == {399: {0}, 400: {400}, 401: {401}, "words": {0}}
