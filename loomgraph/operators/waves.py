@@ -115,7 +115,8 @@ def waves(
     wave depends on all earlier ones; those of different parts and batches go side by side.
     """
     keys = list(batch)
-    rows = touches.select(*keys, "issue", "file").distinct()
+    # Read for sizes and again for the plan, and costly to make as a rule.
+    rows = _settled(touches.select(*keys, "issue", "file").distinct())
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > most_rows).drop("_n")
     if not keys:
