@@ -3,6 +3,8 @@
 Exact at any size. Copies of a vector are folded first; then vectors are grouped into cells
 around pivot vectors, and a vector is compared only with cells that can hold a match. Cells
 are cut into slices of bounded size, so a cell that holds most of the rows is many tasks.
+Within two slices a pair is given up as soon as the norms of what is left of its vectors say
+that it cannot reach the threshold, or the best matches found so far.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import ensure_checkpoint_dir
-from loomgraph.functions.vectors import EXACT_DIGITS, SCORE_DIGITS, as_matrix, unit_rows, vector_key
+from loomgraph.functions.vectors import (
+    EXACT_DIGITS, SCORE_DIGITS, as_matrix, bounded_products, leading_axes, suffix_norms, unit_rows, vector_key,
+)
 
 DEFAULT_MIN_SCORE = 0.78
 DEFAULT_TOP_K = 5
 TILE_ROWS = 2048
 MAX_PIVOTS = 256
+#: Ids of a tile that are compared at a time, at first and later; the next ones must beat what these gave.
+FIRST_STEP = 32
+STEP_ROWS = 256
 
 _EDGE_TYPE = "_entry string, dst long, score double"
 
@@ -39,6 +46,54 @@ def overlay(
     share the frame: matches never cross scopes. Equal scores are ordered by `dst`. With
     `unique_ids` off an id may have several vectors; its best score with another id counts.
     """
+    base, entries, _, left, right, tile = _tiles(rows, min_score, top_k, scope, tile_rows, unique_ids)
+    id_type = rows.schema["id"].dataType.simpleString()
+    matched = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
+        _tile_matches(min_score, top_k), _EDGE_TYPE.replace("long", id_type)
+    )
+    if not unique_ids:
+        matched = matched.groupBy("_entry", "dst").agg(F.max("score").alias("score"))
+    best = _best(matched, ["_entry"], top_k).join(
+        entries.select("_entry", "_scope", "_key", "file"), "_entry"
+    )
+    edges = base.join(best, ["_scope", "_key", "file"]).select(
+        "_scope", F.col("id").alias("src"), "dst", "score"
+    )
+    if not unique_ids:
+        edges = edges.groupBy("_scope", "src", "dst").agg(F.max("score").alias("score"))
+        edges = _best(edges, ["_scope", "src"], top_k)
+    shown = [] if scope is None else [F.col("_scope").alias(scope)]
+    return edges.select(*shown, "src", "dst", F.round("score", SCORE_DIGITS).alias("score"))
+
+
+def overlay_work(
+    rows: DataFrame,
+    min_score: float = DEFAULT_MIN_SCORE,
+    top_k: int = DEFAULT_TOP_K,
+    scope: str | None = None,
+    tile_rows: int = TILE_ROWS,
+    unique_ids: bool = True,
+) -> DataFrame:
+    """One row (possible, compared, full): what `overlay` would do with its pairs of vectors.
+
+    `possible` counts the pairs of all vectors of a scope, `compared` those in cells that can hold
+    a match, `full` those of other files whose product was taken to the end.
+    """
+    _, entries, candidates, left, right, tile = _tiles(rows, min_score, top_k, scope, tile_rows, unique_ids)
+    done = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
+        _tile_work(min_score, top_k), "compared long, full long"
+    )
+    counts = entries.groupBy("_scope").agg(F.count(F.lit(1)).alias("_entries")).join(
+        candidates.groupBy("_scope").agg(F.count(F.lit(1)).alias("_candidates")), "_scope"
+    )
+    none = F.lit(0).cast("long")
+    parts = counts.select((F.col("_entries") * F.col("_candidates")).alias("possible"), none.alias("compared"), none.alias("full"))
+    names = ["possible", "compared", "full"]
+    return parts.unionByName(done.withColumn("possible", none)).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in names])
+
+
+def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, tile_rows: int, unique_ids: bool):
+    """The vectors, folded, and both sides of the tiles in which they are compared."""
     base = rows.select(
         (F.lit("") if scope is None else F.col(scope)).alias("_scope"),
         "id",
@@ -48,7 +103,6 @@ def overlay(
     ).where(F.col("_key").isNotNull())
     if not unique_ids:
         base = base.dropDuplicates(["_scope", "_key", "file", "id"])
-    id_type = rows.schema["id"].dataType.simpleString()
 
     # Of each vector's copies only these can rank: `top_k` per file, in `top_k` + 1 files.
     in_file = Window.partitionBy("_scope", "_key", "file").orderBy("id")
@@ -95,22 +149,7 @@ def overlay(
         .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p_slices") - 1)))
         .select(*[F.col(c).alias(c) for c in (*tile, "id", "file", "embedding")])
     )
-    matched = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
-        _tile_matches(min_score, top_k), _EDGE_TYPE.replace("long", id_type)
-    )
-    if not unique_ids:
-        matched = matched.groupBy("_entry", "dst").agg(F.max("score").alias("score"))
-    best = _best(matched, ["_entry"], top_k).join(
-        entries.select("_entry", "_scope", "_key", "file"), "_entry"
-    )
-    edges = base.join(best, ["_scope", "_key", "file"]).select(
-        "_scope", F.col("id").alias("src"), "dst", "score"
-    )
-    if not unique_ids:
-        edges = edges.groupBy("_scope", "src", "dst").agg(F.max("score").alias("score"))
-        edges = _best(edges, ["_scope", "src"], top_k)
-    shown = [] if scope is None else [F.col("_scope").alias(scope)]
-    return edges.select(*shown, "src", "dst", F.round("score", SCORE_DIGITS).alias("score"))
+    return base, entries, candidates, left, right, tile
 
 
 def _best(edges: DataFrame, key: list[str], top_k: int) -> DataFrame:
@@ -166,6 +205,65 @@ def _reachable_cells(pivots: np.ndarray, radius: float):
     return cells.asNondeterministic()
 
 
+def _best_of_tile(left: pa.Table, right: pa.Table, min_score: float, top_k: int):
+    """(scores, places in `right`) of the best `top_k` ids of each row of `left`, and the full products.
+
+    Candidates are taken in the order of their ids, in steps that leave no id's vectors apart, so
+    that what a row has found is a floor for the steps behind, and equal scores keep their order.
+    """
+    probes = unit_rows(as_matrix(left["embedding"]))
+    ids = np.asarray(right["id"])
+    order = np.argsort(ids, kind="stable")
+    found = unit_rows(as_matrix(right["embedding"], probes.shape[1]))[order]
+    files = np.concatenate([np.asarray(left["file"]), np.asarray(right["file"])[order]])
+    codes = np.unique(files, return_inverse=True)[1]
+    axes = leading_axes(probes, found)
+    turned, turned_found = probes @ axes, found @ axes
+    rest, rest_found = suffix_norms(turned), suffix_norms(turned_found)
+    ids = ids[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    scores = np.full((len(probes), 0), -np.inf)
+    places = np.zeros((len(probes), 0), np.int64)
+    floor = np.full(len(probes), min_score)
+    full, at, bounding, step = 0, 0, True, FIRST_STEP
+    while at < len(starts):
+        end, step = min(at + step, len(starts)), min(2 * step, STEP_ROWS)
+        begin, stop = starts[at], starts[end] if end < len(starts) else len(ids)
+        other = codes[: len(probes)][:, None] != codes[len(probes) + begin : len(probes) + stop][None, :]
+        part, products = bounded_products(
+            (probes, turned, rest),
+            (found[begin:stop], turned_found[begin:stop], rest_found[begin:stop]),
+            floor, other, bounding,
+        )
+        full += products
+        # Where most pairs go to the end though there is a floor, the steps behind are taken as they come.
+        bounding = bounding and (step < STEP_ROWS or products <= 0.75 * other.sum())
+        part = np.round(part, EXACT_DIGITS)
+        part[~(part >= min_score)] = -np.inf
+        part = np.maximum.reduceat(part, starts[at:end] - begin, axis=1)
+        scores = np.concatenate([scores, part], axis=1)
+        own = np.broadcast_to(order[starts[at:end]], part.shape)
+        places = np.concatenate([places, own], axis=1)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
+        scores, places = np.take_along_axis(scores, best, axis=1), np.take_along_axis(places, best, axis=1)
+        if scores.shape[1] == top_k:
+            floor = np.maximum(min_score, scores[:, -1])
+        at = end
+    return scores, places, full
+
+
+def _tile_work(min_score: float, top_k: int):
+    schema = pa.schema([("compared", pa.int64()), ("full", pa.int64())])
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        full = _best_of_tile(left, right, min_score, top_k)[2]
+        return pa.table({"compared": [len(left) * len(right)], "full": [int(full)]}, schema=schema)
+
+    return count
+
+
 def _tile_matches(min_score: float, top_k: int):
     """Best `top_k` candidates of each probe within one tile of bounded size."""
 
@@ -176,27 +274,12 @@ def _tile_matches(min_score: float, top_k: int):
         )
         if not len(left) or not len(right):
             return names.empty_table()
-        scores = np.round(
-            unit_rows(as_matrix(left["embedding"])) @ unit_rows(as_matrix(right["embedding"])).T,
-            EXACT_DIGITS,
-        )
-        files = np.concatenate([np.asarray(left["file"]), np.asarray(right["file"])])
-        codes = np.unique(files, return_inverse=True)[1]
-        same = codes[: len(left)][:, None] == codes[len(left) :][None, :]
-        scores[same | ~(scores >= min_score)] = -np.inf
-        # One column per id, in id order: the best of its vectors.
-        order = np.argsort(np.asarray(ids), kind="stable")
-        ordered = np.asarray(ids)[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        scores = np.maximum.reduceat(scores[:, order], starts, axis=1)
-        order = order[starts]
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
-        top = np.take_along_axis(scores, best, axis=1)
+        top, places, _ = _best_of_tile(left, right, min_score, top_k)
         row, col = np.nonzero(np.isfinite(top))
         return pa.table(
             {
                 "_entry": left["_entry"].take(pa.array(row)),
-                "dst": ids.take(pa.array(order[best[row, col]])),
+                "dst": ids.take(pa.array(places[row, col])),
                 "score": pa.array(top[row, col]),
             },
             schema=names,

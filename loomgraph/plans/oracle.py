@@ -148,7 +148,9 @@ symbol_edges AS (
   FROM orders JOIN c_ids ON o_custkey = c_custkey)
 """
 
-_OVERLAY = """
+
+def _overlay_above(least: float, top: int) -> str:
+    return f"""
 vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 scored AS (
   SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS score
@@ -156,9 +158,12 @@ scored AS (
 overlay AS (
   SELECT src, dst, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n
-    FROM scored WHERE score >= 0.3) WHERE n <= 5)
+    FROM scored WHERE score >= {least}) WHERE n <= {top})
 """
 
+
+_OVERLAY = _overlay_above(0.3, 5)
+
 _PART_PAIRS = """
 history AS (
   SELECT DISTINCT l_orderkey AS commit_id, 'part/p' || l_partkey || '.ts' AS file FROM lineitem),
@@ -453,6 +458,7 @@ pieces AS (
 SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY s, k) - 1 AS chunk_index,
        length(t) AS n_chars, sha256(t) AS chunk_hash FROM pieces""",
     "semantic_overlay": _with(_OVERLAY) + " SELECT src, dst, score FROM overlay",
+    "semantic_overlay_low": _with(_overlay_above(-0.5, 3)) + " SELECT src, dst, score FROM overlay",
     "parse_commit_log": """
 WITH files AS (
   SELECT doc_id, 0 AS commit_no, generate_subscripts(l, 1) AS i, unnest(l) AS file

@@ -367,6 +367,13 @@ def semantic_overlay(spark, sf):
     return _overlay(spark, sf)
 
 
+@query
+def semantic_overlay_low(spark, sf):
+    """Best 3 above -0.5: no cell is out of reach there, only pairs whose rest is too short."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("file"), "embedding")
+    return overlay.overlay(rows, -0.5, 3)
+
+
 # --- history ------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import EmbeddingConfig
 from loomgraph.functions import embedding as emb
 from loomgraph.functions.vectors import cosine
-from loomgraph.operators.overlay import overlay
+from loomgraph.operators.overlay import overlay, overlay_work
 from loomgraph.operators.search import nearest
 
 ROWS = "id long, file int, embedding array<float>"
@@ -49,6 +49,39 @@ def test_overlay_equals_brute_force(spark, least, tile):
     )
 
 
+@pytest.mark.parametrize("least, width, spread", [(0.78, 64, 1.0), (0.3, 48, 0.4), (-0.9, 3, 1.0), (-1.0, 33, 0.0), (0.1, 1, 1.0)])
+def test_pairs_given_up_part_way_are_none_of_the_best(spark, least, width, spread):
+    rng = np.random.default_rng(width)
+    vectors = rng.normal(size=(4, width))[rng.integers(0, 4, 700)] + spread * rng.normal(size=(700, width))
+    vectors[600:] = np.round(vectors[:100])
+    vectors[690:] = vectors[5]
+    files = rng.integers(0, 30, 700)
+    # Products of few pairs and of many differ in their last bits, so scores are compared, not ids.
+    got = overlay(frame(spark, vectors, files), least, 3, tile_rows=300).collect()
+    best, found = {}, {}
+    for src, _, score in brute_force(vectors, files, least, 3):
+        best.setdefault(src, []).append(score)
+    for r in got:
+        found.setdefault(r["src"], []).append(r["score"])
+    assert found.keys() == best.keys()
+    for src, scores in best.items():
+        assert sorted(found[src]) == pytest.approx(sorted(scores), abs=2e-6)
+
+
+def test_share_of_full_products(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr(
+        "vec_id AS id", "label AS file", "embedding"
+    )
+    share = {}
+    for least in (0.3, 0.78):
+        work = overlay_work(rows, least).first()
+        assert work.possible == 250_000 and work.full <= work.compared <= work.possible
+        share[least] = work.full / work.possible
+    assert share[0.3] < 0.25 and share[0.78] < 0.01
+    none = overlay_work(rows.limit(0)).first()
+    assert (none.possible, none.compared, none.full) == (0, 0, 0)
+
+
 def test_overlay_stays_within_scopes(spark):
     vectors, files = clustered(np.random.default_rng(2), 40, 5)
     rows = frame(spark, vectors, files)
