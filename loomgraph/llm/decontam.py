@@ -23,6 +23,10 @@ COVERAGE = 0.8
 #: Characters of benchmark text that are broadcast at a time; a larger benchmark goes in slices.
 SLICE_CHARS = 16_000_000
 
+#: Pairs of equal windows that are looked at together, and runs that are held in between.
+PAIRS = 1_000_000
+HELD_RUNS = 100_000
+
 _WORD = re.compile(r"\w+")
 _SIEVE_BITS = 20
 
@@ -32,60 +36,98 @@ def tokens(text: str, hashes: WordHashes) -> np.ndarray:
     return hashes.of(_WORD.findall(text.lower()))
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE, held: int = HELD_RUNS) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the tiles, in the order in which they are marked.
 
     Always marks the longest match of unmarked words, the first in the item, then in the
     document, among equals, until none has `least` words. An item shorter than that must match
-    as a whole.
+    as a whole. Of the runs in common the best `held` to twice as many are known at a time; what
+    ranks behind them is looked for again among the words that are left once they are used up.
     """
     least = min(least, len(item))
     if not least or len(doc) < least:
         return []
-    waiting = [(-n, i, j) for i, j, n in _matches(item, doc, least)]
-    heapq.heapify(waiting)
     used_item, used_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     marked = []
-    while waiting:
-        n, i, j = heapq.heappop(waiting)
-        n = -n
-        taken = used_item[i : i + n] | used_doc[j : j + n]
-        if not taken.any():
-            used_item[i : i + n] = used_doc[j : j + n] = True
-            marked.append((i, j, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True]))))
-        for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if end - begin >= least:
-                heapq.heappush(waiting, (begin - end, i + begin, j + begin))
-    return marked
-
-
-def _matches(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least `least` words, from Karp-Rabin hashes of their windows."""
-    own, theirs = windows(item, least), windows(doc, least)
-    order = np.argsort(own, kind="stable")
-    low, high = np.searchsorted(own[order], theirs, "left"), np.searchsorted(own[order], theirs, "right")
-    found = high - low
-    at_doc = np.repeat(np.arange(len(theirs)), found)
-    if not len(at_doc):
-        return []
-    nth = np.arange(len(at_doc)) - np.repeat(np.cumsum(found) - found, found)
-    at_item = order[np.repeat(low, found) + nth]
-    true = np.ones(len(at_doc), bool)
-    for k in range(least):
-        true &= item[at_item + k] == doc[at_doc + k]
-    at_doc, at_item = at_doc[true], at_item[true]
-    by = np.lexsort((at_doc, at_item - at_doc))
-    at_doc, diagonal = at_doc[by], (at_item - at_doc)[by]
-    if not len(at_doc):
-        return []
-    begins = np.flatnonzero(np.concatenate(([True], (np.diff(at_doc) != 1) | (np.diff(diagonal) != 0))))
-    ends = np.append(begins[1:], len(at_doc))
-    return [
-        (int(at_doc[b] + diagonal[b]), int(at_doc[b]), int(e - b) + least - 1)
-        for b, e in zip(begins, ends, strict=True)
-    ]
+    while True:
+        waiting, last = _runs(item, doc, ~used_item, ~used_doc, least, held)
+        heapq.heapify(waiting)
+        while waiting and len(item) - np.count_nonzero(used_item) >= least:
+            n, i, j = heapq.heappop(waiting)
+            n = -n
+            taken = used_item[i : i + n] | used_doc[j : j + n]
+            if not taken.any():
+                used_item[i : i + n] = used_doc[j : j + n] = True
+                marked.append((i, j, n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True]))))
+            for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                run = (begin - end, i + begin, j + begin)
+                if end - begin >= least and (last is None or run <= last):
+                    heapq.heappush(waiting, run)
+        if last is None or len(item) - np.count_nonzero(used_item) < least:
+            return marked
+
+
+def _runs(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray, least: int, held: int):
+    """(runs, last): the best maximal common runs of free words, as (-length, place in item, in doc).
+
+    Seeds are Karp-Rabin hashes of windows. A run begins at a window whose words on the left
+    differ, or are not free, and ends at one whose words on the right do, so only these are kept
+    of all pairs of equal windows, which are looked at in steps. All runs up to `last` are in the
+    list; it is None where no run was left out.
+    """
+    own = np.flatnonzero(_all_free(free_item, least))
+    theirs = np.flatnonzero(_all_free(free_doc, least))
+    hashes, sought = windows(item, least)[own], windows(doc, least)[theirs]
+    order = np.argsort(hashes, kind="stable")
+    own, hashes = own[order], hashes[order]
+    low = np.searchsorted(hashes, sought, "left")
+    found = np.searchsorted(hashes, sought, "right") - low
+    theirs, low, found = theirs[found > 0], low[found > 0], found[found > 0]
+    total = np.cumsum(found)
+    # (diagonal, place in item, 0 at a run's first window and 1 at its last)
+    open_runs = np.zeros((0, 3), np.int64)
+    runs, last, at = np.zeros((0, 3), np.int64), None, 0
+    while at < len(theirs):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+        count = found[at:end]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        j = np.repeat(theirs[at:end], count)
+        i = own[np.repeat(low[at:end], count) + nth]
+        true = np.ones(len(j), bool)
+        for k in range(least):
+            true &= item[i + k] == doc[j + k]
+        i, j, at = i[true], j[true], end
+        first = ~_goes_on(item, doc, free_item, free_doc, i - 1, j - 1)
+        final = ~_goes_on(item, doc, free_item, free_doc, i + least, j + least)
+        ends = [np.stack([j[w] - i[w], i[w], np.full(np.count_nonzero(w), kind)], axis=1) for kind, w in ((0, first), (1, final))]
+        marks = np.concatenate([open_runs, *ends])
+        marks = marks[np.lexsort((marks[:, 2], marks[:, 1], marks[:, 0]))]
+        begins = np.flatnonzero(marks[:, 2] == 0)
+        closed = np.append(marks[1:, 2] == 1, False)[begins]
+        open_runs = marks[begins[~closed]]
+        begin, close = marks[begins[closed]], marks[begins[closed] + 1]
+        length = close[:, 1] - begin[:, 1] + least
+        runs = np.concatenate([runs, np.stack([-length, begin[:, 1], begin[:, 0] + begin[:, 1]], axis=1)])
+        if len(runs) > 2 * held:
+            runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))[:held]]
+            last = tuple(runs[-1].tolist())
+    known = list(map(tuple, runs.tolist()))
+    return [r for r in known if last is None or r <= last], last
+
+
+def _all_free(free: np.ndarray, size: int) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(free)))
+    return total[size:] - total[:-size] == size
+
+
+def _goes_on(item, doc, free_item, free_doc, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the words at these places exist, are equal, and are free."""
+    inside = (i >= 0) & (j >= 0) & (i < len(item)) & (j < len(doc))
+    i, j = np.where(inside, i, 0), np.where(inside, j, 0)
+    return inside & (item[i] == doc[j]) & free_item[i] & free_doc[j]
 
 
 @dataclass

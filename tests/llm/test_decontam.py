@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -39,6 +40,29 @@ def test_tiles_against_plain_code():
         assert made == greedy_plainly(item, doc, least)
 
 
+def test_tiles_in_steps(monkeypatch):
+    draw = random.Random(6)
+    monkeypatch.setattr(decontam, "PAIRS", 7)
+    for n in range(250):
+        words = draw.randint(0, 2)
+        item = [draw.randint(0, words) for _ in range(draw.randint(0, 16))]
+        doc = [draw.randint(0, words) for _ in range(draw.randint(0, 34))]
+        least = draw.randint(1, 4)
+        made = decontam.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), least, held=1 + n % 5)
+        assert made == greedy_plainly(item, doc, least)
+
+
+def test_one_word_repeated_takes_bounded_memory():
+    item, doc = np.zeros(400, np.uint64), np.zeros(200_000, np.uint64)
+    doc[777::1000] = 1
+    tracemalloc.start()
+    made = decontam.tiles(item, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == [(0, 0, 400)]
+    assert peak < 300e6
+
+
 def leaks(docs, benchmark, **more):
     return {(r.doc_id, r.item_id): (r.matched_tokens, r.tiles) for r in decontam.find_leaks(docs, benchmark, **more).collect()}
 
