@@ -9,18 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import small_batches, written
 from loomgraph.llm.shingles import WordHashes, windows
 
 #: Words of the shortest tile, and the share of an item that tiles must cover.
 LEAST_TILE = 5
 COVERAGE = 0.8
-#: Characters of benchmark text that are broadcast at a time; a larger benchmark goes in slices.
+#: Characters of a benchmark that is sent to the tasks; a larger one is joined by its seeds.
 SLICE_CHARS = 16_000_000
 
 #: Pairs of equal windows that are looked at together, and runs that are held in between.
@@ -132,7 +133,7 @@ def _goes_on(item, doc, free_item, free_doc, i: np.ndarray, j: np.ndarray) -> np
 
 @dataclass
 class _Items:
-    """Items of one slice, with the windows that seed a match."""
+    """Items of a small benchmark, with the windows that seed a match."""
 
     ids: list
     words: list[np.ndarray]
@@ -198,22 +199,105 @@ def _hits(items: _Items, id_type, coverage: float):
     return hits
 
 
-def benchmark_hits(benchmark: DataFrame, coverage: float = COVERAGE, slice_chars: int = SLICE_CHARS):
-    """One function of a text column for each slice of `benchmark(item_id, text)`.
+def _broadcast_hits(benchmark: DataFrame, coverage: float, slice_chars: int):
+    """A function of a text column, for a benchmark of at most `slice_chars` characters; else None.
 
-    Each gives an array of struct(item_id, item_tokens, matched_tokens, tiles, coverage) of the
-    items whose tiles cover at least `coverage` of their words. A slice has about `slice_chars`
-    characters, which bounds what is broadcast; documents are read once per slice.
+    It gives an array of struct(item_id, item_tokens, matched_tokens, tiles, coverage) of the items
+    whose tiles cover at least `coverage` of their words. The items are sent to each task.
     """
-    small_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = int(chars // slice_chars) + 1
+    chars, rows = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    if chars + rows > slice_chars:
+        return None
     hashes = WordHashes()
-    for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
-        words = [tokens(t, hashes) for t in own["text"].to_pylist()]
-        yield _hits(_Items(own["item_id"].to_pylist(), words), benchmark.schema["item_id"].dataType, coverage)
+    own = items.toArrow()
+    words = [tokens(t, hashes) for t in own["text"].to_pylist()]
+    return _hits(_Items(own["item_id"].to_pylist(), words), benchmark.schema["item_id"].dataType, coverage)
+
+
+def _seeds(sizes: list[int] | None, distinct: bool):
+    """A function of a text column: its window hashes, of `sizes` or of the size an item of it has."""
+
+    @arrow_udf("array<long>")
+    def seeds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+
+        def of(text: str) -> np.ndarray:
+            words = tokens(text, hashes)
+            wide = sizes or ([min(LEAST_TILE, len(words))] if len(words) else [])
+            found = np.concatenate([windows(words, size) for size in wide] or [np.zeros(0, np.uint64)])
+            return (np.unique(found) if distinct else found).view(np.int64)
+
+        for batch in texts:
+            yield pa.array([of(t.as_py() or "") for t in batch], pa.list_(pa.int64()))
+
+    return seeds.asNondeterministic()
+
+
+@arrow_udf(IntegerType())
+def _n_tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        yield pa.array([len(_WORD.findall((t.as_py() or "").lower())) for t in batch], pa.int32())
+
+
+@arrow_udf(StructType().add("matched_tokens", IntegerType()).add("tiles", IntegerType()))
+def _tiled(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.struct([("matched_tokens", pa.int32()), ("tiles", pa.int32())])
+    hashes = WordHashes()
+    for items, docs in columns:
+        out = []
+        for item, doc in zip(items, docs, strict=True):
+            found = tiles(tokens(item.as_py(), hashes), tokens(doc.as_py(), hashes))
+            out.append({"matched_tokens": sum(n for _, _, n in found), "tiles": len(found)})
+        yield pa.array(out, kind)
+
+
+def _text_id(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _joined_hits(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """(text_id, copies, item_id, item_tokens, matched_tokens, tiles, coverage) for a benchmark of any size.
+
+    Distinct texts and items are joined by seeds. Tiles of five words or more that cover a share c
+    of an item's n words hold at least c * n / 5 of its windows, so its most frequent windows, fewer
+    than that, need not be looked up: what stands in very many documents is a seed only of items
+    that have little else. Nothing of the benchmark is on the driver.
+    """
+    texts = docs.select("text").where(F.length("text") > 0).distinct()
+    texts = texts.select(_text_id(F.col("text")).alias("text_id"), F.col("text").alias("doc_text"))
+    items = benchmark.where(F.length("text") > 0).groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = written(
+        items.withColumn("item_key", F.sha2(F.to_json(F.struct("item_id", "text")), 256))
+        .withColumn("item_tokens", _n_tokens.asNondeterministic()("text")),
+        "items",
+    ).where(F.col("item_tokens") > 0)
+    own = items.select("item_key", "item_tokens", F.explode(_seeds(None, False)("text")).alias("seed"))
+    sizes = [r[0] for r in items.select(F.least("item_tokens", F.lit(LEAST_TILE))).distinct().collect()]  # five at most
+    if not sizes:
+        sizes = [LEAST_TILE]
+    all_seeds = texts.select("text_id", F.explode(_seeds(sorted(sizes), True)("doc_text")).alias("seed"))
+    seen = written(all_seeds.join(own.select("seed").distinct(), "seed", "left_semi"), "seeds")
+    frequency = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    spare = F.ceil(F.col("item_tokens") * coverage / LEAST_TILE - 1e-6) - 1
+    rarest = (
+        own.join(frequency, "seed", "left")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("item_key").orderBy(F.desc_nulls_last("n"), "seed")))
+        .where((F.col("nth") > spare) & F.col("n").isNotNull())
+        .select("item_key", "seed")
+        .distinct()
+    )
+    pairs = seen.join(rarest, "seed").select("text_id", "item_key").distinct()
+    tiled = (
+        pairs.join(items, "item_key")
+        .join(texts, "text_id")
+        .withColumn("found", _tiled.asNondeterministic()("text", "doc_text"))
+        .where(F.col("found.matched_tokens") >= F.lit(coverage) * F.col("item_tokens"))
+    )
+    share = F.col("found.matched_tokens") / F.col("item_tokens")
+    return tiled.select(
+        "text_id", "copies", "item_id", "item_tokens", "found.matched_tokens", "found.tiles", share.alias("coverage")
+    )
 
 
 def find_leaks(
@@ -225,21 +309,33 @@ def find_leaks(
     tiles of at least five words, each word used once, cover 0.8 of it, in whatever order; an
     item of fewer words has to occur as it stands, one without words never does. Null and empty
     texts contain nothing. Repeated rows give repeated results; extra columns are ignored; an
-    empty table on either side gives no rows. Documents are not shuffled.
+    empty table on either side gives no rows. A benchmark of at most `slice_chars` characters is
+    sent to the tasks, and documents are not shuffled; a larger one is joined with them by seeds.
     """
-    out = None
-    for hits in benchmark_hits(benchmark, coverage, slice_chars):
-        rows = docs.select("doc_id", F.inline(hits(F.col("text"))))
-        out = rows if out is None else out.union(rows)
-    return out
+    small_batches(docs.sparkSession)
+    hits = _broadcast_hits(benchmark, coverage, slice_chars)
+    if hits is not None:
+        return docs.select("doc_id", F.inline(hits(F.col("text"))))
+    found = _joined_hits(docs, benchmark, coverage)
+    rows = docs.select("doc_id", _text_id(F.col("text")).alias("text_id")).join(found, "text_id")
+    rows = rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.drop("text_id", "copies")
 
 
 def is_clean(text: Column, hits) -> Column:
     return F.size(hits(F.coalesce(text, F.lit("")))) == 0
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that contain no item, with all their columns and without a shuffle."""
-    for hits in benchmark_hits(benchmark, coverage):
-        docs = docs.where(is_clean(F.col("text"), hits))
-    return docs
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slice_chars: int = SLICE_CHARS
+) -> DataFrame:
+    """The documents that contain no item, with all their columns.
+
+    Without a shuffle for a benchmark of at most `slice_chars` characters; see `find_leaks`.
+    """
+    small_batches(docs.sparkSession)
+    hits = _broadcast_hits(benchmark, coverage, slice_chars)
+    if hits is not None:
+        return docs.where(is_clean(F.col("text"), hits))
+    leaked = _joined_hits(docs, benchmark, coverage).select(F.col("text_id").alias("__text_id")).distinct()
+    return docs.join(leaked, _text_id(F.col("text")) == F.col("__text_id"), "left_anti")

@@ -90,7 +90,29 @@ def test_leaks(spark):
     docs = documents(spark, texts).withColumnRenamed("kept", "item_id")
     want = {(1, 1): (40, 1), (2, 1): (40, 4), (4, 1): (32, 1), (6, 2): (2, 1), (10, 1): (40, 1)}
     assert leaks(docs, benchmark) == want
-    assert leaks(docs, benchmark, slice_chars=60) == want
-    kept = decontam.drop_leaks(docs, benchmark)
-    assert {r.doc_id for r in kept.collect()} == {3, 5, 7, 8, 9} and kept.columns == docs.columns
+    assert leaks(docs, benchmark, slice_chars=0) == want
+    twice = docs.union(docs)
+    rows = [sorted(decontam.find_leaks(twice, benchmark, slice_chars=n).collect()) for n in (0, 10_000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 18
+    for chars in (0, 10_000):
+        kept = decontam.drop_leaks(docs, benchmark, slice_chars=chars)
+        assert {r.doc_id for r in kept.collect()} == {3, 5, 7, 8, 9} and kept.columns == docs.columns
     assert leaks(docs.limit(0), benchmark) == {} and leaks(docs, benchmark.limit(0)) == {}
+    assert leaks(docs.limit(0), benchmark, slice_chars=0) == {}
+    assert leaks(docs, benchmark.where("text IS NULL OR text = '...'"), slice_chars=0) == {}
+
+
+def test_items_of_frequent_windows_by_join(spark):
+    draw = random.Random(9)
+    common = [[f"c{k}w{n}" for n in range(6)] for k in range(8)]
+    own = lambda k, n: [f"i{k}w{m}" for m in range(n)]
+    items = [(k, " ".join(sum(draw.sample(common, k % 7), []) + own(k, draw.randint(0, 12)))) for k in range(60)]
+    docs = {}
+    for d in range(150):
+        words = sum(draw.sample(common, 5), [])
+        if d % 3 == 0:
+            words = words[: draw.randint(0, 20)] + items[draw.randrange(60)][1].split() + words
+        docs[d] = " ".join(words)
+    docs, benchmark = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(docs, benchmark)
+    assert len(want) > 50 and leaks(docs, benchmark, slice_chars=0) == want
