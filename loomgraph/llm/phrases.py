@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomgraph.llm.common import same, small_batches, text_key
+from loomgraph.llm.common import small_batches, text_key, written
 
 #: Levels of the parse whose phrases are kept, and least hashes kept of each, 16 bits wide.
 #: A phrase of the levels has about 12, 40 and 130 bytes.
@@ -21,6 +21,8 @@ LEVELS, BINS = (2, 3, 4), 32
 CHUNK = 1 << 20
 #: Bytes of text in a range of ids, about.
 BUCKET_BYTES = 4 << 20
+#: Ranges at most: the sampled bounds of so many are what Spark's driver holds.
+MOST_RANGES = 20_000
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _HALF = np.uint64(32)
@@ -144,8 +146,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def _fingerprint(texts: list[str], rows: np.ndarray) -> list[str]:
-    return [row.astype(">u2").tobytes().hex() if text else "" for text, row in zip(texts, rows, strict=True)]
+def _fingerprint(texts: list[str], rows: np.ndarray) -> list[bytes]:
+    return [row.astype(">u2").tobytes() if text else b"" for text, row in zip(texts, rows, strict=True)]
 
 
 def _near(a: np.ndarray, b: np.ndarray, texts: list[str], others: list[str]) -> np.ndarray:
@@ -168,101 +170,114 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_fingerprint(texts, sketches(texts)), pa.string())], ["doc_id", "fingerprint"]
-                )
+                prints = [p.hex() for p in _fingerprint(texts, sketches(texts))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, bucket, extra) in which the next document follows each one.
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of falling doc_id, nulls last; then by the hash of the text.
 
-    The next document is that of the next smaller doc_id (null last, then by the hash of the
-    text), after the last the first. Ids are cut into ranges of about BUCKET_BYTES of text, each
-    sorted in one task, so texts are shuffled once. Each range also gets, as its last row with
-    `extra` set, the first document of the range that follows; the driver sees one id per range.
+    Equal rows are told apart by their place in the table, so that a row repeated very often is
+    spread over ranges, too. Ranges hold about BUCKET_BYTES of text, and more where there would be
+    over MOST_RANGES of them; a sort within a range spills.
     """
-    small_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"), F.col("doc_id").cast("double").alias("__id"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // BUCKET_BYTES) + 1
-    cuts = keyed.approxQuantile("__id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    inner = sorted(set(cuts))
-    if inner:
-        splits = [float("-inf"), *inner, float("inf")]
-        ranged = Bucketizer(splits=splits, inputCol="__id", outputCol="__b", handleInvalid="keep").transform(keyed)
-        # Null ids come last, so they go before the range of the smallest.
-        ranged = ranged.withColumn("bucket", F.when(F.col("__id").isNull(), -1).otherwise(F.col("__b").cast("int")))
-    else:
-        ranged = keyed.withColumn("bucket", F.lit(0))
-    ranged = ranged.select("doc_id", "text", "tkey", "bucket")
-    heads = ranged.groupBy("bucket").agg(F.max(F.struct("doc_id", "tkey")).alias("head")).collect()
-    heads = sorted(((r["bucket"], r["head"]["doc_id"], r["head"]["tkey"]) for r in heads), reverse=True)
-    following = [(*heads[(i + 1) % len(heads)][1:], bucket) for i, (bucket, _, _) in enumerate(heads)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.createDataFrame(following, f"__head {kind}, __tkey long, __to int")
-    sent = sent.groupBy("__head", "__tkey").agg(F.collect_list("__to").alias("__to"))
-    on = same(ranged["doc_id"], sent["__head"]) & (ranged["tkey"] == sent["__tkey"])
-    places = F.concat(
-        F.array(F.struct("bucket", F.lit(False).alias("extra"))),
-        F.coalesce(F.transform("__to", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("extra"))), F.array()),
-    )
-    spread = ranged.join(F.broadcast(sent), on, "left").select("doc_id", "text", "tkey", F.explode(places).alias("p"))
-    return (
-        spread.select("doc_id", "text", "tkey", "p.bucket", "p.extra")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("tkey").desc())
-        .drop("tkey")
+    keyed = docs.select(
+        "doc_id", "text", text_key(F.col("text")).alias("tkey"), F.monotonically_increasing_id().alias("place")
     )
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tkey").desc(), F.col("place")]
+    ranged = keyed.repartitionByRange(min(int(total // BUCKET_BYTES) + 1, MOST_RANGES), *order)
+    return ranged.sortWithinPartitions(*order).select("doc_id", "text")
+
 
+#: What is known of a text and its edit, fingerprints as bytes.
+DIGESTS = "n_chars long, edited_sha256 string, own binary, edited binary, near_edited double, near_next double"
 
-EDITED = (
-    "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
-)
+
+def _digests(texts: list[str], at: np.ndarray) -> list[pa.Array]:
+    """DIGESTS of the texts at the given places, each followed by its next one."""
+    own, after = [texts[i] for i in at], [texts[i + 1] for i in at]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(own, after, strict=True)]
+    whole, new = sketches(texts), sketches(edited)
+    return [
+        pa.array([len(t) for t in own], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        pa.array(_fingerprint(own, whole[at]), pa.binary()),
+        pa.array(_fingerprint(edited, new), pa.binary()),
+        pa.array(_near(whole[at], new, own, edited), pa.float64()),
+        pa.array(_near(whole[at], whole[at + 1], own, after), pa.float64()),
+    ]
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit, and their likeness, for `docs(doc_id, text)`.
 
     The edit replaces the last floor(n_chars / 2) code points by the first as many, or all, of
-    the next document (see `with_next`). Returns doc_id, n_chars, edited_sha256, fingerprint,
+    the next document: that of the next smaller doc_id (null last, then by the hash of the text),
+    after the last the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited and near_next. Two empty texts have likeness 1, an empty one
     and another 0. Null texts are empty. Repeated rows follow each other. A single document is
-    its own next. doc_id has to be a number.
+    its own next. doc_id is of any type that has an order; extra columns are left out.
+
+    Texts are shuffled once, into ranges. Each range tells the digests of all its rows but the
+    last, and passes on its first and last text; these are joined by range afterwards. The driver
+    sees no row.
     """
+    small_batches(docs.sparkSession)
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    digest_names = [c.split()[0] for c in DIGESTS.split(", ")]
+    names = ["doc_id", *digest_names, "range", "is_last", "text"]
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        held: list[tuple] = []
+
+        def edge(row: tuple, is_last: bool) -> pa.RecordBatch:
+            own = dict(zip(names, (row[0], *[None] * len(digest_names), here, is_last, row[1]), strict=True))
+            return pa.RecordBatch.from_pylist([own], schema=passed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[tuple] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = carried + list(zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True))
-                carried = rows[-1:]
-                if len(rows) > 1:
-                    yield compared(rows)
-
-    def compared(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[1] or "" for r in rows]
-        pairs = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
-        own, after = [texts[i] for i in pairs], [texts[i + 1] for i in pairs]
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(own, after, strict=True)]
-        whole, new = sketches(texts), sketches(edited)
-        at = np.array(pairs, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([rows[i][0] for i in pairs], arrow_id),
-                pa.array([len(t) for t in own], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                pa.array(_fingerprint(own, whole[at]), pa.string()),
-                pa.array(_fingerprint(edited, new), pa.string()),
-                pa.array(_near(whole[at], new, own, edited), pa.float64()),
-                pa.array(_near(whole[at], whole[at + 1], own, after), pa.float64()),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs).mapInArrow(run, EDITED.format(kind))
+                fresh = list(zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True))
+                if not held:
+                    yield edge(fresh[0], False)
+                rows = held + fresh
+                held = rows[-1:]
+                n = len(rows) - 1
+                ids = pa.array([r[0] for r in rows[:-1]], arrow_id)
+                found = _digests([r[1] or "" for r in rows], np.arange(n))
+                nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.bool_(), pa.string())]
+                yield pa.RecordBatch.from_arrays([ids, *found, *nothing], schema=passed)
+        if held:
+            yield edge(held[0], True)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own, after = batch.columns
+            texts = [t or "" for pair in zip(own.to_pylist(), after.to_pylist(), strict=True) for t in pair]
+            found = _digests(texts, np.arange(0, len(texts), 2))
+            yield pa.RecordBatch.from_arrays([ids, *found], ["doc_id", *digest_names])
+
+    own_types = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    types = [arrow_id, *own_types, pa.int32(), pa.bool_(), pa.string()]
+    passed = pa.schema(list(zip(names, types, strict=True)))
+    done = written(
+        in_order(docs).mapInArrow(within, f"doc_id {kind}, {DIGESTS}, range int, is_last boolean, text string"), "phrases"
+    )
+    edges = done.where(F.col("range").isNotNull())
+    firsts = edges.where(~F.col("is_last")).select(F.col("range").alias("following"), F.col("text").alias("next_text"))
+    # One row per range, of a number each: at most MOST_RANGES.
+    every = Window.partitionBy(F.lit(0))
+    following = F.coalesce(F.lead("range").over(every.orderBy("range")), F.min("range").over(every))
+    ranges = edges.where("is_last").select("range").withColumn("following", following)
+    lasts = edges.where("is_last").join(ranges, "range").join(firsts, "following").select("doc_id", "text", "next_text")
+    rows = done.where(F.col("range").isNull()).select("doc_id", *digest_names)
+    return rows.unionByName(lasts.mapInArrow(between, f"doc_id {kind}, {DIGESTS}")).select(
+        "doc_id", "n_chars", "edited_sha256",
+        F.lower(F.hex("own")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
