@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph import wiki
 from loomgraph.config import EmbeddingConfig, RepoConfig
 from loomgraph.functions.embedding import dimension, embed, embed_query
-from loomgraph.functions.text import content_hash
+from loomgraph.functions.text import content_hash, in_words
 from loomgraph.operators import chunking, cochange, depgraph, maintain, pages, symbols, waves
 from loomgraph.operators.incremental import (
     PATH_KEY, changed_files, unseen_texts, vanished_files, with_vectors,
@@ -249,6 +249,14 @@ class Workspace:
                 report[table] = self._table(table).count()
         return report
 
+    def export_graph(self, folder: str) -> None:
+        """Write the graph of the last build as JSON lines, one folder per table."""
+        self.store.export_graph(self.repo.repo_id, folder)
+
+    def import_graph(self, folder: str) -> None:
+        """Make an exported graph the current one, all of it or nothing."""
+        self.store.import_graph(self.repo.repo_id, folder)
+
     def _table(self, name: str) -> DataFrame:
         return self.store.table(name, self.repo.repo_id)
 
@@ -323,7 +331,7 @@ class Workspace:
         found = depgraph.consumers_of(
             self._table("import_edges"), self._table("exports"), type_name
         )
-        return found.orderBy("role", "def_file", "consumer")
+        return found.orderBy("role", *in_words("def_file"), *in_words("consumer"))
 
     def query_symbol(self, symbol: str) -> dict[str, DataFrame]:
         """Frames `matches`, `outgoing`, `incoming` and `neighbors` of one symbol."""
@@ -357,17 +365,23 @@ class Workspace:
     # --- work planning ---------------------------------------------------------------------
 
     def partition(self, touch_sets: list[dict], min_co_change: int = 3) -> dict:
-        """Frames `conflicts`, `waves`, `independent_set` and `warnings`, and `head_sha`."""
+        """Frames `plan`, `conflicts`, `waves`, `independent_set` and `warnings`, and `head_sha`.
+
+        `plan` has one row per issue, with the commit that the warnings are of.
+        """
         co_changes = self._table("co_changes")
         sets = waves.local_touch_sets(self.spark, touch_sets)
         touches = waves.touch_rows(sets)
         planned = waves.waves(touches)
+        sha = self._table("build_meta").first()["head_sha"]
         return {
+            "plan": waves.plan(touches, co_changes, (), min_co_change)
+            .withColumn("head_sha", F.lit(sha)).orderBy("wave", "issue"),
             "conflicts": waves.conflicts(touches).orderBy("a", "b"),
             "waves": planned.orderBy("wave", "issue"),
             "independent_set": waves.independent_set(planned).orderBy("issue"),
             "warnings": waves.coupling_warnings(touches, co_changes, (), min_co_change).orderBy(
                 "issue", "file", F.desc("count"), "coupled_to"
             ),
-            "head_sha": self._table("build_meta").first()["head_sha"],
+            "head_sha": sha,
         }

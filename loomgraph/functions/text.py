@@ -134,3 +134,8 @@ def contains_any(path: Column, parts: list[str]) -> Column:
     for part in parts:
         hit = hit | path.contains(part)
     return hit
+
+
+def in_words(name: str) -> list[Column]:
+    """Sort keys that order texts as words are: case and accents decide among equal letters only."""
+    return [F.collate(name, "UNICODE"), F.col(name)]

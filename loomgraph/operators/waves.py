@@ -341,3 +341,32 @@ def coupling_warnings(
         .select(*batch, "issue", "file", "coupled_to", "count")
         .distinct()
     )
+
+
+def plan(
+    touches: DataFrame, co_changes: DataFrame, batch: list[str] = (), min_count: int = WARNING_MIN_COUNT
+) -> DataFrame:
+    """(issue, wave, independent, n_files, n_shared_files, n_warnings), one row for each issue.
+
+    What the whole plan says of an issue: its wave, whether that is the first, how many files it
+    touches, how many of those another issue of the batch touches too, and its coupling warnings.
+    Files are counted once per batch; issues of a file are never paired. Issues without a file and
+    batches that are null are kept.
+    """
+    of_issue, on_file = [*batch, "issue"], [*batch, "file"]
+    rows = _settled(touches.select(*of_issue, "file").distinct())
+    touched = rows.where(F.col("file").isNotNull())
+    users = touched.groupBy(*on_file).agg(F.count(F.lit(1)).alias("_users")).where(F.col("_users") > 1)
+    files = _looked_up(touched, users, on_file, "_users").groupBy(*of_issue).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count("_users").alias("n_shared_files")
+    )
+    warned = coupling_warnings(touched, co_changes, batch, min_count).groupBy(*of_issue).agg(
+        F.count(F.lit(1)).alias("n_warnings")
+    )
+    planned = waves(rows, batch).withColumn("independent", F.col("wave") == 0)
+    for counts, names in ((files, ["n_files", "n_shared_files"]), (warned, ["n_warnings"])):
+        found = counts.select(*of_issue, F.struct(*names).alias("_found"))
+        planned = _looked_up(planned, found, of_issue, "_found").withColumns(
+            {name: F.coalesce(F.col("_found")[name], F.lit(0)) for name in names}
+        ).drop("_found")
+    return planned

@@ -219,6 +219,14 @@ waves AS (
 """
 )
 
+#: The same for issues that touch the parts themselves, not their modules.
+_PART_WAVES = _WAVES.replace(
+    _MODULES,
+    """
+modules AS (SELECT DISTINCT l_orderkey AS commit_id, 'part/p' || l_partkey || '.ts' AS file FROM lineitem)
+""",
+)
+
 _SNAPSHOTS = """
 docs AS (
   SELECT 'sample' AS repo_id, 'docs' AS source, 'docs/d' || d.doc_id || '.md' AS file_path,
@@ -627,6 +635,20 @@ FROM shared JOIN (SELECT unnest([min(o_orderkey), max(o_orderkey)]) AS asked FRO
     "partition_waves": _with(_WAVES) + " SELECT * FROM waves",
     "partition_independent_set": _with(_WAVES)
     + " SELECT batch, issue FROM waves WHERE wave = 0",
+    "partition_plan": _with(_PART_WAVES, _PART_PAIRS)
+    + """, users AS (SELECT batch, file, count(*) AS n FROM touches GROUP BY 1, 2),
+counted AS (
+  SELECT batch, issue, count(*) AS n_files, count(*) FILTER (WHERE n > 1) AS n_shared_files
+  FROM touches JOIN users USING (batch, file) GROUP BY 1, 2),
+warned AS (
+  SELECT t.batch, t.issue, count(*) AS n_warnings
+  FROM touches t
+  JOIN (SELECT file_a AS file, file_b AS other FROM pairs
+        UNION ALL SELECT file_b, file_a FROM pairs) p ON t.file = p.file
+  WHERE EXISTS (SELECT 1 FROM touches o WHERE o.batch = t.batch AND o.file = p.other AND o.issue <> t.issue)
+  GROUP BY 1, 2)
+SELECT batch, issue, wave, wave = 0 AS independent, n_files, n_shared_files, coalesce(n_warnings, 0) AS n_warnings
+FROM waves JOIN counted USING (batch, issue) LEFT JOIN warned USING (batch, issue)""",
     "partition_warnings": _with(_PART_PAIRS)
     + """, both_ways AS (
   SELECT file_a AS file, file_b AS coupled_to, count FROM pairs

@@ -722,6 +722,15 @@ def partition_independent_set(spark, sf):
     return waves.independent_set(waves.waves(corpus.module_touches(spark, sf), ["batch"]))
 
 
+@query
+def partition_plan(spark, sf):
+    """What the whole plan of a customer's orders says of each: wave, files, shared files, warnings."""
+    history = corpus.part_history(spark, sf)
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("issue"))
+    touches = orders.join(history.withColumnRenamed("commit_id", "issue"), "issue")
+    return waves.plan(touches, cochange.co_change_pairs(history), ["batch"])
+
+
 @query
 def partition_warnings(spark, sf):
     """All orders as one batch, over the parts that are often ordered together."""

@@ -61,6 +61,8 @@ TABLES = {
     "semantic_edges": "src string, dst string, score double",
     "build_meta": "built_at timestamp, head_sha string, dim int",
 }
+#: Timestamps in exported JSON, to the microsecond.
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 class NotBuilt(LookupError):
@@ -217,6 +219,23 @@ class Store:
         path = f"{self._table_path(name, repo_id)}/version={version}"
         return self.spark.read.schema(TABLES[name]).parquet(path)
 
+    def export_graph(self, repo_id: str, folder: str) -> None:
+        """Write the current graph tables as JSON lines into `folder/<table>`, which must not exist."""
+        for name in TABLES:
+            rows = self.table(name, repo_id)
+            rows.write.option("timestampFormat", JSON_TIME).json(f"{folder}/{name}")
+
+    def import_graph(self, repo_id: str, folder: str) -> None:
+        """Read what `export_graph` has written, from any repository, and make it the current graph.
+
+        A table that is absent or a line that is no JSON fails the import, and the graph stays as it was.
+        """
+        version = self.next_version()
+        for name, schema in TABLES.items():
+            read = self.spark.read.schema(schema).option("mode", "FAILFAST").option("timestampFormat", JSON_TIME)
+            self.write_table(name, repo_id, read.json(f"{folder}/{name}"), version)
+        self.publish(repo_id, list(TABLES), version)
+
     def dimension(self, repo_id: str) -> int | None:
         try:
             row = self.table("build_meta", repo_id).first()

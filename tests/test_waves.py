@@ -144,3 +144,40 @@ def test_a_hot_file_is_many_bounded_tasks(spark):
         assert taken.after(wave) == wave
         taken.add(wave)
     assert taken.intervals() == [[0, 5]] and waves.lowest_free([taken, waves.Waves([[6, 7], [9, 9]])]) == 8
+
+
+def test_plan_tells_of_each_issue_what_the_frames_tell(spark):
+    draw = random.Random(12)
+    sets = {i: {f"f{draw.randint(0, 30)}" for _ in range(draw.randint(0, 5))} | ({"hot"} if i % 3 == 0 else set())
+            for i in range(60)}
+    pairs = {(f"f{a}", f"f{a + 1}"): draw.randint(1, 6) for a in range(30)}
+    co_changes = spark.createDataFrame(
+        [(a, b, n) for (a, b), n in pairs.items()], "file_a string, file_b string, count long"
+    )
+    both = {**pairs, **{(b, a): n for (a, b), n in pairs.items()}}
+    users = {f: {i for i in sets if f in sets[i]} for f in set().union(*sets.values())}
+    placed = greedy(sets)
+    want = {
+        i: (
+            placed[i], placed[i] == 0, len(files), sum(len(users[f]) > 1 for f in files),
+            sum(n >= 3 and a in files and bool(users.get(b, set()) - {i}) for (a, b), n in both.items()),
+        )
+        for i, files in sets.items()
+    }
+    rows = waves.plan(touches_of(spark, sets), co_changes).collect()
+    assert {r.issue: (r.wave, r.independent, r.n_files, r.n_shared_files, r.n_warnings) for r in rows} == want
+    assert len(rows) == len(sets)
+
+
+def test_plan_of_batches_that_are_null_or_empty(spark):
+    schema = "batch string, issue long, file string"
+    touches = spark.createDataFrame(
+        [(None, 1, "a"), (None, 2, "a"), (None, 3, None), ("x", 1, "a"), ("x", 1, "a")], schema
+    )
+    co_changes = spark.createDataFrame([("a", "b", 9)], "file_a string, file_b string, count long")
+    rows = {(r.batch, r.issue): (r.wave, r.n_files, r.n_shared_files, r.n_warnings)
+            for r in waves.plan(touches, co_changes, ["batch"]).collect()}
+    assert rows == {
+        (None, 1): (0, 1, 1, 0), (None, 2): (1, 1, 1, 0), (None, 3): (0, 0, 0, 0), ("x", 1): (0, 1, 0, 0),
+    }
+    assert waves.plan(touches.limit(0), co_changes, ["batch"]).count() == 0
