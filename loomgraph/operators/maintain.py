@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.dealing import key_counts, matched, settled
 from loomgraph.operators.depgraph import REPLACED_SUFFIX, REPLACEMENTS, TRIED_SUFFIXES, resolve_bases
 
 
@@ -32,7 +33,7 @@ def updated_rows(stored: DataFrame, fresh: DataFrame, touched: DataFrame, key: s
     `touched` has the path of every changed and every gone file.
     """
     paths = touched.select(F.col("file_path").alias(key)).distinct()
-    return stored.join(paths, key, "left_anti").unionByName(fresh)
+    return matched(stored, paths, [key], "left_anti").unionByName(fresh)
 
 
 def affected_bases(
@@ -44,17 +45,21 @@ def affected_bases(
     statements that were never looked up.
     """
     moved = come.select("file_path").union(gone.select("file_path"))
-    near = moved.select(F.explode(possible_bases(F.col("file_path"))).alias("base")).distinct()
-    used = statements.where(F.col("base").isNotNull()).select("base")
-    known = near.join(used, "base", "left_semi")
-    new = fresh.where(F.col("base").isNotNull()).select("base").distinct()
-    return known.union(new.join(targets, "base", "left_anti")).distinct()
+    near = settled(moved.select(F.explode(possible_bases(F.col("file_path"))).alias("base")))
+    known = matched(near, _bases(statements), ["base"], "left_semi")
+    new = matched(_bases(fresh), targets, ["base"], "left_anti")
+    return _bases(settled(known.union(new)))
+
+
+def _bases(rows: DataFrame) -> DataFrame:
+    """(base): each base of the rows once."""
+    return settled(key_counts(rows, rows.count(), ["base"]).select("base"))
 
 
 def updated_targets(targets: DataFrame, affected: DataFrame, paths: DataFrame) -> DataFrame:
     """(base, target): affected bases are looked up again among the present paths."""
     found = resolve_bases(affected, paths)
-    return targets.join(affected, "base", "left_anti").unionByName(found.select("base", "target"))
+    return matched(targets, affected, ["base"], "left_anti").unionByName(found.select("base", "target"))
 
 
 def updated_edges(
@@ -64,15 +69,14 @@ def updated_edges(
 
     `statements` and `targets` are the updated ones.
     """
-    own = touched.select("file_path").distinct()
-    resolved_anew = statements.join(affected, "base", "left_semi")
-    rewritten = statements.join(own, "file_path", "left_semi").join(affected, "base", "left_anti")
-    again = resolved_anew.unionByName(rewritten)
+    own = settled(touched.select("file_path").distinct())
+    resolved_anew = settled(matched(statements, affected, ["base"], "left_semi"))
+    rewritten = matched(settled(matched(statements, own, ["file_path"], "left_semi")), affected, ["base"], "left_anti")
+    again = settled(resolved_anew.unionByName(rewritten).where(F.col("base").isNotNull()))
     places = resolved_anew.select(F.col("file_path").alias("source"), F.col("pos").alias("stmt_pos"))
-    kept = edges.join(own.withColumnRenamed("file_path", "source"), "source", "left_anti").join(
-        places, ["source", "stmt_pos"], "left_anti"
-    )
-    made = again.join(targets, "base").select(
+    here = settled(matched(edges, own.withColumnRenamed("file_path", "source"), ["source"], "left_anti"))
+    kept = matched(here, places, ["source", "stmt_pos"], "left_anti")
+    made = matched(again, targets, ["base"]).select(
         F.col("file_path").alias("source"), "target", F.col("pos").alias("stmt_pos"), "names"
     )
     return kept.unionByName(made)
