@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import trim
+from loomgraph.operators.dealing import dealt
 from loomgraph.session import ensure_checkpoint_dir
 
 WARNING_MIN_COUNT = 3
@@ -80,11 +81,12 @@ def file_issues(
     All issues of a file conflict with each other. They come in order, in slices of at most
     `slice_issues`, so a file that very many issues touch is many bounded rows.
     """
-    rows = touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct()
-    on_file = [*batch, "file"]
-    several = rows.groupBy(*on_file).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = _settled(touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct())
+    on_file, count = [*batch, "file"], rows.count()
+    placed = dealt(rows, count, *on_file)
+    several = placed.groupBy(*on_file).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     nth = F.row_number().over(Window.partitionBy(*on_file).orderBy("issue")) - 1
-    numbered = rows.join(several.drop("_n"), on_file, "left_semi").withColumn("_at", nth)
+    numbered = placed.join(several.hint("merge"), on_file, "left_semi").withColumn("_at", nth)
     return numbered.groupBy(*on_file, F.floor(F.col("_at") / slice_issues).cast("int").alias("slice")).agg(
         F.array_sort(F.collect_list("issue")).alias("issues")
     )
@@ -92,10 +94,11 @@ def file_issues(
 
 def conflicts_of(touches: DataFrame, issues: list, batch: list[str] = ()) -> DataFrame:
     """(issue, other, reason) of the conflicts of a few asked issues."""
-    rows = touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct()
-    asked = rows.where(F.col("issue").isin(issues))
-    others = rows.withColumnRenamed("issue", "other")
-    shared = asked.join(others, [*batch, "file"]).where(F.col("issue") != F.col("other"))
+    rows = _settled(touches.where(F.col("file").isNotNull()).select(*batch, "issue", "file").distinct())
+    on_file, count = [*batch, "file"], rows.count()
+    asked = dealt(rows.where(F.col("issue").isin(issues)), count, *on_file)
+    others = dealt(rows.withColumnRenamed("issue", "other"), count, *on_file)
+    shared = others.join(asked.hint("merge"), on_file).where(F.col("issue") != F.col("other"))
     return shared.groupBy(*batch, "issue", "other").agg(
         F.concat(F.lit("both touch "), F.min("file")).alias("reason")
     )

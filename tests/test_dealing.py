@@ -5,8 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import depgraph, symbols
+from loomgraph.operators import depgraph, symbols, waves
 from loomgraph.operators.dealing import key_counts, matched
+from loomgraph.plans import corpus
 
 ROWS = [("a", i) for i in range(900)] + [("b", 1), ("b", 1), ("c", 2), (None, 3), (None, 3)]
 TABLE = [("a", "x"), ("a", "y"), ("b", "z"), ("d", "w"), (None, "v")]
@@ -49,3 +50,12 @@ def test_symbols_and_paths_are_not_broadcast(spark, capsys):
         capsys.readouterr()
         frame.explain()
         assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_touches_are_dealt_by_their_number(spark, capsys):
+    touches = corpus.module_touches(spark, "/root/testdata/sf0.001")
+    for frame in (touches, waves.file_issues(touches, ["batch"]), waves.conflicts_of(touches, [1], ["batch"])):
+        capsys.readouterr()
+        frame.explain()
+        plan = capsys.readouterr().out
+        assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
