@@ -120,6 +120,7 @@ def waves(
     keys = list(batch)
     # Read for sizes and again for the plan, and costly to make as a rule.
     rows = _settled(touches.select(*keys, "issue", "file").distinct())
+    count = rows.count()
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > most_rows).drop("_n")
     if not keys:
@@ -130,14 +131,14 @@ def waves(
         small = rows if large.isEmpty() else rows.join(large, _same(rows, large, keys), "left_anti")
         rest = None if small is rows else rows.join(large, _same(rows, large, keys), "left_semi")
     if rest is None:
-        return _planned(small, keys)
+        return _planned(small, keys, count)
     parts = _settled(_connected(_settled(rest), keys))
     of_part = [*keys, "_part"]
     giant = parts.groupBy(*of_part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_rows)
     giant = _settled(giant.drop("_n"))
-    done = _planned(parts.join(giant, _same(parts, giant, of_part), "left_anti"), of_part).drop("_part")
+    done = _planned(parts.join(giant, _same(parts, giant, of_part), "left_anti"), of_part, count).drop("_part")
     if small is not None:
-        done = done.unionByName(_planned(small, keys))
+        done = done.unionByName(_planned(small, keys, count))
     blocks = _in_blocks(parts.join(giant, _same(parts, giant, of_part), "left_semi"), of_part, block_rows)
     return done.unionByName(blocks.drop("_part"))
 
@@ -197,7 +198,8 @@ def _in_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     done = []
     for block in range(1, last + 1):
         own = blocks.where(F.col("_block") == block).drop("_block")
-        made = _settled(_planned(_looked_up(own, used, [*keys, "file"], "used"), keys, keep_used=True))
+        used_on = _looked_up(own, used, [*keys, "file"], "used")
+        made = _settled(_planned(used_on, keys, own.count(), keep_used=True))
         done.append(made.where("file IS NULL").select(*keys, "issue", "wave"))
         touched = made.where("file IS NOT NULL").select(*keys, "file", "used")
         used = _settled(used.join(touched, _same(used, touched, [*keys, "file"]), "left_anti").unionByName(touched))
@@ -206,14 +208,14 @@ def _in_blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def _planned(rows: DataFrame, keys: list[str], keep_used: bool = False) -> DataFrame:
-    """Waves of groups of bounded size, each read in order of its issues.
+def _planned(rows: DataFrame, keys: list[str], count: int, keep_used: bool = False) -> DataFrame:
+    """Waves of groups of bounded size, each read in order of its issues; `count` rows at most.
 
     With `keep_used`, rows have the intervals of waves in `used` on their file before, and the
     result has a row per file, with `file` and `used`, besides those per issue.
     """
     columns = [*keys, "issue", "file", *(["used"] if keep_used else [])]
-    placed = rows.repartition(*keys) if keys else rows.repartition(1)
+    placed = dealt(rows, count, *keys) if keys else rows.repartition(1)
     ordered = placed.sortWithinPartitions(*keys, "issue").select(*columns)
     kept = [T.StructField(f.name, f.dataType) for f in ordered.schema if f.name not in ("file", "used")]
     schema = T.StructType(kept).add("wave", T.IntegerType())

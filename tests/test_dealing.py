@@ -59,3 +59,15 @@ def test_touches_are_dealt_by_their_number(spark, capsys):
         frame.explain()
         plan = capsys.readouterr().out
         assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+
+
+def test_waves_are_planned_in_tasks_by_the_number_of_rows(spark, capsys, monkeypatch):
+    real, counts = waves.dealt, []
+    monkeypatch.setattr(waves, "dealt", lambda rows, n, *keys: counts.append(n) or real(rows, n, *keys, task_rows=100))
+    rows = [(b, i, f"f{i % 7}") for b in range(50) for i in range(20)]
+    planned = waves.waves(spark.createDataFrame(rows, "batch int, issue int, file string"), ["batch"])
+    capsys.readouterr()
+    planned.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out and counts == [1000]
+    assert planned.rdd.getNumPartitions() == 10
+    assert {(r["issue"], r["wave"]) for r in planned.collect()} == {(i, i // 7) for i in range(20)}
