@@ -5,6 +5,9 @@ around pivot vectors, and a vector is compared only with cells that can hold a m
 are cut into slices of bounded size, so a cell that holds most of the rows is many tasks.
 Within two slices a pair is given up as soon as the norms of what is left of its vectors say
 that it cannot reach the threshold, or the best matches found so far.
+
+A vector is sent once to each slice that it is compared with. So slices grow with the vectors, as
+far as a task's memory allows, and tiles are dealt to as many tasks as there are tiles.
 """
 
 from __future__ import annotations
@@ -16,18 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import ensure_checkpoint_dir
+from loomgraph.operators.dealing import settled
 from loomgraph.functions.vectors import (
     EXACT_DIGITS, SCORE_DIGITS, as_matrix, bounded_products, leading_axes, suffix_norms, unit_rows, vector_key,
 )
 
 DEFAULT_MIN_SCORE = 0.78
 DEFAULT_TOP_K = 5
+#: Vectors of a slice: of few vectors, and at most. In between, SLICES of all vectors.
 TILE_ROWS = 2048
+MOST_TILE_ROWS = 16384
+SLICES = 16
+#: Tasks among which the tiles are dealt, at most.
+TILE_TASKS = 4096
 MAX_PIVOTS = 256
 #: Ids of a tile that are compared at a time, at first and later; the next ones must beat what these gave.
 FIRST_STEP = 32
 STEP_ROWS = 256
+#: Pairs that a step compares, about: with more rows on one side it takes fewer ids of the other.
+STEP_PAIRS = 2048 * STEP_ROWS
 
 _EDGE_TYPE = "_entry string, dst long, score double"
 
@@ -37,7 +47,7 @@ def overlay(
     min_score: float = DEFAULT_MIN_SCORE,
     top_k: int = DEFAULT_TOP_K,
     scope: str | None = None,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     unique_ids: bool = True,
 ) -> DataFrame:
     """(src, dst, score) for the `top_k` best other-file matches of every id of `rows`.
@@ -71,7 +81,7 @@ def overlay_work(
     min_score: float = DEFAULT_MIN_SCORE,
     top_k: int = DEFAULT_TOP_K,
     scope: str | None = None,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     unique_ids: bool = True,
 ) -> DataFrame:
     """One row (possible, compared, full): what `overlay` would do with its pairs of vectors.
@@ -92,7 +102,7 @@ def overlay_work(
     return parts.unionByName(done.withColumn("possible", none)).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in names])
 
 
-def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, tile_rows: int, unique_ids: bool):
+def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, tile_rows: int | None, unique_ids: bool):
     """The vectors, folded, and both sides of the tiles in which they are compared."""
     base = rows.select(
         (F.lit("") if scope is None else F.col(scope)).alias("_scope"),
@@ -112,8 +122,10 @@ def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, til
         F.collect_list("id").alias("_ids"),
         F.first("embedding").alias("embedding"),
     ).withColumn("_entry", F.sha2(F.to_json(F.struct("_scope", "_key", "file")), 256))
-    ensure_checkpoint_dir(rows.sparkSession)
-    entries = entries.checkpoint()
+    entries = settled(entries)
+    count = entries.count()
+    if tile_rows is None:
+        tile_rows = min(MOST_TILE_ROWS, max(TILE_ROWS, -(-count // SLICES)))
     by_vector = Window.partitionBy("_scope", "_key").orderBy("_first")
     candidates = (
         entries.withColumn("_n", F.row_number().over(by_vector))
@@ -121,7 +133,7 @@ def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, til
         .select("_scope", "file", "embedding", F.explode("_ids").alias("id"))
     )
 
-    pivots = _pivots(entries, tile_rows)
+    pivots = _pivots(entries, count, tile_rows)
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * min_score)) + 1e-6
     home, reachable = F.lit(0), F.array(F.lit(0))
     if len(pivots) > 1:
@@ -134,7 +146,9 @@ def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, til
     home_size = homes.groupBy("_scope", "_cell").agg(_slices(tile_rows).alias("_c_slices"))
     probe_size = probes.groupBy("_scope", "_cell").agg(_slices(tile_rows).alias("_p_slices"))
     tile = ["_scope", "_cell", "_p", "_c"]
-    sizes = home_size.join(probe_size, ["_scope", "_cell"])
+    sizes = settled(home_size.join(probe_size, ["_scope", "_cell"]))
+    tiles = sizes.agg(F.sum(F.col("_c_slices") * F.col("_p_slices"))).first()[0] or 1
+    tasks = min(TILE_TASKS, max(tiles, rows.sparkSession.sparkContext.defaultParallelism))
     if scope is None:
         sizes = F.broadcast(sizes)  # at most MAX_PIVOTS rows
     left = (
@@ -149,7 +163,8 @@ def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, til
         .withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p_slices") - 1)))
         .select(*[F.col(c).alias(c) for c in (*tile, "id", "file", "embedding")])
     )
-    return base, entries, candidates, left, right, tile
+    # Tasks of Spark's own number would each sort, and spill, a share that grows with the copies.
+    return base, entries, candidates, left.repartition(tasks, *tile), right.repartition(tasks, *tile), tile
 
 
 def _best(edges: DataFrame, key: list[str], top_k: int) -> DataFrame:
@@ -161,9 +176,9 @@ def _slices(tile_rows: int):
     return F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("long")
 
 
-def _pivots(entries: DataFrame, tile_rows: int) -> np.ndarray:
+def _pivots(entries: DataFrame, count: int, tile_rows: int) -> np.ndarray:
     """At most MAX_PIVOTS vectors picked by hash order; more rows, more pivots."""
-    wanted = min(MAX_PIVOTS, math.ceil(entries.count() / tile_rows))
+    wanted = min(MAX_PIVOTS, math.ceil(count / tile_rows))
     if wanted <= 1:
         return np.zeros((0, 0))
     picked = entries.orderBy(F.xxhash64("_entry"), "_entry").limit(wanted).select("embedding")
@@ -226,8 +241,9 @@ def _best_of_tile(left: pa.Table, right: pa.Table, min_score: float, top_k: int)
     places = np.zeros((len(probes), 0), np.int64)
     floor = np.full(len(probes), min_score)
     full, at, bounding, step = 0, 0, True, FIRST_STEP
+    most = max(FIRST_STEP, min(STEP_ROWS, STEP_PAIRS // len(probes)))
     while at < len(starts):
-        end, step = min(at + step, len(starts)), min(2 * step, STEP_ROWS)
+        end, step = min(at + step, len(starts)), min(2 * step, most)
         begin, stop = starts[at], starts[end] if end < len(starts) else len(ids)
         other = codes[: len(probes)][:, None] != codes[len(probes) + begin : len(probes) + stop][None, :]
         part, products = bounded_products(
@@ -237,7 +253,7 @@ def _best_of_tile(left: pa.Table, right: pa.Table, min_score: float, top_k: int)
         )
         full += products
         # Where most pairs go to the end though there is a floor, the steps behind are taken as they come.
-        bounding = bounding and (step < STEP_ROWS or products <= 0.75 * other.sum())
+        bounding = bounding and (step < most or products <= 0.75 * other.sum())
         part = np.round(part, EXACT_DIGITS)
         part[~(part >= min_score)] = -np.inf
         part = np.maximum.reduceat(part, starts[at:end] - begin, axis=1)

@@ -1,3 +1,5 @@
+import importlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +236,20 @@ def test_prefix_and_cut(spark, model, mode, prefix):
     sent = emb.model_input(F.col("t"), F.lit(model), F.lit(mode))
     got = [r[0] for r in rows.select(sent).collect()]
     assert got == [(prefix + "x" * n)[:4000] for n in (1, 3999, 4000, 4001)]
+
+
+def test_slices_grow_with_the_vectors_and_tiles_are_dealt_by_their_number(spark, monkeypatch):
+    tiling = importlib.import_module("loomgraph.operators.overlay")
+    monkeypatch.setattr(tiling, "TILE_ROWS", 20)
+    monkeypatch.setattr(tiling, "SLICES", 4)
+    vectors, files = clustered(np.random.default_rng(7), 400, 0)
+    rows = frame(spark, vectors, files)
+    _, entries, _, left, right, tile = tiling._tiles(rows, -1.0, 4, None, None, True)
+    n = entries.count()
+    # Of slices of 20, as few vectors have them, each vector would be sent about 20 times.
+    assert max(left.count(), right.count()) <= 9 * n
+    made = left.select(*tile).distinct().count()
+    assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() >= made
+    monkeypatch.setattr(tiling, "STEP_PAIRS", 100)
+    got = {(r["src"], r["dst"], round(r["score"], 6)) for r in overlay(rows, -1.0, 4).collect()}
+    assert got == brute_force(vectors, files, -1.0, 4)
