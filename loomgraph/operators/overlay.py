@@ -30,7 +30,7 @@ DEFAULT_TOP_K = 5
 TILE_ROWS = 2048
 MOST_TILE_ROWS = 16384
 SLICES = 16
-#: Tasks among which the tiles are dealt, at most.
+#: Tasks among which the tiles are dealt, at most; a tile of TILE_ROWS or more is one of them.
 TILE_TASKS = 4096
 MAX_PIVOTS = 256
 #: Ids of a tile that are compared at a time, at first and later; the next ones must beat what these gave.
@@ -148,7 +148,8 @@ def _tiles(rows: DataFrame, min_score: float, top_k: int, scope: str | None, til
     tile = ["_scope", "_cell", "_p", "_c"]
     sizes = settled(home_size.join(probe_size, ["_scope", "_cell"]))
     tiles = sizes.agg(F.sum(F.col("_c_slices") * F.col("_p_slices"))).first()[0] or 1
-    tasks = min(TILE_TASKS, max(tiles, rows.sparkSession.sparkContext.defaultParallelism))
+    whole = min(tiles, tiles * tile_rows**2 // TILE_ROWS**2)  # several small tiles make a task
+    tasks = min(TILE_TASKS, max(whole, rows.sparkSession.sparkContext.defaultParallelism))
     if scope is None:
         sizes = F.broadcast(sizes)  # at most MAX_PIVOTS rows
     left = (
