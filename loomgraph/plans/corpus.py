@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators.dealing import dealt as by_count
 
 REPO = "sample"
+#: Scripts that one task parses, about.
+PARSED_ROWS = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,15 @@ def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str)
     """A table's columns, its rows dealt by key where it has fewer files than there are tasks.
 
     Spark cannot split a row group, so a table of one would be parsed by one task. What is dealt
-    are the columns named, before texts are made of them. A table of many files is left as it is.
+    are the columns named, before texts are made of them, in tasks of about `PARSED_ROWS` rows: a
+    parse takes long, and few long tasks leave cores idle at their end. A table of many files is
+    left as it is.
     """
     rows = table(spark, sf_dir, name).select(key, *columns)
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
+        -(-rows.count() // PARSED_ROWS),
+    )
     return rows if len(rows.inputFiles()) >= tasks else rows.repartition(tasks, key)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions.outline import _tokens
 from loomgraph.operators import depgraph, symbols, waves
 from loomgraph.operators.dealing import key_counts, matched
 from loomgraph.plans import corpus
@@ -71,3 +72,18 @@ def test_waves_are_planned_in_tasks_by_the_number_of_rows(spark, capsys, monkeyp
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out and counts == [1000]
     assert planned.rdd.getNumPartitions() == 10
     assert {(r["issue"], r["wave"]) for r in planned.collect()} == {(i, i // 7) for i in range(20)}
+
+
+def test_scripts_are_parsed_in_tasks_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "PARSED_ROWS", 100)
+    orders = corpus.table(spark, "/root/testdata/sf0.001", "orders")
+    rows = corpus.dealt(spark, "/root/testdata/sf0.001", "orders", "o_orderkey", "o_custkey")
+    tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10 and max(r[1] for r in tasks) < 200
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, orders.select("o_orderkey", "o_custkey").collect()))
+
+
+def test_tokens_of_blanks():
+    blank = "a \t b\n \t c \u2028d\t\u2028 e \t"
+    assert [w for _, w, _ in _tokens(blank)] == ["a", "b", "c", "\u2028", "d", "e"]
+    assert [n for _, _, n in _tokens(blank)] == [0, 0, 1, 1, 1, 1]
