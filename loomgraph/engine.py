@@ -15,6 +15,7 @@ from loomgraph.config import EmbeddingConfig, RepoConfig
 from loomgraph.functions.embedding import dimension, embed, embed_query
 from loomgraph.functions.text import content_hash, in_words
 from loomgraph.operators import chunking, cochange, depgraph, maintain, pages, symbols, waves
+from loomgraph.operators.dealing import settled
 from loomgraph.operators.incremental import (
     PATH_KEY, changed_files, unseen_texts, vanished_files, with_vectors,
 )
@@ -157,7 +158,8 @@ class Workspace:
         history = commit_files(
             self.spark, {repo.repo_id: repo.project_root}, repo.graph.co_change_max_commits, since=since
         )
-        return cochange.co_change_pairs(history, 1)
+        # Written out: the rows are counted before they are dealt, and git should run once.
+        return cochange.co_change_pairs(settled(history), 1)
 
     def _write_symbols(self, files: DataFrame, paths: DataFrame, write: Callable) -> None:
         settings = self.repo.graph

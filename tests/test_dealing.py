@@ -1,12 +1,13 @@
 """Joins on keys that very many rows share, and joins that Spark would broadcast by its estimates."""
 
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.outline import _tokens
-from loomgraph.operators import depgraph, symbols, waves
+from loomgraph.operators import cochange, depgraph, symbols, waves
 from loomgraph.operators.dealing import key_counts, matched
 from loomgraph.plans import corpus
 
@@ -74,6 +75,28 @@ def test_waves_are_planned_in_tasks_by_the_number_of_rows(spark, capsys, monkeyp
     assert {(r["issue"], r["wave"]) for r in planned.collect()} == {(i, i // 7) for i in range(20)}
 
 
+def test_pairs_are_counted_in_tasks_by_the_number_of_rows(spark, capsys, monkeypatch):
+    monkeypatch.setattr(cochange, "TASK_ROWS", 100)
+    commits = {c: [f"f{(c * 7 + i) % 50}" for i in range(c % 6)] + ["hot1", "hot2"] for c in range(300)}
+    commits[300] = [f"g{i}" for i in range(cochange.MAX_FILES)]
+    commits[301] = [f"h{i}" for i in range(cochange.MAX_FILES + 1)]
+    rows = [(s, c, f) for s in ("x", None) for c, files in commits.items() for f in files]
+    rows += [("x", 300, "g0")] * 400 + [("x", None, "f1"), ("x", None, "f2"), ("x", 7, None)]
+    frame = spark.createDataFrame(rows, "repo string, commit_id int, file string")
+    pairs = cochange.co_change_pairs(frame, 1, ["repo"])
+    capsys.readouterr()
+    pairs.explain()
+    assert capsys.readouterr().out.count("REPARTITION_BY_NUM") == 3
+    assert pairs.rdd.getNumPartitions() == -(-cochange.ROW_PAIRS * len(rows) // 100)
+    want = Counter()
+    for repo in ("x", None):
+        for files in commits.values():
+            if len(files) <= cochange.MAX_FILES:
+                want.update((repo, *pair) for pair in combinations(sorted(files), 2))
+    want["x", "f1", "f2"] += 1
+    assert {(r["repo"], r["file_a"], r["file_b"]): r["count"] for r in pairs.collect()} == want
+
+
 def test_scripts_are_parsed_in_tasks_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(corpus, "PARSED_ROWS", 100)
     orders = corpus.table(spark, "/root/testdata/sf0.001", "orders")
