@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as spark_entry
 from loomgraph.functions.outline import _tokens
 from loomgraph.operators import cochange, depgraph, symbols, waves
 from loomgraph.operators.dealing import key_counts, matched
@@ -54,6 +55,14 @@ def test_symbols_and_paths_are_not_broadcast(spark, capsys):
         assert "Broadcast" not in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("name", ["query_symbol_in", "query_symbol_out", "symbol_edges_grouped", "symbol_edges_heritage"])
+def test_symbol_queries_broadcast_nothing(spark, capsys, name):
+    found = spark_entry.queries()[name](spark, "/root/testdata/sf0.001")
+    capsys.readouterr()
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_touches_are_dealt_by_their_number(spark, capsys):
     touches = corpus.module_touches(spark, "/root/testdata/sf0.001")
     for frame in (touches, waves.file_issues(touches, ["batch"]), waves.conflicts_of(touches, [1], ["batch"])):
