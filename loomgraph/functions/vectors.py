@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 6
 #: Digits by which scores are ranked; the rest is rounding noise.
 EXACT_DIGITS = 12
-#: Shares of the axes behind which pairs are looked at, and what rounding may add to their bound.
-STOPS = (0.125, 0.25, 0.5, 0.75)
-BOUND_SLACK = 1e-9
 
 
 def as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -56,37 +53,13 @@ def leading_axes(*sides: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(scatter)[1][:, ::-1]
 
 
-def suffix_norms(rows: np.ndarray) -> np.ndarray:
-    """Length of what is left of each row behind each of the STOPS."""
-    cuts = [int(rows.shape[1] * share) for share in STOPS]
-    return np.stack([np.sqrt((rows[:, c:] ** 2).sum(axis=1)) for c in cuts], axis=1)
+def with_rest(rows: np.ndarray) -> np.ndarray:
+    """Single precision rows, of the first axes of unit rows, with the length that the other axes hold behind.
 
-
-def bounded_products(left, right, floor: np.ndarray, wanted: np.ndarray, bounding: bool = True):
-    """(products, taken to the end): the product of each `wanted` pair that can reach its row's `floor`.
-
-    Each side is (rows, rows on `leading_axes`, `suffix_norms` of these). What two vectors have
-    left to add is at most the product of the lengths of their rests; a pair whose bound is below
-    the floor is given up and -inf. The products kept are those of the rows as they are.
+    The product of two such rows is at least that of the unit rows, but for rounding.
     """
-    alive = wanted
-    if bounding:
-        partial = np.zeros(wanted.shape)
-        least, begin = (floor - BOUND_SLACK)[:, None], 0
-        for k, share in enumerate(STOPS):
-            end = int(left[1].shape[1] * share)
-            partial += left[1][:, begin:end] @ right[1][:, begin:end].T
-            alive = alive & (partial + left[2][:, k, None] * right[2][None, :, k] >= least)
-            begin = end
-            if np.count_nonzero(alive) * 32 < alive.size:
-                break
-    full = int(np.count_nonzero(alive))
-    if full * 8 < alive.size:
-        out = np.full(alive.shape, -np.inf)
-        row, col = np.nonzero(alive)
-        out[row, col] = np.einsum("ij,ij->i", left[0][row], right[0][col])
-        return out, full
-    return np.where(alive, left[0] @ right[0].T, -np.inf), full
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (rows * rows).sum(axis=1, keepdims=True)))
+    return np.concatenate([rows, rest], axis=1).astype(np.float32)
 
 
 def _nullable(values: np.ndarray) -> pa.Array:

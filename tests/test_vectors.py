@@ -253,3 +253,61 @@ def test_slices_grow_with_the_vectors_and_tiles_are_dealt_by_their_number(spark,
     monkeypatch.setattr(tiling, "STEP_PAIRS", 100)
     got = {(r["src"], r["dst"], round(r["score"], 6)) for r in overlay(rows, -1.0, 4).collect()}
     assert got == brute_force(vectors, files, -1.0, 4)
+
+
+def overlay_by_hand(rows, least, top):
+    """{src: [(dst, score)]} of (id, file, vector) rows, whose ids may have several vectors."""
+    unit = np.asarray([v for _, _, v in rows], dtype="float32").astype("float64")
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    best = {}
+    for a, b in np.argwhere(np.round(unit @ unit.T, 12) >= least):
+        if rows[a][1] != rows[b][1]:
+            of_src = best.setdefault(rows[a][0], {})
+            of_src[rows[b][0]] = max(of_src.get(rows[b][0], -2), round(float(unit[a] @ unit[b]), 12))
+    return {
+        src: [(b, round(s, 6)) for b, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]]
+        for src, found in best.items()
+    }
+
+
+@pytest.mark.parametrize("files, least, per_id, steps", [(3, 0.2, 1, None), (90, 0.2, 3, None), (40, -1.0, 2, 7), (2, 0.9, 1, 7)])
+def test_tile_of_named_ids(spark, monkeypatch, files, least, per_id, steps):
+    tiling = importlib.import_module("loomgraph.operators.overlay")
+    if steps:
+        for name in ("BLOCK_ROWS", "FIRST_STEP", "SAMPLE", "STEP_PAIRS", "PART_VALUES"):
+            monkeypatch.setattr(tiling, name, steps)
+    rng = np.random.default_rng(files)
+    vectors = rng.normal(size=(9, 40))[rng.integers(0, 9, 180)] + 0.4 * rng.normal(size=(180, 40))
+    vectors[:20] = 2 * vectors[0]
+    vectors[20:40] = np.round(vectors[20:40])
+    owner = rng.integers(0, files, 180)
+    rows = [(f"f{owner[i // per_id]}::s{i // per_id}", f"f{owner[i // per_id]}", [float(x) for x in v])
+            for i, v in enumerate(vectors)]
+    # Each vector has a second id, too.
+    rows += [(f"{i}-more", f, v) for i, f, v in rows[::2]]
+    frame = spark.createDataFrame(rows, "id string, file string, embedding array<float>")
+    found = {}
+    for r in overlay(frame, least, 4, unique_ids=False).orderBy("src", F.desc("score"), "dst").collect():
+        found.setdefault(r["src"], []).append((r["dst"], r["score"]))
+    assert found == {s: sorted(e, key=lambda x: (-x[1], x[0])) for s, e in overlay_by_hand(rows, least, 4).items()}
+
+
+def test_few_products_are_exact_and_ids_of_a_vector_are_one_column(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr(
+        "vec_id AS id", "label AS file", "embedding"
+    )
+    assert overlay_work(rows, -0.5, 3).first().full < 0.05 * 250_000
+    twice = rows.unionByName(rows.withColumn("id", F.col("id") + 1000))
+    assert overlay_work(twice, -0.5, 3, unique_ids=False).first().compared == 250_000
+
+
+def test_single_precision_gives_up_no_pair(spark):
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=64) + 1e-7 * rng.normal(size=(300, 64))
+    rows = [(i, i % 3, [float(x) for x in v]) for i, v in enumerate(near)]
+    got = overlay(spark.createDataFrame(rows, "id long, file int, embedding array<double>"), 0.3, 2)
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    scores[np.arange(300)[:, None] % 3 == np.arange(300) % 3] = -1
+    want = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -scores[i]))[:2]}
+    assert {(r["src"], r["dst"]) for r in got.collect()} == want
