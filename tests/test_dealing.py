@@ -2,6 +2,7 @@
 
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as spark_entry
 from loomgraph.functions.outline import _tokens
 from loomgraph.operators import cochange, depgraph, symbols, waves
-from loomgraph.operators.dealing import key_counts, matched
-from loomgraph.plans import corpus
+from loomgraph.operators import dealing
+from loomgraph.operators.dealing import key_counts, matched, stored
+from loomgraph.plans import corpus, queries
 
 ROWS = [("a", i) for i in range(900)] + [("b", 1), ("b", 1), ("c", 2), (None, 3), (None, 3)]
 TABLE = [("a", "x"), ("a", "y"), ("b", "z"), ("d", "w"), (None, "v")]
@@ -119,3 +121,51 @@ def test_tokens_of_blanks():
     blank = "a \t b\n \t c \u2028d\t\u2028 e \t"
     assert [w for _, w, _ in _tokens(blank)] == ["a", "b", "c", "d", "e"]
     assert [n for _, _, n in _tokens(blank)] == [0, 0, 1, 1, 1]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("groups, most", [(2**16, 1000), (1, 1000), (2, 0)])
+def test_matched_of_few_and_of_crowded_keys_is_the_plain_join(spark, monkeypatch, how, groups, most):
+    monkeypatch.setattr(dealing, "KEY_GROUPS", groups)
+    monkeypatch.setattr(dealing, "MOST_GROUPS", most)
+    rows = spark.createDataFrame(ROWS, "k string, n int").localCheckpoint()
+    table = spark.createDataFrame(TABLE, "k string, v string")
+    for left, right in ((rows, table), (table, rows.withColumnRenamed("n", "v")), (table.limit(0), rows), (rows, table.limit(0))):
+        plain = Counter(map(tuple, left.join(right, "k", how).collect()))
+        for few in (0, 100):
+            monkeypatch.setattr(dealing, "FEW_ROWS", few)
+            for key_rows in (3, 1000):
+                assert Counter(map(tuple, matched(left, right, ["k"], how, key_rows).collect())) == plain
+
+
+def test_few_keys_are_looked_for_without_a_shuffle_of_the_rest(spark, capsys):
+    rows = spark.createDataFrame(ROWS, "k string, n int").localCheckpoint()
+    table = spark.createDataFrame(TABLE, "k string, v string")
+    for how in ("left_semi", "left_anti"):
+        capsys.readouterr()
+        matched(rows, table, ["k"], how).explain()
+        assert "Exchange" not in capsys.readouterr().out
+    capsys.readouterr()
+    matched(table, rows, ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "k#" in plan and " IN (" in plan
+
+
+def test_stored_rows_are_the_rows_in_less_room(spark):
+    files = spark.range(20_000).select(F.concat(F.lit("src/orders/o"), "id", F.lit(".tsx")).alias("file_path"))
+    outlined = files.select("file_path", F.array(*[
+        F.struct(F.concat("file_path", F.lit(f"::open{i}")).alias("name"), F.lit(None).cast("string").alias("base"))
+        for i in range(3)
+    ]).alias("refs"))
+    kept = stored(outlined)
+    assert kept.schema.simpleString() == outlined.schema.simpleString() and kept.exceptAll(outlined).isEmpty() and kept.count() == 20_000
+    assert stored(outlined.limit(0)).count() == 0
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    size = sum(f.stat().st_size for f in Path(folder).glob("*.parquet"))
+    assert size < 20_000 * 20
+
+
+def test_the_symbol_graph_is_stored_in_columns(spark):
+    nodes, edges = queries._symbol_graph(spark, "/root/testdata/sf0.001")
+    for frame in (nodes, edges):
+        assert frame.inputFiles() and all("/stored-" in f for f in frame.inputFiles())
